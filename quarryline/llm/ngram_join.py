@@ -44,6 +44,8 @@ SHINGLE = 3
 ZONE = _U(1 << 62)
 #: Sets that may share a rare token, and so the sets of a bucket whose pairs are listed.
 OFTEN = 32
+#: Frequent tokens (8 bytes each) that are sent to every task; more are joined by shuffle.
+BROADCAST_TOKENS = 1 << 20
 #: Tokens (and 1500 for each set) of one side of a tile.
 TILE = 1_500_000
 
@@ -274,7 +276,9 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     large = reps.where(F.col("n") >= least).select("rep", "n", "tokens")
     counts = large.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > often).select("token")
     counts = materialize(counts, "frequent")
-    held = large.select("rep", "n", F.explode("tokens").alias("token")).join(counts, "token").groupBy("rep", "n").agg(F.collect_list("token").alias("often"))
+    # Sent to every task only while it is small; beyond that the tokens are shuffled to it.
+    known = F.broadcast(counts) if counts.count() <= BROADCAST_TOKENS else counts
+    held = large.select("rep", "n", F.explode("tokens").alias("token")).join(known, "token").groupBy("rep", "n").agg(F.collect_list("token").alias("often"))
     sigs = large.join(held, ["rep", "n"], "left").mapInArrow(_index(percent), "sig long, double boolean, rep long, n int, l int")
     sigs = materialize(sigs, "signatures")
     buckets = sigs.groupBy("sig", "double").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1")
