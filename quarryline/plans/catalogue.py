@@ -1,9 +1,667 @@
-"""The retrieval engine's queries with the SQL that an oracle can run."""
+"""The retrieval engine's queries, each with the SQL that an oracle can run over the same tables.
+
+Documents and vectors have no common key in the test tables: by convention of this catalogue
+``embeddings.vec_id`` is the vector of the document of that id, and a benchmark item's own
+vector is that of its id. Dense ranks there exercise the operator; they say nothing of meaning.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryline.functions import ids, text
+from quarryline.operators import chunking, context, memory, parsing, retrieval, routing
+from quarryline.sources import files
+from quarryline.streaming import streams
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def T(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def grid(spark: SparkSession, schema: str, rows: list) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> '')"
+
+# ---------------------------------------------------------------- chunking
+
+_CHUNKS = r"""
+SELECT doc_id, ci::INT AS chunk_index, regexp_replace(array_to_string(w[ci * {step} + 1 : ci * {step} + {size}], ''), '^\s+', '') AS chunk_text
+FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // {step} + 1)) AS ci
+      FROM (SELECT doc_id, regexp_extract_all(text, '\s*\S+') AS w FROM documents) WHERE len(w) > 0)
+"""
+
+
+@query(_CHUNKS.format(step=448, size=512))
+def chunk_fixed_window(spark, d):
+    return chunking.fixed_windows(T(spark, d, "documents")).select("doc_id", "chunk_index", "chunk_text")
+
+
+@query(f"""SELECT doc_id, count(*) AS n_chunks, sum(length(chunk_text))::BIGINT AS n_chars, max(chunk_index) AS last_index
+FROM ({_CHUNKS.format(step=32, size=40)}) GROUP BY doc_id""")
+def chunk_window_stats(spark, d):
+    chunks = chunking.fixed_windows(T(spark, d, "documents"), size=40, overlap=8)
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk_text").cast("long")).alias("n_chars"), F.max("chunk_index").alias("last_index"))
+
+
+@query(r"""SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS parent_text,
+greatest(0, row_number() OVER o - 2)::INT AS parent_start, least(count(*) OVER (PARTITION BY conv_id), row_number() OVER o + 1)::BIGINT AS parent_end
+FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)""")
+def chunk_parent_window(spark, d):
+    out = chunking.parent_windows(T(spark, d, "conversations"), doc="conv_id", index="turn")
+    return out.select("conv_id", "turn", "parent_text", "parent_start", "parent_end")
+
+
+_PATHS = ["a/b.html", "c.HTM", "x.y/readme.md", "d.docx", "e.PDF", "f.tar.gz", "noext", "g.pptx", "h.txt", "dir.pdf/i.png", ".hidden"]
+_PATH_ROWS = ", ".join(f"('{p}')" for p in _PATHS)
+
+
+@query(f"""SELECT path, s AS suffix, CASE WHEN s = '.pdf' THEN 'pdf' WHEN s IN ('.html', '.htm', '.xhtml') THEN 'html'
+WHEN s IN ('.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx') THEN 'office' ELSE 'quarantine' END AS route,
+CASE WHEN s IN ('.html', '.htm', '.xhtml', '.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx', '.txt', '.md', '.pdf') THEN 'recursive_character' ELSE 'fixed' END AS strategy,
+s IN ('.html', '.htm', '.xhtml', '.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx', '.txt', '.md', '.pdf') AS supported
+FROM (SELECT path, CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN lower(regexp_extract(name, '\\.[^.]+$')) ELSE '' END AS s
+      FROM (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM (VALUES {_PATH_ROWS}) t(path)))""".replace("\\\\", "\\"))
+def chunk_strategy_route(spark, d):
+    s = files.suffix(F.col("path"))
+    return grid(spark, "path string", [(p,) for p in _PATHS]).select("path", s.alias("suffix"), files.parse_route(F.col("path")).alias("route"), files.chunk_strategy(F.col("path")).alias("strategy"), s.isin(*files.SUPPORTED).alias("supported"))
+
+
+@query()
+def chunk_recursive(spark, d):
+    return chunking.recursive_chunks(T(spark, d, "documents"))
+
+
+@query("SELECT n_pages, r.a::INT AS first_page, least(r.a + 20, n_pages)::INT AS end_page FROM (SELECT n_pages, unnest(list_transform(range(0, n_pages, 20), lambda x: {'a': x})) AS r FROM (VALUES (1), (20), (21), (65)) t(n_pages))")
+def pdf_page_ranges(spark, d):
+    pages = grid(spark, "n_pages int", [(1,), (20,), (21,), (65,)])
+    out = pages.select("n_pages", F.explode(files.page_ranges(F.col("n_pages"))).alias("r"))
+    return out.select("n_pages", F.col("r.first").alias("first_page"), F.col("r.end").alias("end_page"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean, trim(regexp_replace(text, ' {2,}', ' ', 'g')) AS collapsed FROM documents")
+def text_collapse_spaces(spark, d):
+    return T(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("clean"), text.collapse_spaces(F.col("text")).alias("collapsed"))
+
+
+@query()
+def text_ocr_clean(spark, d):
+    return T(spark, d, "documents").select("doc_id", text.ocr_clean(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT doc_id, len({_WORDS.format('text')})::BIGINT AS n_tokens, len(list_distinct({_WORDS.format('text')}))::BIGINT AS n_distinct FROM documents")
+def text_tokens(spark, d):
+    t = text.tokens(F.col("text"))
+    return T(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+_MD = ["plain", "**bold** and __also__", "a & b < c > d", "`code` here", "see [site](http://x.y)", "~~gone~~ kept"]
+_MD_SQL = "replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+for _p, _r in (
+    (r"\*\*(.*?)\*\*", r"<b>\1</b>"), ("__(.*?)__", r"<b>\1</b>"), ("`([^`]+?)`", r'<font name="Courier" size="9" color="darkred">\1</font>'),
+    (r"\[([^\]]+?)\]\(([^)]+?)\)", r'<link href="\2" color="blue"><u>\1</u></link>'), ("~~(.*?)~~", r"<strike>\1</strike>"),
+):
+    _MD_SQL = f"regexp_replace({_MD_SQL}, '{_p}', '{_r}', 'g')"
+
+
+@query(f"SELECT s AS source, {_MD_SQL} AS markup FROM (VALUES {', '.join(repr((m,)).replace(',)', ')') for m in _MD)}) t(s)")
+def markdown_inline(spark, d):
+    return grid(spark, "source string", [(m,) for m in _MD]).select("source", text.inline_markup(F.col("source"), italics=False).alias("markup"))
+
+
+_ANSWER_SQL = "'```json' || chr(10) || props || chr(10) || '```'"
+
+
+@query(f"""SELECT event_id, json_extract_string(j, '$.k')::BIGINT AS k, json_valid(j) AS has_json FROM (
+SELECT event_id, trim(regexp_extract(regexp_replace(regexp_replace(trim({_ANSWER_SQL}), '^```(?:json)?\\s*', ''), '\\s*```$', ''), '(\\{{.*\\}}|\\[.*\\])', 1, 's')) AS j FROM events)""")
+def llm_json_extract(spark, d):
+    raw = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
+    return T(spark, d, "events").select("event_id", F.try_variant_get(text.parsed_json(raw), "$.k", "bigint").alias("k"), text.has_json(raw).alias("has_json"))
+
+
+@query(f"SELECT conv_id, turn, round(len({_WORDS.format('text')}) / 0.75 * 1e-6, 12) AS cost FROM conversations")
+def llm_cost_estimate(spark, d):
+    return T(spark, d, "conversations").select("conv_id", "turn", F.round(text.cost_estimate(F.col("text")), 12).alias("cost"))
+
+
+@query(f"SELECT role, count(*) AS calls, sum(len({_WORDS.format('text')}))::BIGINT AS tokens FROM conversations GROUP BY role")
+def llm_usage_totals(spark, d):
+    return T(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.size(text.tokens(F.col("text"))).cast("long")).alias("tokens"))
+
+
+# ---------------------------------------------------------------- ids and stores
+
+_UUID_SQL = """lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12))"""
+
+
+@query(f"SELECT doc_id, {_UUID_SQL} AS point_id FROM (SELECT doc_id, sha1(unhex('{ids.DNS_NAMESPACE}') || encode(doc_id || '_0')) AS h FROM documents)")
+def point_id_uuid5(spark, d):
+    return T(spark, d, "documents").select("doc_id", ids.point_id(F.col("doc_id"), F.lit(0)).alias("point_id"))
+
+
+@query(f"""SELECT point_id, doc_id, text, ingest_ts FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ingest_ts DESC, text DESC) AS n FROM (
+SELECT k AS doc_id, text, ingest_ts, {_UUID_SQL} AS point_id FROM (SELECT doc_id % 100 AS k, text, doc_id AS ingest_ts, sha1(unhex('{ids.DNS_NAMESPACE}') || encode((doc_id % 100) || '_0')) AS h FROM documents))) WHERE n = 1""")
+def upsert_dedup(spark, d):
+    rows = T(spark, d, "documents").select((F.col("doc_id") % 100).alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.col("doc_id").alias("ingest_ts"))
+    return files.upsert(rows).select("point_id", "doc_id", "text", "ingest_ts")
+
+
+@query("SELECT doc_id, substr(sha256(encode(strlen(text)::VARCHAR) || encode(text)[1:8192]), 1, 24) AS fingerprint FROM documents")
+def doc_fingerprint(spark, d):
+    return T(spark, d, "documents").select("doc_id", ids.fingerprint(F.encode("text", "UTF-8")).alias("fingerprint"))
+
+
+@query("""SELECT doc_id, md5('{"file_path": "' || source || '/' || doc_id || '.html", "mtime": ' || n_chars || ', "parse_method": "auto", "parser": "html"}') AS cache_key FROM documents""")
+def cache_key(spark, d):
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html"))
+    return T(spark, d, "documents").select("doc_id", ids.cache_key(path, F.col("n_chars"), F.lit("html"), F.lit("auto")).alias("cache_key"))
+
+
+@query("SELECT count(*) AS entries, round(sum(n_chars) / 1048576, 2) AS size_mb FROM documents")
+def cache_stats(spark, d):
+    return files.cache_stats(T(spark, d, "documents"), "n_chars")
+
+
+@query("SELECT doc_id, source FROM documents WHERE source <> 'src0'")
+def cache_invalidate(spark, d):
+    return files.invalidate(T(spark, d, "documents").withColumn("source_file", F.col("source")), "src0").select("doc_id", "source")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def cache_lookup_misses(spark, d):
+    return files.cache_misses(T(spark, d, "documents"), T(spark, d, "labels"), "doc_id").select("doc_id")
+
+
+@query("SELECT doc_id, text, source FROM documents WHERE lang = 'en'")
+def payload_filtered_scan(spark, d):
+    return T(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", "source")
+
+
+@query("SELECT label, count(*) AS n_points FROM embeddings GROUP BY label")
+def count_points(spark, d):
+    return files.assert_dimension(T(spark, d, "embeddings"), "embedding", 64).groupBy("label").agg(F.count(F.lit(1)).alias("n_points"))
+
+
+# ---------------------------------------------------------------- lexical, dense, fused
+
+_BM25_CTE = f"""
+tok AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term FROM documents),
+post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT doc_id, len({_WORDS.format("text")})::BIGINT AS dl FROM documents),
+st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
+raw AS (SELECT term, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+"""
+_BM25_RANK = """
+sc AS (SELECT query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score
+       FROM q JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
+sparse AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0) WHERE rank <= {k})
+"""
+_BENCH_Q = f"q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark) GROUP BY ALL),"
+
+
+@query(f"WITH {_BM25_CTE} x AS (SELECT 1) SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_index_terms(spark, d):
+    return retrieval.build_index(T(spark, d, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_BM25_CTE} x AS (SELECT 1) SELECT (SELECT n FROM st)::BIGINT AS n_docs, round((SELECT avgdl FROM st), 6) AS avgdl, (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM idf) AS n_terms")
+def bm25_index_stats(spark, d):
+    index = retrieval.build_index(T(spark, d, "documents"))
+    counts = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_postings"), F.count(F.lit(1)).alias("n_terms"))
+    return counts.select(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), "n_postings", "n_terms")
+
+
+@query(f"WITH {_BM25_CTE} {_BENCH_Q} {_BM25_RANK.format(k=10)} SELECT query_id, doc_id, score, rank FROM sparse")
+def bm25_search_topk(spark, d):
+    return retrieval.bm25_search(retrieval.build_index(T(spark, d, "documents")), T(spark, d, "benchmark"), query="item_id")
+
+
+_DENSE = """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
+SELECT b.item_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+FROM benchmark b JOIN embeddings q ON b.item_id = q.vec_id, embeddings e {where})) WHERE rank <= {k}"""
+
+
+def _query_vectors(spark, d):
+    return T(spark, d, "benchmark").join(T(spark, d, "embeddings"), F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "embedding")
+
+
+@query(_DENSE.format(k=20, where=""))
+def dense_search_topk(spark, d):
+    return retrieval.dense_search(T(spark, d, "embeddings"), _query_vectors(spark, d))
+
+
+@query(_DENSE.format(k=5, where="WHERE e.label = 3"))
+def dense_search_filtered(spark, d):
+    return retrieval.dense_search(T(spark, d, "embeddings"), _query_vectors(spark, d), k=5, where=F.col("label") == 3)
+
+
+#: Variants of a benchmark question: itself, and its first six words as a stand-in for an alternative.
+_VARIANT_Q = f"""
+v AS (SELECT item_id AS query_id, 0 AS variant, text AS query_text FROM benchmark UNION ALL
+      SELECT item_id, 1, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:6], ' ') FROM benchmark),
+"""
+
+
+def _variants(spark, d):
+    first = F.array_join(F.slice(text.words(F.col("text")), 1, 6), " ")
+    return retrieval.query_variants(T(spark, d, "benchmark"), F.array(first), query="item_id")
+
+
+@query(f"WITH {_VARIANT_Q.strip().rstrip(',')} SELECT query_id, variant, query_text FROM v")
+def query_variants(spark, d):
+    return _variants(spark, d)
+
+
+@query(f"WITH {_VARIANT_Q.strip().rstrip(',')} SELECT 'small' AS corpus, query_id, variant FROM v WHERE variant = 0 UNION ALL SELECT 'large', query_id, variant FROM v")
+def small_corpus_guard(spark, d):
+    v = _variants(spark, d).select("query_id", "variant")
+    small = retrieval.small_corpus_guard(v, 20).select(F.lit("small").alias("corpus"), "query_id", "variant")
+    return small.unionByName(retrieval.small_corpus_guard(v, 21).select(F.lit("large").alias("corpus"), "query_id", "variant"))
+
+
+def _fuse_sql(lists: str, item: str = "doc_id", by: str = "query_id") -> str:
+    return f"""SELECT {by}, {item}, rrf_score, row_number() OVER (PARTITION BY {by} ORDER BY rrf_score DESC, seen, {item})::INT AS rank FROM (
+SELECT {by}, {item}, round(sum(1.0 / (10 + rank)), 9) AS rrf_score, min(list_idx * 1000000 + rank) AS seen FROM ({lists}) GROUP BY {by}, {item})"""
+
+
+@query(f"WITH {_BM25_CTE} {_BENCH_Q} {_BM25_RANK.format(k=10)}, dense AS ({_DENSE.format(k=20, where='')}) " + _fuse_sql("SELECT query_id, doc_id, rank, 0 AS list_idx FROM dense UNION ALL SELECT query_id, doc_id, rank, 1 FROM sparse"))
+def rrf_fuse_two_lists(spark, d):
+    dense = dense_search_topk(spark, d).withColumn("list_idx", F.lit(0))
+    sparse = bm25_search_topk(spark, d).withColumn("list_idx", F.lit(1))
+    return retrieval.rrf(dense.unionByName(sparse), by=["query_id"], item=["doc_id"])
+
+
+def _hybrid(spark, d):
+    """Both variants share their question's vector, for want of an embedding model."""
+    v = _variants(spark, d).withColumn("qv", F.col("query_id") * 10 + F.col("variant"))
+    index = retrieval.build_index(T(spark, d, "documents"))
+    sparse = retrieval.bm25_search(index, v, query="qv", text="query_text", k=20)
+    vectors = T(spark, d, "embeddings").join(T(spark, d, "documents").select("doc_id"), F.col("vec_id") == F.col("doc_id"))
+    asked = v.join(T(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("qv", "embedding")
+    dense = retrieval.dense_search(vectors.select("vec_id", "embedding"), asked, query="qv", k=20)
+
+    def split(x):
+        return x.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("variant"), "doc_id", "rank")
+
+    return retrieval.hybrid_search(split(dense), split(sparse))
+
+
+_HYBRID_CTE = (
+    _VARIANT_Q
+    + _BM25_CTE
+    + f"q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id * 10 + variant AS query_id, unnest({_WORDS.format('query_text')}) AS term FROM v) GROUP BY ALL),"
+    + _BM25_RANK.format(k=20)
+    + """, dense AS (SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
+SELECT v.query_id * 10 + v.variant AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+FROM v JOIN embeddings q ON v.query_id = q.vec_id, embeddings e JOIN documents d ON e.vec_id = d.doc_id)) WHERE rank <= 20),
+fd AS ("""
+    + _fuse_sql("SELECT query_id // 10 AS query_id, query_id % 10 AS list_idx, doc_id, rank FROM dense")
+    + "), fs AS ("
+    + _fuse_sql("SELECT query_id // 10 AS query_id, query_id % 10 AS list_idx, doc_id, rank FROM sparse")
+    + "), fused AS ("
+    + _fuse_sql("SELECT query_id, 0 AS list_idx, doc_id, rank FROM fd UNION ALL SELECT query_id, 1, doc_id, rank FROM fs")
+    + ")"
+)
+
+
+@query(f"WITH {_HYBRID_CTE} SELECT query_id, doc_id, rrf_score, rank FROM fused WHERE rank <= 5")
+def hybrid_search_topk(spark, d):
+    return _hybrid(spark, d).where("rank <= 5")
+
+
+_OVERLAP = "(SELECT count(*) FROM (SELECT unnest(list_distinct({q})) AS x) WHERE list_contains({t}, x)) * 1.0 / len(list_distinct({q}))".format(q=_WORDS.format("b.text"), t=_WORDS.format("d.text"))
+
+
+@query(f"""WITH {_HYBRID_CTE} SELECT query_id, doc_id, score, rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank, doc_id)::INT AS rerank FROM (
+SELECT f.query_id, f.doc_id, f.rank, round(len(list_intersect(list_distinct({_WORDS.format("b.text")}), {_WORDS.format("d.text")})) / len(list_distinct({_WORDS.format("b.text")})), 6) AS score
+FROM fused f JOIN benchmark b ON f.query_id = b.item_id JOIN documents d USING (doc_id))) WHERE rerank <= 5""")
+def rerank_overlap_topk(spark, d):
+    c = _hybrid(spark, d).join(T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id").join(T(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return retrieval.rerank(c, query=F.col("q"), text=F.col("text")).select("query_id", "doc_id", "score", "rerank")
+
+
+@query(f"WITH {_HYBRID_CTE} SELECT query_id, doc_id, rank AS rerank FROM fused WHERE rank <= 5")
+def rerank_fallback(spark, d):
+    return retrieval.rerank_fallback(_hybrid(spark, d)).select("query_id", "doc_id", "rerank")
+
+
+@query(f"""WITH {_HYBRID_CTE} SELECT b.item_id AS query_id, count(f.doc_id) AS n_results,
+CASE WHEN count(f.doc_id) = 0 THEN 'refine_query' WHEN max(rrf_score) > 0.15 THEN 'sufficient' ELSE 'evaluate' END AS decision FROM benchmark b LEFT JOIN fused f ON f.query_id = b.item_id GROUP BY b.item_id""")
+def retrieval_decision(spark, d):
+    top = _hybrid(spark, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rrf_score").alias("top"))
+    out = T(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(top, "query_id", "left")
+    return out.select("query_id", F.coalesce("n", F.lit(0)).alias("n_results"), retrieval.retrieval_decision(F.col("top"), F.col("n"), threshold=0.15).alias("decision"))
+
+
+# ---------------------------------------------------------------- routing and grading
+
+_SQL_CATS = "(VALUES " + ", ".join(f"('{c}')" for c in routing.CATEGORIES) + ") c(category)"
+_MSGS = ["what now", "recap our conversation", "Summarize our talk"]
+_SQL_MSGS = "(VALUES " + ", ".join(f"('{m}')" for m in _MSGS) + ") m(message)"
+
+
+@query(f"""SELECT category, complexity, message, CASE WHEN category IN ('chitchat', 'meta') THEN 'simple_response' WHEN category = 'factual' AND complexity <= 2 THEN 'direct_synthesize'
+WHEN category = 'summarization' AND regexp_matches(lower(message), 'previous|discussed|conversation|recap|summarize our') THEN 'synthesize' ELSE 'plan' END AS route
+FROM {_SQL_CATS}, (SELECT unnest(range(1, 6))::INT AS complexity), {_SQL_MSGS}""")
+def route_after_classify(spark, d):
+    rows = grid(spark, "category string, complexity int, message string", [(c, x, m) for c in routing.CATEGORIES for x in range(1, 6) for m in _MSGS])
+    return rows.withColumn("route", routing.route_after_classify(F.col("category"), F.col("complexity"), F.col("message")))
+
+
+_DECISIONS = ("sufficient", "refine_query", "expand_search", "exhausted", "other")
+
+
+@query("""SELECT *, CASE WHEN steps >= 6 THEN 'grade' WHEN decision = 'refine_query' AND round < max_rounds THEN 'refine_query' WHEN idx + 1 < total THEN 'next_sub_question' ELSE 'grade' END AS route
+FROM (VALUES """ + ", ".join(f"('{x}')" for x in _DECISIONS) + """) a(decision), (SELECT unnest(range(0, 4))::INT AS round), (SELECT unnest([1, 3])::INT AS max_rounds),
+(SELECT unnest(range(0, 3))::INT AS idx), (SELECT unnest([1, 2])::INT AS total), (SELECT unnest([0, 5, 6])::INT AS steps)""")
+def route_after_retrieve(spark, d):
+    rows = [(x, r, m, i, t, s) for x in _DECISIONS for r in range(4) for m in (1, 3) for i in range(3) for t in (1, 2) for s in (0, 5, 6)]
+    df = grid(spark, "decision string, round int, max_rounds int, idx int, total int, steps int", rows)
+    return df.withColumn("route", routing.route_after_retrieve(*[F.col(c) for c in df.columns]))
+
+
+@query("SELECT *, CASE WHEN idx < total THEN 'retrieve' ELSE 'grade' END AS route FROM (SELECT unnest(range(0, 4))::INT AS idx), (SELECT unnest(range(0, 4))::INT AS total)")
+def route_after_next(spark, d):
+    df = grid(spark, "idx int, total int", [(i, t) for i in range(4) for t in range(4)])
+    return df.withColumn("route", routing.route_after_next(F.col("idx"), F.col("total")))
+
+
+_ROUTER_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in routing.INTENTS) + " ELSE 'factual' END"
+
+
+@query(f"SELECT conv_id, turn, {_ROUTER_SQL} AS category FROM conversations WHERE role = 'user'")
+def router_rules(spark, d):
+    return T(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", routing.classify(F.col("text")).alias("category"))
+
+
+@query("SELECT event_id, CASE WHEN v >= 0 AND v <= 1 THEN v ELSE 0.7 END AS confidence, CASE WHEN v >= 0 AND v <= 1 THEN v ELSE 0.7 END < 0.7 AS low_confidence FROM (SELECT event_id, value / 10 AS v FROM events)")
+def router_validate(spark, d):
+    v = routing.valid_confidence(F.col("value") / 10)
+    return T(spark, d, "events").select("event_id", v.alias("confidence"), (v < 0.7).alias("low_confidence"))
+
+
+@query(r"""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, CASE WHEN item_id % 2 = 0 THEN 'factual' ELSE 'analytical' END AS category FROM benchmark),
+s AS (SELECT item_id, CASE WHEN category = 'factual' OR len(w) < 2 THEN [text] ELSE [array_to_string(w[1:ceil(len(w) / 2)::INT], ' '), array_to_string(w[ceil(len(w) / 2)::INT + 1:], ' ')] END AS s FROM w)
+SELECT item_id, i::INT AS idx, s[i + 1] AS sub_question FROM (SELECT item_id, s, unnest(range(0, len(s))) AS i FROM s)""")
+def planner_split(spark, d):
+    category = F.when(F.col("item_id") % 2 == 0, "factual").otherwise("analytical")
+    return T(spark, d, "benchmark").select("item_id", F.posexplode(routing.plan(F.col("text"), category)).alias("idx", "sub_question"))
+
+
+_GRADED = "documents JOIN labels USING (doc_id)"
+
+
+def _graded(spark, d):
+    return T(spark, d, "documents").join(T(spark, d, "labels"), "doc_id")
+
+
+@query(f"SELECT doc_id, source, quality FROM {_GRADED} WHERE quality = 1")
+def grade_filter(spark, d):
+    return _graded(spark, d).where("quality = 1").select("doc_id", "source", "quality")
+
+
+@query(f"SELECT doc_id, source, lang AS section, 'quality ' || quality AS reason, substr(text, 1, 100) AS preview FROM {_GRADED} WHERE quality <> 1")
+def grade_rejected(spark, d):
+    return _graded(spark, d).where("quality <> 1").select("doc_id", "source", F.col("lang").alias("section"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("reason"), F.substring("text", 1, 100).alias("preview"))
+
+
+@query(f"SELECT source, round(avg(quality), 6) AS relevance_ratio, count(*) AS total FROM {_GRADED} GROUP BY source")
+def grade_relevance(spark, d):
+    return _graded(spark, d).groupBy("source").agg(F.round(F.avg((F.col("quality") == 1).cast("int")), 6).alias("relevance_ratio"), F.count(F.lit(1)).alias("total"))
+
+
+_COVER = [(1, ["What is A?", "What is B?"], ["what is a"], 1), (2, ["Alpha", "Beta"], ["tell me alpha and beta"], 2), (3, [], ["x"], 1), (4, [], [], 0), (5, ["Gamma"], [], 0)]
+
+
+@query("""SELECT id, CASE WHEN len(subs) > 0 THEN round(len(list_filter(subs, lambda q: len(list_filter(ans, lambda a: contains(lower(q), lower(a)) OR contains(lower(a), lower(q)))) > 0)) / len(subs), 6)
+WHEN n > 0 THEN 1.0 ELSE 0.0 END AS coverage FROM (VALUES """ + ", ".join(f"({i}, {s}::VARCHAR[], {a}::VARCHAR[], {n})" for i, s, a, n in _COVER) + ") t(id, subs, ans, n)")
+def grade_coverage(spark, d):
+    df = grid(spark, "id int, subs array<string>, ans array<string>, n int", _COVER)
+    return df.select("id", F.round(routing.coverage(F.col("subs"), F.col("ans"), F.col("n")), 6).alias("coverage"))
+
+
+@query(f"""SELECT category, n, target, CASE WHEN n = 0 THEN 'empty' WHEN n >= target THEN 'sufficient' WHEN category IN ('analytical', 'procedural', 'comparative') THEN 'unknown'
+WHEN n >= target * 0.5 THEN 'adequate' ELSE 'insufficient' END AS level FROM {_SQL_CATS}, (SELECT unnest(range(0, 7))::INT AS n), (SELECT unnest([3, 5])::INT AS target)""")
+def grade_completeness(spark, d):
+    df = grid(spark, "category string, n int, target int", [(c, n, t) for c in routing.CATEGORIES for n in range(7) for t in (3, 5)])
+    return df.withColumn("level", routing.completeness(F.col("n"), F.col("target"), F.col("category")))
+
+
+_WEIGHT_SQL = [
+    "CASE category " + " ".join(f"WHEN '{k}' THEN {w[i]}" for k, w in routing.WEIGHTS.items()) + f" ELSE {routing.OTHER_WEIGHTS[i]} END" for i in range(3)
+]
+_LEVEL_SQL = "CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in routing.LEVELS.items()) + " ELSE 0.5 END"
+
+
+@query(f"""SELECT category, level, relevance, covered, round(({_WEIGHT_SQL[0]})::DOUBLE * relevance + ({_WEIGHT_SQL[1]})::DOUBLE * covered + ({_WEIGHT_SQL[2]})::DOUBLE * ({_LEVEL_SQL})::DOUBLE, 6) AS score
+FROM {_SQL_CATS}, (SELECT unnest(['sufficient', 'adequate', 'insufficient', 'empty', 'unknown']) AS level), (SELECT unnest([0.0, 0.25, 1.0])::DOUBLE AS relevance), (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS covered)""")
+def grade_overall(spark, d):
+    rows = [(c, lv, r, v) for c in routing.CATEGORIES for lv in (*routing.LEVELS, "unknown") for r in (0.0, 0.25, 1.0) for v in (0.0, 0.5, 1.0)]
+    df = grid(spark, "category string, level string, relevance double, covered double", rows)
+    return df.withColumn("score", routing.overall_score(F.col("relevance"), F.col("covered"), F.col("level"), F.col("category"), 6))
+
+
+@query(f"WITH {_HYBRID_CTE} SELECT query_id, 0 AS round, doc_id FROM fused WHERE rank <= 5 UNION ALL SELECT query_id, 1, doc_id FROM fused WHERE rank <= 3")
+def state_accumulate(spark, d):
+    h = _hybrid(spark, d)
+    rounds = [h.where(F.col("rank") <= k).select("query_id", F.lit(i).alias("round"), "doc_id") for i, k in enumerate((5, 3))]
+    return rounds[0].unionByName(rounds[1])
+
+
+# ---------------------------------------------------------------- context and citations
+
+_PART_SQL = "'[Source: ' || coalesce(source, 'unknown') || ' | Section: ' || coalesce(lang, 'unknown') || ']' || chr(10) || replace(coalesce(text, ''), '</retrieved_context>', '&lt;/retrieved_context&gt;')"
+_SEP_SQL = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+
+
+def _parts(spark, d):
+    return T(spark, d, "documents").select("doc_id", "source", F.col("lang").alias("section"), "text").withColumn("part", context.context_part(F.col("source"), F.col("section"), F.col("text")))
+
+
+@query(f"""SELECT source, count(*) AS n_chunks, '<retrieved_context>' || chr(10) || string_agg(part, {_SEP_SQL} ORDER BY doc_id) || chr(10) || '</retrieved_context>' AS context FROM (
+SELECT source, doc_id, part, sum(length(part) + 7) OVER (PARTITION BY source ORDER BY doc_id) - 7 AS used FROM (SELECT source, doc_id, {_PART_SQL} AS part FROM documents)) WHERE used <= 20000 GROUP BY source""")
+def context_budget(spark, d):
+    return context.build_context(_parts(spark, d), by="source", order="doc_id", budget=20_000)
+
+
+@query(f"SELECT lang, md5(substr(string_agg({_PART_SQL}, {_SEP_SQL} ORDER BY doc_id), 1, 100000)) AS context_md5 FROM documents WHERE doc_id < 1000 GROUP BY lang")
+def context_legacy(spark, d):
+    rows = _parts(spark, d).where("doc_id < 1000").groupBy(F.col("section").alias("lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]).alias("parts"))
+    return rows.select("lang", F.md5(context.legacy_context(F.col("parts"))).alias("context_md5"))
+
+
+@query(f"""SELECT n, category, CASE WHEN category IN ('chitchat', 'meta') THEN NULL WHEN n = 0 THEN '{context.NO_CONTEXT}' WHEN category = 'comparative' AND n < 2 THEN '{context.COMPARE_MORE}' END AS message
+FROM {_SQL_CATS}, (SELECT unnest(range(0, 3))::INT AS n)""")
+def context_guard(spark, d):
+    df = grid(spark, "category string, n int", [(c, n) for c in routing.CATEGORIES for n in range(3)])
+    return df.withColumn("message", context.guard(F.col("n"), F.col("category")))
+
+
+@query("""SELECT lang, chr(10) || chr(10) || '---' || chr(10) || '**Sources Used:**' || chr(10) || string_agg('- ' || label, chr(10) ORDER BY o, label) AS footer FROM (
+SELECT lang, source || ' — ' || lang AS label, min(doc_id) AS o FROM documents GROUP BY lang, source) GROUP BY lang""")
+def citation_footer(spark, d):
+    return context.sources_footer(_parts(spark, d).withColumn("lang", F.col("section")), by="lang", order="doc_id")
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '\[.+?\]') AS cited FROM documents")
+def citation_check(spark, d):
+    return T(spark, d, "documents").select("doc_id", text.has_citation(F.col("text")).alias("cited"))
+
+
+@query("SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM documents GROUP BY lang")
+def distinct_sources(spark, d):
+    return context.distinct_sources(T(spark, d, "documents"), "lang").select("lang", F.array_join("sources", ",").alias("sources"))
+
+
+@query()
+def synthesis_prompts(spark, d):
+    rows = T(spark, d, "benchmark").withColumn("category", F.element_at(F.array(*map(F.lit, routing.CATEGORIES)), (F.col("item_id") % 8 + 1).cast("int")))
+    return rows.select("item_id", "category", context.prompt(F.col("category"), F.col("text"), context.wrap(F.lit("evidence"))).alias("prompt"))
+
+
+# ---------------------------------------------------------------- memory
+
+
+@query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
+def session_recent_turns(spark, d):
+    return memory.recent_turns(T(spark, d, "conversations"), 3)
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def session_transcript(spark, d):
+    return memory.transcript(T(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, count(*) AS n_turns, count(*) > 5 AS overflow FROM conversations GROUP BY conv_id")
+def session_overflow(spark, d):
+    return memory.overflowing(T(spark, d, "conversations"), 5)
+
+
+@query("SELECT conv_id, turn, CASE WHEN prior > 0 THEN text || ' (in context)' ELSE text END AS effective_query, prior > 0 AS was_rewritten FROM (SELECT *, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM conversations) WHERE role = 'user'")
+def rewrite_guard(spark, d):
+    from pyspark.sql import Window
+
+    prior = F.count(F.lit(1)).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    rows = T(spark, d, "conversations").withColumn("prior", prior).where("role = 'user'")
+    said, did = memory.rewrite_query(F.col("text"), F.col("prior"), F.concat("text", F.lit(" (in context)")))
+    return rows.select("conv_id", "turn", said.alias("effective_query"), did.alias("was_rewritten"))
+
+
+@query("""SELECT user_id, recency, '[' || strftime(ts, '%Y-%m-%d %H:%M') || ' | Topics: ' || CASE WHEN event_type = 'error' THEN 'general' ELSE event_type || ', event' END || '] ' || props AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS recency FROM events) WHERE recency <= 5""")
+def episodic_recent(spark, d):
+    rows = memory.recent_episodes(T(spark, d, "events"), user="user_id", created="ts", tie="event_id")
+    tags = F.when(F.col("event_type") == "error", F.array().cast("array<string>")).otherwise(F.array("event_type", F.lit("event")))
+    return rows.select("user_id", "recency", memory.episode_line(F.col("ts"), tags, F.col("props")).alias("line"))
+
+
+# ---------------------------------------------------------------- summaries
+
+
+@query("SELECT sum(ok)::BIGINT AS successful, count(*) - sum(ok)::BIGINT AS failed, count(*) AS total, sum(ok)::BIGINT / count(*) * 100 AS success_rate FROM (SELECT CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS ok FROM documents)")
+def batch_summary(spark, d):
+    return files.batch_summary(T(spark, d, "documents").withColumn("ok", F.col("n_chars") > 1000))
+
+
+@query("SELECT event_type, bool_and(value < 99) AS healthy, CASE WHEN bool_and(value < 99) THEN 'ok' ELSE 'degraded' END AS status FROM events GROUP BY event_type")
+def health_rollup(spark, d):
+    ok = F.every(F.col("value") < 99)
+    return T(spark, d, "events").groupBy("event_type").agg(ok.alias("healthy"), F.when(ok, "ok").otherwise("degraded").alias("status"))
+
+
+def _blocks(spark, d):
+    kind = F.when(F.col("turn") % 3 == 0, "text").when(F.col("turn") % 3 == 1, "image").otherwise("table")
+    return T(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"), kind.alias("type"), "text")
+
+
+@query("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE turn % 3 = 0 AND trim(text) <> '' GROUP BY conv_id")
+def modality_split(spark, d):
+    return parsing.split_modalities(_blocks(spark, d))[0]
+
+
+@query("SELECT CASE WHEN turn % 3 = 1 THEN 'image' ELSE 'table' END AS type, count(*) AS n, sum(turn)::BIGINT AS places FROM conversations WHERE turn % 3 <> 0 GROUP BY 1")
+def block_type_counts(spark, d):
+    return parsing.split_modalities(_blocks(spark, d))[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("content_list_index").alias("places"))
+
+
+# ---------------------------------------------------------------- rows only
+
+
+@query()
+def html_nodes(spark, d):
+    return parsing.html_nodes(T(spark, d, "pages"))
+
+
+@query()
+def html_page_text(spark, d):
+    return parsing.page_text(parsing.html_nodes(T(spark, d, "pages")))
+
+
+_TREE = {"body": {"children": [{"$ref": "#/texts/0"}, {"$ref": "#/groups/0"}, {"$ref": "#/tables/0"}, {"$ref": "#/broken/9"}]},
+         "groups": [{"children": [{"$ref": "#/texts/1"}, {"$ref": "#/pictures/0"}]}],
+         "texts": [{"label": "text", "orig": "Hello World", "prov": [{"page_no": 1}]}, {"label": "formula", "orig": "a+b", "prov": [{"page_no": 2}]}],
+         "pictures": [{"prov": []}], "tables": [{"data": {"grid": []}, "prov": [{"page_no": 3}]}]}
+
+
+@query()
+def layout_block_tree(spark, d):
+    return parsing.layout_table(T(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(json.dumps(_TREE)).alias("tree")))
+
+
+@query()
+def ingest_chunks(spark, d):
+    from quarryline.plans.answer import ingest
+
+    return ingest(T(spark, d, "documents"))
+
+
+@query()
+def answer_questions(spark, d):
+    from quarryline.plans.answer import answer
+
+    chunks = chunking.fixed_windows(T(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), F.col("chunk_text").alias("text"), "source", F.col("lang").alias("section"))
+    asked = T(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("compare "), "text").alias("question"))
+    return answer(asked, chunks, retrieval.build_index(chunks, key="chunk_id"))
+
+
+def _stream_dir(spark) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quarryline-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query()
+def stream_ingest_upsert(spark, d):
+    at = _stream_dir(spark)
+    docs = T(spark, d, "documents")
+    rows = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]").select((F.col("doc_id") % 100).alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.col("doc_id").alias("ingest_ts"))
+    streams.ingest_stream(rows, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/table/version=0")
+
+
+@query()
+def stream_session_ttl(spark, d):
+    at = _stream_dir(spark)
+    turns = T(spark, d, "conversations")
+    start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn") * 10)
+    rows = spark.readStream.schema(turns.schema).parquet(f"{d}/conversations.parque[t]").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "role", "text", start.alias("ts"))
+    out = streams.session_stream(rows)
+
+    def put(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+
+    out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
