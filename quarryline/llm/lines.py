@@ -173,7 +173,7 @@ def line_verdicts(measured: DataFrame, *, max_docs: int = 100, min_left: float =
 
 def _strip(batches):
     for batch in batches:
-        texts, removed = batch.column("text"), batch.column("removed").to_pylist()
+        texts, removed = batch.column("__ql_text"), batch.column("__ql_removed").to_pylist()
         out = texts.to_pylist()
         hit = [i for i, r in enumerate(removed) if r and out[i]]
         for i in hit:
@@ -182,17 +182,17 @@ def _strip(batches):
             go = np.isin(t.line_keys().view(np.int64), np.array(removed[i], np.int64)) & (t.lwords > 0)
             raw = out[i].encode()
             out[i] = b"\n".join(raw[a:b] for a, b, g in zip(t.ls.tolist(), t.le.tolist(), go.tolist(), strict=True) if not g).decode()
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, texts.type)).drop_columns(["removed"])
+        yield batch.set_column(batch.schema.get_field_index("__ql_text"), "__ql_text", pa.array(out, texts.type)).drop_columns(["__ql_removed"])
 
 
 def apply_line_rules(df: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The documents that are kept, without their removed lines; columns as given, n_chars counted anew."""
     verdicts = line_verdicts(measure_texts(df, key=key, text=text, host=host), **limits)
-    verdicts = verdicts.where("kept").groupBy(F.col("doc_id").alias("v_id"), F.col("host").alias("v_host"), F.col("text_hash").alias("v_hash")).agg(F.first("removed").alias("removed"))
-    same = F.col(key).eqNullSafe(F.col("v_id")) & (F.col("v_host") == F.coalesce(F.col(host).cast("string"), F.lit(""))) & (F.col("v_hash") == F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = df.join(verdicts, same).select(*[df[c] for c in df.columns if c != text], df[text].alias("text"), "removed")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("removed").schema)
+    verdicts = verdicts.where("kept").groupBy(F.col("doc_id").alias("__ql_id"), F.col("host").alias("__ql_host"), F.col("text_hash").alias("__ql_hash")).agg(F.first("removed").alias("__ql_removed"))
+    same = F.col(key).eqNullSafe(F.col("__ql_id")) & (F.col("__ql_host") == F.coalesce(F.col(host).cast("string"), F.lit(""))) & (F.col("__ql_hash") == F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = df.join(verdicts, same).select(*[df[c] for c in df.columns if c != text], df[text].alias("__ql_text"), "__ql_removed")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("__ql_removed").schema)
     out = kept.mapInArrow(_strip, schema)
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return out.withColumnRenamed("text", text).select(*df.columns)
+        out = out.withColumn("n_chars", F.length("__ql_text").cast(df.schema["n_chars"].dataType))
+    return out.withColumnRenamed("__ql_text", text).select(*df.columns)

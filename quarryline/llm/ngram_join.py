@@ -311,6 +311,6 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
 def one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90) -> DataFrame:
     """The documents without those that a smaller id stands for; rows without an id or a set stay."""
     found = similar_documents(df, key=key, text=text, percent=percent)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("g")).distinct()
-    kept = df.join(gone, df[key].cast("long") == F.col("g"), "left_anti")
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__ql_gone")).distinct()
+    kept = df.join(gone, df[key].cast("long") == F.col("__ql_gone"), "left_anti")
     return kept

@@ -324,10 +324,10 @@ def substring_digest(df: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 def _cut(batches):
     for batch in batches:
-        texts = batch.column("text")
+        texts = batch.column("__ql_text")
         out = texts.to_pylist()
         for lo, hi, data, offs in text_chunks(texts):
-            found = batch.column("found").slice(lo, hi - lo).to_pylist()
+            found = batch.column("__ql_found").slice(lo, hi - lo).to_pylist()
             if not any(found):
                 continue
             s, e, row, gone = covered_words(data, offs, found, 7, 13)
@@ -338,17 +338,17 @@ def _cut(batches):
                 # White space before a kept word stays with it.
                 before = np.concatenate([[offs[i]], e[own[:-1]]])[~gone[own]]
                 out[lo + i] = b"".join(raw[a:b] for a, b in zip(before.tolist(), e[keep].tolist(), strict=True)).strip().decode()
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, texts.type)).drop_columns(["found"])
+        yield batch.set_column(batch.schema.get_field_index("__ql_text"), "__ql_text", pa.array(out, texts.type)).drop_columns(["__ql_found"])
 
 
 def remove_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their repeated passages; one of which nothing is left goes. n_chars is counted anew."""
-    found = repeated_windows(df, key=key, text=text).select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "found")
-    same = (F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col("f_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("f_hash"))
-    docs = df.join(found, same, "left").select(*[df[c] for c in df.columns if c != text], df[text].alias("text"), "found")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("found").schema)
+    found = repeated_windows(df, key=key, text=text).select(F.col("doc_id").alias("__ql_id"), F.col("text_hash").alias("__ql_hash"), F.col("found").alias("__ql_found"))
+    same = (F.coalesce(F.col(key).cast("long"), F.lit(_LAST)) == F.col("__ql_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__ql_hash"))
+    docs = df.join(found, same, "left").select(*[df[c] for c in df.columns if c != text], df[text].alias("__ql_text"), "__ql_found")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("__ql_found").schema)
     out = docs.mapInArrow(_cut, schema)
-    out = out.where(F.col("text").isNull() | (F.col("text") != ""))
+    out = out.where(F.col("__ql_text").isNull() | (F.col("__ql_text") != ""))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
-    return out.withColumnRenamed("text", text).select(*df.columns)
+        out = out.withColumn("n_chars", F.length("__ql_text").cast(df.schema["n_chars"].dataType))
+    return out.withColumnRenamed("__ql_text", text).select(*df.columns)
