@@ -286,6 +286,9 @@ def repeated_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     buckets = max(1, -(-int(size) // 6 // ENTRIES_PER_TASK))
     buckets = max(buckets, min(int(size) >> 20, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
     hits = _gather(docs.mapInArrow(_anchors(block, buckets), _MESSAGE), _match_anchors, "anchors")
+    # A document's answer is one row for each bucket that its windows fall in, so there are only as many as the hits need.
+    found = hits.agg(F.coalesce(F.sum(F.octet_length("found")), F.lit(0))).first()[0] // 8
+    buckets = max(12, -(-int(found) // (ENTRIES_PER_TASK // 2)))
     near = docs.join(hits, ["doc_id", "text_hash"]).mapInArrow(_windows(block, 2 * block - 1, buckets), _MESSAGE)
     return _gather(near, _match_windows, "windows")
 
