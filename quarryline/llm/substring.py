@@ -37,7 +37,9 @@ from quarryline.llm.common import hash_words, materialize, same_row, text_chunks
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 #: Words sent to one task of the exchange; the number of tasks grows with the corpus.
-ENTRIES_PER_TASK = 4_000_000
+ENTRIES_PER_TASK = 3_000_000
+#: Tasks of the exchange of a small corpus.
+LEAST_TASKS = 24
 #: Text of a chunk of documents whose equal blocks leave once.
 CHUNK = 4 << 20
 
@@ -283,12 +285,12 @@ def repeated_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     tune(df.sparkSession)
     docs = _keyed(df, key, text)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(size) // 6 // ENTRIES_PER_TASK))
-    buckets = max(buckets, min(int(size) >> 20, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    # About six bytes a word; a document's answer is one row for each bucket that its hits fall in.
+    buckets = max(LEAST_TASKS, -(-int(size) // 6 // ENTRIES_PER_TASK))
     hits = _gather(docs.mapInArrow(_anchors(block, buckets), _MESSAGE), _match_anchors, "anchors")
     # A document's answer is one row for each bucket that its windows fall in, so there are only as many as the hits need.
     found = hits.agg(F.coalesce(F.sum(F.octet_length("found")), F.lit(0))).first()[0] // 8
-    buckets = max(12, -(-int(found) // (ENTRIES_PER_TASK // 2)))
+    buckets = max(LEAST_TASKS // 2, -(-int(found) // (ENTRIES_PER_TASK // 2)))
     near = docs.join(hits, ["doc_id", "text_hash"]).mapInArrow(_windows(block, 2 * block - 1, buckets), _MESSAGE)
     return _gather(near, _match_windows, "windows")
 
