@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import hash_words, materialize, same_row, text_chunks, tune, window_hash, word_spans
+from quarryline.llm.common import hash_words, materialize, mix, same_row, text_chunks, tune, window_hash, word_spans
 
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
@@ -80,8 +80,8 @@ class _Mail:
             order = np.argsort(answer_docs, kind="stable")
             docs = answer_docs[order]
             at, _ = _ranges(docs)
-            # Own answers travel with some bucket's mail.
-            add(int(self.hashes[docs[0]] % self.buckets), 1, docs[at], np.diff([*at, len(docs)]), answers[order].astype("<u8").tobytes())
+            # Own answers travel with some bucket's mail, by id: copies have one text hash and would all meet in one task.
+            add(int(mix(self.doc_ids[docs[:1]].view(_U))[0] % _U(self.buckets)), 1, docs[at], np.diff([*at, len(docs)]), answers[order].astype("<u8").tobytes())
         kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "ids", "hashes", "counts", "body"])
 
