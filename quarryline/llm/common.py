@@ -147,7 +147,11 @@ def hash_words(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, the same wherever the span lies."""
     up, down = _pow_tables(len(data) + 1)
     pref = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=pref[1:])
+    sums = pref[1:]
+    sums[:] = data
+    sums += _U(1)
+    sums *= up[: len(data)]
+    np.cumsum(sums, out=sums)
     return mix((pref[e] - pref[s]) * down[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 

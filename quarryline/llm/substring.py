@@ -41,7 +41,7 @@ ENTRIES_PER_TASK = 3_000_000
 #: Tasks of the exchange of a small corpus.
 LEAST_TASKS = 24
 #: Text of a chunk of documents whose equal blocks leave once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 _MESSAGE = "bucket int, kind int, ids array<long>, hashes array<long>, counts array<int>, body binary"
 _ANSWER = "doc_id long, text_hash long, found binary"
@@ -146,12 +146,12 @@ def _unpack(group: pa.Table, width: int):
             ends = np.cumsum(c) * 8
             own += [(int(a), int(b), body[hi - 8 * k : hi]) for a, b, k, hi in zip(i, h, c.tolist(), ends.tolist(), strict=True)]
             continue
-        out.append((np.repeat(np.arange(n, n + len(i)), c), np.frombuffer(body, np.uint8).reshape(-1, width)))
+        out.append((np.repeat(np.arange(n, n + len(i), dtype=np.int32), c), np.frombuffer(body, np.uint8).reshape(-1, width)))
         ids.append(i)
         hashes.append(h)
         n += len(i)
     if not out:
-        return np.zeros(0, np.int64), np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), own
+        return np.zeros(0, np.int32), np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), own
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), np.concatenate(ids), np.concatenate(hashes), own
 
 
@@ -173,17 +173,23 @@ def _match_anchors(group: pa.Table) -> pa.Table:
     doc, body, ids, hashes, own = _unpack(group, 5)
     value = np.zeros((len(body), 8), np.uint8)
     value[:, :5] = body
+    del body
     value = value.reshape(-1).view("<u8")
-    order = np.argsort(value >> _U(2), kind="stable")
-    v, d = value[order], doc[order]
-    first, run = _ranges(v >> _U(2))
-    if not len(v):
+    if not len(value):
         return _answers(doc, value, ids, hashes, own)
-    index = np.bitwise_or.reduceat(v, first) & _U(3)
-    who = ids[d]
+    # The two flags are the lowest bits, so equal blocks stand together. Arrays are let go as soon as they are used: there are millions of entries.
+    order = np.argsort(value)
+    value, doc = value[order], doc[order]
+    del order
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] ^ value[:-1] > _U(3)
+    first = np.flatnonzero(new)
+    index = np.bitwise_or.reduceat(value, first) & _U(3)
+    who = ids[doc]
     several = (np.maximum.reduceat(who, first) != np.minimum.reduceat(who, first)) | (index & _U(2) != 0)
-    hit = (several & (index & _U(1) != 0))[run]
-    return _answers(d[hit], v[hit] >> _U(2), ids, hashes, own)
+    del who
+    hit = np.repeat(several & (index & _U(1) != 0), np.diff(first, append=len(value)))
+    return _answers(doc[hit], value[hit] >> _U(2), ids, hashes, own)
 
 
 def _candidates(data, offs, found: list[bytes], block: int, window: int):
