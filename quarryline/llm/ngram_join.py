@@ -249,19 +249,25 @@ def _check_tile(percent: int):
     return run
 
 
-def _tiles(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members of each group with the tile pairs they take part in."""
-    rows = groups.join(sets, F.col("node") == F.col("rep")).select("component", "rep", "tokens")
-    weight = (F.octet_length("tokens") / 8 + 1500).cast("long")
-    before = Window.partitionBy("component").orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)
-    place = rows.select("component", "rep", weight.alias("w")).withColumn("tile", F.floor(F.coalesce(F.sum("w").over(before), F.lit(0)) / TILE).cast("int"))
-    place = materialize(place.select("component", "rep", "tile"), "tiles")
-    tiles = place.groupBy("component").agg((F.max("tile") + 1).alias("tiles"), F.count(F.lit(1)).alias("members"))
-    place = place.join(tiles.where(F.col("members") > 1), "component")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    place = place.select("component", "rep", "tile", other)
-    place = place.select("component", "rep", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"))
-    return place.join(sets, "rep")
+def _tiles(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of each group with the tile pairs they take part in.
+
+    Tiles run by size, so two of them are compared only if their sizes allow a link. Tokens are
+    joined last: nothing before moves them.
+    """
+    rows = groups.join(sizes, F.col("node") == F.col("rep")).select("component", "rep", "n")
+    before = Window.partitionBy("component").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)
+    tile = F.floor(F.coalesce(F.sum(F.col("n") + 1500).over(before), F.lit(0)) / TILE).cast("int")
+    place = materialize(rows.select("component", "rep", "n", tile.alias("tile")), "tiles")
+    tiles = place.groupBy("component", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"))
+    x, y = (tiles.select("component", *(F.col(c).alias(c + k) for c in ("tile", "least", "most", "members"))) for k in "xy")
+    two = x.join(y, "component").where((F.col("tilex") <= F.col("tiley")) & (100 * F.col("mostx") >= percent * F.col("leasty")))
+    two = two.where((F.col("tilex") < F.col("tiley")) | (F.col("membersx") > 1))
+    both = [F.struct(F.col(c).alias("tile"), F.lit(side).alias("side")) for side, c in enumerate(("tilex", "tiley"))]
+    sides = F.when(F.col("tilex") == F.col("tiley"), F.array(both[0])).otherwise(F.array(*both))
+    two = two.select("component", F.col("tilex").alias("i"), F.col("tiley").alias("j"), F.explode(sides).alias("s"))
+    two = two.select("component", "i", "j", "s.tile", "s.side")
+    return place.select("component", "rep", "tile").join(two, ["component", "tile"]).select("component", "rep", "i", "j", "side").join(sets, "rep")
 
 
 def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90, often: int = OFTEN) -> DataFrame:
@@ -296,7 +302,7 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     sets = materialize(sets, "full")
     x, y = (sets.select(F.col("rep").alias(k), F.col("tokens").alias(c)) for k, c in (("a", "x"), ("b", "y")))
     links = pairs.join(x, "a").join(y, "b").mapInArrow(_check_pairs(percent), "a long, b long")
-    forest = _tiles(groups, sets).groupBy("component", "i", "j").applyInArrow(_check_tile(percent), "a long, b long")
+    forest = _tiles(groups, reps.select("rep", "n"), sets, percent).groupBy("component", "i", "j").applyInArrow(_check_tile(percent), "a long, b long")
     found = components(links.unionByName(forest), "a", "b")
     members = docs.mapInArrow(_measure(percent, False), "doc_id long, n long, f1 long, f2 long")
     members = members.join(reps.drop("tokens"), ["n", "f1", "f2"], "left").join(found, F.col("rep") == F.col("node"), "left")
