@@ -11,7 +11,6 @@ Words are maximal runs of bytes outside 0x20 and 0x09-0x0D, i.e. ``[^\\x20\\x09-
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -56,16 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Spark deletes shuffle files once the driver's collector has found their plan unused, which
-    can take longer than a whole job. What led to the table is unused now, so it is asked to
-    look: twice, as the plan of the last job is let go a moment after its end.
+    Shuffle files are removed as soon as the table is written: the plan above them is not run
+    again. A task that is lost before that runs its stages anew, as ever.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for pause in (0, 0.7):
-        time.sleep(pause)
-        spark.sparkContext._jvm.java.lang.System.gc()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
