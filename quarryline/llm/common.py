@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 2 << 20
 #: Rows of an Arrow batch sent to a Python worker.
 BATCH_ROWS = 1000
+#: Bytes of such a batch; a larger row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -36,10 +38,12 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, _U), np.ones(1, _U))
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches: a batch of long documents must fit a Python worker."""
+    """Bound the Arrow batches: a batch of long documents must fit a Python worker and, outside
+    the heap, the executor that fills it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
