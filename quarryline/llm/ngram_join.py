@@ -46,6 +46,8 @@ ZONE = _U(1 << 62)
 OFTEN = 32
 #: Frequent tokens (8 bytes each) that are sent to every task; more are joined by shuffle.
 BROADCAST_TOKENS = 1 << 20
+#: Ids (8 bytes each) of sets to verify that are sent to every task, so that no text moves; more are joined by shuffle.
+BROADCAST_IDS = 1 << 20
 #: Tokens (and 1500 for each set) of one side of a tile.
 TILE = 1_500_000
 
@@ -298,10 +300,13 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     groups = components(shared.where(~few & (F.col("rep") != F.col("hub"))).select("rep", "hub"), "rep", "hub")
     groups = materialize(groups, "groups")
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(groups.select(F.col("node").alias("rep"))).distinct()
-    sets = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").mapInArrow(_full_sets, "rep long, tokens binary")
+    wanted = materialize(wanted, "wanted")
+    marked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    sets = docs.withColumnRenamed("doc_id", "rep").join(marked, "rep").mapInArrow(_full_sets, "rep long, tokens binary")
     sets = materialize(sets, "full")
     x, y = (sets.select(F.col("rep").alias(k), F.col("tokens").alias(c)) for k, c in (("a", "x"), ("b", "y")))
     links = pairs.join(x, "a").join(y, "b").mapInArrow(_check_pairs(percent), "a long, b long")
+    links = materialize(links, "links")
     forest = _tiles(groups, reps.select("rep", "n"), sets, percent).groupBy("component", "i", "j").applyInArrow(_check_tile(percent), "a long, b long")
     found = components(links.unionByName(forest), "a", "b")
     members = docs.mapInArrow(_measure(percent, False), "doc_id long, n long, f1 long, f2 long")
