@@ -1,9 +1,9 @@
 """Similarity join of shingle sets by token-combination prefixes (operator 7).
 
-Tokens are 3-word shingles, as 64-bit hashes; a document's set links with another's at a
-Jaccard similarity of at least ``threshold`` percent. With n tokens, a linked set misses at
+Tokens are shingles of ``words`` words (3 in operator 7), as 64-bit hashes; a document's set
+links with another's at a Jaccard similarity of at least ``threshold`` percent. With n tokens, a linked set misses at
 most d = n - ceil(n * threshold / 100) of them. The global order is (zone, class, hash): the
-lowest quarter of the hash range is the first zone, and in a zone rare tokens come first. A prefix takes tokens in that order until it holds
+lowest part of the hash range (a quarter at 90 percent) is the first zone, and in a zone rare tokens come first. A prefix takes tokens in that order until it holds
 d + l units: a rare token is one unit, and in a subclass of frequent tokens every token
 after the first is one. Losing a token costs a unit at most, so linked sets share l units:
 l rare tokens, or else a pair of frequent tokens of one subclass. Rare tokens are indexed
@@ -23,7 +23,7 @@ forest, not its pairs.
 
 Equal sets are one set from the start. The graph is over ids, so rows with equal ids count
 as one document. Defined results: null or wordless text has an empty set and no link; fewer
-than 3 words are one token; a null id counts as the largest and returns as null; an empty
+than ``words`` words are one token; a null id counts as the largest and returns as null; an empty
 table gives no rows. Other columns are not read.
 """
 
@@ -40,8 +40,6 @@ from quarryline.llm.components import components
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
 SHINGLE = 3
-#: End of the first zone of the hash range.
-ZONE = _U(1 << 62)
 #: Sets that may share a rare token, and so the sets of a bucket whose pairs are listed.
 OFTEN = 32
 #: Frequent tokens (8 bytes each) that are sent to every task; more are joined by shuffle.
@@ -90,6 +88,11 @@ def _level(n: int) -> int:
     return max(0, (max(1, n // 32)).bit_length() - 1)
 
 
+def _zone(percent: int) -> np.uint64:
+    """End of the first zone of the hash range: 2.5 times the share of tokens that a linked set may lack."""
+    return _U(min((1 << 64) * (100 - percent) // 40, (1 << 64) - 1))
+
+
 def _need(n: int, percent: int) -> int:
     return _allowed(n, percent) + _shared(n)
 
@@ -99,18 +102,20 @@ def _reserve(zone: int, n: int, percent: int) -> int:
     return zone if zone - (1 << _level(n * 100 // percent)) >= _need(n, percent) else n
 
 
-def _measure(percent: int, full: bool):
+def _measure(percent: int, full: bool, words: int = SHINGLE):
+    zone = _zone(percent)
+
     def run(batches):
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch.column("text")):
-                value, bounds = shingle_sets(data, offs)
+                value, bounds = shingle_sets(data, offs, words)
                 ids = batch.column("doc_id").slice(lo, hi - lo)
                 size = np.diff(bounds)
                 sums = [np.concatenate([[_U(0)], np.cumsum(mix(value ^ _U(c)))]) for c in (0x51ED270B, 0xA5CB3B1D2F)]
                 prints = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
                 cols = [ids, pa.array(size), *map(pa.array, prints)]
                 if full:
-                    low = np.concatenate([[0], np.cumsum(value < ZONE)])
+                    low = np.concatenate([[0], np.cumsum(value < zone)])
                     keep = [_reserve(int(z), n, percent) for z, n in zip(low[bounds[1:]] - low[bounds[:-1]], size.tolist(), strict=True)]
                     take = np.concatenate([np.arange(b, b + k) for b, k in zip(bounds.tolist(), keep, strict=False)]).astype(np.int64)
                     cuts = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
@@ -120,13 +125,13 @@ def _measure(percent: int, full: bool):
     return run
 
 
-def _prefix(tokens: np.ndarray, often: np.ndarray, need: int, parts: int) -> tuple[list, list]:
+def _prefix(tokens: np.ndarray, often: np.ndarray, need: int, parts: int, end: np.uint64) -> tuple[list, list]:
     """Rare tokens and pairs of frequent ones of the prefix with ``need`` units."""
     single: list = []
     pairs: list = []
     groups: dict[int, list] = {}
     left = need
-    for zone in (tokens < ZONE, tokens >= ZONE):
+    for zone in (tokens < end, tokens >= end):
         rare = tokens[zone & ~often][:left].tolist()
         single += rare
         left -= len(rare)
@@ -147,7 +152,7 @@ def signatures(tokens: np.ndarray, often: np.ndarray, n: int, percent: int) -> t
     need = _need(n, percent)
     single, double = set(), set()
     for level in {_level(n), _level(n * 100 // percent)}:
-        rare, pairs = _prefix(tokens, often, need, 1 << level)
+        rare, pairs = _prefix(tokens, often, need, 1 << level, _zone(percent))
         single.update(rare)
         double.update((a, b, level) for a, b in pairs)
     two = np.array(sorted(double), _U).reshape(-1, 3)
@@ -174,13 +179,16 @@ def _index(percent: int):
     return run
 
 
-def _full_sets(batches):
-    for batch in batches:
-        for lo, hi, data, offs in text_chunks(batch.column("text")):
-            value, bounds = shingle_sets(data, offs)
-            raw = value.astype("<u8")
-            packed = [raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["rep", "tokens"])
+def _full_sets(words: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in text_chunks(batch.column("text")):
+                value, bounds = shingle_sets(data, offs, words)
+                raw = value.astype("<u8")
+                packed = [raw[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["rep", "tokens"])
+
+    return run
 
 
 def _check_pairs(percent: int):
@@ -272,11 +280,11 @@ def _tiles(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -
     return place.select("component", "rep", "tile").join(two, ["component", "tile"]).select("component", "rep", "i", "j", "side").join(sets, "rep")
 
 
-def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90, often: int = OFTEN) -> DataFrame:
+def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90, often: int = OFTEN, words: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     tune(df.sparkSession)
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).alias("text"))
-    measured = docs.mapInArrow(_measure(percent, True), "doc_id long, n long, f1 long, f2 long, tokens array<long>")
+    measured = docs.mapInArrow(_measure(percent, True, words), "doc_id long, n long, f1 long, f2 long, tokens array<long>")
     reps = measured.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     reps = materialize(reps, "sets")
     # A set of under 9 tokens links with an equal one at most, at 90 percent.
@@ -302,14 +310,14 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(groups.select(F.col("node").alias("rep"))).distinct()
     wanted = materialize(wanted, "wanted")
     marked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = docs.withColumnRenamed("doc_id", "rep").join(marked, "rep").mapInArrow(_full_sets, "rep long, tokens binary")
+    sets = docs.withColumnRenamed("doc_id", "rep").join(marked, "rep").mapInArrow(_full_sets(words), "rep long, tokens binary")
     sets = materialize(sets, "full")
     x, y = (sets.select(F.col("rep").alias(k), F.col("tokens").alias(c)) for k, c in (("a", "x"), ("b", "y")))
     links = pairs.join(x, "a").join(y, "b").mapInArrow(_check_pairs(percent), "a long, b long")
     links = materialize(links, "links")
     forest = _tiles(groups, reps.select("rep", "n"), sets, percent).groupBy("component", "i", "j").applyInArrow(_check_tile(percent), "a long, b long")
     found = components(links.unionByName(forest), "a", "b")
-    members = docs.mapInArrow(_measure(percent, False), "doc_id long, n long, f1 long, f2 long")
+    members = docs.mapInArrow(_measure(percent, False, words), "doc_id long, n long, f1 long, f2 long")
     members = members.join(reps.drop("tokens"), ["n", "f1", "f2"], "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.coalesce("component", "rep", "doc_id")
     return members.select(
@@ -319,9 +327,9 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     )
 
 
-def one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90) -> DataFrame:
+def one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90, words: int = SHINGLE) -> DataFrame:
     """The documents without those that a smaller id stands for; rows without an id or a set stay."""
-    found = similar_documents(df, key=key, text=text, percent=percent)
+    found = similar_documents(df, key=key, text=text, percent=percent, words=words)
     gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__ql_gone")).distinct()
     kept = df.join(gone, df[key].cast("long") == F.col("__ql_gone"), "left_anti")
     return kept

@@ -308,6 +308,25 @@ def test_op7_large_near_group(spark, often):
     assert [got[i] for i, _ in items] == want and 10 < len(set(want)) < 230
 
 
+@pytest.mark.parametrize("often", [2, 32])
+def test_five_word_shingles_at_80_percent_equal_all_pairs(spark, docs, rows, often):
+    def five(t):
+        w = words(lower(t))
+        return frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(150)]
+    items = [(1000 + i, t) for i, (_, t, *_) in enumerate(rows) if len(words(t)) < 1000]
+    for i in range(160):
+        w = base[: rng.choice([12, 60, 150])]
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 40)}"
+        items.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(spark.createDataFrame(items, "doc_id long, text string"), words=5, percent=80, often=often).collect()}
+    want = classes([(i, five(t)) for i, t in items], 80)
+    assert [got[i] for i, _ in items] == want and 10 < len(set(want)) < len(items) - 50
+
+
 def test_link_forest_of_two_sides():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 10**9, 100).astype(np.uint64)

@@ -29,3 +29,15 @@ def test_stages_and_result(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in out) == Counter(ids)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_take_scattered_edits(spark):
+    """Two changed words of 100: 0.81 by five-word shingles, 0.885 by three-word ones."""
+    rng = random.Random(12)
+    base = [f"word{rng.randrange(3000)}" for _ in range(100)]
+    copy, other = list(base), list(base)
+    copy[30], copy[70] = "changed", "altered"
+    other[20], other[50], other[80] = "one", "two", "three"
+    rows = [(1, base), (2, copy), (3, other), (4, [f"else{i}" for i in range(100)])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4}
