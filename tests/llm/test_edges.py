@@ -135,6 +135,40 @@ def test_op2_equals_a_loop_and_prefers_the_corpus(spark, docs, rows, empty):
     assert mlm.pseudo_likelihood(empty).count() == 0
 
 
+def test_op2_rare_words_have_their_own_probability(spark):
+    from quarryline.llm.common import hash_words
+
+    rng = random.Random(3)
+    count = {f"w{i}": 5 if i < 4032 else 1 + i % 3 for i in range(6000)}
+    tokens = [w for w, n in count.items() for _ in range(n)]
+    rng.shuffle(tokens)
+    corpus = spark.createDataFrame([(i, " ".join(tokens[i : i + 100])) for i in range(0, len(tokens), 100)], "doc_id long, text string")
+    model = mlm.fit_network(corpus, batch_size=256)
+    rare = [f"w{i}" for i in range(4032, 6000, 5)] + [f"zz{i}" for i in range(40)]
+    table = spark.createDataFrame([(i, f"w1 w2 {w} w3 w4") for i, w in enumerate(rare)], "doc_id long, text string")
+    score = {rare[r.doc_id]: r.pll for r in mlm.pseudo_likelihood(table, model=model).collect()}
+    raw = {w: np.frombuffer(w.encode(), np.uint8) for w in rare}
+    bucket = defaultdict(list)
+    for w, b in raw.items():
+        bucket[int(hash_words(b, np.array([0]), np.array([len(b)]))[0] % mlm.OTHERS)].append(w)
+    for held in bucket.values():
+        for w in held[1:]:
+            assert score[w] - score[held[0]] == pytest.approx(np.log((count.get(w, 0) + 1) / (count.get(held[0], 0) + 1)), abs=1e-5)
+
+
+def test_op2_vocabulary_grows_with_the_corpus():
+    sizes = [mlm.vocabulary_size(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert sizes == sorted(sizes) and sizes[0] == mlm.VOCAB and sizes[3] > 9 * sizes[2] > 40 * sizes[0]
+    net = mlm.Network.fresh(size=sizes[2])
+    p = mlm.log_probs(net, np.arange(sizes[2]), np.zeros((sizes[2], 4), np.int32))
+    assert np.exp(p.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    trainer = mlm.Trainer(net)
+    y, x = np.array([sizes[2] - 1] * 64), np.full((64, 4), sizes[2])
+    for _ in range(20):
+        trainer.learn(y, x)
+    assert mlm.log_probs(trainer.net, y, x)[0] > -1
+
+
 def test_op3_equals_brute_force(docs, rows, empty):
     big = 1 << 62
     seen = {}
