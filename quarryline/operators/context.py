@@ -55,6 +55,20 @@ def legacy_context(parts: Column, budget: int = 100_000) -> Column:
     return F.substring(F.array_join(parts, SEPARATOR), 1, budget)
 
 
+def leading_parts(chunks: DataFrame, *, by: str, order: str, part: str = "part", budget: int = 100_000) -> DataFrame:
+    """Chunks that begin within the budget, so the last may cross it; nulls of the order come last.
+
+    A chunk beyond the budget among its input partition's own chunks is beyond it among all, so
+    most go before the chunks of one ``by`` meet.
+    """
+    left = chunks.withColumn(part, F.substring(part, 1, budget)).withColumn("__ql_place", F.spark_partition_id())
+    for keys in ([by, "__ql_place"], [by]):
+        earlier = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), part).rowsBetween(Window.unboundedPreceding, -1)
+        begin = F.coalesce(F.sum(F.length(part) + len(SEPARATOR)).over(earlier), F.lit(0))
+        left = left.withColumn("__ql_begin", begin).where(F.col("__ql_begin") < budget)
+    return left.drop("__ql_place", "__ql_begin")
+
+
 def guard(n_chunks: Column, category: Column) -> Column:
     """The fixed message instead of an answer, or null."""
     n = F.coalesce(n_chunks, F.lit(0))

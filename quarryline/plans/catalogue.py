@@ -497,7 +497,8 @@ def context_budget(spark, d):
 
 @query(f"SELECT lang, md5(substr(string_agg({_PART_SQL}, {_SEP_SQL} ORDER BY doc_id), 1, 100000)) AS context_md5 FROM documents WHERE doc_id < 1000 GROUP BY lang")
 def context_legacy(spark, d):
-    rows = _parts(spark, d).where("doc_id < 1000").groupBy(F.col("section").alias("lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]).alias("parts"))
+    leading = context.leading_parts(_parts(spark, d).select("doc_id", "section", "part"), by="section", order="doc_id")
+    rows = leading.groupBy(F.col("section").alias("lang")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "part"))), lambda x: x["part"]).alias("parts"))
     return rows.select("lang", F.md5(context.legacy_context(F.col("parts"))).alias("context_md5"))
 
 

@@ -151,3 +151,20 @@ def test_entry_contract():
     import __spark_entry__ as e
 
     assert "hybrid_search_topk" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_legacy_context_reads_every_document(spark, tmp_path):
+    import hashlib
+    from collections import defaultdict
+
+    from quarryline.plans import catalogue
+
+    rows = [(i, "xx", f"late {i}") for i in range(5000, 5003)] + [(i, "yy", f"both {i}") for i in (3, 998, 1200, 4000)]
+    rows += [(i, "zz", f"{i} " * (1 + 4000 * (i % 3))) for i in range(0, 3000, 90)] + [(7, "one", "x" * 150_000), (8, "one", "y")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, lang, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    parts = defaultdict(list)
+    for i, lang, t in sorted(rows):
+        parts[lang].append(f"[Source: s | Section: {lang}]\n{t}")
+    want = {lang: hashlib.md5(context.SEPARATOR.join(p)[:100_000].encode()).hexdigest() for lang, p in parts.items()}
+    assert {r.lang: r.context_md5 for r in catalogue.queries()["context_legacy"](spark, str(tmp_path)).collect()} == want
