@@ -328,8 +328,18 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90, words: int = SHINGLE) -> DataFrame:
-    """The documents without those that a smaller id stands for; rows without an id or a set stay."""
-    found = similar_documents(df, key=key, text=text, percent=percent, words=words)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__ql_gone")).distinct()
-    kept = df.join(gone, df[key].cast("long") == F.col("__ql_gone"), "left_anti")
-    return kept
+    """The documents without those that a smaller id stands for; of rows with equal id and text one stays.
+
+    Rows without an id come after all others, by the hash of their text. Rows without a set stay.
+    """
+    # Ids of their own for rows without one: beyond all ids in use, and equal for equal texts.
+    own = F.coalesce(F.col(key).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2))
+    docs = df.withColumn("__ql_id", own).withColumn("__ql_text", F.xxhash64(text, F.md5(text)))
+    found = similar_documents(docs, key="__ql_id", text=text, percent=percent, words=words)
+    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__ql_id")).distinct()
+    kept = docs.join(gone, "__ql_id", "left_anti")
+    same = ["__ql_id", "__ql_text"]
+    again = materialize(docs.where(F.col(text).isNotNull()).groupBy(*same).count().where("count > 1").select(*same), "again")
+    if not again.isEmpty():  # only the rows that are repeated are shuffled for the choice
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(same))
+    return kept.select(*df.columns)

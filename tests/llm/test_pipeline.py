@@ -41,3 +41,16 @@ def test_near_duplicates_take_scattered_edits(spark):
     rows = [(1, base), (2, copy), (3, other), (4, [f"else{i}" for i in range(100)])]
     docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 3, 4}
+
+
+def test_near_duplicates_take_repeated_rows_and_copies_without_an_id(spark):
+    rng = random.Random(13)
+    a, b, c, d = (" ".join(f"word{rng.randrange(3000)}" for _ in range(100)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (None, b), (None, b + " extra"), (None, c), (None, c), (None, c + " extra"), (None, d), (5, None), (5, "other text"), (1, "more under a used id")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in left.collect())
+    one = [(None, c), (None, c + " extra")]
+    assert sum(left.pop(k, 0) for k in one) == 1
+    assert left == Counter([(1, a), (2, b), (None, d), (5, None), (5, "other text"), (1, "more under a used id")])
