@@ -5,9 +5,9 @@ block that begins at a multiple of ``block`` in its document. So two documents s
 window only if one's aligned block equals a rolling block of the other:
 
 1. *Anchors.* Every document's aligned blocks are the index; all its rolling blocks probe
-   it. Both go, as hashes of 5 bytes packed by chunk of documents, to the task of their
-   hash range, which answers each document with those blocks that are an aligned block
-   somewhere and occur in more than one document.
+   it. Both go, as 36 bits of a hash in entries of 6 bytes packed by chunk of documents, to
+   the task of their hash range, which answers each chunk with those blocks that are an
+   aligned block somewhere and occur in more than one document.
 2. *Extension.* Documents with hits extend them by the words around to every window that
    holds a hit; overlapping windows are one maximal repeat. A window's 128-bit hash goes to
    the task of its range, which answers with those that start in a smaller document.
@@ -15,12 +15,13 @@ window only if one's aligned block equals a rolling block of the other:
 
 Within a chunk a block or window leaves once, with its smallest document, and what the chunk
 can answer it answers itself; so a passage that a third of all documents share is one entry
-for each chunk, not for each document. Texts are never shuffled but for documents that
-have hits.
+for each chunk, not for each document. Answers come back to the chunk and are put together
+there, one row for each document however many tasks answered. Texts are never shuffled but
+for documents that have hits.
 
 Defined results: null text has no words; null ids come after all others and are judged as
 one id; rows with equal ids do not remove each other's words; an empty table gives no rows.
-Extra columns are left alone.
+Extra columns are left alone. A text of any length is one row of a chunk of its own.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +38,20 @@ from quarryline.llm.common import hash_words, materialize, mix, same_row, text_c
 
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
-#: Words sent to one task of the exchange; the number of tasks grows with the corpus.
+#: Entries sent to one task of the exchange; the number of tasks grows with the corpus.
 ENTRIES_PER_TASK = 3_000_000
-#: Tasks of the exchange of a small corpus.
-LEAST_TASKS = 24
-#: Text of a chunk of documents whose equal blocks leave once.
+#: Text of a chunk of documents whose equal blocks leave once, and its rows at most (10 bits).
 CHUNK = 2 << 20
+CHUNK_ROWS = 1 << 10
+#: Bits of a block's hash that name it in an entry and in an answer. A clash only adds a window to check.
+TAG_BITS = 36
 
-_MESSAGE = "bucket int, kind int, ids array<long>, hashes array<long>, counts array<int>, body binary"
+_MESSAGE = "bucket int, chunk long, ids array<long>, hashes array<long>, body binary"
+_REPLY = "chunk long, ids array<long>, hashes array<long>, body binary"
 _ANSWER = "doc_id long, text_hash long, found binary"
+#: A window on its way, and what comes back: the block's or window's hash and the document's place in the chunk.
+_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8"), ("doc", "<u2")])
+_HIT = np.dtype([("a", "<u8"), ("doc", "<u2")])
 
 
 def _ranges(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,36 +61,36 @@ def _ranges(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-class _Mail:
-    """Entries of a chunk, packed for each bucket in document order."""
-
-    def __init__(self, doc_ids: np.ndarray, hashes: np.ndarray, buckets: int):
-        self.doc_ids, self.hashes, self.buckets = doc_ids, hashes, buckets
-
-    def batch(self, value: np.ndarray, doc: np.ndarray, body: np.ndarray, answers: np.ndarray, answer_docs: np.ndarray) -> pa.RecordBatch:
-        """body: bytes (n, width) of each entry, in the order of ``doc``. answers: what the chunk has found itself."""
-        cols: list[list] = [[] for _ in range(6)]
-
-        def add(bucket, kind, docs, counts, data):
-            for c, v in zip(cols, (bucket, kind, self.doc_ids[docs], self.hashes[docs], counts, data), strict=True):
-                c.append(v)
-
-        # The upper bits choose the bucket, the lower ones are the body's.
-        bucket = ((value >> _U(44)) % _U(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        first, _ = _ranges(bucket[order]) if len(order) else (np.zeros(0, np.int64), None)
-        for lo, hi in zip(first, [*first[1:], len(order)], strict=False):
-            part = order[lo:hi]
-            at, _ = _ranges(doc[part])
-            add(int(bucket[part[0]]), 0, doc[part[at]], np.diff([*at, len(part)]), body[part].tobytes())
-        if len(answers):
-            order = np.argsort(answer_docs, kind="stable")
-            docs = answer_docs[order]
-            at, _ = _ranges(docs)
-            # Own answers travel with some bucket's mail, by id: copies have one text hash and would all meet in one task.
-            add(int(mix(self.doc_ids[docs[:1]].view(_U))[0] % _U(self.buckets)), 1, docs[at], np.diff([*at, len(docs)]), answers[order].astype("<u8").tobytes())
-        kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "kind", "ids", "hashes", "counts", "body"])
+def _chunks(batches):
+    """(chunk id, first row, end row, bytes, offsets, batch) of runs of rows."""
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for lo, hi, data, offs in text_chunks(batch.column("text"), CHUNK):
+            for a in range(lo, hi, CHUNK_ROWS):
+                b = min(hi, a + CHUNK_ROWS)
+                at = offs[a - lo : b - lo + 1]
+                yield part << 32 | n, a, b, data[at[0] : at[-1]], at - at[0], batch
+                n += 1
+
+
+def _mail(chunk: int, buckets: int, value: np.ndarray, body: np.ndarray, ids: np.ndarray, hashes: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """Entries packed for the bucket of their value, and one message with the chunk's documents and own answers."""
+    bucket = (mix(value ^ _U(0x2545F4914F6CDD1D)) % _U(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    first, _ = _ranges(bucket[order]) if len(order) else (np.zeros(0, np.int64), None)
+    body = body[order]
+    to = [*bucket[order[first]].tolist(), int(mix(np.array([chunk], _U))[0] % _U(buckets))]
+    raw = [body[a:b].tobytes() for a, b in zip(first, [*first[1:], len(order)], strict=False)]
+    nones = [None] * len(raw)
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+    cols = (to, [chunk] * len(to), [*nones, ids], [*nones, hashes], [*raw, own.tobytes()])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "chunk", "ids", "hashes", "body"])
+
+
+def _hits(a: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a), _HIT)
+    out["a"], out["doc"] = a, doc
+    return out
 
 
 def _chunk(batch, lo, hi):
@@ -91,105 +98,105 @@ def _chunk(batch, lo, hi):
     return ids, batch.column("text_hash").slice(lo, hi - lo).to_numpy()
 
 
+def _tag(g: np.ndarray) -> np.ndarray:
+    return g & _U((1 << TAG_BITS) - 1)
+
+
 def _anchors(block: int, buckets: int):
     """Step 1: mail of aligned and rolling blocks."""
 
     def post(batches):
-        for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column("text"), CHUNK):
-                ids, hashes = _chunk(batch, lo, hi)
-                s, e, row = word_spans(data, offs)
-                at = same_row(row, block)
-                g = window_hash(hash_words(data, s, e), block, 71)[at]
-                doc = row[at]
-                begin = np.searchsorted(row, np.arange(len(ids)))
-                aligned = (at - begin[doc]) % block == 0
-                # Places by value, then document id: what this chunk knows by itself.
-                order = np.lexsort((ids[doc], g))
-                first, run = _ranges(g[order])
-                shared = np.zeros(len(first), bool)
-                if len(order):
-                    least = ids[doc[order[first]]]
-                    shared = np.maximum.reduceat(ids[doc[order]], first) != least
-                    index = np.logical_or.reduceat(aligned[order], first)
-                    one = order[first]
-                    body = np.zeros((len(one), 5), np.uint8)
-                    low = (g[one] & _U((1 << 38) - 1)) << _U(2) | index.astype(_U) | shared.astype(_U) << _U(1)
-                    body[:] = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    back = np.argsort(doc[one], kind="stable")
-                    mine = shared[run]
-                    yield _Mail(ids, hashes, buckets).batch(g[one][back], doc[one][back], body[back], _tag(g[order][mine]), doc[order][mine])
-                    # Rows of one id are no news to each other, but each needs its own answer.
-                    twin = ~mine & (doc[order] != doc[one][run])
-                    if twin.any():
-                        two = np.repeat(np.arange(len(one)), np.bincount(run[twin], minlength=len(one)))
-                        rows = doc[order][twin]
-                        back = np.argsort(rows, kind="stable")
-                        yield _Mail(ids, hashes, buckets).batch(g[one][two][back], rows[back], body[two][back], g[:0], doc[:0])
+        for chunk, lo, hi, data, offs, batch in _chunks(batches):
+            ids, hashes = _chunk(batch, lo, hi)
+            s, e, row = word_spans(data, offs)
+            at = same_row(row, block)
+            if not len(at):
+                continue
+            g = window_hash(hash_words(data, s, e), block, 71)[at]
+            doc = row[at]
+            begin = np.searchsorted(row, np.arange(len(ids)))
+            aligned = (at - begin[doc]) % block == 0
+            # Places by value, then document id: what this chunk knows by itself.
+            order = np.lexsort((ids[doc], g))
+            first, run = _ranges(g[order])
+            least = ids[doc[order[first]]]
+            shared = np.maximum.reduceat(ids[doc[order]], first) != least
+            index = np.logical_or.reduceat(aligned[order], first)
+            flags = index.astype(_U) | shared.astype(_U) << _U(1)
+            mine = shared[run]
+            # Rows of one id are no news to each other, but each needs its own answer.
+            twin = ~mine & (doc[order] != doc[order[first]][run])
+            one = np.concatenate([order[first], order[twin]])
+            flags = np.concatenate([flags, flags[run[twin]]])
+            entry = _tag(g[one]) << _U(12) | doc[one].astype(_U) << _U(2) | flags
+            body = entry.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            yield _mail(chunk, buckets, g[one], body, ids, hashes, _hits(_tag(g[order][mine]), doc[order][mine]))
 
     return post
 
 
-def _tag(g: np.ndarray) -> np.ndarray:
-    """What names a block in an answer: 38 lower bits. A clash only adds a window to check."""
-    return g & _U((1 << 38) - 1)
-
-
-def _unpack(group: pa.Table, width: int):
-    """(row of document, entries' bytes, document ids, text hashes) of the mail of one bucket, and the own answers."""
-    out, own = [], []
-    n = 0
-    ids, hashes = [], []
-    for kind, i, h, c, body in zip(*(group.column(k).to_pylist() if k in ("kind", "body") else group.column(k) for k in ("kind", "ids", "hashes", "counts", "body")), strict=True):
-        i, h, c = (np.asarray(x.values) for x in (i, h, c))
-        if kind:
-            ends = np.cumsum(c) * 8
-            own += [(int(a), int(b), body[hi - 8 * k : hi]) for a, b, k, hi in zip(i, h, c.tolist(), ends.tolist(), strict=True)]
-            continue
-        out.append((np.repeat(np.arange(n, n + len(i), dtype=np.int32), c), np.frombuffer(body, np.uint8).reshape(-1, width)))
-        ids.append(i)
-        hashes.append(h)
-        n += len(i)
-    if not out:
-        return np.zeros(0, np.int32), np.zeros((0, width), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), own
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), np.concatenate(ids), np.concatenate(hashes), own
-
-
-def _answers(doc: np.ndarray, value: np.ndarray, ids: np.ndarray, hashes: np.ndarray, own: list) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    at, _ = _ranges(doc)
-    ends = [*at[1:], len(doc)] if len(at) else []
-    raw = value.astype("<u8")
-    cols = (
-        [*ids[doc[at]].tolist(), *(o[0] for o in own)],
-        [*hashes[doc[at]].tolist(), *(o[1] for o in own)],
-        [*(raw[a:b].tobytes() for a, b in zip(at, ends, strict=True)), *(o[2] for o in own)],
-    )
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["doc_id", "text_hash", "found"])
+def _replies(chunks: list[int], src: np.ndarray, hits: np.ndarray, notes: list) -> pa.Table:
+    """One reply for each chunk with hits (``src``: its place in ``chunks``), and the chunks' own messages unchanged."""
+    order = np.argsort(src, kind="stable")
+    src, hits = src[order], hits[order]
+    at, _ = _ranges(src) if len(src) else (np.zeros(0, np.int64), None)
+    raw = [hits[a:b].tobytes() for a, b in zip(at, [*at[1:], len(src)], strict=False)]
+    nones = [None] * len(raw)
+    cols = [[*(chunks[i] for i in src[at].tolist()), *(n[0] for n in notes)], *([*(nones if k < 3 else raw), *(n[k] for n in notes)] for k in (1, 2, 3))]
+    kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["chunk", "ids", "hashes", "body"])
+
+
+def _unpack(group: pa.Table) -> tuple[list[int], list[bytes], list]:
+    """Chunks and bodies of the messages with entries; the chunks' own messages."""
+    chunks, bodies, notes = [], [], []
+    for chunk, ids, hashes, body in zip(group.column("chunk").to_pylist(), group.column("ids"), group.column("hashes"), group.column("body"), strict=True):
+        if ids.is_valid:
+            notes.append((chunk, ids.as_py(), hashes.as_py(), body.as_py()))
+        else:
+            chunks.append(chunk)
+            bodies.append(body.as_py())
+    return chunks, bodies, notes
 
 
 def _match_anchors(group: pa.Table) -> pa.Table:
-    doc, body, ids, hashes, own = _unpack(group, 5)
-    value = np.zeros((len(body), 8), np.uint8)
-    value[:, :5] = body
-    del body
+    chunks, bodies, notes = _unpack(group)
+    del group
+    width = np.array([len(b) // 6 for b in bodies], np.int64)
+    value = np.zeros((int(width.sum()), 8), np.uint8)
+    value[:, :6] = np.frombuffer(b"".join(bodies), np.uint8).reshape(-1, 6)
+    del bodies
     value = value.reshape(-1).view("<u8")
     if not len(value):
-        return _answers(doc, value, ids, hashes, own)
-    # The two flags are the lowest bits, so equal blocks stand together. Arrays are let go as soon as they are used: there are millions of entries.
+        return _replies(chunks, np.zeros(0, np.int64), np.zeros(0, _HIT), notes)
+    src = np.repeat(np.arange(len(chunks), dtype=np.int32), width)
+    # Equal blocks stand together. Arrays are let go as soon as they are used: there are millions of entries.
     order = np.argsort(value)
-    value, doc = value[order], doc[order]
+    value, src = value[order], src[order]
     del order
     new = np.ones(len(value), bool)
-    new[1:] = value[1:] ^ value[:-1] > _U(3)
+    new[1:] = value[1:] >> _U(12) != value[:-1] >> _U(12)
     first = np.flatnonzero(new)
-    index = np.bitwise_or.reduceat(value, first) & _U(3)
-    who = ids[doc]
-    several = (np.maximum.reduceat(who, first) != np.minimum.reduceat(who, first)) | (index & _U(2) != 0)
-    del who
-    hit = np.repeat(several & (index & _U(1) != 0), np.diff(first, append=len(value)))
-    return _answers(doc[hit], value[hit] >> _U(2), ids, hashes, own)
+    flags = np.bitwise_or.reduceat(value, first) & _U(3)
+    # Documents of different chunks count as different ones here: at worst a window more is checked.
+    own = np.unique(np.array(chunks, np.int64), return_inverse=True)[1].astype(np.int32)[src]
+    several = (np.maximum.reduceat(own, first) != np.minimum.reduceat(own, first)) | (flags & _U(2) != 0)
+    del own
+    hit = np.repeat(several & (flags & _U(1) != 0), np.diff(first, append=len(value)))
+    value = value[hit]
+    return _replies(chunks, src[hit], _hits(value >> _U(12), (value >> _U(2)) & _U(CHUNK_ROWS - 1)), notes)
+
+
+def _assemble(group: pa.Table) -> pa.Table:
+    """The answers to one chunk, by document."""
+    note = next(i for i, x in enumerate(group.column("ids")) if x.is_valid)
+    ids, hashes = (np.asarray(group.column(c)[note].values) for c in ("ids", "hashes"))
+    hits = np.frombuffer(b"".join(group.column("body").to_pylist()), _HIT)
+    order = np.argsort(hits["doc"], kind="stable")
+    doc, a = hits["doc"][order], hits["a"][order].astype("<u8")
+    at, _ = _ranges(doc) if len(doc) else (np.zeros(0, np.int64), None)
+    raw = [a[i:j].tobytes() for i, j in zip(at, [*at[1:], len(doc)], strict=False)]
+    return pa.table([pa.array(ids[doc[at]], pa.int64()), pa.array(hashes[doc[at]], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "text_hash", "found"])
 
 
 def _candidates(data, offs, found: list[bytes], block: int, window: int):
@@ -213,46 +220,40 @@ def _windows(block: int, window: int, buckets: int):
     """Step 2: mail of the windows that hold a hit."""
 
     def post(batches):
-        for batch in batches:
-            for lo, hi, data, offs in text_chunks(batch.column("text"), CHUNK):
-                ids, hashes = _chunk(batch, lo, hi)
-                _, _, row, starts, a, b = _candidates(data, offs, batch.column("found").slice(lo, hi - lo).to_pylist(), block, window)
-                doc = row[starts]
-                order = np.lexsort((ids[doc], b, a))
-                if not len(order):
-                    continue
-                new = np.ones(len(order), bool)
-                new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-                first, run = np.flatnonzero(new), np.cumsum(new) - 1
-                least = ids[doc[order[first]]]
-                late = ids[doc[order]] > least[run]
-                one = order[first]
-                one = one[np.argsort(doc[one], kind="stable")]
-                body = np.stack([a[one], b[one]], 1).astype("<u8").view(np.uint8).reshape(-1, 16)
-                # Equal ids in one chunk: each row needs its own answer.
-                yield _Mail(ids, hashes, buckets).batch(a[one], doc[one], body, a[order][late], doc[order][late])
-                same = ~late & (doc[order] != doc[order[first]][run])
-                if same.any():
-                    two = order[same]
-                    two = two[np.argsort(doc[two], kind="stable")]
-                    body = np.stack([a[two], b[two]], 1).astype("<u8").view(np.uint8).reshape(-1, 16)
-                    yield _Mail(ids, hashes, buckets).batch(a[two], doc[two], body, a[:0], doc[:0])
+        for chunk, lo, hi, data, offs, batch in _chunks(batches):
+            ids, hashes = _chunk(batch, lo, hi)
+            _, _, row, starts, a, b = _candidates(data, offs, batch.column("found").slice(lo, hi - lo).to_pylist(), block, window)
+            doc = row[starts]
+            order = np.lexsort((ids[doc], b, a))
+            if not len(order):
+                continue
+            new = np.ones(len(order), bool)
+            new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            late = ids[doc[order]] > ids[doc[order[first]]][run]
+            # Equal ids in one chunk: each row needs its own answer.
+            twin = ~late & (doc[order] != doc[order[first]][run])
+            one = np.concatenate([order[first], order[twin]])
+            body = np.zeros(len(one), _WINDOW)
+            body["a"], body["b"], body["id"], body["doc"] = a[one], b[one], ids[doc[one]], doc[one]
+            yield _mail(chunk, buckets, a[one], body, ids, hashes, _hits(a[order][late], doc[order][late]))
 
     return post
 
 
 def _match_windows(group: pa.Table) -> pa.Table:
-    doc, body, ids, hashes, own = _unpack(group, 16)
-    pair = np.ascontiguousarray(body).reshape(-1).view("<u8").reshape(-1, 2)
-    order = np.lexsort((pair[:, 1], pair[:, 0]))
-    a, b, who = pair[order, 0], pair[order, 1], ids[doc[order]]
-    if not len(order):
-        return _answers(doc, a, ids, hashes, own)
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    chunks, bodies, notes = _unpack(group)
+    src = np.repeat(np.arange(len(chunks)), [len(b) // _WINDOW.itemsize for b in bodies])
+    entry = np.frombuffer(b"".join(bodies), _WINDOW)
+    if not len(entry):
+        return _replies(chunks, src, np.zeros(0, _HIT), notes)
+    order = np.lexsort((entry["b"], entry["a"]))
+    entry, src = entry[order], src[order]
+    new = np.ones(len(entry), bool)
+    new[1:] = (entry["a"][1:] != entry["a"][:-1]) | (entry["b"][1:] != entry["b"][:-1])
     first, run = np.flatnonzero(new), np.cumsum(new) - 1
-    late = who > np.minimum.reduceat(who, first)[run]
-    return _answers(doc[order][late], a[late], ids, hashes, own)
+    late = entry["id"] > np.minimum.reduceat(entry["id"], first)[run]
+    return _replies(chunks, src[late], _hits(entry["a"][late], entry["doc"][late]), notes)
 
 
 def covered_words(data, offs, found: list[bytes], block: int, window: int):
@@ -274,15 +275,21 @@ def covered_words(data, offs, found: list[bytes], block: int, window: int):
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(
         F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"),
+        F.col(key).cast("long").alias("own"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
         F.col(text).alias("text"),
     )
 
 
 def _gather(mail: DataFrame, match, name: str) -> DataFrame:
-    found = mail.groupBy("bucket").applyInArrow(match, _ANSWER)
-    found = found.groupBy("doc_id", "text_hash").agg(F.array_join(F.transform(F.collect_list("found"), lambda b: F.hex(b)), "").alias("hexed"))
-    return materialize(found.select("doc_id", "text_hash", F.unhex("hexed").alias("found")), name)
+    replies = mail.groupBy("bucket").applyInArrow(match, _REPLY)
+    found = replies.groupBy("chunk").applyInArrow(_assemble, _ANSWER)
+    # Repeated rows have the same answer.
+    return materialize(found.groupBy("doc_id", "text_hash").agg(F.first("found").alias("found")), name)
+
+
+def _tasks(entries: int) -> int:
+    return max(1, -(-int(entries) // ENTRIES_PER_TASK))
 
 
 def repeated_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", block: int = 7) -> DataFrame:
@@ -291,13 +298,11 @@ def repeated_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     tune(df.sparkSession)
     docs = _keyed(df, key, text)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # About six bytes a word; a document's answer is one row for each bucket that its hits fall in.
-    buckets = max(LEAST_TASKS, -(-int(size) // 6 // ENTRIES_PER_TASK))
-    hits = _gather(docs.mapInArrow(_anchors(block, buckets), _MESSAGE), _match_anchors, "anchors")
-    # A document's answer is one row for each bucket that its windows fall in, so there are only as many as the hits need.
+    # About six bytes a word.
+    hits = _gather(docs.mapInArrow(_anchors(block, _tasks(int(size) // 6)), _MESSAGE), _match_anchors, "anchors")
+    # A window is four times an anchor's entry, and a hit brings one or a few of them.
     found = hits.agg(F.coalesce(F.sum(F.octet_length("found")), F.lit(0))).first()[0] // 8
-    buckets = max(LEAST_TASKS // 2, -(-int(found) // (ENTRIES_PER_TASK // 2)))
-    near = docs.join(hits, ["doc_id", "text_hash"]).mapInArrow(_windows(block, 2 * block - 1, buckets), _MESSAGE)
+    near = docs.join(hits, ["doc_id", "text_hash"]).mapInArrow(_windows(block, 2 * block - 1, _tasks(4 * int(found))), _MESSAGE)
     return _gather(near, _match_windows, "windows")
 
 
@@ -329,8 +334,7 @@ def substring_digest(df: DataFrame, *, key: str = "doc_id", text: str = "text")
     """Per document: doc_id, n_words, n_removed, kept_sha256 (windows of 13 words)."""
     found = repeated_windows(df, key=key, text=text)
     docs = _keyed(df, key, text).join(found, ["doc_id", "text_hash"], "left")
-    out = docs.select("doc_id", "text", "found").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != _LAST, F.col("doc_id")))
+    return docs.select(F.col("own").alias("doc_id"), "text", "found").mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _cut(batches):
