@@ -73,11 +73,13 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, groups: int, seed: int,
         row, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi, _, _ in text_chunks(texts):
+            for lo, hi, data, offs in text_chunks(texts):
                 keys = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
                 cols: list[list] = [[] for _ in range(8)]
-                for key, ids in zip(keys, tok.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]), strict=True):
-                    ids += end
+                flat, bounds = tok.encode_flat(data, offs)
+                raw = flat.astype("<u4", copy=False).tobytes()
+                for key, first, last in zip(keys, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    ids = raw[4 * first : 4 * last] + end
                     n = len(ids) // 4
                     # Rows with equal ids or texts fall into different groups: the place of the row is mixed in.
                     dice = mix(np.array([((key or 0) & 0xFFFFFFFFFFFFFFFF) ^ (part << 40) ^ (row << 8) ^ seed], _U))[0]

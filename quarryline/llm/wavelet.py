@@ -3,14 +3,16 @@
 A shard file holds the ids of a run of documents, in ascending id order, as bit planes from
 the highest bit down. After each plane the ids are parted stably, zeros first, so a rank in
 one plane leads to the place in the next. Planes are cut into blocks that are compressed on
-their own, with the count of ones before each, so access, rank and select read a few blocks.
+their own, with the count of ones before each, so access, rank and select read a few blocks; the
+reader counts an unpacked block's ones every 512 bits.
 
 File layout (little endian): magic, u32 header length, JSON header, then the sections it
 names: document ids, null flags, document lengths, per-plane block directory, blocks.
 
 Defined results: null text is empty, so such a document holds its end id alone; null ids
-come before all others; equal ids keep the order of their ids' bytes; an empty table gives
-no file and no rows. Other columns are not read.
+come before all others; rows with equal ids stand in the order of their texts' hash; an empty table gives
+no file and no rows; a document longer than a shard is a shard's only one or nearly so.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import json
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +37,8 @@ from quarryline.llm.tokens import encoder, public_path
 MAGIC = b"QLWM0001"
 #: Bits of a plane in one compressed block.
 BLOCK_BITS = 1 << 17
+#: Bits of a block between two counts of its ones.
+STEP_BITS = 512
 SUFFIX = ".qlwm"
 
 
@@ -44,7 +49,7 @@ def pack_wavelet(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, len
     cur = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     planes, blobs, at = [], [], 0
     for level in range(levels - 1, -1, -1):
-        ones = (cur >> level) & 1 != 0
+        ones = (cur & cur.dtype.type(1 << level)).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         blocks = []
         for lo in range(0, len(packed), BLOCK_BITS // 8):
@@ -53,9 +58,9 @@ def pack_wavelet(ids: np.ndarray, doc_ids: np.ndarray, null_ids: np.ndarray, len
             blocks.append([at, len(blob), int(np.bitwise_count(part).sum())])
             blobs.append(blob)
             at += len(blob)
-        zeros = cur[~ones]
+        zeros, where = np.flatnonzero(~ones), np.flatnonzero(ones)
         planes.append({"zeros": len(zeros), "blocks": blocks})
-        cur = np.concatenate([zeros, cur[ones]])
+        cur = np.concatenate([cur.take(zeros), cur.take(where)])
     tables = [zip_.compress(a.tobytes()) for a in (doc_ids.astype("<i8"), null_ids.astype("u1"), lengths.astype("<i8"))]
     head = json.dumps({"tokens": len(ids), "docs": len(doc_ids), "levels": levels, "block_bits": BLOCK_BITS, "tables": [len(t) for t in tables], "planes": planes}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *tables, *blobs])
@@ -77,24 +82,34 @@ class WaveletFile:
         self.doc_ids, self.null_ids, self.lengths = tables
         self.base, self.planes = at, self.head["planes"]
         self.before = [np.cumsum([0, *[b[2] for b in p["blocks"]]]) for p in self.planes]
-        self._block = lru_cache(64)(self._read)
+        self._block = lru_cache(64)(self._counted)
 
     def _read(self, level: int, k: int) -> np.ndarray:
         at, size, _ = self.planes[level]["blocks"][k]
         return np.frombuffer(zstandard.decompress(self.raw[self.base + at : self.base + at + size]), np.uint8)
 
+    def _counted(self, level: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A block, and the ones before each ``STEP_BITS`` of it."""
+        part = self._read(level, k)
+        ones = np.bitwise_count(part).astype(np.int64)
+        return part, np.concatenate([[0], np.add.reduceat(ones, np.arange(0, len(ones), STEP_BITS // 8)).cumsum()])
+
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         k, r = divmod(i, self.bits)
         n = int(self.before[level][k])
         if r:
-            part = self._block(level, k)[: (r + 7) // 8]
-            n += int(np.unpackbits(part, count=r, bitorder="little").sum())
+            part, sums = self._block(level, k)
+            step, rest = divmod(r, STEP_BITS)
+            n += int(sums[step])
+            if rest:
+                at = step * STEP_BITS // 8
+                n += int(np.unpackbits(part[at : at + (rest + 7) // 8], count=rest, bitorder="little").sum())
         return n
 
     def _bit(self, level: int, i: int) -> int:
         k, r = divmod(i, self.bits)
-        return int(self._block(level, k)[r >> 3] >> (r & 7)) & 1
+        return int(self._block(level, k)[0][r >> 3] >> (r & 7)) & 1
 
     def access(self, i: int) -> int:
         """Token at position i."""
@@ -128,7 +143,7 @@ class WaveletFile:
         ones = self.before[level]
         have = ones if bit else np.minimum(np.arange(len(ones)) * self.bits, self.tokens) - ones
         block = int(np.searchsorted(have, k, "right")) - 1
-        bits = np.unpackbits(self._block(level, block), bitorder="little")[: self.tokens - block * self.bits]
+        bits = np.unpackbits(self._block(level, block)[0], bitorder="little")[: self.tokens - block * self.bits]
         return block * self.bits + int(np.flatnonzero(bits == bit)[k - int(have[block])])
 
     def select(self, token: int, k: int) -> int:
@@ -149,24 +164,34 @@ class WaveletFile:
             raw = [self._read(level, k) for k in range(len(self.planes[level]["blocks"]))]
             ones = np.unpackbits(np.concatenate(raw), count=self.tokens, bitorder="little").view(bool) if raw else np.zeros(0, bool)
             zeros, out = self.planes[level]["zeros"], np.empty_like(cur)
-            out[~ones] = cur[:zeros]
-            out[ones] = cur[zeros:] | (1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~ones)] = cur[:zeros]
+            out[np.flatnonzero(ones)] = cur[zeros:] | out.dtype.type(1 << (self.levels - 1 - level))
             cur = out
         return cur
 
 
-def _encoder(borders: np.ndarray, tokenizer: str, end_id: int):
+def _encoder(borders: list, tokenizer: str, end_id: int):
+    places = np.array([b[0] for b in borders], np.int64) if borders else np.zeros(0, np.int64)
+
     def encode(batches):
-        tok, end = encoder(tokenizer), struct.pack("<I", end_id)
+        tok, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi, _, _ in text_chunks(texts):
-                ids = [x + end for x in tok.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])]
+            for lo, hi, data, offs in text_chunks(texts):
+                ids, bounds = tok.encode_flat(data, offs)
                 keys = batch.column("doc_id").slice(lo, hi - lo)
-                at = np.searchsorted(borders, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-                wide = any(np.frombuffer(x, "<u4").max() > 0xFFFF for x in ids)
-                packed = ids if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), keys, pa.array(np.full(hi - lo, wide)), pa.array(packed, pa.binary())], names=["shard", "doc_id", "wide", "ids"])
+                hashes = batch.column("text_hash").slice(lo, hi - lo).to_numpy()
+                number = keys.fill_null(np.iinfo(np.int64).min).to_numpy()
+                at = np.searchsorted(places, number, "right")
+                # Borders are (key, text hash): rows with one key, and rows without one, are parted by their hash.
+                for i in np.flatnonzero(np.isin(number, places)).tolist():
+                    at[i] = bisect_right(borders, (int(number[i]), int(hashes[i])))
+                packed, wide = [], []
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    own = np.concatenate([ids[a:b], end])
+                    wide.append(int(own.max()) > 0xFFFF)
+                    packed.append(own.astype("<u4" if wide[-1] else "<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), keys, pa.array(hashes), pa.array(wide), pa.array(packed, pa.binary())], names=["shard", "doc_id", "text_hash", "wide", "ids"])
 
     return encode
 
@@ -185,7 +210,8 @@ def _writer(folder: str):
     def write(group: pa.Table) -> pa.Table:
         keys = group.column("doc_id").to_pylist()
         raw = [np.frombuffer(b, "<u4" if w else "<u2").astype("<u4") for b, w in zip(group.column("ids").to_pylist(), group.column("wide").to_pylist(), strict=True)]
-        order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, zlib.crc32(raw[i]), len(raw[i])))
+        hashes = group.column("text_hash").to_pylist()
+        order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, hashes[i]))
         doc_ids = np.array([keys[i] or 0 for i in order], np.int64)
         nulls = np.array([keys[i] is None for i in order])
         lengths = np.array([len(raw[i]) for i in order], np.int64)
@@ -197,23 +223,48 @@ def _writer(folder: str):
     return write
 
 
+#: Documents drawn for each border between shards.
+DRAWN = 16
+
+
+def _borders(docs: DataFrame, shard_tokens: int) -> list[tuple[int, int]]:
+    """Last (key, text hash) of every shard but the last, so that shards have about equal bytes.
+
+    Half a byte of text counts as one token at most. Borders come from documents drawn by a
+    hash with a chance in proportion to their bytes, ``DRAWN`` for each shard. The driver holds
+    some 20 bytes for each drawn one, 40 MB for 1 TB of text at the default size of shards;
+    larger corpora should take larger shards.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-int(size) // (2 * shard_tokens)))
+    if shards == 1:
+        return []
+    key = F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min))
+    dice = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
+    wanted = F.octet_length("text") * (DRAWN * shards / size)
+    weight = (F.floor(wanted) + (dice < wanted - F.floor(wanted)).cast("int")).cast("int")
+    drawn = docs.select(key.alias("k"), "text_hash", weight.alias("w")).where("w > 0").orderBy("k", "text_hash").toArrow()
+    keys, hashes = drawn.column("k").to_pylist(), drawn.column("text_hash").to_pylist()
+    sums = np.cumsum(drawn.column("w").to_numpy())
+    total = int(sums[-1]) if len(sums) else 0
+    at = np.searchsorted(sums, [total * i // shards for i in range(1, shards)])
+    return sorted({(keys[i], hashes[i]) for i in at.tolist() if i < len(keys)})
+
+
 def write_wavelet_shards(df: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_tokens: int = 1 << 22) -> DataFrame:
     """Encode every text and write the shard files; returns (shard, n_docs, n_tokens).
 
-    Shards are ranges of the key with about ``shard_tokens`` ids, by the corpus's bytes and
-    the quantiles of its keys. The text itself is not shuffled, only its 16-bit ids are.
+    Shards are ranges of (key, hash of the text) with about ``shard_tokens`` ids. The text
+    itself is not shuffled, only its 16-bit ids are.
     """
     spark = df.sparkSession
     tune(spark)
     tokenizer = tokenizer or public_path("byte_bpe_50k.json")
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-int(size * 0.4) // shard_tokens))
-    cuts = [i / shards for i in range(1, shards)]
-    borders = np.unique(docs.approxQuantile("doc_id", cuts, 0.1 / shards)) if cuts else np.zeros(0)
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    borders = _borders(docs, shard_tokens)
     where, path = fs.FileSystem.from_uri(folder)
     where.create_dir(path, recursive=True)
-    ids = docs.mapInArrow(_encoder(borders.astype(np.int64), tokenizer, end_id), "shard int, doc_id long, wide boolean, ids binary")
+    ids = docs.mapInArrow(_encoder(borders, tokenizer, end_id), "shard int, doc_id long, text_hash long, wide boolean, ids binary")
     return materialize(ids.groupBy("shard").applyInArrow(_writer(folder), "shard int, n_docs long, n_tokens long"), "shards")
 
 
