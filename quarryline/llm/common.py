@@ -19,8 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text handled at once in a Python worker; a longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text handled at once in a Python worker, so that its arrays of 8 bytes for each stay
+#: near the processor; a longer document is handled alone.
+CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch sent to a Python worker.
 BATCH_ROWS = 1000
 #: Bytes of such a batch; a larger row is a batch of its own.
@@ -117,7 +118,7 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start[at] = word[at]
     end[to] = word[to]
     s = np.flatnonzero(start)
-    return s, np.flatnonzero(end) + 1, np.searchsorted(offs, s, "right") - 1
+    return s, np.flatnonzero(end) + 1, np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(s, offs)))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
@@ -142,7 +143,7 @@ def _pow_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             np.multiply.accumulate(p, out=p)
             out.append(p)
-        if n > 2 * CHUNK_BYTES + 2:  # of one giant document: not kept
+        if n > 4 << 20:  # of one giant document: not kept
             return tuple(out)
         _powers = tuple(out)
     return _powers

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import mix, text_chunks, tune
-from quarryline.llm.tokens import encoder, public_path
+from quarryline.llm.tokens import ENCODE_BYTES, encoder, public_path
 
 _U = np.uint64
 
@@ -73,7 +73,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int, groups: int, seed: int,
         row, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi, data, offs in text_chunks(texts):
+            for lo, hi, data, offs in text_chunks(texts, ENCODE_BYTES):
                 keys = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
                 cols: list[list] = [[] for _ in range(8)]
                 flat, bounds = tok.encode_flat(data, offs)

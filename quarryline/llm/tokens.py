@@ -23,6 +23,8 @@ from quarryline.llm.common import flat_text, hash_words, mix, word_spans
 
 _U = np.uint64
 
+#: Bytes of text whose distinct pieces are looked up at once.
+ENCODE_BYTES = 2 << 20
 #: Pieces that a worker keeps.
 CACHE_PIECES = 2_000_000
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import materialize, shared_dir, text_chunks, tune
-from quarryline.llm.tokens import encoder, public_path
+from quarryline.llm.tokens import ENCODE_BYTES, encoder, public_path
 
 MAGIC = b"QLWM0001"
 #: Bits of a plane in one compressed block.
@@ -177,7 +177,7 @@ def _encoder(borders: list, tokenizer: str, end_id: int):
         tok, end = encoder(tokenizer), np.array([end_id], "<u4")
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi, data, offs in text_chunks(texts):
+            for lo, hi, data, offs in text_chunks(texts, ENCODE_BYTES):
                 ids, bounds = tok.encode_flat(data, offs)
                 keys = batch.column("doc_id").slice(lo, hi - lo)
                 hashes = batch.column("text_hash").slice(lo, hi - lo).to_numpy()
