@@ -17,21 +17,26 @@ first zone might not suffice.
 
 Verification is exact. Rare tokens' buckets give pairs, which are kept if they share enough
 of them. A bucket of a pair of frequent tokens, or of more than ``often`` sets, gives edges
-to its smallest set alone; the components of those edges are groups of much alike sets,
-whose links are counted in tiles of bounded size by matrix products, and a tile returns a
-forest, not its pairs.
+to its smallest set alone, and the components of those edges are groups in which links may
+lie. Each member is verified against the one smallest set it shares most buckets with, like
+any pair. What that links is one class already; in tiles of bounded size, dealt by hash, only
+sets of different classes are then compared, by matrix products, and a tile returns a forest,
+not its pairs. So a large group of near copies costs a comparison with its hub for each, and
+only what its hub does not link costs tiles.
 
 Equal sets are one set from the start. The graph is over ids, so rows with equal ids count
 as one document. Defined results: null or wordless text has an empty set and no link; fewer
 than ``words`` words are one token; a null id counts as the largest and returns as null; an empty
-table gives no rows. Other columns are not read.
+table gives no rows; a text of any length is one set. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import hash_words, lower_ascii, materialize, mix, text_chunks, tune, window_hash, word_spans
@@ -44,8 +49,6 @@ SHINGLE = 3
 OFTEN = 32
 #: Frequent tokens (8 bytes each) that are sent to every task; more are joined by shuffle.
 BROADCAST_TOKENS = 1 << 20
-#: Ids (8 bytes each) of sets to verify that are sent to every task, so that no text moves; more are joined by shuffle.
-BROADCAST_IDS = 1 << 20
 #: Tokens (and 1500 for each set) of one side of a tile.
 TILE = 1_500_000
 
@@ -113,14 +116,15 @@ def _measure(percent: int, full: bool, words: int = SHINGLE):
                 size = np.diff(bounds)
                 sums = [np.concatenate([[_U(0)], np.cumsum(mix(value ^ _U(c)))]) for c in (0x51ED270B, 0xA5CB3B1D2F)]
                 prints = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
-                cols = [ids, pa.array(size), *map(pa.array, prints)]
+                none = [] if full else [batch.column("none").slice(lo, hi - lo)]
+                cols = [ids, *none, pa.array(size), *map(pa.array, prints)]
                 if full:
                     low = np.concatenate([[0], np.cumsum(value < zone)])
                     keep = [_reserve(int(z), n, percent) for z, n in zip(low[bounds[1:]] - low[bounds[:-1]], size.tolist(), strict=True)]
                     take = np.concatenate([np.arange(b, b + k) for b, k in zip(bounds.tolist(), keep, strict=False)]).astype(np.int64)
                     cuts = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(value[take].view(np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "f1", "f2", "tokens"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "f1", "f2", "tokens"] if full else ["doc_id", "none", "n", "f1", "f2"])
 
     return run
 
@@ -259,20 +263,33 @@ def _check_tile(percent: int):
     return run
 
 
-def _tiles(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _tiles(groups: DataFrame, sizes: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Members of each group with the tile pairs they take part in.
 
-    Tiles run by size, so two of them are compared only if their sizes allow a link. Tokens are
-    joined last: nothing before moves them.
+    A class of linked sets that fills a tile has tiles of its own; other sets share them. Of a
+    group beyond one tile, sets are parted by size first, so that only sizes that allow a link
+    meet. Within these a set's tile is dealt by its hash: no task orders a whole group. Tiles
+    that hold one and the same class are not compared. Tokens are joined last: nothing before
+    moves them.
     """
     rows = groups.join(sizes, F.col("node") == F.col("rep")).select("component", "rep", "n")
-    before = Window.partitionBy("component").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, -1)
-    tile = F.floor(F.coalesce(F.sum(F.col("n") + 1500).over(before), F.lit(0)) / TILE).cast("int")
-    place = materialize(rows.select("component", "rep", "n", tile.alias("tile")), "tiles")
-    tiles = place.groupBy("component", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("members"))
-    x, y = (tiles.select("component", *(F.col(c).alias(c + k) for c in ("tile", "least", "most", "members"))) for k in "xy")
-    two = x.join(y, "component").where((F.col("tilex") <= F.col("tiley")) & (100 * F.col("mostx") >= percent * F.col("leasty")))
-    two = two.where((F.col("tilex") < F.col("tiley")) | (F.col("membersx") > 1))
+    rows = rows.join(known.select(F.col("node").alias("rep"), F.col("component").alias("class")), "rep", "left")
+    rows = materialize(rows.withColumn("class", F.coalesce("class", "rep")), "members")
+    mass = F.sum(F.col("n") + 1500)
+    group = rows.groupBy("component").agg(mass.alias("mass"), F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    own = rows.groupBy("component", "class").agg(mass.alias("own")).where(F.col("own") > TILE)
+    rows = rows.join(group.select("component", "mass"), "component").join(own, ["component", "class"], "left")
+    step = F.when(F.col("mass") > TILE, F.floor(F.log(F.col("n")) / math.log(100 / percent))).otherwise(0).cast("int")
+    rows = rows.withColumns({"pure": F.when(F.col("own").isNotNull(), F.col("class")), "step": step})
+    rows = rows.withColumn("kind", F.xxhash64(F.coalesce("pure", F.lit(0)), F.col("pure").isNull(), "step"))
+    parts = rows.groupBy("component", "kind").agg(F.ceil(mass / TILE).alias("parts"))
+    rows = rows.join(parts, ["component", "kind"])
+    rows = rows.select("component", "rep", "n", "class", F.xxhash64("kind", F.pmod(F.xxhash64("rep"), "parts")).alias("tile"))
+    place = materialize(rows, "tiles")
+    tiles = place.groupBy("component", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("class").alias("a"), F.max("class").alias("b"))
+    x, y = (tiles.select("component", *(F.col(c).alias(c + k) for c in ("tile", "least", "most", "a", "b"))) for k in "xy")
+    two = x.join(y, "component").where((F.col("tilex") <= F.col("tiley")) & (100 * F.col("mostx") >= percent * F.col("leasty")) & (100 * F.col("mosty") >= percent * F.col("leastx")))
+    two = two.where(F.least("ax", "ay") < F.greatest("bx", "by"))
     both = [F.struct(F.col(c).alias("tile"), F.lit(side).alias("side")) for side, c in enumerate(("tilex", "tiley"))]
     sides = F.when(F.col("tilex") == F.col("tiley"), F.array(both[0])).otherwise(F.array(*both))
     two = two.select("component", F.col("tilex").alias("i"), F.col("tiley").alias("j"), F.explode(sides).alias("s"))
@@ -283,8 +300,9 @@ def _tiles(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -
 def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 90, often: int = OFTEN, words: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     tune(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(text).alias("text"))
-    measured = docs.mapInArrow(_measure(percent, True, words), "doc_id long, n long, f1 long, f2 long, tokens array<long>")
+    # A null id counts as the largest; the flag tells it from a document that has that id.
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(key).isNull().alias("none"), F.col(text).alias("text"))
+    measured = docs.select("doc_id", "text").mapInArrow(_measure(percent, True, words), "doc_id long, n long, f1 long, f2 long, tokens array<long>")
     reps = measured.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     reps = materialize(reps, "sets")
     # A set of under 9 tokens links with an equal one at most, at 90 percent.
@@ -305,25 +323,28 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     near = F.least("p.x.n", "p.y.n") * 100 >= F.greatest("p.x.n", "p.y.n") * percent
     pairs = pairs.where(near & (F.col("p.x.rep") != F.col("p.y.rep"))).groupBy(F.col("p.x.rep").alias("a"), F.col("p.y.rep").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("p.x.l", "p.y.l")).alias("l"))
     pairs = materialize(pairs.where("c >= l").select("a", "b"), "pairs")
-    groups = components(shared.where(~few & (F.col("rep") != F.col("hub"))).select("rep", "hub"), "rep", "hub")
-    groups = materialize(groups, "groups")
+    edges = shared.where(~few & (F.col("rep") != F.col("hub"))).groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("c"))
+    edges = materialize(edges, "hubs")
+    groups = materialize(components(edges, "rep", "hub"), "groups")
+    best = edges.groupBy("rep").agg(F.max(F.struct("c", (-F.col("hub")).alias("hub"))).alias("m")).select(F.col("rep").alias("a"), (-F.col("m.hub")).alias("b"))
+    pairs = materialize(pairs.unionByName(best).distinct(), "to_verify")
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(groups.select(F.col("node").alias("rep"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    marked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = docs.withColumnRenamed("doc_id", "rep").join(marked, "rep").mapInArrow(_full_sets(words), "rep long, tokens binary")
+    # The texts of the sets to verify move once, at every size of the corpus alike.
+    sets = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.hint("merge"), "rep").mapInArrow(_full_sets(words), "rep long, tokens binary")
     sets = materialize(sets, "full")
     x, y = (sets.select(F.col("rep").alias(k), F.col("tokens").alias(c)) for k, c in (("a", "x"), ("b", "y")))
-    links = pairs.join(x, "a").join(y, "b").mapInArrow(_check_pairs(percent), "a long, b long")
+    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_check_pairs(percent), "a long, b long")
     links = materialize(links, "links")
-    forest = _tiles(groups, reps.select("rep", "n"), sets, percent).groupBy("component", "i", "j").applyInArrow(_check_tile(percent), "a long, b long")
-    found = components(links.unionByName(forest), "a", "b")
-    members = docs.mapInArrow(_measure(percent, False, words), "doc_id long, n long, f1 long, f2 long")
+    known = materialize(components(links, "a", "b"), "classes")
+    forest = _tiles(groups, reps.select("rep", "n"), known, sets, percent).groupBy("component", "i", "j").applyInArrow(_check_tile(percent), "a long, b long")
+    found = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(forest), "a", "b")
+    members = docs.mapInArrow(_measure(percent, False, words), "doc_id long, none boolean, n long, f1 long, f2 long")
     members = members.join(reps.drop("tokens"), ["n", "f1", "f2"], "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.coalesce("component", "rep", "doc_id")
     return members.select(
-        F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"),
+        F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(own != _LAST, own).alias("component_id"),
+        F.when(~F.col("none") | (own != F.lit(_LAST)), own).alias("component_id"),
     )
 
 
