@@ -2,14 +2,17 @@
 
 One pass over the texts counts the base figures and hashes each distinct normalised line
 (its words, ASCII lower case, one space between). Lines are counted by distinct document
-within a host; copies of one text count once. A line in more than ``max_docs`` documents of
-its host is removed everywhere but in the host's first document that has it, and a document
-that keeps less than ``min_left`` of its words is rejected as depleted, like one that fails
-the base rules.
+within a host; rows of one text are one document. A line's limit is ``share`` of its host's
+documents, but at least ``least_docs`` and at most ``max_docs`` of them, so that the rule acts
+in small hosts and in large ones. A line above its limit is boilerplate: by the rule, the
+host's first document that has it keeps it as the corpus's one copy, and it is removed from
+all others. A document that keeps less than ``min_left`` of its words is rejected as
+depleted, like one that fails the base rules.
 
 Defined results: null text has no words and fails the base rules; null hosts form a host of
 their own; a null id comes before all others; rows with equal id and text share one verdict;
-an empty table gives no rows. Columns other than those named are not read.
+an empty table gives no rows; a text or a line of any length is measured whole. Columns
+other than those named are not read.
 """
 
 from __future__ import annotations
@@ -146,17 +149,20 @@ def measure_texts(df: DataFrame, *, key: str = "doc_id", text: str = "text", hos
     return materialize(docs.mapInArrow(_measure, f"doc_id long, host string, text_hash long, {_BASE}, lines array<long>, line_words array<long>"), "lines")
 
 
-def frequent_lines(measured: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line, first_doc) of the lines in more than ``max_docs`` distinct texts of a host."""
+def frequent_lines(measured: DataFrame, max_docs: int, least_docs: int, share: float) -> DataFrame:
+    """(host, line, first_doc) of the lines above their host's limit."""
     rows = measured.select("host", "text_hash", "doc_id", F.explode("lines").alias("line"))
     texts = rows.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("none"))
     lines = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("none").alias("none"))
-    return lines.where(F.col("n") > max_docs).select("host", "line", F.when(~F.col("none"), F.col("first")).alias("first_doc"))
+    hosts = measured.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(least_docs)), F.lit(share) * F.col("docs")))
+    lines = lines.where(F.col("n") > min(max_docs, least_docs)).join(hosts, "host").where(F.col("n") > limit)
+    return lines.select("host", "line", F.when(~F.col("none"), F.col("first")).alias("first_doc"))
 
 
-def line_verdicts(measured: DataFrame, *, max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
+def line_verdicts(measured: DataFrame, *, max_docs: int = 100, least_docs: int = 5, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
     """Measured rows with removed (line hashes), n_removed_words, base_failed and kept."""
-    often = frequent_lines(measured, max_docs)
+    often = frequent_lines(measured, max_docs, least_docs, share)
     rows = measured.select("host", "doc_id", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
     rows = rows.select("host", "doc_id", "text_hash", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     gone = rows.join(often, ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
