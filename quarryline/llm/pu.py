@@ -6,17 +6,21 @@ p * (positives as positive) + max(0, unlabelled as negative - p * positives as n
 and when a batch's negative part falls below zero its gradient is turned, which stops the
 network from learning the unlabelled copies of the positives as negatives.
 
-The prior is the share of label 1 among the labelled rows that may be learnt from; without
-labels of the other kind, ``prior`` must be given. The fit takes at most ``sample`` rows of
-positives and of unlabelled rows, those of the smallest id hashes; the features of all
-rows come from their whole texts, and every row is scored.
+The prior is estimated from positives and unlabelled rows alone, by the best bin: a first net
+is fitted on half of each, and over the thresholds of its scores on the other halves, the
+share of unlabelled rows above is divided by that of positives above; the least such ratio,
+with a bound for its error, is the prior. Labels of the other kind are not used. The fit takes
+at most ``sample`` rows of positives and of unlabelled rows, drawn by the smallest id hashes;
+the features of all rows come from their whole texts, and every row is scored.
 
-Features are shapes of the text (lengths, symbols, case, repeats, lines), scaled by the
-positives' median and spread and squashed, so an extreme value cannot run away.
+Features are shapes of the text (lengths, symbols, case, repeats, lines) and the words
+themselves, as shares of ``WORD_BINS`` hashed classes of words, scaled by the positives' median
+and spread and squashed, so an extreme value cannot run away.
 
 Defined results: null and empty texts are scored as texts without words; with no positives
 every score is the prior (0.5 if unknown); repeated rows are scored alike; several labels
-of one id count by their mean; an empty table gives no rows. Other columns are not read.
+of one id count by their mean; an empty table gives no rows; texts of any length are
+read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from quarryline.llm.common import materialize, text_chunks, tune
 from quarryline.llm.lines import Texts
 
 SAMPLE_ROWS = 20_000
+#: Classes of words by hash; the upper bits of a word's hash choose.
+WORD_BINS = 64
 NAMES = ("log_words", "symbols", "dup_lines", "repeats", "upper", "exclaims", "pipes", "digits", "word_length", "line_words", "stops", "commas", "long_words", "distinct")
 
 
@@ -51,7 +57,8 @@ def shape_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         per(data == 33) / w, per(data == 124) / w, per((data >= 48) & (data <= 57)) / w, t.word_chars() / w, words / lines,
         per(data == 46) / w, per(data == 44) / w, t.count(t.row[t.e - t.s > 15]) / w, t.count(t.row[order[new]]) / w,
     )
-    return np.stack(cols, 1).astype(np.float32)
+    bins = np.bincount(t.row * WORD_BINS + (t.h >> np.uint64(58)).astype(np.int64), minlength=t.n * WORD_BINS).reshape(t.n, WORD_BINS)
+    return np.concatenate([np.stack(cols, 1), np.sqrt(bins / w[:, None])], 1).astype(np.float32)
 
 
 def _features(batches):
@@ -69,11 +76,14 @@ class PuNet:
         rng = np.random.default_rng(seed)
         self.mid = np.median(x, 0)
         self.spread = np.maximum(np.percentile(x, 95, 0) - np.percentile(x, 5, 0), 1e-2)
+        # The words' classes weigh more the more positives there are to learn them from.
+        self.weight = np.ones(x.shape[1])
+        self.weight[len(NAMES) :] = min(0.5, (len(x) / SAMPLE_ROWS) ** 0.5)
         d = 2 * x.shape[1]
         self.p = [rng.standard_normal((d, hidden)) * d**-0.5, np.zeros(hidden), rng.standard_normal(hidden) * hidden**-0.5, np.zeros(1)]
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mid) / self.spread
+        z = (x - self.mid) / self.spread * self.weight
         return np.concatenate([np.tanh(z), np.tanh(z / 4)], 1)
 
     def forward(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,6 +124,15 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, epochs
     return net
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among unlabelled rows, from a classifier's scores of both: the best bin's ratio, error included."""
+    cuts = np.unique(np.quantile(positive, np.linspace(0.0, 0.95, 96)))
+    above = [1 - np.searchsorted(np.sort(s), cuts, "left") / len(s) for s in (positive, unlabelled)]
+    slack = np.sqrt(np.log(40) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    best = int(np.argmin((above[1] + slack) / above[0]))
+    return float(min(0.95, max(0.05, above[1][best] / above[0][best])))
+
+
 def _scorer(net: PuNet | None, prior: float):
     def run(batches):
         for batch in batches:
@@ -136,14 +155,23 @@ def quality_scores(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", tex
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     known = known.where(learn) if learn is not None else known
     known = known.groupBy(F.col(key).cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).alias("good"))
-    known = known.join(rows, "doc_id")
-    n, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("good").cast("int")), F.lit(0))).first()
-    if prior is None:
-        prior = min(0.95, max(0.05, good / n)) if n and good < n else 0.5 if not good else 0.8
+    known = known.where("good").join(rows, "doc_id")
 
     def some(part: DataFrame) -> np.ndarray:
-        found = part.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x").toArrow().column("x")
-        return np.asarray(found.combine_chunks().flatten(), np.float32).reshape(len(found), -1) if len(found) else np.zeros((0, len(NAMES)), np.float32)
-
-    net = fit_pu(some(known.where("good")), some(rows), prior) if good else None
+        """The rows of the smallest id hashes; about that many leave the tasks, whatever their number."""
+        part = part.where(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+        n = part.count()
+        if n > 2 * sample:
+            part = part.where(F.col("h") < int((1 << 64) * 1.2 * sample / n) - (1 << 63))
+        found = part.orderBy("h", "doc_id").limit(sample).select("x").toArrow().column("x")
+        return np.asarray(found.combine_chunks().flatten(), np.float32).reshape(len(found), -1) if len(found) else np.zeros((0, len(NAMES) + WORD_BINS), np.float32)
+
+    good = some(known)
+    web = some(rows) if len(good) else good
+    if prior is None:
+        prior = 0.5
+        if len(good) > 1 and len(web) > 1:
+            first = fit_pu(good[::2], web[::2], prior, epochs=10)
+            prior = estimate_prior(first.score(good[1::2]), first.score(web[1::2]))
+    net = fit_pu(good, web, prior) if len(good) else None
     return rows.mapInArrow(_scorer(net, prior), "doc_id long, score double")
