@@ -6,7 +6,8 @@ A key keeps its shard when a shard is appended unless it moves into the new one.
 is 52 bits of md5(key ':' b), so that any SQL engine can repeat it.
 
 Defined results: a null key hashes as the word "null"; null text counts as empty; rows
-that are equal in every way are numbered one after another. Other columns are not read.
+that are equal in every way are numbered one after another; a text of any length counts by
+its bytes; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def shard_documents(df: DataFrame, shards: int = 8, *, key: str = "doc_id", text
         F.expr(crc32_column(f"`{text}`")).alias("text_crc32"),
     )
     rows = rows.withColumns({"law": F.lit("key"), "shard": jump_shard(F.col("doc_id"), shards), "grown_shard": jump_shard(F.col("doc_id"), shards + 1)})
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
+    mark = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text_crc32"))), 1, 8)
+    rows = rows.withColumn("part", F.pmod(F.conv(mark, 16, 10).cast("long"), F.lit(parts)).cast("int"))
     sizes = rows.groupBy("shard", "part").count()
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
