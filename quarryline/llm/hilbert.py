@@ -64,13 +64,14 @@ def curve_frames(dim: int, curves: int, dims: int, seed: int) -> list[tuple[np.n
     return out
 
 
-def curve_keys(x: np.ndarray, frame: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
-    """Keys of unit-scaled vectors: grid over [-1, 1] in each direction, shifted by under a cell's width of the coarsest half."""
+def curve_keys(x: np.ndarray, frame: tuple[np.ndarray, np.ndarray], bits: int, scale: float = 1.0) -> np.ndarray:
+    """Keys of vectors whose usual norm is ``scale``: a grid over three times the usual spread in
+    each direction, shifted by under a cell's width of the coarsest half. Norms are kept, as
+    nearness is that of the original vectors; what lies beyond the grid goes to its edge."""
     basis, shift = frame
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    spread = 3.0 / np.sqrt(x.shape[1])
-    at = (unit @ basis / spread + 1.0 + shift) / 3.0
-    return hilbert_key(np.clip((at * (1 << bits)).astype(np.int64), 0, (1 << bits) - 1), bits)
+    spread = scale * 3.0 / np.sqrt(x.shape[1])
+    at = np.nan_to_num((x @ basis / spread + 1.0 + shift) / 3.0)
+    return hilbert_key(np.clip(at * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
 
 
 #: Points from whose keys the block borders are set; every point is indexed.
@@ -110,7 +111,7 @@ def _matrix(col) -> np.ndarray:
     return np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
 
 
-def _placer(frames, borders, bits: int, reach: int, salts: int):
+def _placer(frames, borders, bits: int, scale: float, reach: int, salts: int):
     """Rows for the curves: each point once, and each query point in every block of its window."""
 
     def place(batches):
@@ -123,7 +124,7 @@ def _placer(frames, borders, bits: int, reach: int, salts: int):
             asked = batch.column("wants").to_numpy(zero_copy_only=False).astype(bool)
             ids, own_salt = batch.column("ids"), vk % salts
             for c, frame in enumerate(frames):
-                block = np.searchsorted(borders[c], curve_keys(x, frame, bits), "right")
+                block = np.searchsorted(borders[c], curve_keys(x, frame, bits, scale), "right")
                 rows, at, salt, flag = [np.arange(len(x))], [block], [own_salt], [np.zeros(len(x), bool)]
                 who = np.flatnonzero(asked)
                 for d in range(-reach, reach + 1):
@@ -208,11 +209,12 @@ def hilbert_search(
         frames = curve_frames(x.shape[1], curves, dims, seed)
         blocks = min(400, max(1, min(len(x) // 50, max(2 * round(1 / window), n // BLOCK_ROWS))))
         cut = np.linspace(0, 1, blocks + 1)[1:-1]
-        borders = [np.quantile(curve_keys(x, f, bits), cut, method="lower") for f in frames]
+        scale = float(np.median(np.linalg.norm(x, axis=1)))
+        borders = [np.quantile(curve_keys(x, f, bits, scale), cut, method="lower") for f in frames]
         reach, salts = int(np.ceil(window * blocks)), max(1, -(-n // (blocks * BLOCK_ROWS)))
     else:
-        frames, borders, reach, salts = [], [], 0, 1
-    placed = points.mapInArrow(_placer(frames, borders, bits, reach, salts), _POINT)
+        frames, borders, scale, reach, salts = [], [], 1.0, 0, 1
+    placed = points.mapInArrow(_placer(frames, borders, bits, scale, reach, salts), _POINT)
     found = placed.groupBy("curve", "block", "salt").applyInArrow(_searcher(k), "pid long, vk long, vec_id long, score double")
     merged = found.groupBy("pid", "vk", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("pid", "vk").orderBy("score", "vec_id")
