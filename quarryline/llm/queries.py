@@ -70,7 +70,7 @@ def queries() -> dict:
     }
 
 
-#: Base figures and verdict of operator 5: lines by host and distinct text, over 100, the host's first document excepted.
+#: Base figures and verdict of operator 5: lines by host and distinct text, over a tenth of the host's texts (5 at least, 100 at most), the host's first document excepted.
 _LINES = r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, row_number() OVER () AS rid,
@@ -89,7 +89,8 @@ WITH d AS (
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT l) AS n FROM ln WHERE k <> '' GROUP BY rid
 ), often AS (
-  SELECT host, k, min(doc_id) AS first FROM ln WHERE k <> '' GROUP BY host, k HAVING count(DISTINCT text) > 100
+  SELECT host, k, min(doc_id) AS first FROM ln JOIN (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host) USING (host)
+  WHERE k <> '' GROUP BY host, k, docs HAVING count(DISTINCT text) > least(100, greatest(5, 0.1::DOUBLE * docs))
 ), gone AS (
   SELECT rid, sum(lw) AS n FROM ln JOIN often USING (host, k) WHERE doc_id <> first GROUP BY rid
 ), base AS (
@@ -123,6 +124,63 @@ FROM w LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Operator 4: the walk of jump hashing (a walk that has ended at b is kept as -b - 1), slots by a hash, and crc32 byte by byte.
+_JUMP = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i)
+  )
+), d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32, coalesce(doc_id::VARCHAR, 'null') AS k
+  FROM documents, tab
+), w AS (
+  SELECT *, {eight} AS s8, {nine} AS s9 FROM d
+), p AS (
+  SELECT *, CASE WHEN s8 < 0 THEN -s8 - 1 ELSE s8 END AS shard, CASE WHEN s9 < 0 THEN -s9 - 1 ELSE s9 END AS grown,
+         ('0x' || substr(md5(k || ':' || text_crc32::VARCHAR), 1, 8))::BIGINT % 256 AS part
+  FROM w
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS slot, grown::INTEGER AS grown_shard
+FROM p
+"""
+
+
+def _jump_sql() -> str:
+    def walk(shards: int) -> str:
+        to = "floor((b + 1)::DOUBLE / ((('0x' || substr(md5(k || ':' || b::VARCHAR), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0))"
+        step = f"CASE WHEN b < 0 THEN b WHEN {to} >= {shards} THEN -b - 1 ELSE {to}::BIGINT END"
+        return f"list_reduce(list_prepend(0::BIGINT, range({shards})), lambda b, _: {step})"
+
+    return _JUMP.replace("{eight}", walk(8)).replace("{nine}", walk(9))
+
+
+#: Operator 7: all pairs that share a shingle, and what is reachable by links.
+_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), sym AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT doc_id, doc_id AS t FROM d UNION SELECT r.doc_id, sym.b FROM r JOIN sym ON r.t = sym.a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def _poisson_sql(seed: int = 9) -> str:
     # Means of at most 16 need one part; larger ones are split, part i > 1 drawing from the draw and i.
     return f"""
@@ -147,4 +205,4 @@ FROM e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _SUBSTRING, "op5_line_frequency_rules": _LINES, "op9_poisson_mixing": _poisson_sql()}
+    return {"op3_substring_dedup": _SUBSTRING, "op4_jump_hash_shards": _jump_sql(), "op7_token_combination_join": _JOIN, "op5_line_frequency_rules": _LINES, "op9_poisson_mixing": _poisson_sql()}

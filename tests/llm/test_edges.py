@@ -491,3 +491,148 @@ def test_encoders_equal_the_library():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         e = PieceEncoder(public_path(name))
         assert e.encode(odd) == e._ids(odd), json.dumps(name)
+
+
+def test_op2_hears_both_sides_and_the_order(spark):
+    """A unigram model would score the shuffled texts like the others; one side alone could not tell the middle words apart."""
+    rng = random.Random(5)
+    middle = {(a, b): f"m{a}{b}" for a in range(6) for b in range(6)}
+    pick = lambda: (lambda a, b: f"l{a} {middle[a, b]} r{b}")(rng.randrange(6), rng.randrange(6))
+    corpus = [(i, " ".join(pick() for _ in range(30))) for i in range(400)]
+    model = mlm.fit_network(spark.createDataFrame(corpus, "doc_id long, text string"), rounds=12, share=0.5, batch_size=256)
+    held = [" ".join(pick() for _ in range(30)) for _ in range(20)]
+    mixed = [" ".join(rng.sample(t.split(), 90)) for t in held]
+    table = spark.createDataFrame(list(enumerate(held + mixed)), "doc_id long, text string")
+    score = {r.doc_id: r.pll for r in mlm.pseudo_likelihood(table, model=model).collect()}
+    assert all(score[i] > score[i + 20] + 50 for i in range(20))
+    net, vocab, rank = model
+
+    def middle_of(left: str, right: str) -> np.ndarray:
+        from quarryline.llm.common import hash_words
+
+        data = [np.frombuffer(w.encode(), np.uint8) for w in (left, right, *middle.values())]
+        ids = np.concatenate([mlm.word_ids(hash_words(d, np.array([0]), np.array([len(d)])), vocab, rank) for d in data])
+        window = np.array([[net.size, ids[0], ids[1], net.size]] * 36)
+        return mlm.log_probs(net, ids[2:], window).reshape(6, 6)
+
+    by_left, by_right = middle_of("l1", "r2") - middle_of("l4", "r2"), middle_of("l1", "r2") - middle_of("l1", "r5")
+    assert by_left[1].mean() > by_left[4].mean() + 0.5 and by_right[:, 2].mean() > by_right[:, 5].mean() + 0.5
+
+
+def test_op2_masks_do_not_depend_on_chunks():
+    """The same positions are trained on however documents are batched."""
+    texts = [f"w{i} w{i % 7} x{i % 3} y" for i in range(200)]
+    tokens = []
+
+    class Count(mlm.Trainer):
+        def learn(self, y, x):
+            tokens.append(sorted(map(tuple, np.column_stack([y, x]).tolist())))
+
+    import unittest.mock as mock
+
+    import pyarrow as pa
+
+    with mock.patch.object(mlm, "Trainer", Count), mock.patch.object(mlm, "TaskContext"):
+        for size in (200, 7):
+            net = mlm.Network.fresh()
+            list(mlm._train(net, np.zeros(0, np.uint64), np.zeros(0, np.int32), 0.3, 1, 10**6, 1)(pa.RecordBatch.from_pydict({"text": texts[i : i + size]}) for i in range(0, 200, size)))
+    assert tokens[0] == tokens[1] and len(tokens[0]) > 100
+
+
+def test_op8_risk_gradient_by_finite_differences():
+    rng = np.random.default_rng(1)
+    good, web = rng.normal(1, 1, (40, 5)), rng.normal(0, 1, (60, 5))
+    net = pu.PuNet(good, hidden=3)
+    zp, zu, prior = net.scaled(good), net.scaled(web), 0.3
+
+    def risk() -> tuple[float, float]:
+        gp, gu = net.forward(zp)[1], net.forward(zu)[1]
+        return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+    (hp, gp), (hu, gu) = net.forward(zp), net.forward(zu)
+    sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    as_good = net.gradient(zp, hp, prior * (sp - 1) / len(zp))
+    as_bad = [a + b for a, b in zip(net.gradient(zu, hu, su / len(zu)), net.gradient(zp, hp, -prior * sp / len(zp)), strict=True)]
+    for k, p in enumerate(net.p):
+        for i in np.ndindex(p.shape):
+            p[i] += 1e-6
+            up = risk()
+            p[i] -= 2e-6
+            down = risk()
+            p[i] += 1e-6
+            assert as_good[k][i] == pytest.approx((up[0] - down[0]) / 2e-6, abs=1e-6)
+            assert as_bad[k][i] == pytest.approx((up[1] - down[1]) / 2e-6, abs=1e-6)
+
+
+def test_op8_estimates_the_prior_without_negatives():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.6, 0.85):
+        good = rng.normal(2, 1, 4000)
+        web = np.where(rng.random(8000) < share, rng.normal(2, 1, 8000), rng.normal(-2, 1, 8000))
+        assert pu.estimate_prior(good, web) == pytest.approx(share, abs=0.06)
+    assert 0.05 <= pu.estimate_prior(np.ones(3), np.zeros(4)) <= 0.95
+
+
+def test_op7_tiles_of_a_large_group(spark, monkeypatch):
+    """One group over many tiles: chains of near copies that the hub does not link, and a class that fills tiles of its own."""
+    monkeypatch.setattr(ngram_join, "TILE", 4000)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(40):  # a chain: each differs from the last by one word, the ends by many
+        base = [*base]
+        base[3 * i] = f"c{i}"
+        texts.append(" ".join(base))
+    texts += [" ".join([*texts[0].split(), f"t{i}"]) for i in range(25)]
+    rng.shuffle(texts)
+
+    def shingles(t: str) -> set:
+        w = t.split()
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(table, often=2).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_op9_partitions_are_even_and_names_may_clash(spark):
+    table = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("some text").alias("text"), F.lit("mine").alias("mix_key"), F.lit(1).alias("__source"))
+    mixed = mixing.poisson_mix(table)
+    assert mixed.columns == ["doc_id", "source", "text", "__source", "mix_rate", "mix_count", "mix_copy", "mix_key"]
+    sizes = [r["count"] for r in mixed.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == n and max(sizes) <= 1.5 * sum(sizes) / n
+    assert set(mixing.poisson_mix(table, prefix="own_").columns) >= {"mix_key", "own_key"}
+
+
+def test_op6_many_groups_and_one_past_the_largest_id(spark):
+    texts = [(i, "word " * (i % 50)) for i in range(200)] + [(None, "none"), (2**63 - 1, "last")]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = packing.pack_documents(table, group_docs=10, capacity=64).collect()
+    fill = defaultdict(list)
+    for r in rows:
+        fill[r.sequence_id].append((r.offset, r.length))
+    assert len({s >> 32 for s in fill}) > 10
+    for parts in fill.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert {r.doc_id for r in rows} == {t[0] for t in texts}
+    assert {r.doc_id for r in substring.substring_digest(table).collect()} == {t[0] for t in texts}
+    assert {(r.doc_id, r.component_id) for r in ngram_join.similar_documents(table).collect()} >= {(None, None), (2**63 - 1, 2**63 - 1)}
+
+
+def test_op5_acts_in_small_hosts(spark):
+    rows = [(i, f"a line of host {'ab'[i % 2]}\n" + " ".join(f"w{i}x{k}" for k in range(60)), "ab"[i % 2]) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed_words for r in lines.line_verdicts(lines.measure_texts(table)).collect()}
+    assert got == {i: 0 if i < 2 else 5 for i in range(40)}  # the host's first document keeps its line
