@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
+from quarryline.sources import store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Bytes of query vectors sent to every task; more go through the blocked search.
@@ -31,18 +32,45 @@ class LexicalIndex:
     avgdl: float
 
 
-def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> LexicalIndex:
-    """BM25 tables. A negative weight becomes EPSILON times the mean of all weights."""
-    words = docs.select(F.col(key).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term"))
-    postings = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select(F.col(key).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("dl"))
+def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: str | None = None) -> LexicalIndex:
+    """BM25 tables, written to ``folder`` (one of its own in the shared folder if none is given).
+
+    A negative weight becomes EPSILON times the mean of all weights. Texts are cut into words
+    once: everything else reads the written tables.
+    """
+    spark = docs.sparkSession
+    folder = folder or store.scratch_path(spark, "index")
+    cut = store.spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    cut = cut.select("doc_id", F.array_remove(F.split(F.lower("text"), r"\s+"), "").alias("words"))
+    grouped = cut.select("doc_id", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    postings = store.written(grouped, f"{folder}/postings")
+    lengths = store.written(cut.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("dl")), f"{folder}/lengths")
     n, mean = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = terms.withColumn("raw", raw)
-    floor = terms.agg(F.avg("raw")).first()[0]
-    idf = F.when(F.col("raw") < 0, F.lit(EPSILON * (floor or 0.0))).otherwise(F.col("raw"))
-    return LexicalIndex(postings, lengths, terms.select("term", "df", idf.alias("idf")), n, mean or 0.0)
+    raw = store.written(terms.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), f"{folder}/raw_terms")
+    floor = raw.agg(F.avg("raw")).first()[0]
+    stats = spark.createDataFrame([(n, float(mean or 0.0), EPSILON * float(floor or 0.0))], "n_docs long, avgdl double, floor double")
+    store.written(stats, f"{folder}/stats")
+    return load_index(spark, folder)
+
+
+def load_index(spark, folder: str) -> LexicalIndex | None:
+    """The index written to a folder, or None if there is none; ``stats`` is written last."""
+    if not store.exists(spark, f"{folder}/stats/_SUCCESS"):
+        return None
+    n, mean, floor = spark.read.parquet(f"{folder}/stats").first()
+    terms = spark.read.parquet(f"{folder}/raw_terms")
+    idf = F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))
+    return LexicalIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), terms.select("term", "df", idf.alias("idf")), n, mean)
+
+
+def bootstrap_index(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text") -> tuple[LexicalIndex, bool]:
+    """The folder's index if it holds as many rows as ``docs``, else one built anew there; and whether it was built."""
+    found = load_index(docs.sparkSession, folder)
+    if found is not None and found.n_docs == docs.count():
+        return found, False
+    store.delete(docs.sparkSession, folder)
+    return build_index(docs, key=key, text=text, folder=folder), True
 
 
 def rank_top(scored: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -54,7 +82,8 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, *, query: str = "query_
     asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
-    hits = asked.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "doc_id")
+    # The questions' few terms meet the weights first, so only their postings go further.
+    hits = index.postings.join(asked.join(index.terms, "term"), "term").join(index.lengths, "doc_id")
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return rank_top(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
@@ -69,40 +98,54 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", k: int = 20, where: Column | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): exact cosine over all vectors, in blocks of queries.
 
-    Every batch of vectors is multiplied with the query matrix and leaves only its k best
-    for each query, so the shuffle holds k rows per query and batch. The query matrix goes
-    to the tasks if it is under BROADCAST_BYTES, else in slices of that size, one pass each.
+    Each task multiplies its vectors with the query matrix and keeps a running k best for each
+    query, so the shuffle holds k rows per query and task. The driver holds one slice of the
+    queries of at most BROADCAST_BYTES at a time, one pass over the vectors each, and the best
+    of a slice are written before the next is fetched.
     """
     base = (vectors.where(where) if where is not None else vectors).select(F.col(key).alias("doc_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
     asked = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("q")).where(F.col("q").isNotNull())
-    n = asked.count()
-    width = asked.select(F.max(F.size("q"))).first()[0] or 1
-    slices = max(1, -(-n * width * 8 // BROADCAST_BYTES))
+    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    slices = max(1, -(-n * (width or 1) * 8 // BROADCAST_BYTES))
     kind = queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
-    out = None
+    order, out = [F.desc("score"), F.asc("doc_id")], None
     for s in range(slices):
         part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toPandas()
         found = base.mapInPandas(_block_search(part, k), f"query_id {kind[0]}, doc_id {kind[1]}, score double")
+        found = rank_top(found, ["query_id"], order, k)
+        if slices > 1:
+            found = store.written(found, store.scratch_path(vectors.sparkSession, "dense"))
         out = found if out is None else out.unionByName(found)
-    return rank_top(out, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    return out
 
 
-def _block_search(asked: pd.DataFrame, k: int):
+def _block_search(asked: pd.DataFrame, k: int, rows: int = 1024):
     ids = asked["query_id"].to_numpy()
     q = np.array([np.asarray(v, np.float64) for v in asked["q"]]) if len(asked) else np.zeros((0, 1))
     norm = np.sqrt((q * q).sum(1))
 
     def run(batches):
+        best: list = [None] * -(-len(q) // rows)
         for pdf in batches:
             if not len(pdf) or not len(q):
                 continue
             v = np.array([np.asarray(x, np.float64) for x in pdf["v"]])
-            scale = norm[:, None] * np.sqrt((v * v).sum(1))[None]
-            score = np.round(np.divide(q @ v.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
+            size = np.sqrt((v * v).sum(1))
             docs = pdf["doc_id"].to_numpy()
-            for i in range(len(q)):
-                best = np.lexsort((docs, -score[i]))[:k]
-                yield pd.DataFrame({"query_id": np.repeat(ids[i], len(best)), "doc_id": docs[best], "score": score[i, best]})
+            docs = docs.astype(str) if docs.dtype == object else docs
+            for b in range(len(best)):
+                part = slice(b * rows, (b + 1) * rows)
+                scale = norm[part, None] * size[None]
+                score = np.round(np.divide(q[part] @ v.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
+                who = np.broadcast_to(docs, score.shape)
+                if best[b] is not None:
+                    score, who = np.concatenate([best[b][0], score], 1), np.concatenate([best[b][1], who], 1)
+                top = np.lexsort((who, -score), axis=1)[:, :k]
+                best[b] = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
+        for b, held in enumerate(best):
+            if held is not None:
+                width = held[0].shape[1]
+                yield pd.DataFrame({"query_id": np.repeat(ids[b * rows : (b + 1) * rows], width), "doc_id": held[1].ravel(), "score": held[0].ravel()})
 
     return run
 
