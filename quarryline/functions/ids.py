@@ -34,13 +34,23 @@ def fingerprint(content: Column, read_bytes: int = 8192) -> Column:
 
 
 def cache_key(path: Column, mtime: Column, parser: Column, method: Column) -> Column:
-    """md5 of a JSON object of the four, keys sorted."""
+    """md5 of a JSON object of the four, keys sorted, a space after each comma and colon."""
+
+    def quoted(value: Column) -> Column:
+        # A struct's JSON is {"v":"..."}: what stands after the colon is the escaped string.
+        return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+
     text = F.concat(
-        F.lit('{"file_path": "'), path, F.lit('", "mtime": '), mtime.cast("string"), F.lit(', "parse_method": "'), method, F.lit('", "parser": "'), parser, F.lit('"}'),
+        F.lit('{"file_path": '), quoted(path), F.lit(', "mtime": '), mtime.cast("string"), F.lit(', "parse_method": '), quoted(method), F.lit(', "parser": '), quoted(parser), F.lit("}"),
     )
     return F.md5(text)
 
 
+def data_hash(value: Column) -> Column:
+    """SHA-256 of a value's JSON; maps are written as entries in key order, so equal maps hash alike."""
+    return F.sha2(F.to_json(F.struct(value.alias("v"))), 256)
+
+
 def output_dir(path: Column) -> Column:
     """File stem and the first 8 hex digits of the path's md5."""
     stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")

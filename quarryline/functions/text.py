@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\n\r\f\x0B]+"
 
 
+#: Letters, the two dashes and the four curly quotes that scans spell out one by one.
+SPELT = "[A-Za-z\u2013\u2014\u2018\u2019\u201c\u201d]"
+
+
 def words(text: Column) -> Column:
     """White-space words."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -36,7 +40,7 @@ def ocr_clean(text: Column) -> Column:
 
     A space goes if the text around it is such a run: lone letters on both sides, and enough of them.
     """
-    run = r"(?<![^\s])(?:[A-Za-z] ){4,}[A-Za-z](?![^\s])"
+    run = rf"(?<![^\s])(?:{SPELT} ){{4,}}{SPELT}(?![^\s])"
     parts = F.split(F.regexp_replace(text, f"({run})", "\u0001$1\u0001"), "\u0001")
     joined = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, " ", "")).otherwise(p))
     return collapse_spaces(F.array_join(joined, ""))
@@ -44,6 +48,7 @@ def ocr_clean(text: Column) -> Column:
 
 def inline_markup(text: Column, italics: bool = True) -> Column:
     """Bold, italic, code, links and strike-through of Markdown as markup, after escaping."""
+    # Patterns and markup are fixed values of the output format.
     steps = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (r"\*\*(.*?)\*\*", "<b>$1</b>"), ("__(.*?)__", "<b>$1</b>")]
     if italics:
         steps += [(r"(?<!\w)\*([^*\n]+?)\*(?!\w)", "<i>$1</i>"), (r"(?<!\w)_([^_\n]+?)_(?!\w)", "<i>$1</i>")]
@@ -57,6 +62,7 @@ def inline_markup(text: Column, italics: bool = True) -> Column:
 
 def json_text(raw: Column) -> Column:
     """The JSON part of a model's answer: without fences, from the first brace or bracket to the last."""
+    # The fences' and brackets' patterns are fixed values.
     text = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
     found = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
     return F.trim(F.when(found != "", found).otherwise(text))
@@ -67,6 +73,11 @@ def parsed_json(raw: Column) -> Column:
     return F.try_parse_json(json_text(raw))
 
 
+def json_or(raw: Column, default: str) -> Column:
+    """The JSON as a variant, or that of ``default`` where there is none."""
+    return F.coalesce(parsed_json(raw), F.parse_json(F.lit(default)))
+
+
 def has_json(raw: Column) -> Column:
     return parsed_json(raw).isNotNull()
 

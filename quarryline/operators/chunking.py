@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+from functools import partial
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.sources.parsers import Registry
+
 SEPARATORS = ("```", "| ---", "\n\n", "\n", " ")
 
 
@@ -37,38 +42,39 @@ def parent_windows(df: DataFrame, *, doc: str = "doc_id", index: str = "chunk_in
     return out.withColumn("parent_tokens", F.size(F.filter(F.split("parent_text", r"\s+"), lambda w: w != "")))
 
 
-def _merge(parts: list[str], sep: str, size: int, overlap: int, length: Callable[[str], int]) -> Iterator[str]:
-    """Join neighbouring parts up to ``size``, starting the next piece with up to ``overlap`` of the last."""
-    held: list[str] = []
-    total, gap = 0, length(sep)
-    for part in parts:
-        n = length(part)
-        if held and total + n + gap > size:
-            yield sep.join(held)
-            while held and (total > overlap or total + n + gap > size):
-                total -= length(held[0]) + (gap if len(held) > 1 else 0)
-                held = held[1:]
-        total += n + (gap if held else 0)
-        held.append(part)
-    if held:
-        yield sep.join(held)
+def packed_spans(lengths: list[int], gap: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans [i, j) of neighbouring parts, ``gap`` between two of them: each as long as ``size`` allows, and each
+    begins with as many of the last one's parts as ``overlap`` allows and leave room for the part that follows.
+
+    With the parts' running sums, both borders of a span are searches in a sorted list.
+    """
+    ends = list(accumulate(lengths, lambda total, n: total + n + gap, initial=0))
+    spans, first = [], 0
+    while first < len(lengths):
+        last = max(first + 1, bisect_right(ends, ends[first] + gap + size) - 1)
+        spans.append((first, last))
+        if last == len(lengths):
+            break
+        first = min(last, bisect_left(ends, max(ends[last] - overlap, ends[last + 1] - size) - gap, first))
+    return spans
 
 
 def split_recursively(text: str, size: int, overlap: int, separators=SEPARATORS, length: Callable[[str], int] = lambda s: len(s.split())) -> list[str]:
-    """Pieces of at most ``size`` by the first separator the text has; what is longer goes to the next ones."""
-    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
-    sep, rest = separators[at], separators[at + 1 :]
-    out, small = [], []
-    for part in text.split(sep):
-        if not part:
-            continue
-        if length(part) < size:
-            small.append(part)
-            continue
-        out += _merge(small, sep, size, overlap, length)
-        small = []
-        out += split_recursively(part, size, overlap, rest, length) if rest else [part]
-    return out + list(_merge(small, sep, size, overlap, length))
+    """Pieces of at most ``size``: a text is parted at the first separator it holds, runs of parts under ``size``
+    are packed, and a part that is longer is parted again at the separators after; none left, it stays whole."""
+    place = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
+    separator, finer = separators[place], separators[place + 1 :]
+    pieces: list[str] = []
+    measured = ((part, length(part)) for part in text.split(separator) if part)
+    for fits, run in groupby(measured, key=lambda m: m[1] < size):
+        parts = list(run)
+        if fits:
+            spans = packed_spans([n for _, n in parts], length(separator), size, overlap)
+            pieces += [separator.join(part for part, _ in parts[i:j]) for i, j in spans]
+        else:
+            for part, _ in parts:
+                pieces += split_recursively(part, size, overlap, finer, length) if finer else [part]
+    return pieces
 
 
 def recursive_chunks(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 100, length: Callable[[str], int] | None = None) -> DataFrame:
@@ -90,14 +96,15 @@ def recursive_chunks(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.withColumnRenamed("k", key)
 
 
-#: Chunkers by name; a new one is registered by assignment.
-CHUNKERS: dict[str, Callable[..., DataFrame]] = {"fixed": fixed_windows, "recursive_character": recursive_chunks}
+#: Chunkers by name; a new one is registered with a maker that gives a function of a DataFrame.
+CHUNKERS = Registry("chunker")
+CHUNKERS.register("fixed", lambda **options: partial(fixed_windows, **options))
+CHUNKERS.register("recursive_character", lambda **options: partial(recursive_chunks, **options))
 
 
-def chunker(name: str) -> Callable[..., DataFrame]:
-    if name not in CHUNKERS:
-        raise ValueError(f"unknown chunker: {name}")
-    return CHUNKERS[name]
+def chunker(name: str, **options) -> Callable[..., DataFrame]:
+    """The named chunker with the options that are not None; an unknown name is an error."""
+    return CHUNKERS.make(name, **options)
 
 
 def token_count(text: Column) -> Column:

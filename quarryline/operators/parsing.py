@@ -136,6 +136,21 @@ def html_nodes(pages: DataFrame, *, key: str = "page_id", html: str = "html") ->
     return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, schema).withColumnRenamed("k", key)
 
 
+#: Tags that a page's own content does not stand in.
+OUTSIDE = ("nav", "header", "footer", "aside", "form")
+
+
+def main_content(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, text): the blocks of a page's main part, of <main> or <article> if it has one, else what stands outside
+    navigation, headers, footers and side columns. A stand-in for an extractor that weighs blocks."""
+    inner = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<(main|article)\b[^>]*>(.*)</\1>", 2)
+    rest = F.coalesce(F.col(html), F.lit(""))
+    for tag in OUTSIDE:
+        rest = F.regexp_replace(rest, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    rows = pages.select(F.col(key), F.when(inner != "", inner).otherwise(rest).alias(html))
+    return page_text(html_nodes(rows, key=key, html=html), key)
+
+
 def page_text(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     parts = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"])
     return nodes.groupBy(key).agg(F.array_join(parts, "\n\n").alias("text"))
@@ -144,6 +159,7 @@ def page_text(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 def layout_blocks(doc: dict) -> list[dict]:
     """Blocks of a layout tree, parents first; broken references are left out, groups and the body give none."""
     out: list[dict] = []
+    above: set[int] = set()  # nodes on the way down: a reference back to one of them is broken too
 
     def find(ref: str):
         node = doc
@@ -161,12 +177,16 @@ def layout_blocks(doc: dict) -> list[dict]:
                 out.append({"type": "text", "text": node.get("orig", ""), "page_idx": page})
             else:
                 out.append({"type": "image" if kind == "pictures" else "table", "text": json.dumps(node.get("data")) if node.get("data") is not None else None, "page_idx": page})
+        above.add(id(node))
         for child in node.get("children") or []:
             try:
                 ref = child["$ref"]
-                visit(ref.split("/")[1], find(ref))
+                below = find(ref)
+                if id(below) not in above:
+                    visit(ref.split("/")[1], below)
             except (KeyError, IndexError, ValueError, TypeError, AttributeError):
                 continue
+        above.discard(id(node))
 
     visit("body", doc.get("body") or {})
     return out

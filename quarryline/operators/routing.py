@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import words
+from quarryline.functions.text import json_text, words
+from quarryline.operators.models import json_field
 
 MAX_STEPS = 6
 CATEGORIES = ("factual", "comparative", "analytical", "summarization", "chitchat", "clarification", "procedural", "meta")
 #: Words that ask for the conversation itself. Fixed values.
 RECAP = "previous|discussed|conversation|recap"
 RECAP_ROUTE = RECAP + "|summarize our"
-#: Intent rules in the order they apply: the verb of a request before its topic.
+#: Intent rules in the order they apply: the verb of a request before its topic. The words are fixed values.
 INTENTS = (
     ("summarization", r"\b(give me points|list points|bullet points|key points|summari[sz]e|tldr|overview|executive summary|recap)\b"),
     ("comparative", r"\b(compare|vs|versus|difference between|which is better)\b"),
@@ -108,3 +109,82 @@ def overall_score(relevance: Column, covered: Column, level: Column, category: C
 
 def needs_refinement(score: Column, n_accepted: Column, level: Column) -> Column:
     return (score < 0.4) | (n_accepted < 2) | level.isin("empty", "insufficient")
+
+
+#: The record that stands for an answer that can't be read, and its strategy. Fixed values.
+FALLBACK = {
+    "primary_category": "factual",
+    "confidence_score": 0.6,
+    "chunking_strategy": "medium",
+    "max_retrieval_depth": 2,
+    "target_chunks": 5,
+    "complexity_level": 2,
+    "requires_citation": True,
+    "requires_source_attribution": True,
+}
+REQUIRED = ("primary_category", "confidence_score", "retrieval_strategy")
+
+
+def validated(answer: Column) -> Column:
+    """A router's JSON answer as a struct: the fallback record if a required field is missing, confidence bounded,
+    confirmation asked for below 0.7, and the changes that procedural questions and chitchat bring."""
+    v = F.try_parse_json(json_text(answer))
+
+    def field(path: str, kind: str) -> Column:
+        return F.try_variant_get(v, f"$.{path}", kind)
+
+    whole = F.coalesce(field("primary_category", "string").isNotNull() & field("confidence_score", "double").isNotNull() & field("retrieval_strategy", "variant").isNotNull(), F.lit(False))
+
+    def kept(name: str, path: str, kind: str) -> Column:
+        return F.when(whole, F.coalesce(field(path, kind), F.lit(FALLBACK[name]).cast(kind))).otherwise(F.lit(FALLBACK[name]).cast(kind))
+
+    category = kept("primary_category", "primary_category", "string")
+    confidence = valid_confidence(kept("confidence_score", "confidence_score", "double"))
+    procedural, chat = category == "procedural", category == "chitchat"
+    return F.struct(
+        category.alias("category"),
+        confidence.alias("confidence"),
+        (confidence < 0.7).alias("requires_confirmation"),
+        F.when(confidence < 0.7, F.array(F.lit("factual"), F.lit("analytical"))).otherwise(F.array().cast("array<string>")).alias("fallback_categories"),
+        F.when(procedural, "large").otherwise(kept("chunking_strategy", "retrieval_strategy.chunking_strategy", "string")).alias("chunking_strategy"),
+        F.when(procedural, 3).otherwise(kept("max_retrieval_depth", "retrieval_strategy.max_retrieval_depth", "int")).alias("max_retrieval_depth"),
+        F.when(chat, 0).otherwise(kept("target_chunks", "retrieval_strategy.target_chunks", "int")).alias("target_chunks"),
+        kept("complexity_level", "complexity_level", "int").alias("complexity"),
+        (~chat & kept("requires_citation", "requires_citation", "boolean")).alias("requires_citation"),
+        (~chat & kept("requires_source_attribution", "requires_source_attribution", "boolean")).alias("requires_source_attribution"),
+    )
+
+
+def complexity(question: Column) -> Column:
+    """Stand-in for the router's level: 2 up to twelve words, else 3."""
+    return F.when(F.size(words(question)) <= 12, 2).otherwise(3)
+
+
+def covered_with_fallback(found: Column, total: Column, assessed: Column | None = None) -> Column:
+    """Coverage by counts; below one half, what a model assesses counts instead, if there is one."""
+    counted = F.when(F.lit(assessed is not None) & (found < total * 0.5), F.coalesce(assessed if assessed is not None else found, F.lit(0))).otherwise(found)
+    return F.when(total > 0, F.least(counted / total, F.lit(1.0))).otherwise(F.lit(1.0))
+
+
+def chunk_grade(answer: Column) -> Column:
+    """A grader's JSON answer for a chunk as a struct; what can't be read is not relevant, with score 0."""
+    relevant = json_field(answer, "relevant", "boolean", False)
+    return F.struct(relevant.alias("relevant"), json_field(answer, "score", "double", 0.0).alias("score"), json_field(answer, "reason", "string", "not graded").alias("reason"))
+
+
+def deep_completeness(answer: Column) -> Column:
+    """A model's assessment as (level, missing_critical_info); without an answer that can be read: unknown, nothing missing."""
+    read = F.try_parse_json(json_text(answer)).isNotNull()
+    level = F.when(~F.coalesce(read, F.lit(False)), "unknown").when(json_field(answer, "sufficient", "boolean", False), "sufficient").otherwise("insufficient")
+    missing = F.coalesce(read, F.lit(False)) & json_field(answer, "missing_critical_info", "boolean", True)
+    return F.struct(level.alias("level"), missing.alias("missing_critical_info"))
+
+
+def acceptance(graded_relevant: Column, chunks: Column) -> Column:
+    """Accepted chunks of a round: the relevant ones, or all of them if the grader accepted none."""
+    return F.when(F.size(graded_relevant) > 0, graded_relevant).otherwise(chunks)
+
+
+def last_decision(history: DataFrame, *, by: str = "question_id", step: str = "step") -> DataFrame:
+    """(by, decision) of the last step of each history."""
+    return history.groupBy(by).agg(F.max_by("decision", step).alias("decision"))

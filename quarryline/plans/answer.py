@@ -1,6 +1,6 @@
 """Ingest and answer as batched plans.
 
-The loop runs over rounds, at most MAX_STEPS of them, and each round treats the live
+The loop runs over passes, at most MAX_STEPS of them, and each pass treats the live
 sub-questions of all questions at once. Models are plain functions over columns; the
 defaults are lexical stand-ins, not models.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from quarryline.functions.ids import fingerprint, point_id
 from quarryline.operators import context, routing
 from quarryline.operators.chunking import fixed_windows
-from quarryline.operators.retrieval import LexicalIndex, bm25_search, overlap_score, rerank
+from quarryline.operators.retrieval import LexicalIndex, bm25_search, dense_search, hybrid_search, overlap_score, query_variants, rerank, retrieval_decision, small_corpus_guard
+from quarryline.sources import store
 
 
 def ingest(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", size: int = 512, overlap: int = 64) -> DataFrame:
@@ -37,37 +38,104 @@ def extractive(question: Column, ctx: Column) -> Column:
     return F.concat(F.lit("From the documents: "), F.substring(ctx, 1, 300))
 
 
+def longer_words(query: Column, round_: Column) -> Column:
+    """Stand-in for the model that refines a query: its words of over three characters, one more each round."""
+    return F.array_join(F.filter(F.split(query, " "), lambda w: F.length(w) > 2 + round_), " ")
+
+
+def judged(n_relevant: Column, n_results: Column) -> Column:
+    """Stand-in evaluator of a round: enough if two fifths of what was found is relevant, else a better query is needed."""
+    return F.when(n_relevant >= 0.4 * n_results, "sufficient").otherwise("refine_query")
+
+
+def first_six(question: Column) -> Column:
+    """Stand-in for the model that rephrases: the first six words as the one alternative."""
+    return F.array(F.array_join(F.slice(F.split(question, " "), 1, 6), " "))
+
+
+def retrieve(live: DataFrame, chunks: DataFrame, index: LexicalIndex, *, vectors: DataFrame | None = None, embed: Callable | None = None, alternatives: Callable = first_six, k: int = 20, top: int = 5) -> DataFrame:
+    """The ``top`` reranked chunks of each live query (query_id, text, sub, round), all variants and both kinds of search fused.
+
+    Variants are searched in round 0 alone, and only the query itself where the corpus is small.
+    Without vectors and an embedder, the fusion is of the lexical lists.
+    """
+    asked = live.select("query_id", "text", F.when(F.col("round") == 0, alternatives(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("others"))
+    variants = small_corpus_guard(query_variants(asked, F.col("others")), index.n_docs)
+    variants = variants.withColumn("qv", F.concat_ws("@", "query_id", "variant"))
+
+    def parted(hits: DataFrame) -> DataFrame:
+        return hits.select(F.substring_index("query_id", "@", 1).alias("query_id"), F.substring_index("query_id", "@", -1).cast("int").alias("variant"), "doc_id", "rank")
+
+    sparse = parted(bm25_search(index, variants, query="qv", text="query_text", k=k))
+    dense = sparse.where("false")
+    if vectors is not None and embed is not None:
+        said = variants.where(F.trim(F.coalesce("query_text", F.lit(""))) != "")  # a refinement may leave no words
+        dense = parted(dense_search(vectors, embed(said, text="query_text"), key="chunk_id", vector="vector", query="qv", k=k))
+    hits = hybrid_search(dense, sparse).where(F.col("rank") <= k)
+    hits = hits.join(live, "query_id").join(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("text").alias("chunk"), "source", "section"), "doc_id")
+    return rerank(hits, query=F.col("sub"), text=F.col("chunk"), k=top)
+
+
 def answer(
-    questions: DataFrame, chunks: DataFrame, index: LexicalIndex, *, max_rounds: int = 3, grade: Callable = relevant, write: Callable = extractive, materialize: Callable[[DataFrame], DataFrame] = lambda d: d
-) -> DataFrame:
-    """(question_id, category, route, n_accepted, score, needs_refinement, sources, answer) of (question_id, question).
+    questions: DataFrame, chunks: DataFrame, index: LexicalIndex, *, max_rounds: int = 2, grade: Callable = relevant, write: Callable = extractive, evaluate: Callable = judged, refine: Callable = longer_words,
+    vectors: DataFrame | None = None, embed: Callable | None = None, target: int = 5, threshold: float = 0.85,
+) -> DataFrame:
+    """(question_id, category, route, steps, n_accepted, coverage, score, needs_refinement, sources, answer) of (question_id, question).
 
-    ``index`` is over chunk ids (``chunk_id``); ``chunks`` holds chunk_id, text, source, section.
-    Every sub-question is searched, and accepted chunks of all of them, the last included, are graded.
+    ``index`` is over chunk ids (``chunk_id``); ``chunks`` holds chunk_id, text, source, section. The
+    state of every question is a row; a pass retrieves for all that are at 'retrieve', decides, and
+    routes each to a refined query, the next sub-question or grading, up to MAX_STEPS passes. The
+    state of each pass is written, so that none is planned anew. Every sub-question's chunks are
+    graded, the last one's included.
     """
+    spark = questions.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return store.written(df, store.scratch_path(spark, name))
+
     state = questions.withColumn("category", routing.classify(F.col("question")))
-    state = state.withColumn("route", routing.route_after_classify(F.col("category"), F.lit(3), F.col("question")))
-    live = state.where("route = 'plan' or route = 'direct_synthesize'").withColumn("subs", routing.plan(F.col("question"), F.col("category")))
-    live = live.select("question_id", F.size("subs").alias("total"), F.posexplode("subs").alias("idx", "sub"))
-    live = live.select(F.concat_ws("#", "question_id", "idx").alias("query_id"), "question_id", "idx", "total", F.col("sub").alias("sub"), F.col("sub").alias("text"), F.lit(0).alias("round"))
-    accepted = None
-    for step in range(min(max_rounds, routing.MAX_STEPS)):
-        hits = bm25_search(index, live.select("query_id", "text"), k=20)
-        hits = hits.join(live, "query_id").join(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("text").alias("chunk"), "source", "section"), "doc_id")
-        top = rerank(hits, query=F.col("sub"), text=F.col("chunk"), k=5)
-        good = materialize(top.where(grade(F.col("sub"), F.col("chunk"))))
-        accepted = good if accepted is None else accepted.unionByName(good)
-        found = good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        # What found nothing is refined to its longer words and tried again.
-        live = materialize(live.join(found, "query_id", "left_anti").withColumn("text", F.array_join(F.filter(F.split("sub", " "), lambda w: F.length(w) > 3 + step), " ")).withColumn("round", F.col("round") + 1))
-    part = accepted.withColumn("part", context.context_part(F.col("source"), F.col("section"), F.col("chunk"))).withColumn("place", F.col("idx") * 100 + F.col("rerank"))
-    ctx = context.build_context(part, by="question_id", order="place")
-    foot = context.sources_footer(part, by="question_id", order="place")
-    names = context.distinct_sources(part, "question_id")
-    out = state.join(ctx, "question_id", "left").join(foot, "question_id", "left").join(names, "question_id", "left")
-    n = F.coalesce("n_chunks", F.lit(0))
-    level = routing.completeness(n, F.lit(5), F.col("category"))
-    score = routing.overall_score(F.when(n > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.when(n > 0, F.lit(1.0)).otherwise(F.lit(0.0)), level, F.col("category"))
+    state = state.withColumn("route", routing.route_after_classify(F.col("category"), routing.complexity(F.col("question")), F.col("question")))
+    planned = F.when(F.col("route") == "plan", routing.plan(F.col("question"), F.col("category"))).otherwise(F.array("question"))
+    state = kept(state.withColumn("subs", F.when(F.col("route") != "simple_response", planned).otherwise(F.array().cast("array<string>"))), "asked")
+    at = state.select("question_id", "subs", F.lit(0).alias("idx"), F.lit(0).alias("round"), F.lit(0).alias("steps"), F.element_at(F.col("subs"), 1).alias("text"), F.lit("retrieve").alias("next"))
+    at = at.where(F.size("subs") > 0)
+    rounds, done = [], []
+    for step in range(routing.MAX_STEPS):
+        live = at.withColumn("sub", F.element_at("subs", F.col("idx") + 1)).withColumn("query_id", F.concat_ws("#", "question_id", "idx"))
+        found = kept(retrieve(live.select("query_id", "question_id", "idx", "text", "sub", "round"), chunks, index, vectors=vectors, embed=embed), "found")
+        found = found.withColumn("good", grade(F.col("sub"), F.col("chunk")))
+        per = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("int")).alias("n_good"), F.max("rrf_score").alias("best"))
+        turn = live.join(per, "question_id", "left")
+        decision = retrieval_decision(F.col("best"), F.col("n"), evaluate(F.coalesce("n_good", F.lit(0)), F.col("n")), threshold)
+        turn = turn.withColumn("decision", decision).withColumns({"round": F.col("round") + 1, "steps": F.col("steps") + 1})
+        turn = kept(turn.withColumn("next", routing.route_after_retrieve(F.col("decision"), F.col("round"), F.lit(max_rounds), F.col("idx"), F.size("subs"), F.col("steps"))), "state")
+        # What a refined query is about to replace is not taken up.
+        closed = turn.where(F.col("next") != "refine_query").select("question_id", F.lit(step).alias("step"))
+        rounds.append(found.join(closed, "question_id"))
+        done.append(turn.where(F.col("next") == "grade").select("question_id", "steps"))
+        on = turn.where(F.col("next") != "grade")
+        again = F.col("next") == "refine_query"
+        text = F.when(again, refine(F.col("sub"), F.col("round"))).otherwise(F.element_at("subs", F.col("idx") + 2))
+        at = on.select("question_id", "subs", F.when(again, F.col("idx")).otherwise(F.col("idx") + 1).alias("idx"), F.when(again, F.col("round")).otherwise(0).alias("round"), "steps", text.alias("text"), F.lit("retrieve").alias("next"))
+        if at.isEmpty():
+            break
+    taken, ended = rounds[0], done[0]
+    for more, end in zip(rounds[1:], done[1:], strict=True):
+        taken, ended = taken.unionByName(more), ended.unionByName(end)
+    taken = kept(taken, "taken")
+    good = taken.where("good")
+    part = good.withColumn("part", context.context_part(F.col("source"), F.col("section"), F.col("chunk"))).withColumn("place", F.col("step") * 100 + F.col("rerank"))
+    ratio = taken.groupBy("question_id").agg(F.avg(F.col("good").cast("int")).alias("ratio"), F.collect_set(F.when(F.col("good"), F.col("sub"))).alias("answered"), F.sum(F.col("good").cast("int")).alias("n_accepted"))
+    out = state.join(ended, "question_id", "left").join(ratio, "question_id", "left")
+    for found in (context.build_context(part, by="question_id", order="place").drop("n_chunks"), context.sources_footer(part, by="question_id", order="place"), context.distinct_sources(part, "question_id")):
+        out = out.join(found, "question_id", "left")
+    n = F.coalesce("n_accepted", F.lit(0)).cast("int")
+    covered = routing.coverage(F.col("subs"), F.coalesce("answered", F.array().cast("array<string>")), n)
+    level = routing.completeness(n, F.lit(target), F.col("category"))
+    score = routing.overall_score(F.coalesce("ratio", F.lit(0.0)), covered, level, F.col("category"))
     said = context.with_citations(write(F.col("question"), F.col("context")), F.col("footer"))
     simple = F.when(F.col("route") == "simple_response", F.lit("Hello. Ask me about the documents."))
-    return out.select("question_id", "category", "route", n.alias("n_accepted"), score.alias("score"), routing.needs_refinement(score, n, level).alias("needs_refinement"), "sources", F.coalesce(simple, context.guard(n, F.col("category")), said).alias("answer"))
+    return out.select(
+        "question_id", "category", "route", F.coalesce("steps", F.lit(0)).alias("steps"), n.alias("n_accepted"), F.round(covered, 6).alias("coverage"), score.alias("score"),
+        routing.needs_refinement(score, n, level).alias("needs_refinement"), "sources", F.coalesce(simple, context.guard(n, F.col("category")), said).alias("answer"),
+    )

@@ -8,13 +8,14 @@ vector is that of its id. Dense ranks there exercise the operator; they say noth
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import ids, text
-from quarryline.operators import chunking, context, memory, parsing, retrieval, routing
-from quarryline.sources import files
+from quarryline.operators import chunking, context, memory, models, parsing, retrieval, routing
+from quarryline.sources import files, parsers, store
 from quarryline.streaming import streams
 
 QUERIES: dict = {}
@@ -43,6 +44,12 @@ def T(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _index(spark, d) -> retrieval.LexicalIndex:
+    """The documents' index: one a session and table, reused while its count of documents is the table's."""
+    folder = f"{store.shared_root(spark)}/bm25-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}"
+    return retrieval.bootstrap_index(T(spark, d, "documents"), folder)[0]
+
+
 def grid(spark: SparkSession, schema: str, rows: list) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -233,19 +240,19 @@ _BENCH_Q = f"q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id
 
 @query(f"WITH {_BM25_CTE} x AS (SELECT 1) SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_index_terms(spark, d):
-    return retrieval.build_index(T(spark, d, "documents")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25_CTE} x AS (SELECT 1) SELECT (SELECT n FROM st)::BIGINT AS n_docs, round((SELECT avgdl FROM st), 6) AS avgdl, (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM idf) AS n_terms")
 def bm25_index_stats(spark, d):
-    index = retrieval.build_index(T(spark, d, "documents"))
+    index = _index(spark, d)
     counts = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n_postings"), F.count(F.lit(1)).alias("n_terms"))
     return counts.select(F.lit(index.n_docs).cast("long").alias("n_docs"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), "n_postings", "n_terms")
 
 
 @query(f"WITH {_BM25_CTE} {_BENCH_Q} {_BM25_RANK.format(k=10)} SELECT query_id, doc_id, score, rank FROM sparse")
 def bm25_search_topk(spark, d):
-    return retrieval.bm25_search(retrieval.build_index(T(spark, d, "documents")), T(spark, d, "benchmark"), query="item_id")
+    return retrieval.bm25_search(_index(spark, d), T(spark, d, "benchmark"), query="item_id")
 
 
 _DENSE = """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
@@ -306,7 +313,7 @@ def rrf_fuse_two_lists(spark, d):
 def _hybrid(spark, d):
     """Both variants share their question's vector, for want of an embedding model."""
     v = _variants(spark, d).withColumn("qv", F.col("query_id") * 10 + F.col("variant"))
-    index = retrieval.build_index(T(spark, d, "documents"))
+    index = _index(spark, d)
     sparse = retrieval.bm25_search(index, v, query="qv", text="query_text", k=20)
     vectors = T(spark, d, "embeddings").join(T(spark, d, "documents").select("doc_id"), F.col("vec_id") == F.col("doc_id"))
     asked = v.join(T(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("qv", "embedding")
@@ -503,7 +510,7 @@ def context_legacy(spark, d):
     return rows.select("lang", F.md5(context.legacy_context(F.col("parts"))).alias("context_md5"))
 
 
-@query(f"""SELECT n, category, CASE WHEN category IN ('chitchat', 'meta') THEN NULL WHEN n = 0 THEN '{context.NO_CONTEXT}' WHEN category = 'comparative' AND n < 2 THEN '{context.COMPARE_MORE}' END AS message
+@query(f"""SELECT n, category, CASE WHEN category IN ('chitchat', 'meta') THEN NULL WHEN n = 0 THEN '{context.NO_CONTEXT}' WHEN category = 'comparative' AND n < 2 THEN '{context.COMPARE_MORE.replace("'", "''")}' END AS message
 FROM {_SQL_CATS}, (SELECT unnest(range(0, 3))::INT AS n)""")
 def context_guard(spark, d):
     df = grid(spark, "category string, n int", [(c, n) for c in routing.CATEGORIES for n in range(3)])
@@ -526,7 +533,18 @@ def distinct_sources(spark, d):
     return context.distinct_sources(T(spark, d, "documents"), "lang").select("lang", F.array_join("sources", ",").alias("sources"))
 
 
-@query()
+def _prompt_sql() -> str:
+    def said(t: str) -> str:
+        return "'" + t.replace("'", "''") + "'"
+
+    category = "CASE item_id % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(routing.CATEGORIES)) + " END"
+    task = "CASE category " + " ".join(f"WHEN '{k}' THEN {said(v)}" for k, v in context.TASKS.items()) + " END"
+    body = f"{task} || chr(10) || chr(10) || 'Question: ' || text"
+    wrapped = "chr(10) || chr(10) || '<retrieved_context>' || chr(10) || 'evidence' || chr(10) || '</retrieved_context>'"
+    return f"SELECT item_id, category, CASE WHEN category IN ('chitchat', 'meta') THEN {body} ELSE {said(context.FIREWALL)} || {body} || {wrapped} END AS prompt FROM (SELECT *, {category} AS category FROM benchmark)"
+
+
+@query(_prompt_sql())
 def synthesis_prompts(spark, d):
     rows = T(spark, d, "benchmark").withColumn("category", F.element_at(F.array(*map(F.lit, routing.CATEGORIES)), (F.col("item_id") % 8 + 1).cast("int")))
     return rows.select("item_id", "category", context.prompt(F.col("category"), F.col("text"), context.wrap(F.lit("evidence"))).alias("prompt"))
@@ -621,37 +639,48 @@ def layout_block_tree(spark, d):
     return parsing.layout_table(T(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(json.dumps(_TREE)).alias("tree")))
 
 
-@query()
+#: UUIDv5 of a column ``name``, from the SHA-1 of the namespace and it.
+_UUID5 = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+_SHA1 = f"sha1(unhex('{ids.DNS_NAMESPACE}') || encode({{name}}))"
+
+
+@query(f"""SELECT {_UUID5} AS point_id, doc_id, chunk_index, text, source_file, fingerprint FROM (
+SELECT doc_id::VARCHAR AS doc_id, chunk_index, chunk_text AS text, source AS source_file, {_SHA1.format(name="doc_id || '_' || chunk_index")} AS h,
+substr(sha256(encode(strlen(full_text)::VARCHAR) || encode(full_text)[1:8192]), 1, 24) AS fingerprint
+FROM ({_CHUNKS.format(step=448, size=512)}) JOIN (SELECT doc_id, source, text AS full_text FROM documents) USING (doc_id))""")
 def ingest_chunks(spark, d):
     from quarryline.plans.answer import ingest
 
     return ingest(T(spark, d, "documents"))
 
 
+#: Openings that make the benchmark's items questions of several categories.
+_OPENINGS = ("compare ", "what is ", "steps to ", "hello ", "why did ")
+
+
 @query()
 def answer_questions(spark, d):
     from quarryline.plans.answer import answer
 
     chunks = chunking.fixed_windows(T(spark, d, "documents")).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), F.col("chunk_text").alias("text"), "source", F.col("lang").alias("section"))
-    asked = T(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit("compare "), "text").alias("question"))
+    chunks = store.written(chunks, store.scratch_path(spark, "chunks"))
+    opening = F.element_at(F.array(*map(F.lit, _OPENINGS)), (F.col("item_id") % len(_OPENINGS) + 1).cast("int"))
+    asked = T(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(opening, "text").alias("question"))
     return answer(asked, chunks, retrieval.build_index(chunks, key="chunk_id"))
 
 
 def _stream_dir(spark) -> str:
-    import tempfile
-    import uuid
+    return store.scratch_path(spark, "stream")
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quarryline-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-
-@query()
+@query(f"""SELECT doc_id, chunk_index, text, ingest_ts, {_UUID5} AS point_id FROM (SELECT *, {_SHA1.format(name="doc_id || '_' || chunk_index")} AS h FROM (
+SELECT doc_id % 100 AS doc_id, 0 AS chunk_index, text, doc_id AS ingest_ts, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id DESC, text DESC) AS n FROM documents) WHERE n = 1)""")
 def stream_ingest_upsert(spark, d):
     at = _stream_dir(spark)
     docs = T(spark, d, "documents")
     rows = spark.readStream.schema(docs.schema).parquet(f"{d}/documents.parque[t]").select((F.col("doc_id") % 100).alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.col("doc_id").alias("ingest_ts"))
     streams.ingest_stream(rows, f"{at}/table", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/table/version=0")
+    return streams.read_ingested(spark, f"{at}/table")
 
 
 @query()
@@ -667,3 +696,167 @@ def stream_session_ttl(spark, d):
 
     out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
+
+
+# ---------------------------------------------------------------- model seam, stores, histories
+
+
+def _turn_pairs(spark, d):
+    return T(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("user"), F.when(F.col("role") != "user", F.col("text")).alias("assistant"))
+
+
+_HISTORY = """SELECT conv_id, any_value(total) AS n_turns, string_agg(place || '. User: ' || CASE WHEN role = 'user' THEN coalesce(text, '') ELSE '' END || chr(10) || '   Assistant: ' || CASE WHEN role = 'user' THEN '' ELSE coalesce(text, '') END, chr(10) ORDER BY turn) AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations) WHERE n <= 5) GROUP BY conv_id"""
+
+
+@query(_HISTORY)
+def history_lines(spark, d):
+    return context.history_lines(_turn_pairs(spark, d), by="conv_id", turn="turn", user="user", assistant="assistant")
+
+
+@query(f"""SELECT conv_id, chr(10) || 'Previous conversation turns:' || chr(10) || history || chr(10) || chr(10) || 'Conversation analysis:' || chr(10) || '- Total turns: ' || n_turns || chr(10)
+|| '- Turn depth for context: ' || least(n_turns, 5) || chr(10) || '- This appears to be a follow-up question that may reference previous context.' || chr(10) AS told FROM ({_HISTORY})""")
+def router_history(spark, d):
+    return history_lines(spark, d).select("conv_id", context.router_history(F.col("history"), F.col("n_turns")).alias("told"))
+
+
+def _attempts(spark, d):
+    return T(spark, d, "conversations").select("conv_id", F.col("turn").alias("step"), F.col("text").alias("query"), F.concat(F.lit("as "), "role").alias("reasoning"), F.when(F.col("turn") % 2 == 0, "sufficient").otherwise("refine_query").alias("decision"))
+
+
+_ATTEMPTS = """SELECT conv_id, string_agg('Round ' || place || ': query=' || chr(39) || text || chr(39) || ' -> as ' || role, chr(10) ORDER BY turn) AS history
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 2) GROUP BY conv_id"""
+
+
+@query(f"SELECT conv_id, 'Original question: q' || chr(10) || chr(10) || 'Previous retrieval attempts:' || chr(10) || history || chr(10) || chr(10) || 'Give a better search query that avoids what didn''t work, and nothing else.' AS prompt FROM ({_ATTEMPTS})")
+def refinement_prompts(spark, d):
+    return context.attempts(_attempts(spark, d), by="conv_id", step="step").select("conv_id", context.refinement_prompt(F.lit("q"), F.col("history")).alias("prompt"))
+
+
+@query("SELECT conv_id, CASE WHEN max(turn) % 2 = 0 THEN 'sufficient' ELSE 'refine_query' END AS decision FROM conversations GROUP BY conv_id")
+def last_decision(spark, d):
+    return routing.last_decision(_attempts(spark, d), by="conv_id")
+
+
+@query("""SELECT conv_id, 'Original question: q' || chr(10) || 'Search query used: s' || chr(10) || chr(10) || 'Retrieved chunks:' || chr(10) || string_agg('Chunk ' || n || ': ' || substr(text, 1, 300) || '...', chr(10) ORDER BY turn)
+|| chr(10) || chr(10) || 'Answer in JSON with scores, decision (sufficient, refine_query, expand_search or exhausted), reasoning and refined_query.' AS prompt
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) GROUP BY conv_id""")
+def evaluation_prompts(spark, d):
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return T(spark, d, "conversations").groupBy("conv_id").agg(texts.alias("texts")).select("conv_id", context.evaluation_prompt(F.lit("q"), F.lit("s"), F.col("texts")).alias("prompt"))
+
+
+@query("""SELECT conv_id AS session_id, any_value('u' || conv_id % 7) AS user_id, substr(string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || coalesce(text, ''), chr(10) ORDER BY turn), 1, 200) AS summary,
+count(*)::INT AS turn_count, max(turn) AS created_at FROM conversations GROUP BY conv_id""")
+def compress_sessions(spark, d):
+    turns = T(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string")).alias("user_id"), "turn", "role", "text", F.col("turn").alias("ts"))
+    return memory.compress_sessions(turns).drop("topic_tags")
+
+
+@query("SELECT user_id, recency, '[' || strftime(ts, '%Y-%m-%d %H:%M') || ' | Topics: ' || event_type || '] ' || props AS line FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS recency FROM events WHERE user_id % 10 = 0) WHERE recency <= 5")
+def episodes_saved_and_loaded(spark, d):
+    events = T(spark, d, "events")
+    folder = store.scratch_path(spark, "episodes")
+    memory.save_episodes(events.select("user_id", F.col("event_id").alias("session_id"), F.col("props").alias("summary"), F.array("event_type").alias("topic_tags"), F.lit(1).alias("turn_count"), F.col("ts").alias("created_at")), folder)
+    return memory.load_episodes(spark, folder, events.where("user_id % 10 = 0").select("user_id").distinct())
+
+
+@query("SELECT doc_id, md5(text) AS parsed_md5 FROM documents WHERE source <> 'src1' AND text IS NOT NULL")
+def parse_cache_roundtrip(spark, d):
+    cache = store.ParseCache(spark, store.scratch_path(spark, "cache"))
+    docs = T(spark, d, "documents").where("text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("string").alias("cache_key"), F.col("source").alias("source_file"), F.to_json(F.struct("text")).alias("parsed"))
+    corrupt = rows.limit(1).select(F.lit("corrupt").alias("cache_key"), "source_file", F.lit("{").alias("parsed"))  # one row that must evict itself
+    cache.store(rows.unionByName(corrupt))
+    cache.invalidate("src1")
+    kept = cache.get(rows.select("cache_key")).where("parsed IS NOT NULL")
+    return kept.select(F.col("cache_key").cast("long").alias("doc_id"), F.md5(F.get_json_object("parsed", "$.text")).alias("parsed_md5"))
+
+
+@query("SELECT doc_id, chunk_index, md5(chunk_text) AS text_md5, 64 AS width, 'hashed' AS model_name FROM (" + _CHUNKS.format(step=448, size=512) + ")")
+def embed_chunks(spark, d):
+    chunks = chunking.fixed_windows(T(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", F.col("chunk_text").alias("text"))
+    out = models.embed_documents(chunks)
+    return out.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"), F.size("vector").alias("width"), "model_name")
+
+
+@query("SELECT doc_id, sum(n)::BIGINT AS n_chunks FROM (SELECT doc_id, count(*) AS n FROM (" + _CHUNKS.format(step=448, size=512) + ") GROUP BY doc_id) GROUP BY doc_id")
+def ingest_outputs(spark, d):
+    """Two ingests into one store: the second replaces its own documents' parts and leaves the others."""
+    chunks = chunking.fixed_windows(T(spark, d, "documents").select("doc_id", "text"))
+    folder = store.scratch_path(spark, "ingest")
+    store.dump_ingest(chunks, None, folder)
+    store.dump_ingest(chunks.where("doc_id % 3 = 0"), None, folder)
+    return spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+_ROUTER_ANSWERS = [
+    (1, '```json\n{"primary_category": "procedural", "confidence_score": 0.9, "retrieval_strategy": {"chunking_strategy": "small", "target_chunks": 4}, "complexity_level": 3}\n```'),
+    (2, '{"primary_category": "chitchat", "confidence_score": 1.7, "retrieval_strategy": {}, "requires_citation": true}'),
+    (3, '{"primary_category": "analytical", "confidence_score": 0.4}'),
+    (4, "no json"),
+    (5, '{"primary_category": "comparative", "confidence_score": 0.3, "retrieval_strategy": {"max_retrieval_depth": 4}}'),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, 'procedural', 0.9::DOUBLE, false, '', 'large', 3, 4, 3, true, true), (2, 'chitchat', 0.7::DOUBLE, false, '', 'medium', 2, 0, 2, false, false),
+(3, 'factual', 0.6::DOUBLE, true, 'factual,analytical', 'medium', 2, 5, 2, true, true), (4, 'factual', 0.6::DOUBLE, true, 'factual,analytical', 'medium', 2, 5, 2, true, true),
+(5, 'comparative', 0.3::DOUBLE, true, 'factual,analytical', 'medium', 4, 5, 2, true, true))
+t(id, category, confidence, requires_confirmation, fallback_categories, chunking_strategy, max_retrieval_depth, target_chunks, complexity, requires_citation, requires_source_attribution)""")
+def router_validation(spark, d):
+    df = grid(spark, "id int, answer string", _ROUTER_ANSWERS).select("id", routing.validated(F.col("answer")).alias("r"))
+    return df.select("id", "r.*").withColumn("fallback_categories", F.array_join("fallback_categories", ","))
+
+
+@query("""SELECT * FROM (VALUES (1, true, 0.8::DOUBLE, 'sufficient', false), (2, false, 0.0::DOUBLE, 'unknown', false), (3, false, 0.0::DOUBLE, 'insufficient', true)) t(id, relevant, score, level, missing_critical_info)""")
+def grader_defaults(spark, d):
+    rows = [(1, '{"relevant": true, "score": 0.8, "reason": "x"}', '{"sufficient": true, "missing_critical_info": false}'), (2, "?", "?"), (3, '{"score": "high"}', '{"sufficient": false}')]
+    df = grid(spark, "id int, grade string, deep string", rows).select("id", routing.chunk_grade(F.col("grade")).alias("g"), routing.deep_completeness(F.col("deep")).alias("d"))
+    return df.select("id", "g.relevant", "g.score", "d.level", "d.missing_critical_info")
+
+
+@query("SELECT source, round(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / count(*), 6) AS coverage FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def coverage_by_counts(spark, d):
+    per = _graded(spark, d).groupBy("source").agg(F.sum((F.col("quality") == 1).cast("int")).alias("found"), F.count(F.lit(1)).alias("total"))
+    return per.select("source", F.round(routing.covered_with_fallback(F.col("found"), F.col("total")), 6).alias("coverage"))
+
+
+@query("SELECT count(*) AS calls, sum(turn)::BIGINT AS prompt_tokens, sum(length(text))::BIGINT AS completion_tokens, sum(turn + length(text))::BIGINT AS total_tokens FROM conversations")
+def model_call_totals(spark, d):
+    return models.token_totals(T(spark, d, "conversations").select(F.col("turn").alias("prompt_tokens"), F.length("text").cast("long").alias("completion_tokens")))
+
+
+@query("""SELECT path, content AS text FROM (SELECT 'd' || doc_id AS path, replace(text, chr(12), ' ') || chr(10) AS content FROM documents)""")
+def parse_files_by_page(spark, d):
+    docs = T(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.replace("text", F.lit("\f"), F.lit(" ")), "UTF-8").alias("content"))
+    return parsers.parse_files(docs).select("path", "text")
+
+
+@query()
+def main_content(spark, d):
+    return parsing.main_content(T(spark, d, "pages"))
+
+
+@query("""SELECT item_id, round(coalesce(n_read, 0) / n_lines, 6) AS share FROM (SELECT item_id, len(string_split(text, ' ')) AS n_lines, len(list_filter(string_split(text, ' '), lambda w: length(w) > 3)) AS n_read FROM benchmark)""")
+def refined_query_share(spark, d):
+    """How much of each question its first refinement keeps."""
+    from quarryline.plans.answer import longer_words
+
+    kept = F.filter(F.split(longer_words(F.col("text"), F.lit(1)), " "), lambda w: w != "")
+    return T(spark, d, "benchmark").select("item_id", F.round(F.size(kept) / F.size(F.split("text", " ")), 6).alias("share"))
+
+
+@query("SELECT doc_id, sha256('{\"v\":{\"lang\":\"' || lang || '\",\"n\":' || n_chars || '}}') AS hash FROM documents")
+def data_hash(spark, d):
+    return T(spark, d, "documents").select("doc_id", ids.data_hash(F.struct("lang", F.col("n_chars").alias("n"))).alias("hash"))
+
+
+@query("SELECT doc_id, regexp_extract(source, '[^/]*$') || '_' || substr(md5(source), 1, 8) AS dir FROM documents")
+def output_dirs(spark, d):
+    return T(spark, d, "documents").select("doc_id", ids.output_dir(F.col("source")).alias("dir"))
+
+
+@query("SELECT doc_id, chunk_index, chunk_text AS text FROM (" + _CHUNKS.format(step=448, size=512) + ")")
+def chunk_payload(spark, d):
+    chunks = chunking.chunker("fixed", size=512, overlap=None)(T(spark, d, "documents").select("doc_id", "text"))
+    return files.payload(chunks.withColumn("text", F.col("chunk_text")).withColumn("parent_text", F.lit("not kept")))

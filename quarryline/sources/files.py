@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.ids import point_id
 from quarryline.schemas import PAYLOAD
+from quarryline.sources.store import exists
 
+#: Extensions by parser; fixed values.
 HTML = (".html", ".htm", ".xhtml")
 OFFICE = (".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx")
 TEXT = (".txt", ".md")
@@ -30,7 +32,10 @@ def suffix(path: Column) -> Column:
 
 
 def scan_files(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    """Supported files: path, modificationTime, length, content."""
+    """Supported files: path, modificationTime, length, content. Paths that are not there are skipped."""
+    paths = [p for p in paths if exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("ignoreMissingFiles", "true").load(paths)
     return files.where(suffix(F.col("path")).isin(*SUPPORTED))
 
@@ -47,7 +52,7 @@ def chunk_strategy(path: Column) -> Column:
 
 def mime_type(path: Column) -> Column:
     """Null for an extension without one."""
-    return F.element_at(F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv]), F.ltrim(F.lit("."), suffix(path)))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in MIME_TYPES.items() for x in kv]), F.substring(suffix(path), 2, 10))
 
 
 def page_ranges(pages: Column, most: int = 20) -> Column:
@@ -58,8 +63,8 @@ def page_ranges(pages: Column, most: int = 20) -> Column:
 
 def upsert(new: DataFrame, old: DataFrame | None = None, version: str = "ingest_ts") -> DataFrame:
     """Rows by point id, the last version of each; ties of version go to the larger text."""
-    rows = new.withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index")))
-    rows = old.unionByName(rows, allowMissingColumns=True) if old is not None else rows
+    rows = old.unionByName(new, allowMissingColumns=True) if old is not None else new
+    rows = rows.withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index")))
     last = Window.partitionBy("point_id").orderBy(F.col(version).desc(), F.col("text").desc())
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 

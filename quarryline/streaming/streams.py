@@ -3,26 +3,56 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarryline.functions.ids import point_id
+from quarryline.sources import store
 from quarryline.sources.files import upsert
 
 SESSION_TTL_S = 7200
+#: Parts of the ingested table; a micro-batch rewrites those alone that it touches.
+PARTS = 64
+
+
+def _current(spark: SparkSession, target: str, epoch: int) -> dict[int, str]:
+    """Path of each part's newest version that an epoch up to ``epoch`` wrote whole."""
+    fs, where = store._fs(spark, target)
+    newest: dict[int, tuple[int, str]] = {}
+    for version in fs.listStatus(where) if fs.exists(where) else []:
+        name = version.getPath().getName()
+        number = int(name.removeprefix("version=")) if name.startswith("version=") else epoch + 1
+        if number <= epoch and store.exists(spark, f"{target}/{name}/_SUCCESS"):
+            for part in fs.listStatus(version.getPath()):
+                label = part.getPath().getName()
+                if label.startswith("part="):
+                    k = int(label.removeprefix("part="))
+                    newest[k] = max(newest.get(k, (-1, "")), (number, f"{target}/{name}/{label}"))
+    return {k: path for k, (_, path) in newest.items()}
+
+
+def read_ingested(spark: SparkSession, target: str, epoch: int = 1 << 62) -> DataFrame | None:
+    """The table as it stands: each part's newest version."""
+    paths = list(_current(spark, target, epoch).values())
+    return spark.read.parquet(*paths) if paths else None
 
 
 def ingest_stream(stream: DataFrame, target: str, checkpoint: str):
-    """Upsert each micro-batch into a versioned Parquet table: readers take the highest version.
+    """Upsert each micro-batch into a table of ``PARTS`` parts by point id, of which it rewrites those it touches.
 
-    A repeated batch writes the same version anew, so a restart after a lost driver changes nothing.
+    A repeated batch reads the versions before its own and writes its own anew, so a restart after
+    a lost driver changes nothing.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{target}/version={epoch - 1}") if epoch else None
-        old = old.drop("point_id") if old is not None else None
-        upsert(batch, old).write.mode("overwrite").parquet(f"{target}/version={epoch}")
+        part = F.pmod(F.xxhash64(point_id(F.col("doc_id"), F.col("chunk_index"))), F.lit(PARTS)).cast("int")
+        new = batch.withColumn("part", part)
+        touched = {r.part for r in new.select("part").distinct().collect()}
+        held = [path for k, path in _current(spark, target, epoch - 1).items() if k in touched]
+        old = spark.read.parquet(*held).drop("point_id").withColumn("part", part) if held else None
+        upsert(new, old).write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={epoch}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -30,29 +60,27 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str):
 def session_stream(turns: DataFrame, *, ttl_s: int = SESSION_TTL_S, keep: int = 10) -> DataFrame:
     """(session_id, n_turns, recent, expired): sessions that end ``ttl_s`` after their last write, by event time ``ts``.
 
-    State holds the last ``keep`` turns of a session, not the session.
+    State holds the last ``keep`` turns of a session as an array, not the session.
     """
 
     def step(key, batches, state: GroupState):
         if state.hasTimedOut:
             n, said = state.get
             state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "n_turns": [n], "recent": [said], "expired": [True]})
+            yield pd.DataFrame({"session_id": [key[0]], "n_turns": [n], "recent": [list(said)], "expired": [True]})
             return
-        n, said = state.get if state.exists else (0, "[]")
-        lines = pd.Series(said[1:-1].split("␞") if said != "[]" else [], dtype=str).tolist()
-        last = 0
+        n, said = state.get if state.exists else (0, [])
+        said, last = list(said), 0
         for pdf in batches:
             pdf = pdf.sort_values("turn")
             n += len(pdf)
-            lines = (lines + (pdf["role"] + ": " + pdf["text"]).tolist())[-keep:]
+            said = (said + (pdf["role"] + ": " + pdf["text"]).tolist())[-keep:]
             last = max(last, int(pdf["ts"].max().timestamp() * 1000))
-        said = "[" + "␞".join(lines) + "]"
         state.update((n, said))
         state.setTimeoutTimestamp(max(last + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"session_id": [key[0]], "n_turns": [n], "recent": [said], "expired": [False]})
 
-    rows = turns.withWatermark("ts", "10 minutes").select("session_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), "ts")
+    rows = turns.withWatermark("ts", "10 minutes").select("session_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "ts")
     return rows.groupBy("session_id").applyInPandasWithState(
-        step, "session_id string, n_turns long, recent string, expired boolean", "n long, said string", "update", GroupStateTimeout.EventTimeTimeout
+        step, "session_id string, n_turns long, recent array<string>, expired boolean", "n long, said array<string>", "update", GroupStateTimeout.EventTimeTimeout
     )
