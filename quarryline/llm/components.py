@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialize
+from quarryline.llm.common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,4 +35,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if tuple(now) == mark or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         mark = tuple(now)
-        e = materialize(_star(_star(e, True), False), "edges")
+        old, e = e, materialize(_star(_star(e, True), False), "edges")
+        discard(old)

@@ -12,7 +12,8 @@ costs is rows x queries x share, done in blocks of matrix products.
 Defined results: rows whose vector is null, zero, of another length than ``dim`` or holds
 null or non-finite components take no part. Equal vectors are one point of the curve, with
 their k + 1 smallest ids, so a vector that fills a third of the table costs one row and
-ties still go to the smaller id. Repeated ids with the same vector count once. An empty
+ties still go to the smaller id. Repeated ids with the same vector count once; with different
+vectors, such an id's nearest of all its vectors count. An empty
 table gives an empty result.
 """
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import hash_words, lower_ascii, materialize, mix, text_chunks, tune, window_hash, word_spans
+from quarryline.llm.common import discard, hash_words, lower_ascii, materialize, mix, text_chunks, tune, window_hash, word_spans
 from quarryline.llm.components import components
 
 _U = np.uint64
@@ -317,6 +317,7 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     sigs = materialize(sigs, "signatures")
     buckets = sigs.groupBy("sig", "double").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).where("size > 1")
     shared = materialize(sigs.join(buckets, ["sig", "double"]), "shared")
+    discard(sigs, counts)
     few = ~F.col("double") & (F.col("size") <= often)
     lists = shared.where(few).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("rep", "n", "l"))).alias("m"))
     pairs = lists.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as x, y as y))))")).alias("p"))
@@ -325,9 +326,11 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     pairs = materialize(pairs.where("c >= l").select("a", "b"), "pairs")
     edges = shared.where(~few & (F.col("rep") != F.col("hub"))).groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("c"))
     edges = materialize(edges, "hubs")
+    discard(shared)
     groups = materialize(components(edges, "rep", "hub"), "groups")
     best = edges.groupBy("rep").agg(F.max(F.struct("c", (-F.col("hub")).alias("hub"))).alias("m")).select(F.col("rep").alias("a"), (-F.col("m.hub")).alias("b"))
-    pairs = materialize(pairs.unionByName(best).distinct(), "to_verify")
+    near, pairs = pairs, materialize(pairs.unionByName(best).distinct(), "to_verify")
+    discard(near, edges)
     wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).unionByName(groups.select(F.col("node").alias("rep"))).distinct()
     # The texts of the sets to verify move once, at every size of the corpus alike.
     sets = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.hint("merge"), "rep").mapInArrow(_full_sets(words), "rep long, tokens binary")
@@ -337,7 +340,9 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     links = materialize(links, "links")
     known = materialize(components(links, "a", "b"), "classes")
     forest = _tiles(groups, reps.select("rep", "n"), known, sets, percent).groupBy("component", "i", "j").applyInArrow(_check_tile(percent), "a long, b long")
-    found = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(forest), "a", "b")
+    # The components are written, so what they were made of can go.
+    found = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(forest), "a", "b"), "components")
+    discard(pairs, groups, sets, links, known)
     members = docs.mapInArrow(_measure(percent, False, words), "doc_id long, none boolean, n long, f1 long, f2 long")
     members = members.join(reps.drop("tokens"), ["n", "f1", "f2"], "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.coalesce("component", "rep", "doc_id")

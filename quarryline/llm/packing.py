@@ -9,7 +9,7 @@ Groups are random and of about ``group_docs`` documents, so a group is one small
 what is lost against packing all at once is a few sequences a group.
 
 Defined results: null text is empty (its end id alone); rows with equal ids are documents
-of their own; an empty table gives no rows. Sequence ids are unique, not gapless: group in
+of their own; a very long text is cut into as many pieces as it needs; an empty table gives no rows. Sequence ids are unique, not gapless: group in
 the upper bits, number within the group below. Other columns are not read.
 """
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import hash_words, materialize, mix, same_row, text_chunks, tune, window_hash, word_spans
+from quarryline.llm.common import discard, hash_words, materialize, mix, same_row, text_chunks, tune, window_hash, word_spans
 
 _U = np.uint64
 _LAST = np.iinfo(np.int64).max
@@ -303,7 +303,9 @@ def repeated_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     # A window is four times an anchor's entry, and a hit brings one or a few of them.
     found = hits.agg(F.coalesce(F.sum(F.octet_length("found")), F.lit(0))).first()[0] // 8
     near = docs.join(hits, ["doc_id", "text_hash"]).mapInArrow(_windows(block, 2 * block - 1, _tasks(4 * int(found))), _MESSAGE)
-    return _gather(near, _match_windows, "windows")
+    found = _gather(near, _match_windows, "windows")
+    discard(hits)
+    return found
 
 
 def _digest(batches):
