@@ -1,13 +1,16 @@
 """Approximate nearest neighbours on shifted space-filling curves (operator 10).
 
 Each of ``curves`` orderings projects the vectors onto ``dims`` orthonormal directions of
-its own, shifts the grid by a random offset, and sorts rows by Hilbert key. Rows of a curve
-are cut into blocks of near-equal size by key quantiles; a query is compared with the
-blocks within ``window`` (a share of all rows) on either side of its own block, and what
-the curves find is merged and reranked by the exact distance.
+its own, shifts the grid by a random offset, and sorts rows by Hilbert key, ties by a hash of
+the vector. Rows of a curve are range-partitioned into blocks of about ``BLOCK_ROWS`` by
+borders from a sample of the keys; a query is compared with the blocks within ``window`` (a
+share of all rows) on either side of its own block, and what the curves find is merged and
+reranked by the exact distance.
 
 The window is a share of the rows, so recall does not fall as the table grows; what it
-costs is rows x queries x share, done in blocks of matrix products.
+costs is rows x queries x share, done in blocks of matrix products, and a query is sent to
+one block in ``BLOCK_ROWS`` of the rows it is compared with. Vectors without structure in many
+dimensions need a large share: the README has the measured curve.
 
 Defined results: rows whose vector is null, zero, of another length than ``dim`` or holds
 null or non-finite components take no part. Equal vectors are one point of the curve, with
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import materialize, tune
+from quarryline.llm.common import materialize, mix, tune
 
 _U = np.uint64
 
@@ -75,12 +78,32 @@ def curve_keys(x: np.ndarray, frame: tuple[np.ndarray, np.ndarray], bits: int, s
     return hilbert_key(np.clip(at * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
 
 
-#: Points from whose keys the block borders are set; every point is indexed.
-SAMPLE_POINTS = 20_000
-#: Rows of a block of one curve that meet in one task.
+#: Points from whose keys the block borders are set (8 bytes for each curve on the driver); every point is indexed.
+SAMPLE_POINTS = 200_000
+#: Points from which the usual norm is taken.
+NORM_POINTS = 1000
+#: Rows of a block of one curve that meet in one task, on average.
 BLOCK_ROWS = 8192
 
-_POINT = "curve int, block int, salt int, wants boolean, pid long, vk long, ids array<long>, vec binary"
+_POINT = "curve int, block int, wants boolean, pid long, vk long, ids array<long>, vec binary"
+
+
+def ordered_keys(x: np.ndarray, vk: np.ndarray, frame, bits: int, scale: float, curve: int = 0) -> np.ndarray:
+    """Curve keys with 7 bits of a hash below, so that a key many vectors share can be cut: another
+    hash for each curve, so that such vectors meet others in every one."""
+    return curve_keys(x, frame, bits, scale) << 7 | (mix(vk.view(_U) ^ _U(curve + 1)) & _U(127)).astype(np.int64)
+
+
+def _sampler(frames, bits: int, scale: float):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, vk = _matrix(batch.column("vec")), batch.column("vk").to_numpy()
+                keys = np.stack([ordered_keys(x, vk, f, bits, scale, c) for c, f in enumerate(frames)], 1)
+                cuts = pa.array(np.arange(0, keys.size + 1, len(frames), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(keys.ravel()))], names=["keys"])
+
+    return run
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int | None) -> DataFrame:
@@ -112,7 +135,7 @@ def _matrix(col) -> np.ndarray:
     return np.asarray(a.flatten(), np.float64).reshape(len(a), -1)
 
 
-def _placer(frames, borders, bits: int, scale: float, reach: int, salts: int):
+def _placer(frames, borders, bits: int, scale: float, reach: int):
     """Rows for the curves: each point once, and each query point in every block of its window."""
 
     def place(batches):
@@ -122,34 +145,29 @@ def _placer(frames, borders, bits: int, scale: float, reach: int, salts: int):
             x = _matrix(batch.column("vec"))
             raw = [r.tobytes() for r in x]
             pid, vk = batch.column("pid").to_numpy(), batch.column("vk").to_numpy()
-            asked = batch.column("wants").to_numpy(zero_copy_only=False).astype(bool)
-            ids, own_salt = batch.column("ids"), vk % salts
+            who = np.flatnonzero(batch.column("wants").to_numpy(zero_copy_only=False).astype(bool))
+            ids = batch.column("ids")
             for c, frame in enumerate(frames):
-                block = np.searchsorted(borders[c], curve_keys(x, frame, bits, scale), "right")
-                rows, at, salt, flag = [np.arange(len(x))], [block], [own_salt], [np.zeros(len(x), bool)]
-                who = np.flatnonzero(asked)
+                block = np.searchsorted(borders[c], ordered_keys(x, vk, frame, bits, scale, c), "right")
+                rows, at = [np.arange(len(x))], [block]
                 for d in range(-reach, reach + 1):
                     b = block[who] + d
                     ok = who[(b >= 0) & (b <= len(borders[c]))]
-                    for s in range(salts):
-                        rows.append(ok)
-                        at.append(block[ok] + d)
-                        salt.append(np.full(len(ok), s))
-                        flag.append(np.ones(len(ok), bool))
-                rows, flag = np.concatenate(rows), np.concatenate(flag)
-                take = pa.array(rows)
+                    rows.append(ok)
+                    at.append(block[ok] + d)
+                flag = np.arange(sum(map(len, rows))) >= len(x)
+                rows = np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(rows), c, np.int32)),
                         pa.array(np.concatenate(at).astype(np.int32)),
-                        pa.array(np.concatenate(salt).astype(np.int32)),
                         pa.array(flag),
                         pa.array(pid[rows]),
                         pa.array(vk[rows]),
-                        ids.take(take),
+                        ids.take(pa.array(rows)),
                         pa.array([raw[i] for i in rows], pa.binary()),
                     ],
-                    names=["curve", "block", "salt", "wants", "pid", "vk", "ids", "vec"],
+                    names=["curve", "block", "wants", "pid", "vk", "ids", "vec"],
                 )
 
     return place
@@ -201,22 +219,26 @@ def hilbert_search(
     rows = valid_vectors(df, id_col, vec_col, dim)
     points = materialize(distinct_points(rows, wants, k), "points")
     n = points.count()
-    every = max(1, -(-n // SAMPLE_POINTS))
-    sample = points.where(F.pmod(F.xxhash64("vk"), F.lit(every)) == 0).select("vec").toArrow()
     queries = rows.where(wants).select(F.col("vec_id").alias("query_id"), "vec").distinct()
     queries = queries.join(points.select("vec", "pid", "vk"), "vec").select("query_id", "pid", "vk")
-    if sample.num_rows:
-        x = _matrix(sample.column("vec"))
-        frames = curve_frames(x.shape[1], curves, dims, seed)
-        blocks = min(400, max(1, min(len(x) // 50, max(2 * round(1 / window), n // BLOCK_ROWS))))
+
+    def drawn(most: int) -> DataFrame:
+        return points.where(F.pmod(F.xxhash64("vk"), F.lit(max(1, -(-n // most)))) == 0).select("vk", "vec")
+
+    x = _matrix(drawn(NORM_POINTS).select("vec").toArrow().column("vec")) if n else np.zeros((0, 1))
+    x = x if len(x) or not n else _matrix(points.limit(1).select("vec").toArrow().column("vec"))
+    frames, borders, scale, reach = [], [], 1.0, 0
+    if n:
+        frames, scale = curve_frames(x.shape[1], curves, dims, seed), float(np.median(np.linalg.norm(x, axis=1)))
+        keys = drawn(SAMPLE_POINTS).mapInArrow(_sampler(frames, bits, scale), "keys array<long>").toArrow().column("keys")
+        keys = np.asarray(keys.combine_chunks().flatten(), np.int64).reshape(-1, curves)
+        # At least as many blocks as let a window be cut out, but blocks of 50 rows in a small table.
+        blocks = max(1, min(n // 50, max(2 * round(1 / window), n // BLOCK_ROWS)))
         cut = np.linspace(0, 1, blocks + 1)[1:-1]
-        scale = float(np.median(np.linalg.norm(x, axis=1)))
-        borders = [np.quantile(curve_keys(x, f, bits, scale), cut, method="lower") for f in frames]
-        reach, salts = int(np.ceil(window * blocks)), max(1, -(-n // (blocks * BLOCK_ROWS)))
-    else:
-        frames, borders, scale, reach, salts = [], [], 1.0, 0, 1
-    placed = points.mapInArrow(_placer(frames, borders, bits, scale, reach, salts), _POINT)
-    found = placed.groupBy("curve", "block", "salt").applyInArrow(_searcher(k), "pid long, vk long, vec_id long, score double")
+        borders = [np.quantile(keys[:, c], cut, method="lower") if len(keys) else np.zeros(0, np.int64) for c in range(curves)]
+        reach = int(np.ceil(window * blocks))
+    placed = points.mapInArrow(_placer(frames, borders, bits, scale, reach), _POINT)
+    found = placed.groupBy("curve", "block").applyInArrow(_searcher(k), "pid long, vk long, vec_id long, score double")
     merged = found.groupBy("pid", "vk", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("pid", "vk").orderBy("score", "vec_id")
     merged = merged.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k + 1)

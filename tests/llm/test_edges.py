@@ -636,3 +636,25 @@ def test_op5_acts_in_small_hosts(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.n_removed_words for r in lines.line_verdicts(lines.measure_texts(table)).collect()}
     assert got == {i: 0 if i < 2 else 5 for i in range(40)}  # the host's first document keeps its line
+
+
+def test_op10_blocks_hold_a_crowded_key(spark):
+    """Vectors crowded into one cell of every curve are still cut into blocks; norms count."""
+    rng = np.random.default_rng(3)
+    crowd = np.ones((1500, 8)) + rng.normal(0, 1e-5, (1500, 8))
+    spread = rng.normal(0, 1, (1500, 8)) * rng.choice([1.0, 10.0], (1500, 1))
+    x = np.concatenate([crowd, spread])
+    keys = hilbert.ordered_keys(crowd, rng.integers(0, 2**62, 1500), hilbert.curve_frames(8, 1, 8, 1)[0], 7, 1.0)
+    assert len(np.unique(keys)) > 100
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hilbert.hilbert_search(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 3000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = np.argsort(d, kind="stable")[:10]
+        assert len(got[q]) == 10 and all(s == pytest.approx(d[v], rel=1e-9) for v, s in got[q])
+        hits += len(set(best.tolist()) & {v for v, _ in got[q]})
+    assert hits / 600 >= 0.9
