@@ -210,7 +210,7 @@ def hilbert_search(
     curves: int = 16,
     dims: int = 8,
     bits: int = 7,
-    window: float = 0.05,
+    window: float = 0.03,
     seed: int = 17,
     dim: int | None = None,
 ) -> DataFrame:
