@@ -634,7 +634,8 @@ _TREE = {"body": {"children": [{"$ref": "#/texts/0"}, {"$ref": "#/groups/0"}, {"
          "pictures": [{"prov": []}], "tables": [{"data": {"grid": []}, "prov": [{"page_no": 3}]}]}
 
 
-@query()
+@query("""SELECT page_id AS doc_id, position, type, text, page_idx FROM pages,
+(VALUES (0, 'text', 'Hello World', 1), (1, 'equation', 'a+b', 2), (2, 'image', NULL, 0), (3, 'table', '{"grid": []}', 3)) t(position, type, text, page_idx)""")
 def layout_block_tree(spark, d):
     return parsing.layout_table(T(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(json.dumps(_TREE)).alias("tree")))
 
