@@ -226,3 +226,19 @@ def test_answer_walks_every_route(spark):
     vectors = models.embed_documents(table).select("chunk_id", "vector")
     dense = {r.question_id: r for r in answer(spark.createDataFrame(asked, "question_id long, question string"), table, index, vectors=vectors, embed=models.embed_queries).collect()}
     assert dense[2].n_accepted >= 1 and dense[4].steps >= 1
+
+
+def test_command_line(spark, tmp_path):
+    from quarryline.__main__ import main
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.txt").write_text("first page\fsecond page")
+    (tmp_path / "files" / "a.zip").write_text("no")
+    main(["parse", f"file://{tmp_path}/files", f"file://{tmp_path}/nowhere", "--out", f"file://{tmp_path}/parsed"])
+    assert [r.text for r in spark.read.json(f"{tmp_path}/parsed").collect()] == ["first page\fsecond page\n"]
+    spark.createDataFrame([(i, f"topic{i % 5} is explained in part {i}", f"s{i}") for i in range(30)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, "what is topic2"), (2, "hello")], "question_id long, question string").write.parquet(f"{tmp_path}/asked")
+    main(["ingest", f"file://{tmp_path}/docs", "--out", f"file://{tmp_path}/store"])
+    main(["query", f"file://{tmp_path}/asked", "--store", f"file://{tmp_path}/store", "--out", f"file://{tmp_path}/said"])
+    got = {r.question_id: r for r in spark.read.parquet(f"{tmp_path}/said").collect()}
+    assert got[1].n_accepted >= 2 and "topic2" in got[1].answer and got[2].route == "simple_response"
