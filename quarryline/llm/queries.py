@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import hilbert, jump, lines, mixing, mlm, ngram_join, packing, pu, substring, wavelet
-from quarryline.llm.common import table
+from quarryline.llm.common import spread, table
 
 
 def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = wavelet.new_folder(spark)
-    return wavelet.read_wavelet_shards(folder, wavelet.write_wavelet_shards(table(spark, sf_dir, "documents"), folder))
+    return wavelet.read_wavelet_shards(folder, wavelet.write_wavelet_shards(spread(table(spark, sf_dir, "documents")), folder))
 
 
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mlm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+    return mlm.pseudo_likelihood(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_digest(table(spark, sf_dir, "documents"))
+    return substring.substring_digest(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,20 +27,20 @@ def op4_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdicts = lines.line_verdicts(lines.measure_texts(table(spark, sf_dir, "documents")))
+    verdicts = lines.line_verdicts(lines.measure_texts(spread(table(spark, sf_dir, "documents"))))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
 def op6_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), keep_ids=False)
 
 
 def op7_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = pu.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=pu.fold_of(F.col("doc_id")) != 2)
+    scores = pu.quality_scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"), learn=pu.fold_of(F.col("doc_id")) != 2)
     held = F.coalesce(pu.fold_of(F.col("doc_id")) == 2, F.lit(False))
     return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
