@@ -120,7 +120,13 @@ def text_collapse_spaces(spark, d):
     return T(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("clean"), text.collapse_spaces(F.col("text")).alias("collapsed"))
 
 
-@query()
+#: Two runs may share a line feed or tab between them, so these stand twice while runs are marked.
+_TWICE = r"regexp_replace(text, '([\t\n\f\r])', '\1' || chr(2) || '\1', 'g')"
+_MARKED = f"regexp_replace({_TWICE}, '(^|\\s)((?:{text.SPELT} ){{4,}}{text.SPELT})(\\s|$)', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g')"
+_JOINED = f"array_to_string(list_transform(string_split({_MARKED}, chr(1)), lambda p, i: CASE WHEN i % 2 = 0 THEN replace(p, ' ', '') ELSE p END), '')"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(regexp_replace({_JOINED}, '(?s)(.)' || chr(2) || '.', '\\1', 'g'), ' {{2,}}', ' ', 'g')) AS clean FROM documents")
 def text_ocr_clean(spark, d):
     return T(spark, d, "documents").select("doc_id", text.ocr_clean(F.col("text")).alias("clean"))
 
@@ -615,15 +621,26 @@ def block_type_counts(spark, d):
     return parsing.split_modalities(_blocks(spark, d))[1].groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("content_list_index").alias("places"))
 
 
-# ---------------------------------------------------------------- rows only
+# ---------------------------------------------------------------- markup, layout, whole plans
 
 
-@query()
+#: Nodes of pages whose blocks are ``h1`` and ``p``: the text up to the end of each, without tags.
+_NODES_SQL = r"""parts AS (SELECT page_id, string_split_regex(regexp_replace(html, '(?is)<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'g'), '<(h1|p)>')[2:] AS p FROM pages),
+cut AS (SELECT page_id, unnest(p) AS raw, generate_subscripts(p, 1) AS place FROM parts),
+said AS (SELECT page_id, place, regexp_replace(replace(regexp_extract(raw, '(?s)^(.*?)(</h1>|</p>|</article>|$)', 1), '<br>', ' '), '<[^>]*>', '', 'g') AS t FROM cut),
+texts AS (SELECT page_id, place, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM said),
+nodes AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INT AS position, CASE WHEN place = 1 THEN 'heading' ELSE 'block' END AS type,
+CASE WHEN place = 1 THEN 1 END AS level, text, CASE WHEN place = 1 THEN '' ELSE max(text) FILTER (place = 1) OVER (PARTITION BY page_id) END AS breadcrumb
+FROM texts WHERE place = 1 OR length(text) >= 20)"""
+_PAGE_SQL = f"WITH {_NODES_SQL} SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text FROM nodes GROUP BY page_id"
+
+
+@query(f"WITH {_NODES_SQL} SELECT page_id, position, type, level, text, breadcrumb FROM nodes")
 def html_nodes(spark, d):
-    return parsing.html_nodes(T(spark, d, "pages"))
+    return parsing.html_nodes(store.spread(T(spark, d, "pages"), "page_id"))
 
 
-@query()
+@query(_PAGE_SQL)
 def html_page_text(spark, d):
     return parsing.page_text(parsing.html_nodes(T(spark, d, "pages")))
 
@@ -833,7 +850,7 @@ def parse_files_by_page(spark, d):
     return parsers.parse_files(docs).select("path", "text")
 
 
-@query()
+@query(_PAGE_SQL)
 def main_content(spark, d):
     return parsing.main_content(T(spark, d, "pages"))
 
