@@ -25,15 +25,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _finished(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to the least node of its component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node of an edge, the component being its smallest node."""
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct()
     e = materialize(e, "edges")
-    mark = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if tuple(now) == mark or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        mark = tuple(now)
+    while not _finished(e):
         old, e = e, materialize(_star(_star(e, True), False), "edges")
         discard(old)
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

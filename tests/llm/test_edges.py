@@ -658,3 +658,18 @@ def test_op10_blocks_hold_a_crowded_key(spark):
         assert len(got[q]) == 10 and all(s == pytest.approx(d[v], rel=1e-9) for v, s in got[q])
         hits += len(set(best.tolist()) & {v for v, _ in got[q]})
     assert hits / 600 >= 0.9
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    from quarryline.llm.components import components
+
+    def found(edges):
+        rows = components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()
+        assert len(rows) == len({r.node for r in rows})
+        return {r.node: r.component for r in rows}
+
+    chain = [(k, k + 1) for k in range(10, 30)]
+    star = [(100, k) for k in range(101, 110)] + [(105, 100), (101, 100)]
+    assert found(chain + star + [(7, 7), (201, 200)]) == dict.fromkeys(range(10, 31), 10) | dict.fromkeys(range(100, 110), 100) | dict.fromkeys((200, 201), 200)
+    assert found([(3, 1), (3, 2), (2, 4)]) == dict.fromkeys((1, 2, 3, 4), 1)
+    assert found([]) == {}
