@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import hilbert, jump, lines, mixing, mlm, ngram_join, packing, pu, substring, wavelet
+from quarryline.llm import hilbert, jump, lines, mixing, mlm, ngram_join, packing, pu, substring, trie, wavelet
 from quarryline.llm.common import spread, table
 
 
@@ -54,6 +54,10 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,8 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             op1_wavelet_tokens, op2_pseudo_likelihood, op3_substring_dedup, op4_jump_hash_shards, op5_line_frequency_rules,
-            op6_ffd_packing, op7_token_combination_join, op8_pu_quality, op9_poisson_mixing, op10_hilbert_neighbours, pipeline,
+            op6_ffd_packing, op7_token_combination_join, op8_pu_quality, op9_poisson_mixing, op10_hilbert_neighbours,
+            op13_prefix_trie, pipeline,
         )
     }
 
@@ -181,6 +186,49 @@ FROM d JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USI
 """
 
 
+#: Operator 13: every prefix as the md5 of its turns; a node's subtree is the nodes whose least member has the node's prefix.
+_TRIE = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS tb FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i)
+  )
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS j
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base FROM t GROUP BY conv_id
+), c AS (
+  SELECT n.conv_id, n.n, n.base, least(h, coalesce(b.n, 0)) AS m, h FROM (
+    SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda y: ('0x' || y)::BIGINT)),
+      lambda a, y: xor(a >> 8, tb[(xor(a, y) & 255) + 1])), 4294967295) % 4 AS h FROM n, tab
+  ) n LEFT JOIN (SELECT conv_id AS b_id, n FROM n) b ON b.b_id = n.base
+), e AS (
+  SELECT c.conv_id, m + j - h AS d, r, x FROM t JOIN c USING (conv_id) WHERE j > h
+  UNION ALL SELECT c.conv_id, j AS d, r, x FROM c JOIN t ON t.conv_id = c.base WHERE j <= h
+), p AS (
+  SELECT conv_id, d, md5(string_agg(md5(r) || md5(x), '') OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM e
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), g AS (
+  SELECT d, k, min(conv_id) AS conv_id, count(*) AS n, min(w) AS w FROM p GROUP BY d, k
+), up AS (
+  SELECT g.*, q.k AS uk FROM g LEFT JOIN p q ON q.conv_id = g.conv_id AND q.d = g.d - 1
+), kids AS (
+  SELECT d - 1 AS d, uk AS k, count(*) AS kids FROM up WHERE d > 0 GROUP BY ALL
+), node AS (
+  SELECT up.*, coalesce(kids, 0) AS kids FROM up LEFT JOIN kids USING (d, k)
+), sub AS (
+  SELECT a.d, a.k, sum((y.kids = 0)::INT) AS leaves, sum((y.n - 1) * y.w) AS saved
+  FROM node a JOIN p ON p.d = a.d AND p.k = a.k JOIN node y ON y.conv_id = p.conv_id AND y.d >= a.d GROUP BY ALL
+), fin AS (
+  SELECT d, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS s FROM (SELECT conv_id, max(d) AS d, max_by(k, d) AS k FROM p GROUP BY conv_id) GROUP BY d, k
+)
+SELECT node.conv_id, node.d::BIGINT AS depth, o.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs, node.kids::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(s, sha256('')) AS ends_sha256
+FROM node JOIN sub USING (d, k) LEFT JOIN fin USING (d, k) LEFT JOIN g o ON o.d = node.d - 1 AND o.k = node.uk
+"""
+
+
 def _poisson_sql(seed: int = 9) -> str:
     # Means of at most 16 need one part; larger ones are split, part i > 1 drawing from the draw and i.
     return f"""
@@ -205,4 +253,4 @@ FROM e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _SUBSTRING, "op4_jump_hash_shards": _jump_sql(), "op7_token_combination_join": _JOIN, "op5_line_frequency_rules": _LINES, "op9_poisson_mixing": _poisson_sql()}
+    return {"op3_substring_dedup": _SUBSTRING, "op4_jump_hash_shards": _jump_sql(), "op7_token_combination_join": _JOIN, "op5_line_frequency_rules": _LINES, "op9_poisson_mixing": _poisson_sql(), "op13_prefix_trie": _TRIE}
