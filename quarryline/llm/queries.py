@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import hilbert, jump, lines, mixing, mlm, ngram_join, packing, pu, substring, trie, wavelet
+from quarryline.llm import hilbert, jump, langid, lines, mixing, mlm, ngram_join, packing, pu, substring, trie, wavelet
 from quarryline.llm.common import spread, table
 
 
@@ -54,6 +54,12 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify_languages(spread(table(spark, sf_dir, "documents")), learn=pu.fold_of(F.col("doc_id")) != 2)
+    held = F.coalesce(pu.fold_of(F.col("doc_id")) == 2, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -70,7 +76,7 @@ def queries() -> dict:
         for f in (
             op1_wavelet_tokens, op2_pseudo_likelihood, op3_substring_dedup, op4_jump_hash_shards, op5_line_frequency_rules,
             op6_ffd_packing, op7_token_combination_join, op8_pu_quality, op9_poisson_mixing, op10_hilbert_neighbours,
-            op13_prefix_trie, pipeline,
+            op12_language_id, op13_prefix_trie, pipeline,
         )
     }
 
