@@ -123,12 +123,12 @@ def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the row it lies in."""
+def word_spans(data: np.ndarray, offs: np.ndarray, blank: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the row it lies in; ``blank`` says which bytes part words."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    ws = _WS[data]
+    ws = blank[data]
     word = ~ws
     start, end = word.copy(), word.copy()
     start[1:] &= ws[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import hilbert, jump, langid, lines, mixing, mlm, ngram_join, packing, pu, substring, trie, wavelet
+from quarryline.llm import collocations, hilbert, jump, langid, lines, mixing, mlm, ngram_join, packing, pu, substring, trie, wavelet
 from quarryline.llm.common import spread, table
 
 
@@ -54,6 +54,10 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(spread(table(spark, sf_dir, "documents")))
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify_languages(spread(table(spark, sf_dir, "documents")), learn=pu.fold_of(F.col("doc_id")) != 2)
     held = F.coalesce(pu.fold_of(F.col("doc_id")) == 2, F.lit(False))
@@ -76,7 +80,7 @@ def queries() -> dict:
         for f in (
             op1_wavelet_tokens, op2_pseudo_likelihood, op3_substring_dedup, op4_jump_hash_shards, op5_line_frequency_rules,
             op6_ffd_packing, op7_token_combination_join, op8_pu_quality, op9_poisson_mixing, op10_hilbert_neighbours,
-            op12_language_id, op13_prefix_trie, pipeline,
+            op11_phrase_collocations, op12_language_id, op13_prefix_trie, pipeline,
         )
     }
 
@@ -192,6 +196,36 @@ FROM d JOIN (SELECT doc_id, min(t) AS component_id FROM r GROUP BY doc_id) c USI
 """
 
 
+#: Operator 11: all phrases of up to five words within pieces; products as HUGEINT.
+_PHRASES = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(q, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS q
+    FROM documents
+  )
+), tot AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a, any_value(w[i:i + m - 1]) AS g
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+  GROUP BY lang, m, phrase HAVING count(*) >= 100
+), cut AS (
+  SELECT lang, phrase, a, k, array_to_string(g[1:k], ' ') AS one, array_to_string(g[k + 1:m], ' ') AS two
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)
+), sc AS (
+  SELECT cut.*, x.a AS l, y.a AS r, n, ((1000::HUGEINT * cut.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = two JOIN tot ON tot.lang = cut.lang
+), best AS (
+  SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a, unnest([array_to_string(g[1:m - 1], ' '), array_to_string(g[2:m], ' ')]) AS phrase FROM f WHERE m > 2) s
+  JOIN f USING (lang, phrase) WHERE 100 * s.a >= 100 * f.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM best ANTI JOIN inside USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
 #: Operator 13: every prefix as the md5 of its turns; a node's subtree is the nodes whose least member has the node's prefix.
 _TRIE = r"""
 WITH tab AS (
@@ -259,4 +293,4 @@ FROM e
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _SUBSTRING, "op4_jump_hash_shards": _jump_sql(), "op7_token_combination_join": _JOIN, "op5_line_frequency_rules": _LINES, "op9_poisson_mixing": _poisson_sql(), "op13_prefix_trie": _TRIE}
+    return {"op3_substring_dedup": _SUBSTRING, "op4_jump_hash_shards": _jump_sql(), "op7_token_combination_join": _JOIN, "op5_line_frequency_rules": _LINES, "op9_poisson_mixing": _poisson_sql(), "op11_phrase_collocations": _PHRASES, "op13_prefix_trie": _TRIE}
