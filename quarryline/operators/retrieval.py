@@ -6,88 +6,23 @@ that repeats the arithmetic gives the same order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
+from quarryline.operators.lexical import LexicalIndex, bm25_search, bootstrap_index, build_index, load_index, sync  # noqa: F401
 from quarryline.sources import store
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Bytes of query vectors sent to every task; more go through the blocked search.
 BROADCAST_BYTES = 32 << 20
 
 
-@dataclass
-class LexicalIndex:
-    """Postings (term, doc_id, tf), lengths (doc_id, dl), term weights (term, df, idf) and the mean length."""
-
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
-    n_docs: int
-    avgdl: float
-
-
-def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folder: str | None = None) -> LexicalIndex:
-    """BM25 tables, written to ``folder`` (one of its own in the shared folder if none is given).
-
-    A negative weight becomes EPSILON times the mean of all weights. Texts are cut into words
-    once: everything else reads the written tables.
-    """
-    spark = docs.sparkSession
-    folder = folder or store.scratch_path(spark, "index")
-    cut = store.spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id")
-    cut = cut.select("doc_id", F.array_remove(F.split(F.lower("text"), r"\s+"), "").alias("words"))
-    grouped = cut.select("doc_id", F.explode("words").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    postings = store.written(grouped, f"{folder}/postings")
-    lengths = store.written(cut.select("doc_id", F.coalesce(F.size("words"), F.lit(0)).cast("long").alias("dl")), f"{folder}/lengths")
-    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = store.written(terms.withColumn("raw", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), f"{folder}/raw_terms")
-    floor = raw.agg(F.avg("raw")).first()[0]
-    stats = spark.createDataFrame([(n, float(mean or 0.0), EPSILON * float(floor or 0.0))], "n_docs long, avgdl double, floor double")
-    store.written(stats, f"{folder}/stats")
-    return load_index(spark, folder)
-
-
-def load_index(spark, folder: str) -> LexicalIndex | None:
-    """The index written to a folder, or None if there is none; ``stats`` is written last."""
-    if not store.exists(spark, f"{folder}/stats/_SUCCESS"):
-        return None
-    n, mean, floor = spark.read.parquet(f"{folder}/stats").first()
-    terms = spark.read.parquet(f"{folder}/raw_terms")
-    idf = F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))
-    return LexicalIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), terms.select("term", "df", idf.alias("idf")), n, mean)
-
-
-def bootstrap_index(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text") -> tuple[LexicalIndex, bool]:
-    """The folder's index if it holds as many rows as ``docs``, else one built anew there; and whether it was built."""
-    found = load_index(docs.sparkSession, folder)
-    if found is not None and found.n_docs == docs.count():
-        return found, False
-    store.delete(docs.sparkSession, folder)
-    return build_index(docs, key=key, text=text, folder=folder), True
-
-
 def rank_top(scored: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def bm25_search(index: LexicalIndex, queries: DataFrame, *, query: str = "query_id", text: str = "text", k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank) of the positive scores among each query's k best."""
-    asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    tf = F.col("tf").cast("double")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(index.avgdl)))
-    # The questions' few terms meet the weights first, so only their postings go further.
-    hits = index.postings.join(asked.join(index.terms, "term"), "term").join(index.lengths, "doc_id")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return rank_top(scored.where("score > 0"), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-
-
 def cosine(a: Column, b: Column) -> Column:
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

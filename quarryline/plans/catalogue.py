@@ -45,7 +45,7 @@ def T(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _index(spark, d) -> retrieval.LexicalIndex:
-    """The documents' index: one a session and table, reused while its count of documents is the table's."""
+    """The documents' index: one a session and table, brought up to the table each time it is asked for."""
     folder = f"{store.shared_root(spark)}/bm25-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}"
     return retrieval.bootstrap_index(T(spark, d, "documents"), folder)[0]
 

@@ -96,19 +96,6 @@ def test_model_seam(spark):
     assert models.default_json({"b": {2, 1}, "a": (1, None)}) == '{"a": [1, null], "b": [1, 2]}'
 
 
-def test_index_is_reused_while_the_count_is_the_same(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "machine learning is fun"), (2, "the quick brown fox"), (3, "learning to cook"), (4, "  ")], "doc_id long, text string")
-    folder = f"file://{tmp_path}/index"
-    assert retrieval.load_index(spark, folder) is None
-    index, built = retrieval.bootstrap_index(docs, folder)
-    again, rebuilt = retrieval.bootstrap_index(docs, folder)
-    assert built and not rebuilt and again.n_docs == 4 and again.avgdl == index.avgdl == 11 / 4
-    index, built = retrieval.bootstrap_index(docs.where("doc_id < 4"), folder)
-    assert built and index.n_docs == 3
-    asked = spark.createDataFrame([(7, "Machine learning")], "query_id long, text string")
-    assert [r.doc_id for r in retrieval.bm25_search(index, asked).orderBy("rank").collect()][:1] == [1]
-
-
 def test_dense_search_in_slices(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.random() for _ in range(4)]) for i in range(300)] + [(300, None), (301, [0.0] * 4)]
