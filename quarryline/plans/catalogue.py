@@ -701,8 +701,11 @@ def stream_ingest_upsert(spark, d):
     return streams.read_ingested(spark, f"{at}/table")
 
 
-@query()
+#: A session lives on until two hours after its last turn; the watermark is ten minutes behind the last turn of all.
+@query("""SELECT conv_id::VARCHAR AS session_id, count(*) AS n_turns, array_to_string(list(coalesce(role, '') || ': ' || coalesce(text, '') ORDER BY turn)[-10:], chr(10)) AS recent,
+max(conv_id * 60 + turn * 10) + 7200 <= (SELECT max(conv_id * 60 + turn * 10) - 600 FROM conversations) AS expired FROM conversations GROUP BY conv_id""")
 def stream_session_ttl(spark, d):
+    """What each session last gave: the turns it had, and whether it has ended."""
     at = _stream_dir(spark)
     turns = T(spark, d, "conversations")
     start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn") * 10)
@@ -713,7 +716,8 @@ def stream_session_ttl(spark, d):
         batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
 
     out.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    last = spark.read.parquet(f"{at}/out").groupBy("session_id").agg(F.max_by(F.struct("n_turns", "recent", "expired"), F.struct("epoch", "n_turns", "expired")).alias("r"))
+    return last.select("session_id", "r.n_turns", F.array_join("r.recent", "\n").alias("recent"), "r.expired")
 
 
 # ---------------------------------------------------------------- model seam, stores, histories

@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quarryline.functions.ids import point_id
 from quarryline.sources import store
 from quarryline.sources.files import upsert
 
 SESSION_TTL_S = 7200
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Parts of the ingested table; a micro-batch rewrites those alone that it touches.
 PARTS = 64
 
@@ -57,30 +58,54 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def session_stream(turns: DataFrame, *, ttl_s: int = SESSION_TTL_S, keep: int = 10) -> DataFrame:
-    """(session_id, n_turns, recent, expired): sessions that end ``ttl_s`` after their last write, by event time ``ts``.
+class Sessions(StatefulProcessor):
+    """A session's turn count, latest event and last turns; a timer ends it ``ttl_ms`` after the latest event."""
 
-    State holds the last ``keep`` turns of a session as an array, not the session.
-    """
+    def __init__(self, ttl_ms: int, keep: int):
+        self.ttl_ms, self.keep = ttl_ms, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long, latest long")
+        self.recent = handle.getListState("recent", "turn long, ts long, line string")
+
+    def _row(self, key, n: int, lines: list[str], expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [key[0]], "n_turns": [n], "recent": [lines], "expired": [expired]})
 
-    def step(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            n, said = state.get
-            state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "n_turns": [n], "recent": [list(said)], "expired": [True]})
-            return
-        n, said = state.get if state.exists else (0, [])
-        said, last = list(said), 0
-        for pdf in batches:
-            pdf = pdf.sort_values("turn")
+    def handleInputRows(self, key, rows, timerValues):
+        n, latest = self.seen.get() if self.seen.exists() else (0, 0)
+        held = [tuple(x) for x in self.recent.get()] if self.recent.exists() else []
+        for pdf in rows:
             n += len(pdf)
-            said = (said + (pdf["role"] + ": " + pdf["text"]).tolist())[-keep:]
-            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
-        state.update((n, said))
-        state.setTimeoutTimestamp(max(last + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"session_id": [key[0]], "n_turns": [n], "recent": [said], "expired": [False]})
-
-    rows = turns.withWatermark("ts", "10 minutes").select("session_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "ts")
-    return rows.groupBy("session_id").applyInPandasWithState(
-        step, "session_id string, n_turns long, recent array<string>, expired boolean", "n long, said array<string>", "update", GroupStateTimeout.EventTimeTimeout
-    )
+            latest = max(latest, int(pdf["ms"].max()))
+            held += zip(pdf["turn"].tolist(), pdf["ms"].tolist(), pdf["line"].tolist(), strict=True)
+            held = sorted(held)[-self.keep :]  # a late turn takes its place among the others
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        # A turn that comes late does not bring the end forward: it follows the latest turn so far.
+        self.handle.registerTimer(max(latest + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        self.seen.update((n, latest))
+        self.recent.put(held)
+        yield self._row(key, n, [x[2] for x in held], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        n, _ = self.seen.get()
+        lines = [x[2] for x in self.recent.get()]
+        self.seen.clear()
+        self.recent.clear()
+        yield self._row(key, n, lines, True)
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(turns: DataFrame, *, ttl_s: int = SESSION_TTL_S, keep: int = 10, late: str = "10 minutes") -> DataFrame:
+    """(session_id, n_turns, recent, expired): sessions that end ``ttl_s`` after their last write, by event time ``ts``.
+
+    State holds the last ``keep`` turns of a session by turn number, not the session. Sessions with
+    state and timers need the RocksDB state store, which the session is set to.
+    """
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit("")))
+    rows = turns.withWatermark("ts", late).select("session_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), line.alias("line"), F.unix_millis("ts").alias("ms"), "ts")
+    return rows.groupBy("session_id").transformWithStateInPandas(Sessions(ttl_s * 1000, keep), "session_id string, n_turns long, recent array<string>, expired boolean", "Update", "EventTime")

@@ -158,21 +158,42 @@ def test_ingest_stream_over_several_batches(spark, tmp_path):
     assert len(list((tmp_path / "table" / "version=2").glob("part=*"))) == 1  # the last batch touched one part
 
 
-def test_sessions_expire(spark, tmp_path):
-    folder, start = f"{tmp_path}/turns", pd.Timestamp("2024-01-01", tz="UTC")
-    seen = []
-    batches = [[("a", 0, "user", "one ␞ two", 0), ("b", 0, "user", "hello", 10)], [("a", 1, "assistant", None, 60)], [("c", 0, "user", "much later", 5 * 3600)], [("c", 1, "user", "later still", 6 * 3600)]]
+def run_sessions(spark, folder, batches, **how):
+    """The rows that each batch of (session, turn, role, text, second) gives."""
+    start, seen = pd.Timestamp("2024-01-01", tz="UTC"), []
     for rows in batches:
         table = [(s, t, r, x, (start + pd.Timedelta(seconds=at)).to_pydatetime()) for s, t, r, x, at in rows]
-        spark.createDataFrame(table, "session_id string, turn long, role string, text string, ts timestamp").coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema("session_id string, turn long, role string, text string, ts timestamp").parquet(folder)
-        out = streams.session_stream(stream, keep=3)
-        out.writeStream.outputMode("update").foreachBatch(lambda b, _: seen.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        spark.createDataFrame(table, "session_id string, turn long, role string, text string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{folder}/turns")
+        stream = spark.readStream.schema("session_id string, turn long, role string, text string, ts timestamp").parquet(f"{folder}/turns")
+        got = []
+        out = streams.session_stream(stream, **how)
+        out.writeStream.outputMode("update").foreachBatch(lambda b, _, got=got: got.extend(b.collect())).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        seen.append(got)
+    return seen
+
+
+def test_sessions_expire(spark, tmp_path):
+    batches = [[("a", 0, "user", "one ␞ two", 0), ("b", 0, "user", "hello", 10)], [("a", 1, "assistant", None, 60)], [("c", 0, "user", "much later", 5 * 3600)], [("c", 1, "user", "later still", 6 * 3600)]]
+    seen = [r for got in run_sessions(spark, tmp_path, batches, keep=3) for r in got]
     ended = {r.session_id: (r.n_turns, r.recent) for r in seen if r.expired}
     assert ended == {"a": (2, ["user: one ␞ two", "assistant: "]), "b": (1, ["user: hello"])}
     assert max(r.n_turns for r in seen if r.session_id == "c") == 2
 
 
+def test_a_late_turn_neither_ends_a_session_nor_leaves_its_place(spark, tmp_path):
+    minute = 60
+    batches = [
+        [("s", 0, "user", "first", 0), ("s", 2, "user", "third", 60 * minute)],
+        [("s", 1, "assistant", "second", 52 * minute), ("other", 0, "user", "x", 76 * minute)],  # the watermark goes to 66
+        [("other", 1, "user", "y", 79 * minute)],  # 69: the session lives until 70
+        [("other", 2, "user", "z", 81 * minute)],
+    ]
+    seen = run_sessions(spark, tmp_path, batches, ttl_s=10 * minute, keep=2)
+    assert [(r.n_turns, r.recent) for r in seen[1] if r.session_id == "s"] == [(3, ["assistant: second", "user: third"])]
+    assert not any(r.expired for got in seen[:3] for r in got)
+    assert [(r.session_id, r.n_turns, r.recent) for r in seen[3] if r.expired] == [("s", 3, ["assistant: second", "user: third"])]
+
+
 def test_sessions_become_episodes(spark, tmp_path):
     turns = spark.createDataFrame([("s", "u", 0, "user", "what is retrieval", "2024-01-01 10:00:00"), ("s", "u", 1, "assistant", "a search", "2024-01-01 10:01:00")], "session_id string, user_id string, turn long, role string, text string, ts string").withColumn("ts", F.to_timestamp("ts"))
     more = memory.add_turn(turns, turns.where("turn = 0").withColumn("text", F.lit("and then")))
