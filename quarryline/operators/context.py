@@ -112,6 +112,7 @@ def history_lines(turns: DataFrame, *, by: str, turn: str, user: str, assistant:
 
 def router_history(history: Column, n_turns: Column, window: int = 5) -> Column:
     """The router's account of the conversation so far; a fixed line without one."""
+    # The account's lines are fixed values.
     told = F.concat(F.lit("\nPrevious conversation turns:\n"), history, F.lit("\n\nConversation analysis:\n- Total turns: "), n_turns.cast("string"), F.lit("\n- Turn depth for context: "), F.least(n_turns, F.lit(window)).cast("string"))
     return F.when(F.coalesce(n_turns, F.lit(0)) == 0, "No previous conversation context.").otherwise(F.concat(told, F.lit("\n- This appears to be a follow-up question that may reference previous context.\n")))
 
@@ -139,3 +140,44 @@ def evaluation_prompt(question: Column, query: Column, texts: Column) -> Column:
 
 def refinement_prompt(question: Column, history: Column) -> Column:
     return F.concat(F.lit("Original question: "), question, F.lit("\n\nPrevious retrieval attempts:\n"), history, F.lit("\n\nGive a better search query that avoids what didn't work, and nothing else."))
+
+
+def rewrite_prompt(question: Column, history: Column) -> Column:
+    """Asks for the question without references to the conversation; null without a history, as there is nothing to resolve."""
+    ask = "\n\nRewrite the message so that it stands alone. Answer in JSON with rewritten_query, was_rewritten and resolved_references."
+    return F.when(F.coalesce(history, F.lit("")) != "", F.concat(F.lit("Conversation so far:\n"), history, F.lit("\n\nMessage: "), question, F.lit(ask)))
+
+
+def routing_prompt(question: Column, history: Column) -> Column:
+    ask = "\n\nClassify the question. Answer in JSON with primary_category, confidence_score, retrieval_strategy (chunking_strategy, max_retrieval_depth, target_chunks) and complexity_level."
+    return F.concat(F.lit("Question: "), question, F.lit("\n"), F.coalesce(history, F.lit("No previous conversation context.")), F.lit(ask))
+
+
+def planning_prompt(question: Column, category: Column) -> Column:
+    """Asks for sub-questions; a factual question is its own."""
+    return F.when(category != "factual", F.concat(F.lit("Split this "), category, F.lit(" question into sub-questions that can be searched alone. Answer with a JSON array of texts.\n\nQuestion: "), question))
+
+
+def expansion_prompt(query: Column) -> Column:
+    """Asks for two other ways to say the query."""
+    return F.concat(F.lit("Give 2 other phrasings of this search query in other words, each under 15 words. Answer with a JSON array of texts.\n\nQuery: "), query)
+
+
+def grading_prompt(question: Column, subs: Column, source: Column, section: Column, text: Column) -> Column:
+    """Asks whether a chunk (its first 1000 characters) bears on the question or on one of its first five sub-questions."""
+    listed = F.array_join(F.transform(F.slice(subs, 1, 5), lambda q: F.concat(F.lit("- "), q)), "\n")
+    ask = "\n\nAnswer in JSON with relevant, score, reason and answers_sub_questions."
+    where = F.concat(F.lit("\n\nChunk from ["), F.coalesce(source, F.lit("unknown")), F.lit(" | "), F.coalesce(section, F.lit("unknown")), F.lit("]:\n"))
+    return F.concat(F.lit("Main question: "), question, F.lit("\nSub-questions:\n"), listed, where, F.substring(text, 1, 1000), F.lit(ask))
+
+
+def coverage_prompt(subs: Column, texts: Column) -> Column:
+    """Asks which sub-questions the first ten chunks cover."""
+    listed = F.array_join(F.transform(subs, lambda q, i: F.concat(i.cast("string"), F.lit(": "), q)), "\n")
+    return F.concat(F.lit("Sub-questions:\n"), listed, F.lit("\n\nChunks:\n"), previews(texts, 200, 10), F.lit("\n\nAnswer in JSON with covered_indices, the numbers of the sub-questions that the chunks answer."))
+
+
+def completeness_prompt(question: Column, parts: Column) -> Column:
+    """Asks whether the first eight chunks answer the question in full."""
+    ask = "\n\nAnswer in JSON with sufficient, missing_critical_info, gaps, can_partially_answer and confidence."
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nFound:\n"), F.array_join(F.transform(F.slice(parts, 1, 8), lambda p: F.substring(p, 1, 300)), "\n\n"), F.lit(ask))

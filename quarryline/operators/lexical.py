@@ -303,3 +303,18 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, *, query: str = "query_
     total = cands.select("query_id", "doc_id", "s").unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return total.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def bm25_within(index: LexicalIndex, queries: DataFrame, allowed: DataFrame, *, query: str = "query_id", text: str = "text", k: int = 10) -> DataFrame:
+    """As ``bm25_search``, each query over its own documents of ``allowed`` (query_id, doc_id) alone."""
+    asked = queries.select(F.col(query).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = store.written(asked.withColumn("shard", _shard(index.shards)), store.scratch_path(index.spark, "asked"))
+    shards = sorted(r.shard for r in asked.select("shard").distinct().collect())  # at most MOST_SHARDS
+    df = index.table("blocks").where(F.col("shard").isin(shards)).join(asked.select("shard", "term").distinct(), ["shard", "term"]).groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
+    weights = asked.join(df, "term").withColumn("weight", F.col("times") * index.idf(F.col("df")))
+    pairs = allowed.select("query_id", "doc_id").distinct().withColumn("bucket", _bucket(index.buckets)).join(weights, "query_id")
+    postings = index.live(index.table("postings").where(F.col("shard").isin(shards)))
+    hits = postings.join(pairs.select("query_id", "doc_id", "bucket", "shard", "term", "weight"), ["shard", "term", "bucket", "doc_id"])
+    total = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * index.part(F.col("tf"), F.col("dl"))), 6).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    return total.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -1,13 +1,19 @@
-"""The seam to models: batched calls from partitions with retries, and offline stand-ins.
+"""The seam to models: batched calls from partitions with deadlines and retries, and offline stand-ins.
 
 A model is a plain function from a list of inputs to a list of outputs. It is called where the
-rows are, in batches, and tried again with a growing pause; a batch that keeps failing fails
-its task, which Spark tries again elsewhere. With ``default`` given, its rows get that instead.
+rows are, in batches, each attempt under a deadline if one is given, and tried again with a growing
+pause; a batch that keeps failing fails its task, which Spark tries again elsewhere. With ``default``
+given, its rows get that instead; with ``failed`` given, its rows are asked one by one and those
+that still fail keep their error in that column.
+
+An ``AnswerTable`` keeps answers by the hash of what was asked, so that a plan that is run again,
+or another row with the same prompt, does not ask again.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -17,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import json_text
+from quarryline.sources import store
 
 EMBED_BATCH = 100
 DIMENSIONS = 64
@@ -50,6 +57,33 @@ def with_retry(call: Callable, attempts: int = 3, pause: Callable[[int, Exceptio
     return tried
 
 
+def with_deadline(call: Callable, seconds: float | None) -> Callable:
+    """``call`` given up after so many seconds with a TimeoutError; what hangs is left behind on its own thread."""
+    if seconds is None:
+        return call
+
+    def timed(*args):
+        box: list = []
+
+        def run():
+            try:
+                box.append((True, call(*args)))
+            except BaseException as e:
+                box.append((False, e))
+
+        thread = threading.Thread(target=run, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if not box:
+            raise TimeoutError(f"no answer within {seconds:g} s")
+        done, value = box[0]
+        if not done:
+            raise value
+        return value
+
+    return timed
+
+
 def batched(model: Callable[[list], list], size: int) -> Callable[[list], list]:
     """``model`` on batches of at most ``size``; as many outputs as inputs, or an error."""
 
@@ -66,29 +100,75 @@ def batched(model: Callable[[list], list], size: int) -> Callable[[list], list]:
     return run
 
 
-def map_model(df: DataFrame, model: Callable[[list], list], *, column: str, out: str, kind: str, size: int = EMBED_BATCH, attempts: int = 3, default=None) -> DataFrame:
+def map_model(
+    df: DataFrame, model: Callable[[list], list], *, column: str, out: str, kind: str, size: int = EMBED_BATCH, attempts: int = 3, default=None, deadline: float | None = None, failed: str | None = None
+) -> DataFrame:
     """``df`` with the model's output for ``column`` as ``out`` of SQL type ``kind``; a null input has a null output."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out) + f", `{out}` {kind}"
+    fresh = [out] + [failed] * (failed is not None)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in fresh), f"`{out}` {kind}", *(f"`{failed}` string" for _ in fresh[1:])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = with_retry(batched(model, size), attempts)
+        timed = with_deadline(batched(model, size), deadline)
+        call, once = with_retry(timed, attempts), with_retry(timed, 1)
+
+        def answers(asked: list) -> tuple[list, list]:
+            if not asked:
+                return [], []
+            try:
+                return call(asked), [None] * len(asked)
+            except ModelError as e:
+                if failed is None:
+                    if default is None:
+                        raise
+                    return [default] * len(asked), []
+                if len(asked) == 1:
+                    return [default], [str(e)]
+            parts = []
+            for one in asked:
+                try:
+                    parts.append((once([one])[0], None))
+                except ModelError as e:
+                    parts.append((default, str(e)))
+            return [v for v, _ in parts], [e for _, e in parts]
+
         for pdf in batches:
-            pdf = pdf.drop(columns=[out], errors="ignore")
+            pdf = pdf.drop(columns=fresh, errors="ignore")
             some = pdf[column].notna()
-            asked = pdf.loc[some, column].tolist()
-            try:
-                found = call(asked) if asked else []
-            except ModelError:
-                if default is None:
-                    raise
-                found = [default] * len(asked)
-            values = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            values.loc[some] = pd.Series(found, index=pdf.index[some], dtype=object)
-            yield pdf.assign(**{out: values})
+            new: dict = {name: pd.Series([None] * len(pdf), index=pdf.index, dtype=object) for name in fresh}
+            for i in range(0, int(some.sum()), size):
+                at = pdf.index[some][i : i + size]
+                for name, values in zip(fresh, answers(pdf.loc[at, column].tolist()), strict=False):
+                    new[name].loc[at] = pd.Series(values, index=at, dtype=object)
+            yield pdf.assign(**new)
 
     return df.mapInPandas(run, schema)
 
 
+class AnswerTable:
+    """Answers of text models by role and hash of the prompt, in a folder that outlives a run."""
+
+    def __init__(self, spark, folder: str, *, deadline: float | None = 30.0, attempts: int = 3, size: int = 16):
+        self.spark, self.folder, self.how = spark, folder.rstrip("/"), {"deadline": deadline, "attempts": attempts, "size": size}
+
+    def known(self, role: str) -> DataFrame:
+        path = f"{self.folder}/{role}"
+        kind = "hash string, answer string, error string"
+        return self.spark.read.schema(kind).parquet(path) if store.exists(self.spark, path) else self.spark.createDataFrame([], kind)
+
+    def ask(self, rows: DataFrame, prompt: Column, model: Callable[[list], list], role: str, out: str = "answer") -> DataFrame:
+        """``rows`` with the model's answer to each one's prompt; null for a null prompt and where the model failed.
+
+        Only prompts that have no answer yet are asked, once each; what failed is written with its error and asked again
+        by the next call."""
+        keyed = rows.withColumn("__ql_hash", F.sha2(prompt, 256)).withColumn("__ql_prompt", prompt)
+        new = keyed.where(F.col("__ql_prompt").isNotNull()).select(F.col("__ql_hash").alias("hash"), F.col("__ql_prompt").alias("prompt")).dropDuplicates(["hash"])
+        new = new.join(self.known(role).where("error IS NULL").select("hash"), "hash", "left_anti")
+        said = map_model(new, model, column="prompt", out="answer", kind="string", failed="error", **self.how)
+        said.select("hash", "answer", "error").write.mode("append").parquet(f"{self.folder}/{role}")
+        got = self.known(role).where("error IS NULL").groupBy(F.col("hash").alias("__ql_hash")).agg(F.max("answer").alias(out))
+        return keyed.drop("__ql_prompt", out).join(got, "__ql_hash", "left").drop("__ql_hash")
+
+
 def hashed_embedding(texts: list[str], dim: int = DIMENSIONS) -> list[list[float]]:
     """A stand-in embedder: signed counts of hashed words, at unit length; no words give a zero vector."""
     import zlib

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
-from quarryline.operators.lexical import LexicalIndex, bm25_search, bootstrap_index, build_index, load_index, sync  # noqa: F401
+from quarryline.operators.lexical import LexicalIndex, bm25_search, bm25_within, bootstrap_index, build_index, load_index, sync  # noqa: F401
 from quarryline.sources import store
 
 #: Bytes of query vectors sent to every task; more go through the blocked search.
@@ -27,7 +27,7 @@ def cosine(a: Column, b: Column) -> Column:
     def dot(x, y):
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", k: int = 20, where: Column | None = None) -> DataFrame:
@@ -54,6 +54,15 @@ def dense_search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id",
     return out
 
 
+def dense_within(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", k: int = 20) -> DataFrame:
+    """As ``dense_search``, each query over its own vectors of ``allowed`` (query_id, doc_id) alone."""
+    asked = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("q")).where(F.col("q").isNotNull())
+    held = vectors.select(F.col(key).alias("doc_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
+    pairs = allowed.select("query_id", "doc_id").distinct().join(asked, "query_id").join(held, "doc_id")
+    score = F.round(F.coalesce(cosine(F.col("q"), F.col("v")), F.lit(0.0)), 6)
+    return rank_top(pairs.select("query_id", "doc_id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
 def _block_search(asked: pd.DataFrame, k: int, rows: int = 1024):
     ids = asked["query_id"].to_numpy()
     q = np.array([np.asarray(v, np.float64) for v in asked["q"]]) if len(asked) else np.zeros((0, 1))

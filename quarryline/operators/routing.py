@@ -127,8 +127,11 @@ REQUIRED = ("primary_category", "confidence_score", "retrieval_strategy")
 
 def validated(answer: Column) -> Column:
     """A router's JSON answer as a struct: the fallback record if a required field is missing, confidence bounded,
-    confirmation asked for below 0.7, and the changes that procedural questions and chitchat bring."""
+    confirmation asked for below 0.7, and the changes that procedural questions and chitchat bring.
+
+    An answer that is no JSON, or none, gives the bare fallback record: nothing was classified, so nothing is to confirm."""
     v = F.try_parse_json(json_text(answer))
+    unread = v.isNull()
 
     def field(path: str, kind: str) -> Column:
         return F.try_variant_get(v, f"$.{path}", kind)
@@ -144,8 +147,8 @@ def validated(answer: Column) -> Column:
     return F.struct(
         category.alias("category"),
         confidence.alias("confidence"),
-        (confidence < 0.7).alias("requires_confirmation"),
-        F.when(confidence < 0.7, F.array(F.lit("factual"), F.lit("analytical"))).otherwise(F.array().cast("array<string>")).alias("fallback_categories"),
+        (~unread & (confidence < 0.7)).alias("requires_confirmation"),
+        F.when(~unread & (confidence < 0.7), F.array(F.lit("factual"), F.lit("analytical"))).otherwise(F.array().cast("array<string>")).alias("fallback_categories"),
         F.when(procedural, "large").otherwise(kept("chunking_strategy", "retrieval_strategy.chunking_strategy", "string")).alias("chunking_strategy"),
         F.when(procedural, 3).otherwise(kept("max_retrieval_depth", "retrieval_strategy.max_retrieval_depth", "int")).alias("max_retrieval_depth"),
         F.when(chat, 0).otherwise(kept("target_chunks", "retrieval_strategy.target_chunks", "int")).alias("target_chunks"),
@@ -166,18 +169,48 @@ def covered_with_fallback(found: Column, total: Column, assessed: Column | None
     return F.when(total > 0, F.least(counted / total, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
+def texts_of(answer: Column) -> Column:
+    """A model's JSON array of texts; empty if the answer can't be read as one."""
+    read = F.try_variant_get(F.try_parse_json(json_text(answer)), "$", "array<string>")
+    return F.filter(F.coalesce(read, F.array().cast("array<string>")), lambda t: F.trim(F.coalesce(t, F.lit(""))) != "")
+
+
 def chunk_grade(answer: Column) -> Column:
     """A grader's JSON answer for a chunk as a struct; what can't be read is not relevant, with score 0."""
     relevant = json_field(answer, "relevant", "boolean", False)
-    return F.struct(relevant.alias("relevant"), json_field(answer, "score", "double", 0.0).alias("score"), json_field(answer, "reason", "string", "not graded").alias("reason"))
+    helps = F.try_variant_get(F.try_parse_json(json_text(answer)), "$.answers_sub_questions", "array<string>")
+    return F.struct(
+        relevant.alias("relevant"), json_field(answer, "score", "double", 0.0).alias("score"), json_field(answer, "reason", "string", "not graded").alias("reason"),
+        F.coalesce(helps, F.array().cast("array<string>")).alias("answers"),
+    )
+
+
+def covered_by(answers: Column, subs: Column) -> Column:
+    """Places of the sub-questions that graders' answers name, by number or by a text that holds the other."""
+    low = F.lower
+    return F.filter(
+        F.transform(subs, lambda q, i: F.when(F.exists(answers, lambda a: (a.try_cast("int") == i) | (a.try_cast("int").isNull() & (low(q).contains(low(a)) | low(a).contains(low(q))))), i)),
+        lambda i: i.isNotNull(),
+    )
+
+
+def assessed_coverage(answer: Column, subs: Column) -> Column:
+    """How many sub-questions a model's answer calls covered; null if it can't be read."""
+    found = F.try_variant_get(F.try_parse_json(json_text(answer)), "$.covered_indices", "array<int>")
+    return F.size(F.array_distinct(F.filter(found, lambda i: (i >= 0) & (i < F.size(subs)))))
 
 
 def deep_completeness(answer: Column) -> Column:
-    """A model's assessment as (level, missing_critical_info); without an answer that can be read: unknown, nothing missing."""
-    read = F.try_parse_json(json_text(answer)).isNotNull()
-    level = F.when(~F.coalesce(read, F.lit(False)), "unknown").when(json_field(answer, "sufficient", "boolean", False), "sufficient").otherwise("insufficient")
-    missing = F.coalesce(read, F.lit(False)) & json_field(answer, "missing_critical_info", "boolean", True)
-    return F.struct(level.alias("level"), missing.alias("missing_critical_info"))
+    """A model's assessment as (level, missing_critical_info, gaps, can_partially_answer, confidence); without an answer that
+    can be read: unknown, nothing missing."""
+    read = F.coalesce(F.try_parse_json(json_text(answer)).isNotNull(), F.lit(False))
+    level = F.when(~read, "unknown").when(json_field(answer, "sufficient", "boolean", False), "sufficient").otherwise("insufficient")
+    missing = read & json_field(answer, "missing_critical_info", "boolean", True)
+    gaps = F.try_variant_get(F.try_parse_json(json_text(answer)), "$.gaps", "array<string>")
+    return F.struct(
+        level.alias("level"), missing.alias("missing_critical_info"), F.coalesce(gaps, F.array().cast("array<string>")).alias("gaps"),
+        json_field(answer, "can_partially_answer", "boolean", False).alias("can_partially_answer"), F.when(read, json_field(answer, "confidence", "double", 0.5)).alias("confidence"),
+    )
 
 
 def acceptance(graded_relevant: Column, chunks: Column) -> Column:

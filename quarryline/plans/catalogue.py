@@ -822,7 +822,7 @@ _ROUTER_ANSWERS = [
 
 
 @query("""SELECT * FROM (VALUES (1, 'procedural', 0.9::DOUBLE, false, '', 'large', 3, 4, 3, true, true), (2, 'chitchat', 0.7::DOUBLE, false, '', 'medium', 2, 0, 2, false, false),
-(3, 'factual', 0.6::DOUBLE, true, 'factual,analytical', 'medium', 2, 5, 2, true, true), (4, 'factual', 0.6::DOUBLE, true, 'factual,analytical', 'medium', 2, 5, 2, true, true),
+(3, 'factual', 0.6::DOUBLE, true, 'factual,analytical', 'medium', 2, 5, 2, true, true), (4, 'factual', 0.6::DOUBLE, false, '', 'medium', 2, 5, 2, true, true),
 (5, 'comparative', 0.3::DOUBLE, true, 'factual,analytical', 'medium', 4, 5, 2, true, true))
 t(id, category, confidence, requires_confirmation, fallback_categories, chunking_strategy, max_retrieval_depth, target_chunks, complexity, requires_citation, requires_source_attribution)""")
 def router_validation(spark, d):
