@@ -234,3 +234,17 @@ def test_trie_equals_brute_force(spark, seed, monkeypatch):
 
 def test_trie_of_an_empty_table(spark):
     assert trie.prefix_trie(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_a_whole_phrase_has_the_hash_of_its_place_in_a_text():
+    import pyarrow as pa
+
+    from quarryline.llm.common import flat_text, hash_words
+
+    langs, texts = pa.array(["en", "de"]), pa.array(["One two  THREE four. five", "a b, c d e f g"])
+    data, offs = flat_text(langs)
+    t = collocations.Phrases(*flat_text(texts), hash_words(data, offs[:-1], offs[1:]))
+    for k in (1, 2, 3, 5):
+        for i in np.flatnonzero(t.starts(k)):
+            lang, phrase = flat_text(pa.array([langs[int(t.row[i])].as_py()])), flat_text(pa.array([t.phrase(int(i), k)]))
+            assert collocations.phrase_hashes(*lang, *phrase)[0] == t.hashes(k)[i]
