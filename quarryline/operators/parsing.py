@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tags that are dropped with their content, that give blocks, and that never close.
@@ -136,19 +137,59 @@ def html_nodes(pages: DataFrame, *, key: str = "page_id", html: str = "html") ->
     return pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, schema).withColumnRenamed("k", key)
 
 
-#: Tags that a page's own content does not stand in.
+#: What holds no text, tags that a page's own content does not stand in, and tags at which a piece of text ends.
+NO_TEXT = ("head", "script", "style", "noscript")
 OUTSIDE = ("nav", "header", "footer", "aside", "form")
+PIECES = ("html", "body", "main", "article", "section", "div", "p", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "blockquote", "pre", *OUTSIDE)
+#: A page's own content scores this share of its best piece at least (percent), and its words stand in links up to this one.
+LEAST_SCORE, MOST_LINKED = 15, 33
+_HEADING = "\x01"
+
+
+def _count_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def content_blocks(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, position, heading, raw, words, linked, score, kept): pieces of a page between block tags, weighed.
+
+    A piece's density is its words less three times those in links; its score takes half of its
+    neighbours' in. A piece is kept if its score reaches ``LEAST_SCORE`` percent of the page's best
+    and at most ``MOST_LINKED`` percent of its words are links; a heading is kept with the piece below it.
+    Navigation, headers, footers, side columns and forms are left out by their tags before that.
+    """
+    gone = "|".join([r"<!--.*?-->", *(rf"<{t}\b.*?</{t}>" for t in (*NO_TEXT, *OUTSIDE))])
+    clean = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), f"(?is){gone}", " ")
+    marked = F.regexp_replace(F.regexp_replace(clean, r"(?i)<h[1-6]\b[^>]*>", f"<p>{_HEADING}"), r"(?i)</h[1-6]>", "</p>")
+    pieces = F.split(marked, rf"(?i)</?(?:{'|'.join(PIECES)})\b[^>]*>")
+    rows = pages.select(F.col(key), F.posexplode(pieces).alias("position", "piece"))
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?i)<br\b[^>]*>", " "), "<[^>]*>", "")
+    links = F.array_join(F.regexp_extract_all("piece", F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), " ")
+    rows = rows.select(key, "position", F.col("piece").startswith(_HEADING).alias("heading"), F.translate(bare(F.col("piece")), _HEADING, "").alias("raw"), _count_words(bare(links)).alias("linked"))
+    rows = rows.withColumn("words", _count_words(F.col("raw"))).where("words > 0")
+    order = Window.partitionBy(key).orderBy("position")
+    rows = rows.withColumn("density", F.col("words") - 3 * F.least("linked", "words"))
+    near = [F.coalesce(f("density").over(order), F.lit(0)) for f in (F.lag, F.lead)]
+    rows = rows.withColumn("score", near[0] + 2 * F.col("density") + near[1])
+    best = F.max("score").over(Window.partitionBy(key))
+    good = (F.col("score") > 0) & (100 * F.col("score") >= LEAST_SCORE * best) & (100 * F.col("linked") <= MOST_LINKED * F.col("words"))
+    rows = rows.withColumn("kept", good)
+    below = F.coalesce(F.lead("kept").over(order), F.lit(False))
+    return rows.withColumn("kept", F.when(F.col("heading"), below | (F.col("kept") & (F.col("words") > 3))).otherwise(F.col("kept"))).drop("density")
 
 
 def main_content(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, text): the blocks of a page's main part, of <main> or <article> if it has one, else what stands outside
-    navigation, headers, footers and side columns. A stand-in for an extractor that weighs blocks."""
-    inner = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<(main|article)\b[^>]*>(.*)</\1>", 2)
-    rest = F.coalesce(F.col(html), F.lit(""))
-    for tag in OUTSIDE:
-        rest = F.regexp_replace(rest, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    rows = pages.select(F.col(key), F.when(inner != "", inner).otherwise(rest).alias(html))
-    return page_text(html_nodes(rows, key=key, html=html), key)
+    """(key, text): the kept pieces of each page that has any, in order, entities resolved."""
+
+    @F.pandas_udf("string")
+    def resolved(text: pd.Series) -> pd.Series:
+        return text.map(unescape)
+
+    kept = content_blocks(pages, key=key, html=html).where("kept")
+    said = F.trim(F.regexp_replace("raw", r"\s+", " "))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("position", said.alias("text")))), lambda x: x["text"])
+    joined = kept.groupBy(key).agg(F.array_join(parts, "\n\n").alias("text"))
+    return joined.select(key, resolved("text").alias("text"))
 
 
 def page_text(nodes: DataFrame, key: str = "page_id") -> DataFrame:
@@ -193,9 +234,17 @@ def layout_blocks(doc: dict) -> list[dict]:
 
 
 def layout_table(docs: DataFrame, *, key: str = "doc_id", tree: str = "tree") -> DataFrame:
+    """(key, position, type, text, page_idx) of each tree's blocks; a tree that is no JSON object or too deep gives none."""
+
+    def blocks(tree) -> list[dict]:
+        try:
+            return layout_blocks(json.loads(tree or "{}"))
+        except (ValueError, RecursionError, AttributeError, TypeError):
+            return []
+
     def run(batches):
         for pdf in batches:
-            rows = [(k, i, b["type"], b["text"], b["page_idx"]) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i, b in enumerate(layout_blocks(json.loads(t or "{}")))]
+            rows = [(k, i, b["type"], b["text"], b["page_idx"]) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i, b in enumerate(blocks(t))]
             yield pd.DataFrame(rows, columns=["k", "position", "type", "text", "page_idx"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -854,7 +854,27 @@ def parse_files_by_page(spark, d):
     return parsers.parse_files(docs).select("path", "text")
 
 
-@query(_PAGE_SQL)
+_CUT_TAGS = "html|body|main|article|section|div|p|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|nav|header|footer|aside|form"
+_GONE_TAGS = "|".join(f"<{t}\\b.*?</{t}>" for t in ("head", "script", "style", "noscript", "nav", "header", "footer", "aside", "form"))
+_N_WORDS = r"len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> ''))"
+_BARE = r"regexp_replace(regexp_replace({}, '(?i)<br\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')"
+#: Pieces of a page between block tags, weighed by words and links with their neighbours.
+_CONTENT_SQL = rf"""clean AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|{_GONE_TAGS}', ' ', 'g'), '(?i)<h[1-6]\b[^>]*>', '<p>' || chr(1), 'g'), '(?i)</h[1-6]>', '</p>', 'g') AS h FROM pages),
+cut AS (SELECT page_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS position FROM (SELECT page_id, regexp_split_to_array(h, '(?i)</?(?:{_CUT_TAGS})\b[^>]*>') AS p FROM clean)),
+raws AS (SELECT page_id, position, starts_with(piece, chr(1)) AS heading, replace({_BARE.format("piece")}, chr(1), '') AS raw, array_to_string(regexp_extract_all(piece, '(?is)<a\b[^>]*>(.*?)</a>', 1), ' ') AS links FROM cut),
+counted AS (SELECT *, {_N_WORDS.format("raw")} AS words, {_N_WORDS.format(_BARE.format("links"))} AS linked FROM raws WHERE {_N_WORDS.format("raw")} > 0),
+scored AS (SELECT *, coalesce(lag(words - 3 * least(linked, words)) OVER o, 0) + 2 * (words - 3 * least(linked, words)) + coalesce(lead(words - 3 * least(linked, words)) OVER o, 0) AS score FROM counted WINDOW o AS (PARTITION BY page_id ORDER BY position)),
+good AS (SELECT *, score > 0 AND 100 * score >= 15 * max(score) OVER (PARTITION BY page_id) AND 100 * linked <= 33 * words AS good FROM scored),
+kept AS (SELECT *, CASE WHEN heading THEN coalesce(lead(good) OVER (PARTITION BY page_id ORDER BY position), false) OR (good AND words > 3) ELSE good END AS kept FROM good)"""
+
+
+@query(f"WITH {_CONTENT_SQL} SELECT page_id, position::INT AS position, heading, words::INT AS words, linked::INT AS linked, score::INT AS score, kept FROM kept")
+def content_blocks(spark, d):
+    return parsing.content_blocks(T(spark, d, "pages")).drop("raw")
+
+
+@query(rf"""WITH {_CONTENT_SQL} SELECT page_id, replace(replace(replace(replace(replace(string_agg(trim(regexp_replace(raw, '\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY position), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS text
+FROM kept WHERE kept GROUP BY page_id""")
 def main_content(spark, d):
     return parsing.main_content(T(spark, d, "pages"))
 
