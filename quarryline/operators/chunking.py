@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from functools import partial
 from itertools import accumulate, groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from quarryline.sources.parsers import Registry
 
@@ -109,3 +113,34 @@ def chunker(name: str, **options) -> Callable[..., DataFrame]:
 
 def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+_PIECE = re.compile(r"\s*\S+", re.ASCII)
+
+
+@udtf(useArrow=True)
+class ChunkText:
+    """``chunk_text(TABLE(docs) [PARTITION BY key], 'text', 512, 64)`` in SQL: the rows with chunk_index and chunk_text, as ``fixed_windows``.
+
+    The table's own columns pass through; the text column is named by the second argument."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, text: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("the first argument must be a table: chunk_text(TABLE(name), ...)")
+        if text.value not in rows.dataType.fieldNames():
+            raise ValueError(f"the table has no column {text.value!r}")
+        if overlap.value >= size.value:
+            raise ValueError("overlap must be smaller than size")
+        return AnalyzeResult(schema=StructType([*rows.dataType.fields, StructField("chunk_index", IntegerType()), StructField("chunk_text", StringType())]))
+
+    def eval(self, row, text, size, overlap):
+        words = _PIECE.findall(row[text] or "")
+        for i, at in enumerate(range(0, len(words), size - overlap)):
+            yield (*row, i, "".join(words[at : at + size]).lstrip(" \t\n\r\f\v"))
+
+
+def register(spark: SparkSession, name: str = "chunk_text") -> str:
+    """Make the chunker callable from SQL by ``name``."""
+    spark.udtf.register(name, ChunkText)
+    return name

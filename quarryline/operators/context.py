@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import has_citation
+from quarryline.sources import store
 
 SEPARATOR = "\n\n---\n\n"
 #: The two fixed messages; fixed values.
@@ -36,9 +37,21 @@ def context_part(source: Column, section: Column, text: Column) -> Column:
 
 
 def within_budget(chunks: DataFrame, *, by: str, order: str, part: str = "part", budget: int = 100_000) -> DataFrame:
-    """Leading chunks whose joined length fits; the running sum only grows, so a filter stops at the first overflow."""
-    so_far = F.sum(F.length(part) + len(SEPARATOR)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return chunks.withColumn("used", so_far - len(SEPARATOR)).where(F.col("used") <= budget)
+    """Leading chunks whose joined length fits; the running sum only grows, so a filter stops at the first overflow.
+
+    Rows are dealt by range of (by, order) and summed in two levels, per range and within it, so chunks of one ``by``
+    may fill any number of tasks; ranges that begin beyond the budget are not read further.
+    """
+    spark, size = chunks.sparkSession, F.length(part) + len(SEPARATOR)
+    dealt = chunks.repartitionByRange(F.col(by), F.col(order)).withColumn("__ql_range", F.spark_partition_id())
+    dealt = store.written(dealt, store.scratch_path(spark, "budget"))
+    sums = dealt.groupBy(F.col(by).alias("__ql_by"), F.col("__ql_range").alias("__ql_r")).agg(F.sum(size).alias("s"))
+    ahead = Window.partitionBy("__ql_by").orderBy("__ql_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__ql_by", "__ql_r", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("__ql_before")).where(F.col("__ql_before") < budget + len(SEPARATOR))
+    near = dealt.join(starts, (F.col("__ql_range") == F.col("__ql_r")) & F.col(by).eqNullSafe(F.col("__ql_by")))
+    so_far = F.sum(size).over(Window.partitionBy(by, "__ql_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    used = near.withColumn("used", F.col("__ql_before") + so_far - len(SEPARATOR)).where(F.col("used") <= budget)
+    return used.select(*chunks.columns, "used")
 
 
 def build_context(chunks: DataFrame, *, by: str, order: str, budget: int = 100_000) -> DataFrame:

@@ -7,7 +7,7 @@ that repeats the arithmetic gives the same order.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +15,8 @@ from quarryline.functions.text import tokens
 from quarryline.operators.lexical import LexicalIndex, bm25_search, bm25_within, bootstrap_index, build_index, load_index, sync  # noqa: F401
 from quarryline.sources import store
 
-#: Bytes of query vectors sent to every task; more go through the blocked search.
-BROADCAST_BYTES = 32 << 20
+#: Queries and vectors of a block of the search's grid.
+QUERY_ROWS, VECTOR_ROWS = 4096, 1 << 16
 
 
 def rank_top(scored: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -31,27 +31,22 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", k: int = 20, where: Column | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank): exact cosine over all vectors, in blocks of queries.
+    """(query_id, doc_id, score, rank): exact cosine over all vectors, as a shuffled grid.
 
-    Each task multiplies its vectors with the query matrix and keeps a running k best for each
-    query, so the shuffle holds k rows per query and task. The driver holds one slice of the
-    queries of at most BROADCAST_BYTES at a time, one pass over the vectors each, and the best
-    of a slice are written before the next is fetched.
+    Queries and vectors are dealt into blocks of ``QUERY_ROWS`` and ``VECTOR_ROWS``; a task multiplies
+    one block of each and keeps k for each query, so no query passes through the driver and the
+    last shuffle holds k rows per query and vector block. Vectors move once for each query block.
     """
     base = (vectors.where(where) if where is not None else vectors).select(F.col(key).alias("doc_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
     asked = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("q")).where(F.col("q").isNotNull())
-    n, width = asked.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
-    slices = max(1, -(-n * (width or 1) * 8 // BROADCAST_BYTES))
+    across, down = max(1, -(-asked.count() // QUERY_ROWS)), max(1, -(-base.count() // VECTOR_ROWS))
+    dealt = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = asked.withColumn("across", dealt(across)).withColumn("down", every(down)).repartition(across * down, "across", "down")
+    y = base.withColumn("down", dealt(down)).withColumn("across", every(across)).repartition(across * down, "across", "down")
     kind = queries.schema[query].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
-    order, out = [F.desc("score"), F.asc("doc_id")], None
-    for s in range(slices):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toPandas()
-        found = base.mapInPandas(_block_search(part, k), f"query_id {kind[0]}, doc_id {kind[1]}, score double")
-        found = rank_top(found, ["query_id"], order, k)
-        if slices > 1:
-            found = store.written(found, store.scratch_path(vectors.sparkSession, "dense"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = x.groupBy("across", "down").cogroup(y.groupBy("across", "down")).applyInArrow(_best_of_block(k), f"query_id {kind[0]}, doc_id {kind[1]}, score double")
+    return rank_top(found, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def dense_within(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, *, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", k: int = 20) -> DataFrame:
@@ -63,33 +58,31 @@ def dense_within(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, *,
     return rank_top(pairs.select("query_id", "doc_id", score.alias("score")), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def _block_search(asked: pd.DataFrame, k: int, rows: int = 1024):
-    ids = asked["query_id"].to_numpy()
-    q = np.array([np.asarray(v, np.float64) for v in asked["q"]]) if len(asked) else np.zeros((0, 1))
-    norm = np.sqrt((q * q).sum(1))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
 
-    def run(batches):
-        best: list = [None] * -(-len(q) // rows)
-        for pdf in batches:
-            if not len(pdf) or not len(q):
-                continue
-            v = np.array([np.asarray(x, np.float64) for x in pdf["v"]])
+
+def _best_of_block(k: int, rows: int = 256):
+    def run(asked: pa.Table, vectors: pa.Table) -> pa.Table:
+        picks: list[tuple[int, np.ndarray, np.ndarray]] = []
+        if asked.num_rows and vectors.num_rows:
+            vectors = vectors.sort_by("doc_id")  # equal scores then stand in the order of their ids
+            q, v = _matrix(asked.column("q")), _matrix(vectors.column("v"))
             size = np.sqrt((v * v).sum(1))
-            docs = pdf["doc_id"].to_numpy()
-            docs = docs.astype(str) if docs.dtype == object else docs
-            for b in range(len(best)):
-                part = slice(b * rows, (b + 1) * rows)
-                scale = norm[part, None] * size[None]
-                score = np.round(np.divide(q[part] @ v.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-                who = np.broadcast_to(docs, score.shape)
-                if best[b] is not None:
-                    score, who = np.concatenate([best[b][0], score], 1), np.concatenate([best[b][1], who], 1)
-                top = np.lexsort((who, -score), axis=1)[:, :k]
-                best[b] = np.take_along_axis(score, top, 1), np.take_along_axis(who, top, 1)
-        for b, held in enumerate(best):
-            if held is not None:
-                width = held[0].shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids[b * rows : (b + 1) * rows], width), "doc_id": held[1].ravel(), "score": held[0].ravel()})
+            for lo in range(0, len(q), rows):
+                part = q[lo : lo + rows]
+                scale = np.sqrt((part * part).sum(1))[:, None] * size[None]
+                score = np.round(np.divide(part @ v.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
+                least = np.partition(score, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
+                for i, s in enumerate(score):
+                    at = np.flatnonzero(s >= least[i])
+                    at = at[np.argsort(-s[at], kind="stable")][:k]
+                    picks.append((lo + i, at, s[at]))
+        who = np.concatenate([np.full(len(at), i) for i, at, _ in picks]) if picks else np.zeros(0, np.int64)
+        found = np.concatenate([at for _, at, _ in picks]) if picks else who
+        scores = np.concatenate([s for *_, s in picks]) if picks else np.zeros(0)
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(who, pa.int64())), "doc_id": vectors.column("doc_id").take(pa.array(found, pa.int64())), "score": pa.array(scores, pa.float64())})
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,43 +19,69 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PARTS = 64
 
 
-def _current(spark: SparkSession, target: str, epoch: int) -> dict[int, str]:
-    """Path of each part's newest version that an epoch up to ``epoch`` wrote whole."""
-    fs, where = store._fs(spark, target)
-    newest: dict[int, tuple[int, str]] = {}
-    for version in fs.listStatus(where) if fs.exists(where) else []:
-        name = version.getPath().getName()
-        number = int(name.removeprefix("version=")) if name.startswith("version=") else epoch + 1
-        if number <= epoch and store.exists(spark, f"{target}/{name}/_SUCCESS"):
-            for part in fs.listStatus(version.getPath()):
-                label = part.getPath().getName()
-                if label.startswith("part="):
-                    k = int(label.removeprefix("part="))
-                    newest[k] = max(newest.get(k, (-1, "")), (number, f"{target}/{name}/{label}"))
-    return {k: path for k, (_, path) in newest.items()}
+#: Manifests that are kept: of the last batch, the one that a repeated batch reads, and one more for readers.
+KEPT = 3
+
+
+def _manifests(spark: SparkSession, target: str) -> list[int]:
+    fs, where = store._fs(spark, f"{target}/manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def _parts(spark: SparkSession, target: str, epoch: int) -> dict[int, str]:
+    """Folder of each part (under the target) as the newest batch up to ``epoch`` left it."""
+    found = [e for e in _manifests(spark, target) if e <= epoch]
+    if not found:
+        return {}
+    said = store.BlobStore(spark, target).download(f"manifest/{found[-1]:012d}.json")
+    return {int(k): v for k, v in json.loads(said).items()}
 
 
 def read_ingested(spark: SparkSession, target: str, epoch: int = 1 << 62) -> DataFrame | None:
     """The table as it stands: each part's newest version."""
-    paths = list(_current(spark, target, epoch).values())
+    paths = [f"{target}/{p}" for p in _parts(spark, target, epoch).values()]
     return spark.read.parquet(*paths) if paths else None
 
 
-def ingest_stream(stream: DataFrame, target: str, checkpoint: str):
-    """Upsert each micro-batch into a table of ``PARTS`` parts by point id, of which it rewrites those it touches.
+def merge_batch(batch: DataFrame, epoch: int, target: str, parts: int = PARTS) -> None:
+    """Upsert a batch: the parts it touches are written anew, one file each, and a manifest names every part's newest folder.
+
+    The manifest is written last and replaces the batch's own if it is repeated, so readers see a batch whole or not at all.
+    Of older manifests ``KEPT`` stay; folders that none of them names are deleted: listing and disk follow the table, not
+    the number of batches.
+    """
+    spark, target = batch.sparkSession, target.rstrip("/")
+    new = batch.withColumn("part", F.pmod(F.xxhash64(point_id(F.col("doc_id"), F.col("chunk_index"))), F.lit(parts)).cast("int"))
+    new = store.written(new, store.scratch_path(spark, "batch"))
+    touched = [r.part for r in new.select("part").distinct().collect()]  # at most ``parts``
+    before = _parts(spark, target, epoch - 1)
+    held = [f"{target}/{path}" for k, path in before.items() if k in touched]
+    old = None
+    for k in [k for k in before if k in touched]:
+        piece = spark.read.parquet(f"{target}/{before[k]}").drop("point_id").withColumn("part", F.lit(k))
+        old = piece if old is None else old.unionByName(piece, allowMissingColumns=True)
+    upsert(new, old if held else None).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={epoch}")
+    now = before | {k: f"version={epoch}/part={k}" for k in touched}
+    blobs = store.BlobStore(spark, target)
+    blobs.upload(f"manifest/{epoch:012d}.json", json.dumps(now).encode())
+    known = _manifests(spark, target)
+    named = {p for e in known[-KEPT:] for p in _parts(spark, target, e).values()}
+    for e in known[:-KEPT]:
+        for path in set(_parts(spark, target, e).values()) - named:
+            store.delete(spark, f"{target}/{path}")
+        blobs.delete(f"manifest/{e:012d}.json")
+
+
+def ingest_stream(stream: DataFrame, target: str, checkpoint: str, *, parts: int = PARTS):
+    """Upsert each micro-batch into a table of ``parts`` parts by point id, of which it rewrites those it touches.
 
     A repeated batch reads the versions before its own and writes its own anew, so a restart after
-    a lost driver changes nothing.
+    a lost driver changes nothing. ``parts`` must stay the same for a table.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64(point_id(F.col("doc_id"), F.col("chunk_index"))), F.lit(PARTS)).cast("int")
-        new = batch.withColumn("part", part)
-        touched = {r.part for r in new.select("part").distinct().collect()}
-        held = [path for k, path in _current(spark, target, epoch - 1).items() if k in touched]
-        old = spark.read.parquet(*held).drop("point_id").withColumn("part", part) if held else None
-        upsert(new, old).write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={epoch}")
+        merge_batch(batch, epoch, target, parts)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

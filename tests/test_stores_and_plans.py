@@ -96,13 +96,14 @@ def test_model_seam(spark):
     assert models.default_json({"b": {2, 1}, "a": (1, None)}) == '{"a": [1, null], "b": [1, 2]}'
 
 
-def test_dense_search_in_slices(spark, monkeypatch):
+def test_dense_search_in_blocks(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, [rng.random() for _ in range(4)]) for i in range(300)] + [(300, None), (301, [0.0] * 4)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     asked = table.where("vec_id % 20 = 0 and vec_id < 300").withColumnRenamed("vec_id", "query_id")
     one = sorted(map(tuple, retrieval.dense_search(table, asked, k=7).collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 4)
+    monkeypatch.setattr(retrieval, "VECTOR_ROWS", 50)
     assert sorted(map(tuple, retrieval.dense_search(table, asked, k=7).collect())) == one and len(one) == 15 * 7
 
 
@@ -158,6 +159,48 @@ def test_ingest_stream_over_several_batches(spark, tmp_path):
     assert len(list((tmp_path / "table" / "version=2").glob("part=*"))) == 1  # the last batch touched one part
 
 
+def test_listing_and_disk_follow_the_table_not_the_batches(spark, tmp_path):
+    target, want = f"file://{tmp_path}/table", {}
+    for epoch in [*range(12), 11]:  # the last one is repeated
+        rows = [(i, 0, f"{epoch}:{i}", epoch) for i in range(epoch % 3, 30, 3)]
+        streams.merge_batch(spark.createDataFrame(rows, "doc_id long, chunk_index int, text string, ingest_ts long"), epoch, target, parts=4)
+        want |= {i: t for i, _, t, _ in rows}
+        assert len(list((tmp_path / "table" / "manifest").glob("*.json"))) <= streams.KEPT
+        assert len(list((tmp_path / "table").glob("version=*/part=*"))) <= 4 * streams.KEPT
+        assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "table").glob("version=*/part=*"))
+    assert {r.doc_id: r.text for r in streams.read_ingested(spark, target).collect()} == want
+    earlier = {r.doc_id: r.text for r in streams.read_ingested(spark, target, 10).collect()}
+    assert earlier == want | {i: f"8:{i}" for i in range(2, 30, 3)}
+
+
+def test_one_source_of_all_rows_fits_its_budget_in_many_tasks(spark):
+    rng = random.Random(8)
+    rows = [("hot", i, "x" * rng.randint(0, 30)) for i in range(3000)] + [(None, i, "y" * 9) for i in range(40)] + [("small", 1, "z" * 500), ("small", 2, "z")]
+    df = spark.createDataFrame(rows, "source string, place long, part string").repartition(6)
+    for budget in (100, 499, 500, 20_000, 10**9):
+        want = set()
+        for by in ("hot", None, "small"):
+            used = -len(context.SEPARATOR)
+            for _, i, p in sorted((r for r in rows if r[0] == by), key=lambda r: r[1]):
+                used += len(p) + len(context.SEPARATOR)
+                if used <= budget:
+                    want.add((by, i, used))
+        got = context.within_budget(df, by="source", order="place", budget=budget)
+        assert {(r.source, r.place, r.used) for r in got.collect()} == want
+
+
+def test_chunks_from_sql(spark):
+    docs = spark.createDataFrame([(1, " one  two\nthree four five ", "a"), (2, None, "b"), (3, "  ", "c"), (4, "x\u00a0y z", "d")], "id int, body string, note string")
+    docs.createOrReplaceTempView("docs_for_sql")
+    name = chunking.register(spark, "cut_text")
+    got = spark.sql(f"SELECT * FROM {name}(TABLE(docs_for_sql), 'body', 3, 1)").collect()
+    want = chunking.fixed_windows(docs, text="body", size=3, overlap=1).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4
+    for bad in ("'nothing', 3, 1", "'body', 3, 3"):
+        with pytest.raises(Exception, match="no column|smaller than"):
+            spark.sql(f"SELECT * FROM {name}(TABLE(docs_for_sql), {bad})").collect()
+
+
 def run_sessions(spark, folder, batches, **how):
     """The rows that each batch of (session, turn, role, text, second) gives."""
     start, seen = pd.Timestamp("2024-01-01", tz="UTC"), []
