@@ -120,7 +120,7 @@ _PIECE = re.compile(r"\s*\S+", re.ASCII)
 
 @udtf(useArrow=True)
 class ChunkText:
-    """``chunk_text(TABLE(docs) [PARTITION BY key], 'text', 512, 64)`` in SQL: the rows with chunk_index and chunk_text, as ``fixed_windows``.
+    """``chunk_text(TABLE(docs) [PARTITION BY (key)], 'text', 512, 64)`` in SQL: the rows with chunk_index and chunk_text, as ``fixed_windows``.
 
     The table's own columns pass through; the text column is named by the second argument."""
 

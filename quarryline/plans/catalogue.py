@@ -75,7 +75,7 @@ def chunk_text_udtf(spark, d):
     """The chunker as a table function in SQL."""
     T(spark, d, "documents").createOrReplaceTempView("quarryline_documents")
     chunk = chunking.register(spark)
-    return spark.sql(f"SELECT doc_id, chunk_index, chunk_text FROM {chunk}(TABLE(SELECT doc_id, text FROM quarryline_documents) PARTITION BY doc_id, 'text', 128, 28)")
+    return spark.sql(f"SELECT doc_id, chunk_index, chunk_text FROM {chunk}(TABLE(SELECT doc_id, text FROM quarryline_documents) PARTITION BY (doc_id), 'text', 128, 28)")
 
 
 @query(f"""SELECT doc_id, count(*) AS n_chunks, sum(length(chunk_text))::BIGINT AS n_chars, max(chunk_index) AS last_index
