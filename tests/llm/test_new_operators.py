@@ -64,6 +64,7 @@ def test_phrases_equal_brute_force(spark, talk, share, top):
 def test_phrases_over_a_grid_of_small_shards(spark, talk, monkeypatch):
     monkeypatch.setattr(collocations, "GROUP_BYTES", 20_000)
     monkeypatch.setattr(collocations, "SHARD_BYTES", 300)
+    monkeypatch.setattr(collocations, "BLOCK_PATTERNS", 5)
     monkeypatch.setattr(collocations, "GATHERED", 100)
     df = spark.createDataFrame(talk, "text string, lang string").repartition(3)
     assert sorted(tuple(r) for r in collocations.mine_phrases(df, least=12).collect()) == brute_phrases(talk, 12, 100)
