@@ -9,8 +9,9 @@ The vocabulary is the most frequent words of the whole corpus, lower-cased in AS
 in Spark; its size grows with the square root of the corpus's words, and the class tree with
 it. Other words share hashed ids, and each has its own share of its id's probability, by its
 count plus one; these counts stay a table, joined to the words of the documents. Training is data-parallel: in each round every
-partition starts from the same weights, trains on a masked share of every document's
-positions, and the weights are averaged by tokens, in two grouped steps. The driver holds
+partition starts from the same weights, trains on its round's share of every document's
+positions, and the weights are averaged by tokens, in two grouped steps. The rounds' shares are
+disjoint and together all positions: each is masked and predicted once. The driver holds
 one network, of the vocabulary's size.
 
 Defined results: a document without words (null or empty text) has 0 words and score 0.0;
@@ -279,7 +280,7 @@ def _count_words(limit: int = 1 << 22):
     return run
 
 
-def _train(net: Network, vocab, rank, share: float, seed: int, batch_size: int, blocks: int):
+def _train(net: Network, vocab, rank, turn: int, rounds: int, seed: int, batch_size: int, blocks: int):
     def run(batches):
         trainer, part = Trainer(net), TaskContext.get().partitionId()
         ys, xs, n = [], [], 0
@@ -289,7 +290,7 @@ def _train(net: Network, vocab, rank, share: float, seed: int, batch_size: int,
                 # The mask is hashed from word, place in the document and seed: the same however documents are read.
                 place = np.arange(len(h)) - np.searchsorted(row, row)
                 dice = mix(h + place.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
-                pick = np.flatnonzero(dice < _U(int(share * 2**64)))
+                pick = np.flatnonzero((dice >> _U(32)) * _U(rounds) >> _U(32) == _U(turn))
                 ys.append(ids[pick])
                 xs.append(windows(ids, row, net.side, net.size)[pick])
                 n += len(pick)
@@ -343,8 +344,8 @@ class Model(tuple):
     unseen: list[float]
 
 
-def fit_network(docs: DataFrame, *, rounds: int = 2, share: float = 0.15, batch_size: int = 4096, blocks: int = 16, seed: int = 2) -> Model:
-    """The model learnt from all texts of ``docs`` (text)."""
+def fit_network(docs: DataFrame, *, rounds: int = 2, epochs: int = 1, batch_size: int = 4096, blocks: int = 16, seed: int = 2) -> Model:
+    """The model learnt from all texts of ``docs`` (text): in each epoch every position is a target in one of the rounds."""
     counts = docs.select("text").mapInArrow(_count_words(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "words")
     size = vocabulary_size(counts.agg(F.sum("n")).first()[0] or 0)
@@ -353,8 +354,8 @@ def fit_network(docs: DataFrame, *, rounds: int = 2, share: float = 0.15, batch_
     order = np.argsort(words)
     vocab, rank = words[order], order.astype(np.int32)
     net = Network.fresh(seed=seed, size=size)
-    for r in range(rounds):
-        trained = docs.select("text").mapInArrow(_train(net, vocab, rank, share, seed + r, batch_size, blocks), _BLOCK)
+    for r in range(rounds * epochs):
+        trained = docs.select("text").mapInArrow(_train(net, vocab, rank, r % rounds, rounds, seed, batch_size, blocks), _BLOCK)
         summed = trained.groupBy("block", "salt").applyInArrow(_sum, _BLOCK)
         rows = summed.groupBy("block").applyInArrow(_sum, _BLOCK).orderBy("block").toArrow()
         if rows.num_rows:

@@ -107,7 +107,7 @@ def test_wavelet_access_rank_select():
 
 def test_op2_equals_a_loop_and_prefers_the_corpus(spark, docs, rows, empty):
     slim = docs.select("doc_id", "text")
-    net, vocab, rank = model = mlm.fit_network(slim, rounds=4, share=0.5, batch_size=256)
+    net, vocab, rank = model = mlm.fit_network(slim, rounds=2, epochs=2, batch_size=256)
     got = mlm.pseudo_likelihood(docs, model=model).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got if r.doc_id in (8, 10)}
@@ -499,7 +499,7 @@ def test_op2_hears_both_sides_and_the_order(spark):
     middle = {(a, b): f"m{a}{b}" for a in range(6) for b in range(6)}
     pick = lambda: (lambda a, b: f"l{a} {middle[a, b]} r{b}")(rng.randrange(6), rng.randrange(6))
     corpus = [(i, " ".join(pick() for _ in range(30))) for i in range(400)]
-    model = mlm.fit_network(spark.createDataFrame(corpus, "doc_id long, text string"), rounds=12, share=0.5, batch_size=256)
+    model = mlm.fit_network(spark.createDataFrame(corpus, "doc_id long, text string"), rounds=2, epochs=6, batch_size=256)
     held = [" ".join(pick() for _ in range(30)) for _ in range(20)]
     mixed = [" ".join(rng.sample(t.split(), 90)) for t in held]
     table = spark.createDataFrame(list(enumerate(held + mixed)), "doc_id long, text string")
@@ -535,7 +535,7 @@ def test_op2_masks_do_not_depend_on_chunks():
     with mock.patch.object(mlm, "Trainer", Count), mock.patch.object(mlm, "TaskContext"):
         for size in (200, 7):
             net = mlm.Network.fresh()
-            list(mlm._train(net, np.zeros(0, np.uint64), np.zeros(0, np.int32), 0.3, 1, 10**6, 1)(pa.RecordBatch.from_pydict({"text": texts[i : i + size]}) for i in range(0, 200, size)))
+            list(mlm._train(net, np.zeros(0, np.uint64), np.zeros(0, np.int32), 0, 3, 1, 10**6, 1)(pa.RecordBatch.from_pydict({"text": texts[i : i + size]}) for i in range(0, 200, size)))
     assert tokens[0] == tokens[1] and len(tokens[0]) > 100
 
 
