@@ -19,7 +19,7 @@ def main(argv: list[str] | None = None) -> None:
     parse = todo.add_parser("parse", help="text of supported files, as JSON lines")
     parse.add_argument("paths", nargs="+")
     parse.add_argument("--recursive", action="store_true")
-    parse.add_argument("--parser", default="plain")
+    parse.add_argument("--parser", help="one parser for all files; by default each kind of file has its own, and what has none is set apart")
     take = todo.add_parser("ingest", help="chunks of a table of documents (doc_id, text, source) and their index")
     take.add_argument("documents")
     ask = todo.add_parser("query", help="answers to a table of questions (question_id, question)")
@@ -30,10 +30,11 @@ def main(argv: list[str] | None = None) -> None:
     said = cli.parse_args(argv)
     spark = build_session("quarryline", cores=said.cores)
     if said.todo == "parse":
-        store.dump_json(parsers.parse_files(files.scan_files(spark, said.paths, said.recursive), said.parser), said.out)
+        found = files.scan_files(spark, said.paths, said.recursive)
+        store.dump_json(parsers.parse_files(found, said.parser) if said.parser else parsers.parse_by_type(found), said.out)
     elif said.todo == "ingest":
-        chunks = ingest(spark.read.parquet(said.documents))
-        store.dump_ingest(chunks, None, said.out)
+        docs = spark.read.parquet(said.documents)
+        store.dump_ingest(ingest(docs), None, said.out, documents=docs.select(F.col("doc_id").cast("string").alias("doc_id")))
         retrieval.bootstrap_index(spark.read.parquet(f"{said.out}/chunks"), f"{said.out}/index", key="point_id")
     else:
         chunks = spark.read.parquet(f"{said.store}/chunks").select(F.col("point_id").alias("chunk_id"), "text", F.col("source_file").alias("source"), F.col("chunk_index").cast("string").alias("section"))

@@ -783,12 +783,12 @@ def compress_sessions(spark, d):
     return memory.compress_sessions(turns).drop("topic_tags")
 
 
-@query("SELECT user_id, recency, '[' || strftime(ts, '%Y-%m-%d %H:%M') || ' | Topics: ' || event_type || '] ' || props AS line FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS recency FROM events WHERE user_id % 10 = 0) WHERE recency <= 5")
+@query("SELECT user_id, recency, '[' || strftime(ts, '%Y-%m-%d %H:%M') || ' | Topics: ' || event_type || '] ' || props AS line FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS recency FROM events) WHERE recency <= 5")
 def episodes_saved_and_loaded(spark, d):
     events = T(spark, d, "events")
     folder = store.scratch_path(spark, "episodes")
     memory.save_episodes(events.select("user_id", F.col("event_id").alias("session_id"), F.col("props").alias("summary"), F.array("event_type").alias("topic_tags"), F.lit(1).alias("turn_count"), F.col("ts").alias("created_at")), folder)
-    return memory.load_episodes(spark, folder, events.where("user_id % 10 = 0").select("user_id").distinct())
+    return memory.load_episodes(spark, folder, events.select("user_id").distinct())
 
 
 @query("SELECT doc_id, md5(text) AS parsed_md5 FROM documents WHERE source <> 'src1' AND text IS NOT NULL")
@@ -856,10 +856,15 @@ def model_call_totals(spark, d):
     return models.token_totals(T(spark, d, "conversations").select(F.col("turn").alias("prompt_tokens"), F.length("text").cast("long").alias("completion_tokens")))
 
 
-@query("""SELECT path, content AS text FROM (SELECT 'd' || doc_id AS path, replace(text, chr(12), ' ') || chr(10) AS content FROM documents)""")
+#: Lines become pages, some of them beyond the range of twenty, each range followed by a line feed.
+@query("""WITH p AS (SELECT 'd' || doc_id AS path, string_split(replace(replace(text, chr(12), ' '), chr(10), chr(12)), chr(12)) AS pages FROM documents)
+SELECT path, array_to_string(list_transform(range(0, len(pages), 20), lambda i: array_to_string(pages[i + 1:i + 20], chr(12)) || chr(10)), '') AS text, ((len(pages) + 19) // 20)::INT AS n_ranges FROM p""")
 def parse_files_by_page(spark, d):
-    docs = T(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.encode(F.replace("text", F.lit("\f"), F.lit(" ")), "UTF-8").alias("content"))
-    return parsers.parse_files(docs).select("path", "text")
+    paged = F.translate(F.replace("text", F.lit("\f"), F.lit(" ")), "\n", "\f")
+    docs = T(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.encode(paged, "UTF-8").alias("content"))
+    counted = T(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.size(F.split(paged, "\f")).alias("n"))
+    ranges = counted.select("path", F.size(files.page_ranges(F.col("n"))).alias("n_ranges"))
+    return parsers.parse_files(docs).select("path", "text").join(ranges, "path")
 
 
 _CUT_TAGS = "html|body|main|article|section|div|p|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|nav|header|footer|aside|form"

@@ -14,6 +14,8 @@ HTML = (".html", ".htm", ".xhtml")
 OFFICE = (".doc", ".docx", ".ppt", ".pptx", ".xls", ".xlsx")
 TEXT = (".txt", ".md")
 SUPPORTED = (*HTML, *OFFICE, *TEXT, ".pdf")
+#: Extensions of plain text.
+PLAIN = (".txt", ".md")
 #: MIME types by extension; fixed values of the formats themselves.
 MIME_TYPES = {
     "html": "text/html",

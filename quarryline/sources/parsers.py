@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.sources.files import mime_type, page_ranges, parse_route
+from quarryline.sources.files import PLAIN, mime_type, page_ranges, parse_route, suffix
 
 
 class Registry:
@@ -57,7 +57,17 @@ def count_pages(content: bytes) -> int:
     return content.count(b"\f") + 1
 
 
+def html_text(path: str, content: bytes, first: int, end: int) -> str:
+    """Headings, blocks and tables of a page in order; a page is one page of its file."""
+    from quarryline.operators.parsing import parse_html
+
+    return "\n\n".join(n["text"] for n in parse_html(content.decode("utf-8", "replace"))) if first == 0 else ""
+
+
 PARSERS.register("plain", lambda: plain_text, shared=True)
+PARSERS.register("html", lambda: html_text, shared=True)
+#: Which parser takes a kind of file; a kind without one is set apart. Others are added by ``PARSERS.register`` and here.
+ROUTES = {"text": "plain", "html": "html"}
 
 
 def with_mime(files: DataFrame, path: str = "path") -> DataFrame:
@@ -73,25 +83,24 @@ def page_work(files: DataFrame, pages: Column, most: int = 20) -> DataFrame:
 
 
 def parse_files(files: DataFrame, parser: str = "plain", *, pages: Column | None = None, most: int = 20, **options) -> DataFrame:
-    """(path, text, error) of binary files (path, content): ranges parsed apart, joined in order, a line feed after each.
+    """(path, text, error) of binary files (path, content): page ranges parsed apart, joined in order, a line feed after each.
 
-    A range that fails leaves its message in ``error`` and no text; it doesn't fail the job.
+    Ranges are made where the file's bytes are, so these are not copied. A range that fails leaves its message in
+    ``error`` and no text; it doesn't fail the job.
     """
     call = PARSERS.make(parser, **options)
-    if pages is None:
-        counted = files.select("path", "content").mapInPandas(lambda batches: (b.assign(pages=b["content"].map(lambda c: count_pages(bytes(c)))) for b in batches), "path string, content binary, pages int")
-        work = page_work(counted, F.col("pages"), most)
-    else:
-        work = page_work(files, pages, most)
+    work = files.select("path", "content", (F.lit(None) if pages is None else pages).cast("int").alias("pages"))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for path, content, first, end in zip(pdf["path"], pdf["content"], pdf["first"], pdf["end"], strict=True):
-                try:
-                    rows.append((path, first, call(path, bytes(content), first, end) + "\n", None))
-                except Exception as e:
-                    rows.append((path, first, None, f"{type(e).__name__}: {e}"))
+            for path, content, known in zip(pdf["path"], pdf["content"], pdf["pages"], strict=True):
+                content = bytes(content)
+                for first in range(0, count_pages(content) if pd.isna(known) else int(known), most):
+                    try:
+                        rows.append((path, first, call(path, content, first, min(first + most, int(known) if not pd.isna(known) else first + most)) + "\n", None))
+                    except Exception as e:
+                        rows.append((path, first, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "first", "text", "error"])
 
     parts = work.mapInPandas(run, "path string, first int, text string, error string")
@@ -99,6 +108,16 @@ def parse_files(files: DataFrame, parser: str = "plain", *, pages: Column | None
     return parts.groupBy("path").agg(F.array_join(ordered, "").alias("text"), F.max("error").alias("error"))
 
 
+def parse_by_type(files: DataFrame, **how) -> DataFrame:
+    """(path, text, error): each file by the parser of its kind; one whose kind has no parser is set apart with an error and no text."""
+    kind = F.when(mime_type(F.col("path")).startswith("text/") & (parse_route(F.col("path")) != "html"), "text").otherwise(parse_route(F.col("path")))
+    routed = files.withColumn("__ql_kind", F.when(suffix(F.col("path")).isin(*PLAIN), "text").otherwise(kind))
+    out = routed.where(~F.col("__ql_kind").isin(*ROUTES)).select("path", F.lit(None).cast("string").alias("text"), F.concat(F.lit("quarantined: no parser for "), F.coalesce(F.nullif(suffix(F.col("path")), F.lit("")), F.lit("a file without extension"))).alias("error"))
+    for name, parser in ROUTES.items():
+        out = out.unionByName(parse_files(routed.where(F.col("__ql_kind") == name), parser, **how))
+    return out
+
+
 def file_status(parsed: DataFrame) -> DataFrame:
     """(path, ok, error) of each file of a batch."""
     return parsed.select("path", F.col("error").isNull().alias("ok"), "error")

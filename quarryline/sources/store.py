@@ -182,20 +182,30 @@ class ParseCache:
         return gone
 
 
-def dump_ingest(chunks: DataFrame, embedded: DataFrame | None, folder: str, key: str = "doc_id") -> None:
-    """The ingest outputs ``chunks`` and ``embedded_chunks``, of which each run replaces its documents' own parts."""
+def dump_ingest(chunks: DataFrame, embedded: DataFrame | None, folder: str, key: str = "doc_id", documents: DataFrame | None = None) -> None:
+    """The ingest outputs ``chunks`` and ``embedded_chunks``, of which each run replaces its documents' own parts.
+
+    ``documents`` (key) names the documents of the run: one that now gives no chunk loses those it had."""
     spark = chunks.sparkSession
     for name, rows in (("chunks", chunks), ("embedded_chunks", embedded)):
         if rows is not None:
-            part = rows.withColumn("part", F.pmod(F.xxhash64(F.col(key)), F.lit(64)).cast("int"))
+            part = rows.withColumn("part", _part_of(key))
             path = f"{folder}/{name}"
             if exists(spark, path):
-                old = spark.read.parquet(path).join(part.select(key).distinct(), key, "left_anti")
-                touched = part.select("part").distinct()
-                part = written(old.join(touched, "part", "left_semi").unionByName(part, allowMissingColumns=True), scratch_path(spark, name))
+                mine = (part if documents is None else part.select(key).unionByName(documents.select(F.col(key).cast(part.schema[key].dataType).alias(key)))).select(key).distinct()
+                touched = mine.select(_part_of(key).alias("part")).distinct()
+                old = spark.read.parquet(path)
+                part = written(old.join(mine, key, "left_anti").join(touched, "part", "left_semi").unionByName(part, allowMissingColumns=True), scratch_path(spark, name))
+                # A part that is left without rows is not written, so its folder goes by name; at most 64.
+                for r in touched.join(part.select("part").distinct(), "part", "left_anti").collect():
+                    delete(spark, f"{path}/part={r.part}")
             part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
 
 
+def _part_of(key: str):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(64)).cast("int")
+
+
 def dump_json(blocks: DataFrame, path: str) -> None:
     """Content blocks as lines of JSON."""
     blocks.write.mode("overwrite").json(path)

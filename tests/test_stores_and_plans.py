@@ -107,6 +107,17 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.dense_search(table, asked, k=7).collect())) == one and len(one) == 15 * 7
 
 
+def test_an_emptied_document_loses_its_chunks(spark, tmp_path):
+    folder, kind = f"file://{tmp_path}/store", "doc_id string, chunk_index int, text string"
+    docs = spark.createDataFrame([("a",), ("b",)], "doc_id string")
+    store.dump_ingest(spark.createDataFrame([("a", 0, "x"), ("b", 0, "y"), ("c", 0, "z")], kind), None, folder)
+    store.dump_ingest(spark.createDataFrame([("b", 0, "new")], kind), spark.createDataFrame([("b", 0, [1.0])], "doc_id string, chunk_index int, vector array<double>"), folder, documents=docs)
+    assert {(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/chunks").collect()} == {("b", "new"), ("c", "z")}
+    assert [r.vector for r in spark.read.parquet(f"{folder}/embedded_chunks").collect()] == [[1.0]]
+    store.dump_ingest(spark.createDataFrame([], kind), None, folder, documents=docs)
+    assert [r.doc_id for r in spark.read.parquet(f"{folder}/chunks").collect()] == ["c"]
+
+
 def test_packed_spans():
     rng = random.Random(2)
     for _ in range(300):
@@ -285,8 +296,12 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.txt").write_text("first page\fsecond page")
     (tmp_path / "files" / "a.zip").write_text("no")
+    (tmp_path / "files" / "b.html").write_text("<h1>Title</h1><p>a paragraph that is long enough</p><nav>menu</nav>")
+    (tmp_path / "files" / "c.pdf").write_bytes(b"%PDF-1.4 \xff\xfe")
     main(["parse", f"file://{tmp_path}/files", f"file://{tmp_path}/nowhere", "--out", f"file://{tmp_path}/parsed"])
-    assert [r.text for r in spark.read.json(f"{tmp_path}/parsed").collect()] == ["first page\fsecond page\n"]
+    got = {r.path.rpartition("/")[2]: r for r in spark.read.json(f"{tmp_path}/parsed").collect()}
+    assert got["a.txt"].text == "first page\fsecond page\n" and got["b.html"].text == "Title\n\na paragraph that is long enough\n"
+    assert got["c.pdf"].text is None and got["c.pdf"].error == "quarantined: no parser for .pdf" and len(got) == 3
     spark.createDataFrame([(i, f"topic{i % 5} is explained in part {i}", f"s{i}") for i in range(30)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/docs")
     spark.createDataFrame([(1, "what is topic2"), (2, "hello")], "question_id long, question string").write.parquet(f"{tmp_path}/asked")
     main(["ingest", f"file://{tmp_path}/docs", "--out", f"file://{tmp_path}/store"])
