@@ -105,7 +105,7 @@ def _reserve(zone: int, n: int, percent: int) -> int:
     return zone if zone - (1 << _level(n * 100 // percent)) >= _need(n, percent) else n
 
 
-def _measure(percent: int, full: bool, words: int = SHINGLE):
+def _measure(percent: int, words: int = SHINGLE):
     zone = _zone(percent)
 
     def run(batches):
@@ -116,15 +116,13 @@ def _measure(percent: int, full: bool, words: int = SHINGLE):
                 size = np.diff(bounds)
                 sums = [np.concatenate([[_U(0)], np.cumsum(mix(value ^ _U(c)))]) for c in (0x51ED270B, 0xA5CB3B1D2F)]
                 prints = [(x[bounds[1:]] - x[bounds[:-1]]).view(np.int64) for x in sums]
-                none = [] if full else [batch.column("none").slice(lo, hi - lo)]
-                cols = [ids, *none, pa.array(size), *map(pa.array, prints)]
-                if full:
-                    low = np.concatenate([[0], np.cumsum(value < zone)])
-                    keep = [_reserve(int(z), n, percent) for z, n in zip(low[bounds[1:]] - low[bounds[:-1]], size.tolist(), strict=True)]
-                    take = np.concatenate([np.arange(b, b + k) for b, k in zip(bounds.tolist(), keep, strict=False)]).astype(np.int64)
-                    cuts = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
-                    cols.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(value[take].view(np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "f1", "f2", "tokens"] if full else ["doc_id", "none", "n", "f1", "f2"])
+                low = np.concatenate([[0], np.cumsum(value < zone)])
+                keep = [_reserve(int(z), n, percent) for z, n in zip(low[bounds[1:]] - low[bounds[:-1]], size.tolist(), strict=True)]
+                take = np.concatenate([np.arange(b, b + k) for b, k in zip(bounds.tolist(), keep, strict=False)]).astype(np.int64)
+                cuts = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(cuts), pa.array(value[take].view(np.int64)))
+                cols = [ids, batch.column("none").slice(lo, hi - lo), pa.array(size), *map(pa.array, prints), tokens]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "none", "n", "f1", "f2", "tokens"])
 
     return run
 
@@ -302,7 +300,7 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     tune(df.sparkSession)
     # A null id counts as the largest; the flag tells it from a document that has that id.
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(key).isNull().alias("none"), F.col(text).alias("text"))
-    measured = docs.select("doc_id", "text").mapInArrow(_measure(percent, True, words), "doc_id long, n long, f1 long, f2 long, tokens array<long>")
+    measured = materialize(docs.mapInArrow(_measure(percent, words), "doc_id long, none boolean, n long, f1 long, f2 long, tokens array<long>"), "measured")
     reps = measured.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
     reps = materialize(reps, "sets")
     # A set of under 9 tokens links with an equal one at most, at 90 percent.
@@ -343,8 +341,7 @@ def similar_documents(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     # The components are written, so what they were made of can go.
     found = materialize(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(forest), "a", "b"), "components")
     discard(pairs, groups, sets, links, known)
-    members = docs.mapInArrow(_measure(percent, False, words), "doc_id long, none boolean, n long, f1 long, f2 long")
-    members = members.join(reps.drop("tokens"), ["n", "f1", "f2"], "left").join(found, F.col("rep") == F.col("node"), "left")
+    members = measured.drop("tokens").join(reps.drop("tokens"), ["n", "f1", "f2"], "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.coalesce("component", "rep", "doc_id")
     return members.select(
         F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"),
