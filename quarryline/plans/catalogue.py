@@ -50,11 +50,17 @@ def _index(spark, d) -> retrieval.LexicalIndex:
     return retrieval.bootstrap_index(T(spark, d, "documents"), folder)[0]
 
 
-def grid(spark: SparkSession, schema: str, rows: list) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+_WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> '')"
 
+#: Categories by number, typed here so that a wrong one in the engine shows.
+_CATEGORY_SQL = "['factual', 'comparative', 'analytical', 'summarization', 'chitchat', 'clarification', 'procedural', 'meta'][({} % 8 + 1)::INT]"
+_CATEGORY_NAMES = ("factual", "comparative", "analytical", "summarization", "chitchat", "clarification", "procedural", "meta")
+
+
+def _nth(values, place):
+    """The value of a fixed list at a place that a row gives, from 0, around."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(place, F.lit(len(values))) + 1).cast("int"))
 
-_WORDS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> '')"
 
 # ---------------------------------------------------------------- chunking
 
@@ -93,19 +99,19 @@ def chunk_parent_window(spark, d):
     return out.select("conv_id", "turn", "parent_text", "parent_start", "parent_end")
 
 
-_PATHS = ["a/b.html", "c.HTM", "x.y/readme.md", "d.docx", "e.PDF", "f.tar.gz", "noext", "g.pptx", "h.txt", "dir.pdf/i.png", ".hidden"]
-_PATH_ROWS = ", ".join(f"('{p}')" for p in _PATHS)
+_ENDINGS = (".html", ".HTM", ".v2/readme.md", ".docx", ".PDF", ".tar.gz", "", ".pptx", ".txt", ".pdf/scan.png", "/.hidden", ".xlsx", ".unknown")
 
 
-@query(f"""SELECT path, s AS suffix, CASE WHEN s = '.pdf' THEN 'pdf' WHEN s IN ('.html', '.htm', '.xhtml') THEN 'html'
+@query(f"""SELECT doc_id, path, s AS suffix, CASE WHEN s = '.pdf' THEN 'pdf' WHEN s IN ('.html', '.htm', '.xhtml') THEN 'html'
 WHEN s IN ('.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx') THEN 'office' ELSE 'quarantine' END AS route,
 CASE WHEN s IN ('.html', '.htm', '.xhtml', '.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx', '.txt', '.md', '.pdf') THEN 'recursive_character' ELSE 'fixed' END AS strategy,
 s IN ('.html', '.htm', '.xhtml', '.doc', '.docx', '.ppt', '.pptx', '.xls', '.xlsx', '.txt', '.md', '.pdf') AS supported
-FROM (SELECT path, CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN lower(regexp_extract(name, '\\.[^.]+$')) ELSE '' END AS s
-      FROM (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM (VALUES {_PATH_ROWS}) t(path)))""".replace("\\\\", "\\"))
+FROM (SELECT doc_id, path, CASE WHEN regexp_matches(name, '^.+[.][^.]+$') THEN lower(regexp_extract(name, '[.][^.]+$')) ELSE '' END AS s
+      FROM (SELECT doc_id, path, regexp_extract(path, '[^/]*$') AS name FROM (SELECT doc_id, source || '/' || lang || doc_id || {list(_ENDINGS)}[(doc_id % {len(_ENDINGS)} + 1)::INT] AS path FROM documents)))""")
 def chunk_strategy_route(spark, d):
+    path = F.concat("source", F.lit("/"), "lang", F.col("doc_id").cast("string"), _nth(_ENDINGS, F.col("doc_id")))
     s = files.suffix(F.col("path"))
-    return grid(spark, "path string", [(p,) for p in _PATHS]).select("path", s.alias("suffix"), files.parse_route(F.col("path")).alias("route"), files.chunk_strategy(F.col("path")).alias("strategy"), s.isin(*files.SUPPORTED).alias("supported"))
+    return T(spark, d, "documents").select("doc_id", path.alias("path")).select("doc_id", "path", s.alias("suffix"), files.parse_route(F.col("path")).alias("route"), files.chunk_strategy(F.col("path")).alias("strategy"), s.isin(*files.SUPPORTED).alias("supported"))
 
 
 @query()
@@ -113,11 +119,11 @@ def chunk_recursive(spark, d):
     return chunking.recursive_chunks(T(spark, d, "documents"))
 
 
-@query("SELECT n_pages, r.a::INT AS first_page, least(r.a + 20, n_pages)::INT AS end_page FROM (SELECT n_pages, unnest(list_transform(range(0, n_pages, 20), lambda x: {'a': x})) AS r FROM (VALUES (1), (20), (21), (65)) t(n_pages))")
+@query("SELECT doc_id, n_pages, r.a::INT AS first_page, least(r.a + 20, n_pages)::INT AS end_page FROM (SELECT doc_id, n_pages, unnest(list_transform(range(0, n_pages, 20), lambda x: {'a': x})) AS r FROM (SELECT doc_id, (n_chars // 300)::INT AS n_pages FROM documents))")
 def pdf_page_ranges(spark, d):
-    pages = grid(spark, "n_pages int", [(1,), (20,), (21,), (65,)])
-    out = pages.select("n_pages", F.explode(files.page_ranges(F.col("n_pages"))).alias("r"))
-    return out.select("n_pages", F.col("r.first").alias("first_page"), F.col("r.end").alias("end_page"))
+    pages = T(spark, d, "documents").select("doc_id", F.floor(F.col("n_chars") / 300).cast("int").alias("n_pages"))
+    out = pages.select("doc_id", "n_pages", F.explode(files.page_ranges(F.col("n_pages"))).alias("r"))
+    return out.select("doc_id", "n_pages", F.col("r.first").alias("first_page"), F.col("r.end").alias("end_page"))
 
 
 # ---------------------------------------------------------------- text
@@ -145,7 +151,6 @@ def text_tokens(spark, d):
     return T(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-_MD = ["plain", "**bold** and __also__", "a & b < c > d", "`code` here", "see [site](http://x.y)", "~~gone~~ kept"]
 _MD_SQL = "replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 for _p, _r in (
     (r"\*\*(.*?)\*\*", r"<b>\1</b>"), ("__(.*?)__", r"<b>\1</b>"), ("`([^`]+?)`", r'<font name="Courier" size="9" color="darkred">\1</font>'),
@@ -154,9 +159,13 @@ for _p, _r in (
     _MD_SQL = f"regexp_replace({_MD_SQL}, '{_p}', '{_r}', 'g')"
 
 
-@query(f"SELECT s AS source, {_MD_SQL} AS markup FROM (VALUES {', '.join(repr((m,)).replace(',)', ')') for m in _MD)}) t(s)")
+@query(f"""SELECT conv_id, turn, {_MD_SQL} AS markup FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '**' || text || '** & __' || role || '__' WHEN 1 THEN 'a < b > ' || text || ' `' || text || '`'
+WHEN 2 THEN '[' || role || '](http://x.y/' || conv_id || ') ' || text WHEN 3 THEN '~~' || text || '~~ kept' ELSE text END AS s FROM conversations)""")
 def markdown_inline(spark, d):
-    return grid(spark, "source string", [(m,) for m in _MD]).select("source", text.inline_markup(F.col("source"), italics=False).alias("markup"))
+    t, role = F.col("text"), F.col("role")
+    said = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("**"), t, F.lit("** & __"), role, F.lit("__"))).when(F.col("turn") % 5 == 1, F.concat(F.lit("a < b > "), t, F.lit(" `"), t, F.lit("`")))
+    said = said.when(F.col("turn") % 5 == 2, F.concat(F.lit("["), role, F.lit("](http://x.y/"), F.col("conv_id").cast("string"), F.lit(") "), t)).when(F.col("turn") % 5 == 3, F.concat(F.lit("~~"), t, F.lit("~~ kept"))).otherwise(t)
+    return T(spark, d, "conversations").select("conv_id", "turn", text.inline_markup(said, italics=False).alias("markup"))
 
 
 _ANSWER_SQL = "'```json' || chr(10) || props || chr(10) || '```'"
@@ -388,35 +397,35 @@ def retrieval_decision(spark, d):
 
 # ---------------------------------------------------------------- routing and grading
 
-_SQL_CATS = "(VALUES " + ", ".join(f"('{c}')" for c in routing.CATEGORIES) + ") c(category)"
-_MSGS = ["what now", "recap our conversation", "Summarize our talk"]
-_SQL_MSGS = "(VALUES " + ", ".join(f"('{m}')" for m in _MSGS) + ") m(message)"
+#: What a message may open with: words that ask for the conversation itself, and others.
+_RECAPS = ("", "recap our conversation: ", "Summarize our talk: ", "what we discussed: ")
 
 
-@query(f"""SELECT category, complexity, message, CASE WHEN category IN ('chitchat', 'meta') THEN 'simple_response' WHEN category = 'factual' AND complexity <= 2 THEN 'direct_synthesize'
+@query(f"""SELECT conv_id, turn, category, complexity, CASE WHEN category IN ('chitchat', 'meta') THEN 'simple_response' WHEN category = 'factual' AND complexity <= 2 THEN 'direct_synthesize'
 WHEN category = 'summarization' AND regexp_matches(lower(message), 'previous|discussed|conversation|recap|summarize our') THEN 'synthesize' ELSE 'plan' END AS route
-FROM {_SQL_CATS}, (SELECT unnest(range(1, 6))::INT AS complexity), {_SQL_MSGS}""")
+FROM (SELECT conv_id, turn, {_CATEGORY_SQL.format("(conv_id + turn)")} AS category, (turn % 5 + 1)::INT AS complexity, {list(_RECAPS)}[(conv_id % 4 + 1)::INT] || text AS message FROM conversations)""")
 def route_after_classify(spark, d):
-    rows = grid(spark, "category string, complexity int, message string", [(c, x, m) for c in routing.CATEGORIES for x in range(1, 6) for m in _MSGS])
-    return rows.withColumn("route", routing.route_after_classify(F.col("category"), F.col("complexity"), F.col("message")))
+    rows = T(spark, d, "conversations").select("conv_id", "turn", _nth(_CATEGORY_NAMES, F.col("conv_id") + F.col("turn")).alias("category"), (F.col("turn") % 5 + 1).cast("int").alias("complexity"), F.concat(_nth(_RECAPS, F.col("conv_id")), "text").alias("message"))
+    return rows.withColumn("route", routing.route_after_classify(F.col("category"), F.col("complexity"), F.col("message"))).drop("message")
 
 
 _DECISIONS = ("sufficient", "refine_query", "expand_search", "exhausted", "other")
 
 
-@query("""SELECT *, CASE WHEN steps >= 6 THEN 'grade' WHEN decision = 'refine_query' AND round < max_rounds THEN 'refine_query' WHEN idx + 1 < total THEN 'next_sub_question' ELSE 'grade' END AS route
-FROM (VALUES """ + ", ".join(f"('{x}')" for x in _DECISIONS) + """) a(decision), (SELECT unnest(range(0, 4))::INT AS round), (SELECT unnest([1, 3])::INT AS max_rounds),
-(SELECT unnest(range(0, 3))::INT AS idx), (SELECT unnest([1, 2])::INT AS total), (SELECT unnest([0, 5, 6])::INT AS steps)""")
+@query(f"""SELECT event_id, CASE WHEN steps >= 6 THEN 'grade' WHEN decision = 'refine_query' AND round < max_rounds THEN 'refine_query' WHEN idx + 1 < total THEN 'next_sub_question' ELSE 'grade' END AS route
+FROM (SELECT event_id, {list(_DECISIONS)}[(event_id % 5 + 1)::INT] AS decision, event_id // 5 % 4 AS round, event_id // 20 % 2 * 2 + 1 AS max_rounds, event_id // 40 % 3 AS idx, event_id // 120 % 2 + 1 AS total, user_id % 8 AS steps FROM events)""")
 def route_after_retrieve(spark, d):
-    rows = [(x, r, m, i, t, s) for x in _DECISIONS for r in range(4) for m in (1, 3) for i in range(3) for t in (1, 2) for s in (0, 5, 6)]
-    df = grid(spark, "decision string, round int, max_rounds int, idx int, total int, steps int", rows)
-    return df.withColumn("route", routing.route_after_retrieve(*[F.col(c) for c in df.columns]))
+    part = lambda by, n: F.floor(F.col("event_id") / by) % n
+    rows = T(spark, d, "events").select("event_id", _nth(_DECISIONS, F.col("event_id")).alias("decision"), part(5, 4).alias("round"), (part(20, 2) * 2 + 1).alias("max_rounds"), part(40, 3).alias("idx"), (part(120, 2) + 1).alias("total"), (F.col("user_id") % 8).alias("steps"))
+    return rows.select("event_id", routing.route_after_retrieve(*[F.col(c) for c in rows.columns[1:]]).alias("route"))
 
 
-@query("SELECT *, CASE WHEN idx < total THEN 'retrieve' ELSE 'grade' END AS route FROM (SELECT unnest(range(0, 4))::INT AS idx), (SELECT unnest(range(0, 4))::INT AS total)")
+@query("SELECT conv_id, turn, CASE WHEN turn + 1 < total THEN 'retrieve' ELSE 'grade' END AS route FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)")
 def route_after_next(spark, d):
-    df = grid(spark, "idx int, total int", [(i, t) for i in range(4) for t in range(4)])
-    return df.withColumn("route", routing.route_after_next(F.col("idx"), F.col("total")))
+    """Each turn as a sub-question of its conversation."""
+    turns = T(spark, d, "conversations").select("conv_id", "turn")
+    total = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total"))
+    return turns.join(total, "conv_id").select("conv_id", "turn", routing.route_after_next(F.col("turn") + 1, F.col("total")).alias("route"))
 
 
 _ROUTER_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{n}'" for n, p in routing.INTENTS) + " ELSE 'factual' END"
@@ -463,35 +472,44 @@ def grade_relevance(spark, d):
     return _graded(spark, d).groupBy("source").agg(F.round(F.avg((F.col("quality") == 1).cast("int")), 6).alias("relevance_ratio"), F.count(F.lit(1)).alias("total"))
 
 
-_COVER = [(1, ["What is A?", "What is B?"], ["what is a"], 1), (2, ["Alpha", "Beta"], ["tell me alpha and beta"], 2), (3, [], ["x"], 1), (4, [], [], 0), (5, ["Gamma"], [], 0)]
-
-
-@query("""SELECT id, CASE WHEN len(subs) > 0 THEN round(len(list_filter(subs, lambda q: len(list_filter(ans, lambda a: contains(lower(q), lower(a)) OR contains(lower(a), lower(q)))) > 0)) / len(subs), 6)
-WHEN n > 0 THEN 1.0 ELSE 0.0 END AS coverage FROM (VALUES """ + ", ".join(f"({i}, {s}::VARCHAR[], {a}::VARCHAR[], {n})" for i, s, a, n in _COVER) + ") t(id, subs, ans, n)")
+#: Of a question's halves as sub-questions: what the answers hold of them, by the item's number.
+@query(r"""WITH w AS (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark),
+s AS (SELECT item_id, text, CASE WHEN item_id % 7 = 6 THEN []::VARCHAR[] ELSE [array_to_string(w[1:4], ' '), array_to_string(w[5:], ' ')] END AS subs, array_to_string(w[1:4], ' ') AS one FROM w),
+a AS (SELECT item_id, subs, (item_id % 3)::INT AS n, CASE item_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [upper(one)] WHEN 2 THEN ['xx ' || lower(text) || ' xx'] ELSE ['nothing of it', one || '!'] END AS ans FROM s)
+SELECT item_id, CASE WHEN len(subs) > 0 THEN round(len(list_filter(subs, lambda q: len(list_filter(ans, lambda a: contains(lower(q), lower(a)) OR contains(lower(a), lower(q)))) > 0)) / len(subs), 6)
+WHEN n > 0 THEN 1.0 ELSE 0.0 END AS coverage FROM a""")
 def grade_coverage(spark, d):
-    df = grid(spark, "id int, subs array<string>, ans array<string>, n int", _COVER)
-    return df.select("id", F.round(routing.coverage(F.col("subs"), F.col("ans"), F.col("n")), 6).alias("coverage"))
-
-
-@query(f"""SELECT category, n, target, CASE WHEN n = 0 THEN 'empty' WHEN n >= target THEN 'sufficient' WHEN category IN ('analytical', 'procedural', 'comparative') THEN 'unknown'
-WHEN n >= target * 0.5 THEN 'adequate' ELSE 'insufficient' END AS level FROM {_SQL_CATS}, (SELECT unnest(range(0, 7))::INT AS n), (SELECT unnest([3, 5])::INT AS target)""")
+    w = text.words(F.col("text"))
+    one, none = F.array_join(F.slice(w, 1, 4), " "), F.array().cast("array<string>")
+    subs = F.when(F.col("item_id") % 7 == 6, none).otherwise(F.array(one, F.array_join(F.slice(w, 5, 100_000), " ")))
+    said = F.when(F.col("item_id") % 4 == 0, none).when(F.col("item_id") % 4 == 1, F.array(F.upper(one))).when(F.col("item_id") % 4 == 2, F.array(F.concat(F.lit("xx "), F.lower("text"), F.lit(" xx"))))
+    said = said.otherwise(F.array(F.lit("nothing of it"), F.concat(one, F.lit("!"))))
+    rows = T(spark, d, "benchmark").select("item_id", subs.alias("subs"), said.alias("ans"), (F.col("item_id") % 3).alias("n"))
+    return rows.select("item_id", F.round(routing.coverage(F.col("subs"), F.col("ans"), F.col("n")), 6).alias("coverage"))
+
+
+@query(f"""SELECT source, category, n, target, CASE WHEN n = 0 THEN 'empty' WHEN n >= target THEN 'sufficient' WHEN category IN ('analytical', 'procedural', 'comparative') THEN 'unknown'
+WHEN n >= target * 0.5 THEN 'adequate' ELSE 'insufficient' END AS level
+FROM (SELECT source, c AS category, sum(quality)::INT % 9 AS n, (3 + min(doc_id) % 5)::INT AS target FROM (SELECT source, quality, doc_id, {_CATEGORY_SQL.format("doc_id")} AS c FROM documents JOIN labels USING (doc_id)) GROUP BY source, c)""")
 def grade_completeness(spark, d):
-    df = grid(spark, "category string, n int, target int", [(c, n, t) for c in routing.CATEGORIES for n in range(7) for t in (3, 5)])
-    return df.withColumn("level", routing.completeness(F.col("n"), F.col("target"), F.col("category")))
+    """Good documents of each source and category as the chunks that were accepted."""
+    rows = _graded(spark, d).withColumn("category", _nth(_CATEGORY_NAMES, F.col("doc_id"))).groupBy("source", "category")
+    rows = rows.agg((F.sum("quality") % 9).cast("int").alias("n"), (3 + F.min("doc_id") % 5).cast("int").alias("target"))
+    return rows.withColumn("level", routing.completeness(F.col("n"), F.col("target"), F.col("category")))
 
 
-_WEIGHT_SQL = [
-    "CASE category " + " ".join(f"WHEN '{k}' THEN {w[i]}" for k, w in routing.WEIGHTS.items()) + f" ELSE {routing.OTHER_WEIGHTS[i]} END" for i in range(3)
-]
-_LEVEL_SQL = "CASE level " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in routing.LEVELS.items()) + " ELSE 0.5 END"
+#: Weights of relevance, coverage and completeness, and the levels' scores, typed here so that a wrong one in the engine shows.
+_SCORE_SQL = """(CASE WHEN category IN ('factual', 'summarization') THEN 0.5 WHEN category IN ('comparative', 'analytical') THEN 0.3 WHEN category = 'procedural' THEN 0.2 ELSE 0.4 END)::DOUBLE * relevance
++ (CASE WHEN category IN ('factual', 'summarization') THEN 0.2 WHEN category IN ('comparative', 'analytical') THEN 0.4 ELSE 0.3 END)::DOUBLE * covered
++ (CASE WHEN category = 'procedural' THEN 0.5 ELSE 0.3 END)::DOUBLE * (CASE level WHEN 'sufficient' THEN 0.9 WHEN 'adequate' THEN 0.7 WHEN 'insufficient' THEN 0.3 WHEN 'empty' THEN 0.0 ELSE 0.5 END)::DOUBLE"""
+_LEVEL_NAMES = ("sufficient", "adequate", "insufficient", "empty", "unknown")
 
 
-@query(f"""SELECT category, level, relevance, covered, round(({_WEIGHT_SQL[0]})::DOUBLE * relevance + ({_WEIGHT_SQL[1]})::DOUBLE * covered + ({_WEIGHT_SQL[2]})::DOUBLE * ({_LEVEL_SQL})::DOUBLE, 6) AS score
-FROM {_SQL_CATS}, (SELECT unnest(['sufficient', 'adequate', 'insufficient', 'empty', 'unknown']) AS level), (SELECT unnest([0.0, 0.25, 1.0])::DOUBLE AS relevance), (SELECT unnest([0.0, 0.5, 1.0])::DOUBLE AS covered)""")
+@query(f"""SELECT event_id, category, level, round({_SCORE_SQL}, 6) AS score
+FROM (SELECT event_id, {_CATEGORY_SQL.format("event_id")} AS category, {list(_LEVEL_NAMES)}[(event_id // 8 % 5 + 1)::INT] AS level, (event_id // 40 % 5) * 0.25::DOUBLE AS relevance, (user_id % 4) / 4::DOUBLE AS covered FROM events)""")
 def grade_overall(spark, d):
-    rows = [(c, lv, r, v) for c in routing.CATEGORIES for lv in (*routing.LEVELS, "unknown") for r in (0.0, 0.25, 1.0) for v in (0.0, 0.5, 1.0)]
-    df = grid(spark, "category string, level string, relevance double, covered double", rows)
-    return df.withColumn("score", routing.overall_score(F.col("relevance"), F.col("covered"), F.col("level"), F.col("category"), 6))
+    rows = T(spark, d, "events").select("event_id", _nth(_CATEGORY_NAMES, F.col("event_id")).alias("category"), _nth(_LEVEL_NAMES, F.floor(F.col("event_id") / 8)).alias("level"), (F.floor(F.col("event_id") / 40) % 5 * 0.25).alias("relevance"), (F.col("user_id") % 4 / 4).alias("covered"))
+    return rows.select("event_id", "category", "level", routing.overall_score(F.col("relevance"), F.col("covered"), F.col("level"), F.col("category"), 6).alias("score"))
 
 
 @query(f"WITH {_HYBRID_CTE} SELECT query_id, 0 AS round, doc_id FROM fused WHERE rank <= 5 UNION ALL SELECT query_id, 1, doc_id FROM fused WHERE rank <= 3")
@@ -524,11 +542,11 @@ def context_legacy(spark, d):
     return rows.select("lang", F.md5(context.legacy_context(F.col("parts"))).alias("context_md5"))
 
 
-@query(f"""SELECT n, category, CASE WHEN category IN ('chitchat', 'meta') THEN NULL WHEN n = 0 THEN '{context.NO_CONTEXT}' WHEN category = 'comparative' AND n < 2 THEN '{context.COMPARE_MORE.replace("'", "''")}' END AS message
-FROM {_SQL_CATS}, (SELECT unnest(range(0, 3))::INT AS n)""")
+@query(f"""SELECT conv_id, turn, CASE WHEN category IN ('chitchat', 'meta') THEN NULL WHEN n = 0 THEN 'I could not find sufficient information in the documents to answer your question. Please try rephrasing or providing more context.'
+WHEN category = 'comparative' AND n < 2 THEN 'I need more information to make a meaningful comparison. Could you specify which aspects you''d like me to compare?' END AS message
+FROM (SELECT conv_id, turn, {_CATEGORY_SQL.format("conv_id")} AS category, turn % 3 AS n FROM conversations)""")
 def context_guard(spark, d):
-    df = grid(spark, "category string, n int", [(c, n) for c in routing.CATEGORIES for n in range(3)])
-    return df.withColumn("message", context.guard(F.col("n"), F.col("category")))
+    return T(spark, d, "conversations").select("conv_id", "turn", context.guard(F.col("turn") % 3, _nth(_CATEGORY_NAMES, F.col("conv_id"))).alias("message"))
 
 
 @query("""SELECT lang, chr(10) || chr(10) || '---' || chr(10) || '**Sources Used:**' || chr(10) || string_agg('- ' || label, chr(10) ORDER BY o, label) AS footer FROM (
@@ -820,29 +838,33 @@ def ingest_outputs(spark, d):
     return spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
-_ROUTER_ANSWERS = [
-    (1, '```json\n{"primary_category": "procedural", "confidence_score": 0.9, "retrieval_strategy": {"chunking_strategy": "small", "target_chunks": 4}, "complexity_level": 3}\n```'),
-    (2, '{"primary_category": "chitchat", "confidence_score": 1.7, "retrieval_strategy": {}, "requires_citation": true}'),
-    (3, '{"primary_category": "analytical", "confidence_score": 0.4}'),
-    (4, "no json"),
-    (5, '{"primary_category": "comparative", "confidence_score": 0.3, "retrieval_strategy": {"max_retrieval_depth": 4}}'),
-]
+#: Answers of a router by the item's number: fenced, out of bounds, without a strategy, no JSON, unsure, and none.
+_ROUTER_ANSWERS = (
+    '```json\n{"primary_category": "procedural", "confidence_score": 0.9, "retrieval_strategy": {"chunking_strategy": "small", "target_chunks": 4}, "complexity_level": 3}\n```',
+    '{"primary_category": "chitchat", "confidence_score": 1.7, "retrieval_strategy": {}, "requires_citation": true}',
+    '{"primary_category": "analytical", "confidence_score": 0.4}',
+    "no json",
+    '{"primary_category": "comparative", "confidence_score": 0.3, "retrieval_strategy": {"max_retrieval_depth": 4}}',
+)
 
 
-@query("""SELECT * FROM (VALUES (1, 'procedural', 0.9::DOUBLE, false, '', 'large', 3, 4, 3, true, true), (2, 'chitchat', 0.7::DOUBLE, false, '', 'medium', 2, 0, 2, false, false),
-(3, 'factual', 0.6::DOUBLE, true, 'factual,analytical', 'medium', 2, 5, 2, true, true), (4, 'factual', 0.6::DOUBLE, false, '', 'medium', 2, 5, 2, true, true),
-(5, 'comparative', 0.3::DOUBLE, true, 'factual,analytical', 'medium', 4, 5, 2, true, true))
-t(id, category, confidence, requires_confirmation, fallback_categories, chunking_strategy, max_retrieval_depth, target_chunks, complexity, requires_citation, requires_source_attribution)""")
+@query("""SELECT item_id, t.* EXCLUDE (id) FROM benchmark JOIN (VALUES (0, 'procedural', 0.9::DOUBLE, false, '', 'large', 3, 4, 3, true, true), (1, 'chitchat', 0.7::DOUBLE, false, '', 'medium', 2, 0, 2, false, false),
+(2, 'factual', 0.6::DOUBLE, true, 'factual,analytical', 'medium', 2, 5, 2, true, true), (3, 'factual', 0.6::DOUBLE, false, '', 'medium', 2, 5, 2, true, true),
+(4, 'comparative', 0.3::DOUBLE, true, 'factual,analytical', 'medium', 4, 5, 2, true, true))
+t(id, category, confidence, requires_confirmation, fallback_categories, chunking_strategy, max_retrieval_depth, target_chunks, complexity, requires_citation, requires_source_attribution) ON t.id = item_id % 5""")
 def router_validation(spark, d):
-    df = grid(spark, "id int, answer string", _ROUTER_ANSWERS).select("id", routing.validated(F.col("answer")).alias("r"))
-    return df.select("id", "r.*").withColumn("fallback_categories", F.array_join("fallback_categories", ","))
+    """A scripted router's answers to the benchmark's questions."""
+    df = T(spark, d, "benchmark").select("item_id", routing.validated(_nth(_ROUTER_ANSWERS, F.col("item_id"))).alias("r"))
+    return df.select("item_id", "r.*").withColumn("fallback_categories", F.array_join("fallback_categories", ","))
 
 
-@query("""SELECT * FROM (VALUES (1, true, 0.8::DOUBLE, 'sufficient', false), (2, false, 0.0::DOUBLE, 'unknown', false), (3, false, 0.0::DOUBLE, 'insufficient', true)) t(id, relevant, score, level, missing_critical_info)""")
+@query("""SELECT doc_id, t.* EXCLUDE (id) FROM labels JOIN (VALUES (0, true, 0.8::DOUBLE, 'sufficient', false), (1, false, 0.0::DOUBLE, 'unknown', false), (2, false, 0.0::DOUBLE, 'insufficient', true)) t(id, relevant, score, level, missing_critical_info) ON t.id = doc_id % 3""")
 def grader_defaults(spark, d):
-    rows = [(1, '{"relevant": true, "score": 0.8, "reason": "x"}', '{"sufficient": true, "missing_critical_info": false}'), (2, "?", "?"), (3, '{"score": "high"}', '{"sufficient": false}')]
-    df = grid(spark, "id int, grade string, deep string", rows).select("id", routing.chunk_grade(F.col("grade")).alias("g"), routing.deep_completeness(F.col("deep")).alias("d"))
-    return df.select("id", "g.relevant", "g.score", "d.level", "d.missing_critical_info")
+    """A scripted grader's answers on the labelled documents: whole, unreadable, and of wrong types."""
+    grades = ('{"relevant": true, "score": 0.8, "reason": "x"}', "?", '{"score": "high"}')
+    deep = ('{"sufficient": true, "missing_critical_info": false}', "?", '{"sufficient": false}')
+    df = T(spark, d, "labels").select("doc_id", routing.chunk_grade(_nth(grades, F.col("doc_id"))).alias("g"), routing.deep_completeness(_nth(deep, F.col("doc_id"))).alias("d"))
+    return df.select("doc_id", "g.relevant", "g.score", "d.level", "d.missing_critical_info")
 
 
 @query("SELECT source, round(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / count(*), 6) AS coverage FROM documents JOIN labels USING (doc_id) GROUP BY source")
