@@ -221,3 +221,31 @@ def acceptance(graded_relevant: Column, chunks: Column) -> Column:
 def last_decision(history: DataFrame, *, by: str = "question_id", step: str = "step") -> DataFrame:
     """(by, decision) of the last step of each history."""
     return history.groupBy(by).agg(F.max_by("decision", step).alias("decision"))
+
+
+def split_graded(graded: DataFrame, relevant: Column, *, reason: Column, source: str = "source", section: str = "section", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(accepted rows as they are, rejected rows with source, section, reason and a preview of 100 characters); a null verdict rejects."""
+    good = F.coalesce(relevant, F.lit(False))
+    rest = graded.where(~good)
+    kept = [c for c in rest.columns if c not in (source, section, text, "reason", "preview")]
+    rejected = rest.select(*kept, F.col(source).alias("source"), F.col(section).alias("section"), reason.alias("reason"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, 100).alias("preview"))
+    return graded.where(good), rejected
+
+
+def relevance(graded: DataFrame, relevant: Column, *, by: str) -> DataFrame:
+    """(by, relevance_ratio, total): the share of each group's chunks that were accepted."""
+    return graded.groupBy(by).agg(F.round(F.avg(F.coalesce(relevant, F.lit(False)).cast("int")), 6).alias("relevance_ratio"), F.count(F.lit(1)).alias("total"))
+
+
+def accumulated(rounds: list[DataFrame], name: str = "round") -> DataFrame:
+    """The rows of all rounds in turn, each with its round's number; earlier ones stay as they were."""
+    out = rounds[0].withColumn(name, F.lit(0))
+    for i, more in enumerate(rounds[1:], 1):
+        out = out.unionByName(more.withColumn(name, F.lit(i)), allowMissingColumns=True)
+    return out
+
+
+def health(checks: DataFrame, ok: Column, *, by: str) -> DataFrame:
+    """(by, healthy, status): a group is healthy if every one of its checks is; a check without a result is not."""
+    every = F.every(F.coalesce(ok, F.lit(False)))
+    return checks.groupBy(by).agg(every.alias("healthy"), F.when(every, "ok").otherwise("degraded").alias("status"))

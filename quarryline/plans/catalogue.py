@@ -459,17 +459,18 @@ def _graded(spark, d):
 
 @query(f"SELECT doc_id, source, quality FROM {_GRADED} WHERE quality = 1")
 def grade_filter(spark, d):
-    return _graded(spark, d).where("quality = 1").select("doc_id", "source", "quality")
+    return routing.split_graded(_graded(spark, d), F.col("quality") == 1, reason=F.lit(None).cast("string"), section="lang")[0].select("doc_id", "source", "quality")
 
 
 @query(f"SELECT doc_id, source, lang AS section, 'quality ' || quality AS reason, substr(text, 1, 100) AS preview FROM {_GRADED} WHERE quality <> 1")
 def grade_rejected(spark, d):
-    return _graded(spark, d).where("quality <> 1").select("doc_id", "source", F.col("lang").alias("section"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("reason"), F.substring("text", 1, 100).alias("preview"))
+    reason = F.concat(F.lit("quality "), F.col("quality").cast("string"))
+    return routing.split_graded(_graded(spark, d), F.col("quality") == 1, reason=reason, section="lang")[1].select("doc_id", "source", "section", "reason", "preview")
 
 
 @query(f"SELECT source, round(avg(quality), 6) AS relevance_ratio, count(*) AS total FROM {_GRADED} GROUP BY source")
 def grade_relevance(spark, d):
-    return _graded(spark, d).groupBy("source").agg(F.round(F.avg((F.col("quality") == 1).cast("int")), 6).alias("relevance_ratio"), F.count(F.lit(1)).alias("total"))
+    return routing.relevance(_graded(spark, d), F.col("quality") == 1, by="source")
 
 
 #: Of a question's halves as sub-questions: what the answers hold of them, by the item's number.
@@ -515,8 +516,7 @@ def grade_overall(spark, d):
 @query(f"WITH {_HYBRID_CTE} SELECT query_id, 0 AS round, doc_id FROM fused WHERE rank <= 5 UNION ALL SELECT query_id, 1, doc_id FROM fused WHERE rank <= 3")
 def state_accumulate(spark, d):
     h = _hybrid(spark, d)
-    rounds = [h.where(F.col("rank") <= k).select("query_id", F.lit(i).alias("round"), "doc_id") for i, k in enumerate((5, 3))]
-    return rounds[0].unionByName(rounds[1])
+    return routing.accumulated([h.where(F.col("rank") <= k).select("query_id", "doc_id") for k in (5, 3)])
 
 
 # ---------------------------------------------------------------- context and citations
@@ -628,8 +628,7 @@ def batch_summary(spark, d):
 
 @query("SELECT event_type, bool_and(value < 99) AS healthy, CASE WHEN bool_and(value < 99) THEN 'ok' ELSE 'degraded' END AS status FROM events GROUP BY event_type")
 def health_rollup(spark, d):
-    ok = F.every(F.col("value") < 99)
-    return T(spark, d, "events").groupBy("event_type").agg(ok.alias("healthy"), F.when(ok, "ok").otherwise("degraded").alias("status"))
+    return routing.health(T(spark, d, "events"), F.col("value") < 99, by="event_type")
 
 
 def _blocks(spark, d):
