@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,9 +104,24 @@ def _by(value: Column, table: dict, other):
     return out.otherwise(F.lit(other))
 
 
+def hundredths(value: Column) -> Column:
+    """A value of 0 to 1 rounded to two digits as Python's ``round`` does it: by the exact binary value, and ties to even.
+
+    A double is next to a midpoint (2k + 1) / 200 or is the one nearest to it; on which side of the midpoint that one
+    lies, or whether it is the midpoint itself, is worked out here for each k."""
+    middles = [(2 * k + 1) / 200 for k in range(101)]
+    side = [Fraction(m) - Fraction(2 * k + 1, 200) for k, m in enumerate(middles)]
+    up = [d > 0 or (d == 0 and k % 2 == 1) for k, d in enumerate(side)]
+    k = F.least(F.greatest(F.floor(value * 100), F.lit(0)), F.lit(100)).cast("int")
+    middle, rises = (F.element_at(F.lit(x), k + 1) for x in (middles, up))
+    return (k + ((value > middle) | ((value == middle) & rises)).cast("int")) / 100
+
+
 def overall_score(relevance: Column, covered: Column, level: Column, category: Column, digits: int = 2) -> Column:
+    """The weighted score; two digits are rounded as Python rounds them, others half up."""
     weight = [_by(category, {k: w[i] for k, w in WEIGHTS.items()}, OTHER_WEIGHTS[i]) for i in range(3)]
-    return F.round(weight[0] * relevance + weight[1] * covered + weight[2] * _by(level, LEVELS, 0.5), digits)
+    score = weight[0] * relevance + weight[1] * covered + weight[2] * _by(level, LEVELS, 0.5)
+    return hundredths(score) if digits == 2 else F.round(score, digits)
 
 
 def needs_refinement(score: Column, n_accepted: Column, level: Column) -> Column:

@@ -139,3 +139,18 @@ def test_answers_of_graders_and_routers(spark):
     assert not row.bare.requires_confirmation and row.bare.fallback_categories == [] and row.bare.confidence == 0.6 and row.none == row.bare
     assert row.covered == [0, 1] and row.texts == ["a", "b"]
     assert (row.deep.level, row.deep.missing_critical_info, row.deep.gaps, row.deep.can_partially_answer, row.deep.confidence) == ("insufficient", True, ["x"], True, 0.5)
+
+
+def test_two_digits_are_rounded_as_python_rounds_them(spark):
+    import math
+    import random
+
+    rng = random.Random(6)
+    values = [k / 200 for k in range(201)] + [k / 1000 for k in range(1001)] + [rng.random() for _ in range(3000)]
+    values += [math.nextafter(v, way) for v in values[:201] for way in (0.0, 1.0)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", routing.hundredths(F.col("v")).alias("r")).collect()
+    assert all(r.r == round(r.v, 2) for r in got)
+    weights = [(0.5 * r + 0.2 * c + 0.3 * s, r, c) for r in (0.25, 0.35, 0.125) for c in (0.5, 1.0) for s in (0.7,)]
+    for total, r, c in weights:
+        score = spark.range(1).select(routing.overall_score(F.lit(r), F.lit(c), F.lit("adequate"), F.lit("factual")).alias("s")).first().s
+        assert score == round(total, 2)
