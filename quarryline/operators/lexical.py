@@ -268,8 +268,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, *, query: str = "query_
     asked = kept(asked.withColumn("shard", _shard(index.shards)), "asked")
     shards = sorted(r.shard for r in asked.select("shard").distinct().collect())  # at most MOST_SHARDS
     if not shards or not index.n_docs:
-        empty = spark.createDataFrame([], f"doc_id {index.key}, score double, rank int")
-        return asked.select("query_id").where("false").join(empty, F.lit(False)).select("query_id", "doc_id", "score", "rank")
+        return asked.where("false").select("query_id", F.lit(None).cast(index.key).alias("doc_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rank"))
     of = asked.select("shard", "term").distinct()
     blocks = index.table("blocks").where(F.col("shard").isin(shards)).join(of, ["shard", "term"])
     blocks = blocks.groupBy("term", "bucket").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).where("n > 0")

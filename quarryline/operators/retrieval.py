@@ -63,7 +63,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best_of_block(k: int, rows: int = 256):
+def _best_of_block(k: int, rows: int = 64):
     def run(asked: pa.Table, vectors: pa.Table) -> pa.Table:
         picks: list[tuple[int, np.ndarray, np.ndarray]] = []
         if asked.num_rows and vectors.num_rows:

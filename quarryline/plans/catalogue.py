@@ -261,7 +261,9 @@ sparse AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVE
 _BENCH_Q = f"q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark) GROUP BY ALL),"
 
 
-@query(f"WITH {_BM25_CTE} x AS (SELECT 1) SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(f"""WITH t AS (SELECT unnest(list_distinct({_WORDS.format("text")})) AS term FROM documents), c AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM c, (SELECT count(*)::DOUBLE AS n FROM documents)),
+least AS MATERIALIZED (SELECT 0.25 * avg(raw) AS least FROM raw) SELECT term, df, round(CASE WHEN raw < 0 THEN least ELSE raw END, 6) AS idf FROM raw, least""")
 def bm25_index_terms(spark, d):
     return _index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
