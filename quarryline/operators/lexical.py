@@ -125,8 +125,9 @@ def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).alias("doc_id"), *[F.xxhash64(F.lit(i), F.col(key), said).alias(f"s{i}") for i in (1, 2)], F.lower(said).cast("binary").alias("text"))
 
 
-def _signature(rows: DataFrame) -> list[str]:
-    return [str(x) for x in rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("s1").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor("s2"), F.lit(0))).first()]
+def _signature_parts() -> list[Column]:
+    """Count, sum and xor of row hashes: the same however the rows are dealt."""
+    return [F.count(F.lit(1)), F.coalesce(F.sum(F.col("s1").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor("s2"), F.lit(0))]
 
 
 def _manifests(spark: SparkSession, folder: str) -> list[int]:
@@ -201,7 +202,7 @@ def sync(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text
         raise ValueError(f"the index has ids of type {have.key}, not {kind}")
     seg, signature, dead = (have.segments[-1] + 1 if have else 0), None, None
     if have is not None:
-        signature = _signature(rows)
+        signature = [str(x) for x in rows.agg(*_signature_parts()).first()]
         if signature == have.signature:
             return have, {"added": 0, "removed": 0}
         old = have.live(have.table("forward").select("doc_id", "s1", "s2", "seg"))
@@ -212,9 +213,9 @@ def sync(docs: DataFrame, folder: str, *, key: str = "doc_id", text: str = "text
     forward = f"{folder}/forward/seg={seg}"
     cut = store.spread(rows, "doc_id").mapInArrow(_term_counts, f"doc_id {kind}, s1 long, s2 long, dl int, terms array<string>, tfs array<int>")
     added = store.written(cut, forward)
-    n, dl, postings = added.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    n, dl, postings, *own = added.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum(F.size("terms")), F.lit(0)), *_signature_parts()).first()
     if have is None:
-        index = LexicalIndex(spark, folder, 0, kind, [0], n, dl, 0, 0.0, min(MOST_SHARDS, max(8, -(-postings // SHARD_POSTINGS))), max(1, -(-n // BUCKET_DOCS)), _signature(added))
+        index = LexicalIndex(spark, folder, 0, kind, [0], n, dl, 0, 0.0, min(MOST_SHARDS, max(8, -(-postings // SHARD_POSTINGS))), max(1, -(-n // BUCKET_DOCS)), [str(x) for x in own])
         _write_segment(index, 0, added, None)
     else:
         retired = have.table("forward").join(dead.select("doc_id", F.col("dead_seg").alias("seg")), ["doc_id", "seg"], "left_semi")
@@ -277,7 +278,7 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, *, query: str = "query_
     weights = asked.join(weights, "term").withColumn("weight", F.col("times") * index.idf(F.col("df")))
     weights = weights.withColumn("bound", F.greatest(F.col("weight"), F.lit(0.0)) * F.col("most"))
     rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    weights = kept(weights.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).select("query_id", "shard", "term", "weight", "bound", "before"), "weights")
+    weights = weights.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).select("query_id", "shard", "term", "weight", "bound", "before")
 
     postings = index.live(index.table("postings").where(F.col("shard").isin(shards)))
     score = F.col("weight") * index.part(F.col("tf"), F.col("dl"))
