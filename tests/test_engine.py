@@ -168,3 +168,10 @@ def test_legacy_context_reads_every_document(spark, tmp_path):
         parts[lang].append(f"[Source: s | Section: {lang}]\n{t}")
     want = {lang: hashlib.md5(context.SEPARATOR.join(p)[:100_000].encode()).hexdigest() for lang, p in parts.items()}
     assert {r.lang: r.context_md5 for r in catalogue.queries()["context_legacy"](spark, str(tmp_path)).collect()} == want
+
+
+def test_coverage_leaves_case_aside_for_letters_whose_upper_case_is_longer(spark):
+    subs, n = F.array(F.lit("die stra\u00dfe hier"), F.lit("\u039f\u0394\u039f\u03a3 \u0391")), F.lit(1)
+    for said in ("STRASSE HIER", "STRA\u1e9eE", "Stra\u00dfe", "\u03bf\u03b4\u03bf\u03c3"):
+        assert one(spark, routing.coverage(subs, F.array(F.lit(said)), n)) == 0.5, said
+        assert len(one(spark, routing.covered_by(F.array(F.lit(said)), subs))) == 1, said
