@@ -15,6 +15,7 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from quarryline.sources import store
 from quarryline.sources.parsers import Registry
 
 SEPARATORS = ("```", "| ---", "\n\n", "\n", " ")
@@ -141,6 +142,7 @@ class ChunkText:
 
 
 def register(spark: SparkSession, name: str = "chunk_text") -> str:
-    """Make the chunker callable from SQL by ``name``."""
+    """Make the chunker callable from SQL by ``name``; texts then reach Python in bounded batches."""
+    store.bound_batches(spark)
     spark.udtf.register(name, ChunkText)
     return name
