@@ -308,3 +308,24 @@ def test_command_line(spark, tmp_path):
     main(["query", f"file://{tmp_path}/asked", "--store", f"file://{tmp_path}/store", "--out", f"file://{tmp_path}/said"])
     got = {r.question_id: r for r in spark.read.parquet(f"{tmp_path}/said").collect()}
     assert got[1].n_accepted >= 2 and "topic2" in got[1].answer and got[2].route == "simple_response"
+
+
+def test_a_second_ingest_writes_its_parts_once(spark, tmp_path, monkeypatch):
+    scratch, plain = [], store.written
+    monkeypatch.setattr(store, "written", lambda df, path: scratch.append(df.columns) or plain(df, path))
+    rows = lambda ids, said: spark.createDataFrame([(i, j, f"{said} {i} {j}") for i in ids for j in range(2)], "doc_id long, chunk_index int, chunk_text string")
+    store.dump_ingest(rows(range(90), "old"), None, str(tmp_path))
+    store.dump_ingest(rows(range(0, 90, 3), "new"), None, str(tmp_path))
+    got = {(r.doc_id, r.chunk_index): r.chunk_text for r in spark.read.parquet(f"{tmp_path}/chunks").collect()}
+    assert got == {(i, j): f"{'old' if i % 3 else 'new'} {i} {j}" for i in range(90) for j in range(2)}
+    assert all("chunk_text" not in columns for columns in scratch) and [p.name for p in tmp_path.iterdir()] == ["chunks"]
+
+
+def test_texts_reach_the_chunker_in_sql_by_bounded_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        chunking.register(spark)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 8 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
