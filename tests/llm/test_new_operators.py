@@ -249,3 +249,16 @@ def test_a_whole_phrase_has_the_hash_of_its_place_in_a_text():
         for i in np.flatnonzero(t.starts(k)):
             lang, phrase = flat_text(pa.array([langs[int(t.row[i])].as_py()])), flat_text(pa.array([t.phrase(int(i), k)]))
             assert collocations.phrase_hashes(*lang, *phrase)[0] == t.hashes(k)[i]
+
+
+def test_the_scan_deals_the_texts_to_few_shards_at_a_time(spark, monkeypatch):
+    from quarryline.llm import collocations
+
+    monkeypatch.setattr(collocations, "SHARD_BYTES", 60)
+    monkeypatch.setattr(collocations, "BLOCK_PATTERNS", 2)
+    waves, plain = [], collocations.materialize
+    monkeypatch.setattr(collocations, "materialize", lambda df, name: waves.append(name) or plain(df, name))
+    docs = spark.createDataFrame([("x", " ".join(f"w{i} w{i + 1}" for i in range(30)))] * 3, "lang string, text string")
+    phrases = spark.createDataFrame([("x", f"w{i} w{i + 1}") for i in range(30)], "lang string, phrase string")
+    counts = {r.phrase: r.n for r in collocations.count_phrases(docs, phrases).collect()}
+    assert waves.count("vectors") >= 3 and counts == {"": 180} | {f"w{i} w{i + 1}": 3 for i in range(30)}
