@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,24 @@ def test_string_ids_and_an_empty_table(spark):
     none = retrieval.build_index(spark.createDataFrame([], DOCS))
     assert none.n_docs == 0 and retrieval.bm25_search(none, spark.createDataFrame([(1, "x")], "query_id long, text string")).collect() == []
     assert retrieval.bm25_search(index, spark.createDataFrame([("q", None)], "query_id string, text string")).where(F.lit(True)).collect() == []
+
+
+def test_texts_are_cut_by_runs_of_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(lexical, "CUT_BYTES", 40)
+    texts = ["a b a", "", "  x\ty\nx ", "w" * 50, " ".join(f"v{i % 7}" for i in range(60)), "caf\u00e9 caf\u00e9", " "]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "s1": [0] * 7, "s2": [0] * 7, "text": texts})
+    parts = list(lexical._term_counts([batch]))
+    assert len(parts) > 3
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["doc_id"], r["dl"], dict(zip(r["terms"], r["tfs"], strict=True))) for r in rows] == [(i, len(t.split()), dict(Counter(t.split()))) for i, t in enumerate(texts)]
+
+
+def test_queries_and_documents_of_several_cells_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BUCKET_DOCS", 16)
+    monkeypatch.setattr(lexical, "QUERY_ROWS", 5)
+    monkeypatch.setattr(lexical, "PART_POSTINGS", 50)
+    docs = corpus(8, 300) + [(1000 + i, "w1 w2 copies") for i in range(60)]
+    index = retrieval.build_index(spark.createDataFrame(docs, DOCS))
+    asked = [*asked_of(9), (200, "copies w2")]
+    assert same(found(index, spark, asked, 7), plain_bm25(docs, asked, 7))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
