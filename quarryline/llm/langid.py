@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import materialize, mix, tune
 
 ORDER = 4
-#: Learned rows of a language, about; labels at most; and the model's bytes at most.
-SAMPLE_ROWS, MAX_LANGS, MODEL_BYTES = 10_000, 128, 128 << 20
+#: Learned rows of a language, about; labels of one block; and the model's bytes at most.
+SAMPLE_ROWS, BLOCK_LANGS, MODEL_BYTES = 10_000, 128, 128 << 20
+#: Cross-entropies that calibrate, at most: rows times labels.
+CALIBRATING = 1 << 25
 #: n-grams of a language at most.
 GRAMS = 1 << 17
 #: Characters of text that are handled at once; a longer text is handled alone.
@@ -118,7 +120,7 @@ class HashArray:
 class KneserNey:
     """Models of several languages over one set of n-grams, from (codes of ORDER-grams, counts) of each."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], alphabet: np.ndarray | None = None):
         own: list[list[tuple]] = []  # by language, then by order from ORDER down to 1: codes, counts
         for codes, counts in grams:
             levels = [(codes, counts.astype(np.float64))]
@@ -128,7 +130,8 @@ class KneserNey:
                 levels.append((shorter[first], types.astype(np.float64)))
             own.append(levels[::-1])
         self.tables, self.logp, self.contexts, self.left = [], [], [], []
-        alphabet = np.unique(np.concatenate([x[0][0][:, 0] for x in own])) if own else np.zeros(0)
+        if alphabet is None:
+            alphabet = np.unique(np.concatenate([x[0][0][:, 0] for x in own])) if own else np.zeros(0)
         below: np.ndarray | None = None
         for n in range(1, ORDER + 1):
             codes = np.concatenate([x[n - 1][0] for x in own])
@@ -191,6 +194,24 @@ class KneserNey:
         return out, n, n > 0
 
 
+class Models:
+    """Models of blocks of languages over the alphabet of all, which answer as one."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], size: int):
+        alphabet = np.unique(np.concatenate([codes[:, -1] for codes, _ in grams])) if grams else np.zeros(0)
+        self.blocks = [KneserNey(grams[lo : lo + size], alphabet) for lo in range(0, len(grams), size)]
+
+    @property
+    def learned(self) -> bool:
+        return any(b.unseen is not None for b in self.blocks)
+
+    def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [b.cross_entropy(texts) for b in self.blocks if b.unseen is not None]
+        none = [np.full((len(texts), b.logp[0].shape[1]), np.inf) if b.unseen is None else None for b in self.blocks]
+        found = iter(parts)
+        return np.concatenate([next(found)[0] if n is None else n for n in none], axis=1), *parts[0][1:]
+
+
 def _runs(texts: list[str], limit: int = CHUNK_CHARS):
     """(from, to) of runs of texts of at most ``limit`` characters, or one text."""
     lo, size = 0, 0
@@ -223,14 +244,17 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(_counted, "lang string, a long, b long, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, langs: list[str]) -> KneserNey:
-    most = min(GRAMS, MODEL_BYTES // (4 * len(langs) ** 2))
+def fit(labelled: DataFrame, langs: list[str]) -> Models:
+    size = len(langs) if len(langs) <= BLOCK_LANGS else BLOCK_LANGS // 8
+    most = min(GRAMS, max(1, MODEL_BYTES // (4 * size * len(langs))))
     counts = materialize(gram_counts(labelled), "grams")
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "a", "b"))
-    rows = counts.withColumn("place", first).where(F.col("place") <= most).drop("place").toArrow()
+    rows = counts.withColumn("place", first).where(F.col("place") <= most).drop("place").toArrow().sort_by("lang")
     lang, a, b, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "a", "b", "n"))
     codes = np.stack([a >> 21, a & 0x1FFFFF, b >> 21, b & 0x1FFFFF], 1).astype(np.uint32)
-    return KneserNey([(codes[lang == name], n[lang == name]) for name in langs])
+    lang = lang.astype(str)
+    cuts = [slice(np.searchsorted(lang, x, "left"), np.searchsorted(lang, x, "right")) for x in langs]
+    return Models([(codes[c], n[c]) for c in cuts], size)
 
 
 class Calibration:
@@ -303,17 +327,20 @@ def identify_languages(df: DataFrame, *, learn: Column, key: str = "doc_id", tex
     tune(spark)
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     labelled = df.where(learn & F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
     langs = sorted(r.lang for r in sizes)
     if langs:
-        rate = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, sample_rows / r.n))])
+        rates = F.broadcast(spark.createDataFrame([(r.lang, min(1.0, sample_rows / r.n)) for r in sizes], "lang string, rate double"))
         drawn = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), *[F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(1 << 30)).alias(f"u{i}") for i in (12, 13)])
-        drawn = materialize(drawn.where(F.col("u12") < F.element_at(rate, F.col("lang")) * (1 << 30)), "labelled")
+        drawn = materialize(drawn.join(rates, "lang").where(F.col("u12") < F.col("rate") * (1 << 30)).drop("rate"), "labelled")
         model = fit(drawn.where("u13 % 5 > 0"), langs)
-    if not langs or model.unseen is None:
+    if not langs or not model.learned:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(False).alias("rejected"))
     sent = spark.sparkContext.broadcast(model)
-    held = drawn.where("u13 % 5 = 0").select("lang", "text").mapInArrow(_entropies(sent, ["lang"]), "lang string, entropy array<double>, n long").where("n > 0").toArrow()
+    held = drawn.where("u13 % 5 = 0")
+    share = CALIBRATING / max(1, held.count() * len(langs))
+    held = held.where(F.floor(F.col("u13") / 5) % 65536 < 65536 * share) if share < 1 else held
+    held = held.select("lang", "text").mapInArrow(_entropies(sent, ["lang"]), "lang string, entropy array<double>, n long").where("n > 0").toArrow()
     entropy = held.column("entropy").combine_chunks().flatten().to_numpy().reshape(-1, len(langs))
     truth = np.searchsorted(np.array(langs), np.array(held.column("lang").to_pylist(), dtype=object).astype(str)) if len(entropy) else np.zeros(0, int)
     calibration = Calibration(entropy, held.column("n").to_numpy(), truth)

@@ -262,3 +262,23 @@ def test_the_scan_deals_the_texts_to_few_shards_at_a_time(spark, monkeypatch):
     phrases = spark.createDataFrame([("x", f"w{i} w{i + 1}") for i in range(30)], "lang string, phrase string")
     counts = {r.phrase: r.n for r in collocations.count_phrases(docs, phrases).collect()}
     assert waves.count("vectors") >= 3 and counts == {"": 180} | {f"w{i} w{i + 1}": 3 for i in range(30)}
+
+
+def test_every_label_is_learned(spark):
+    label = lambda i: f"l{i:03d}"
+    said = lambda i, j: " ".join(chr(0x4E00 + 20 * i + (j * k + k) % 20) * 2 for k in range(1, 12))
+    rows = [(140 * j + i, said(i, j), label(i)) for j in range(8) for i in range(140) if j < 6 or i < 100]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(df, learn=F.lit(True)).collect()}
+    assert [i for i, _, la in rows if got[i] != la] == []
+
+
+def test_blocks_of_languages_answer_as_one_model():
+    rng = random.Random(3)
+    grams = []
+    for lang in range(5):
+        codes = np.unique(np.array([[rng.randint(97, 103 + lang) for _ in range(4)] for _ in range(60)], np.uint32), axis=0)
+        grams.append((codes, np.array([rng.randint(1, 5) for _ in codes])))
+    texts = ["abc dea fgh", "zzz aab", "", "abcdefghij"]
+    one, parts = langid.KneserNey(grams).cross_entropy(texts), langid.Models(grams, 2).cross_entropy(texts)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(one, parts, strict=True))
