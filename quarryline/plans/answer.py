@@ -115,7 +115,9 @@ def retrieve(live: DataFrame, chunks: DataFrame, index: LexicalIndex, *, vectors
         held = vectors.select("chunk_id", "vector")
         dense_hits = parted(both(dense_search, dense_within, held, key="chunk_id", vector="vector"))
     hits = hybrid_search(dense_hits, sparse).where(F.col("rank") <= k)
-    hits = hits.join(live, "query_id").join(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("text").alias("chunk"), "source", "section"), "doc_id")
+    # Written, its size is known: a few hits are broadcast to the chunks, which then stay where they are.
+    hits = store.written(hits, store.scratch_path(spark, "hits"))
+    hits = hits.join(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("text").alias("chunk"), "source", "section"), "doc_id").join(live, "query_id")
     return rerank(hits, query=F.col("sub"), text=F.col("chunk"), k=top)
 
 

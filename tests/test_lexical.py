@@ -142,3 +142,24 @@ def test_queries_and_documents_of_several_cells_find_the_same(spark, monkeypatch
     asked = [*asked_of(9), (200, "copies w2")]
     assert same(found(index, spark, asked, 7), plain_bm25(docs, asked, 7))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_an_index_without_postings_finds_the_same(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lexical, "HELD_SCORES", 28 * 9)  # runs of nine documents
+    folder, docs, asked = f"file://{tmp_path}/index", dict(corpus(11, 300)), [*asked_of(12), (200, "w2 w0")]
+    table = lambda: spark.createDataFrame(sorted(docs.items()), DOCS).repartition(3)
+    index = retrieval.sync(table(), folder, inverted=False)[0]
+    assert not (tmp_path / "index" / "postings").exists()
+    assert same(found(index, spark, asked, 7), plain_bm25(docs.items(), asked, 7))
+    assert {(r.term, r.df) for r in index.terms.collect()} == set(Counter(w for t in docs.values() for w in set((t or "").lower().split())).items())
+    docs[7], docs[999] = "one edited w2 text", "w0 w0"
+    del docs[9]
+    index, took = retrieval.sync(table(), folder)
+    assert took == {"added": 2, "removed": 2} and not index.inverted and not (tmp_path / "index" / "postings").exists()
+    want = plain_bm25(docs.items(), asked, 7)
+    assert same(found(index, spark, asked, 7), want)
+    pairs = spark.createDataFrame([(200, 7), (200, 999), (200, 1)], "query_id long, doc_id long")
+    within = [index_.doc_id for index_ in retrieval.bm25_within(index, spark.createDataFrame([(200, "w2 edited")], "query_id long, text string"), pairs).collect()]
+    assert within[0] == 7 and 999 not in within
+    monkeypatch.setattr(lexical, "QUERY_ROWS", 5)  # more queries than are sent: the grid, over forward rows
+    assert same(found(index, spark, asked, 7), want)

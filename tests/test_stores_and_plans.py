@@ -290,6 +290,21 @@ def test_answer_walks_every_route(spark):
     assert dense[2].n_accepted >= 1 and dense[4].steps >= 1
 
 
+def test_answer_questions_neither_sorts_postings_nor_shuffles_chunks(spark):
+    """Its index serves one batch of questions: the forward rows are read once a pass, and the few hits go to the chunks."""
+    from pathlib import Path
+
+    from quarryline.plans import catalogue
+    from quarryline.sources import store
+
+    root = Path(store.shared_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    rows = catalogue.queries()["answer_questions"](spark, "/root/testdata/sf0.001").collect()
+    made = {p.name.split("-")[0]: p for p in set(root.iterdir()) - before}
+    assert rows and {"index", "hits"} <= set(made)
+    assert (made["index"] / "forward").exists() and not (made["index"] / "postings").exists()
+
+
 def test_command_line(spark, tmp_path):
     from quarryline.__main__ import main
 
