@@ -7,7 +7,8 @@ of that probability, each from both sides.
 
 The vocabulary is the most frequent words of the whole corpus, lower-cased in ASCII, counted
 in Spark; its size grows with the square root of the corpus's words, and the class tree with
-it. Other words share hashed ids, and each has its own share of its id's probability, by its
+it. A class of frequent words is small and one of rare words large, so that a position costs as few
+outputs as two steps allow; the other words' ids are a class of their own. Other words share hashed ids, and each has its own share of its id's probability, by its
 count plus one; these counts stay a table, joined to the words of the documents. Training is data-parallel: in each round every
 partition starts from the same weights, trains on its round's share of every document's
 positions, and the weights are averaged by tokens, in two grouped steps. The rounds' shares are
@@ -23,6 +24,7 @@ partitions, as each trains on its own; the positions trained on do not.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +42,39 @@ VOCAB = WORDS * WORDS
 OTHERS = 64
 
 
-def class_words(size: int) -> int:
-    """Words of a class: about the square root of the ids, a multiple of 64."""
-    return max(WORDS, -(-int(size**0.5) // WORDS) * WORDS)
+#: Least words of a class of a larger corpus, and outputs that are worked on at once: 256 KB of them stay in the cache.
+LEAST_WORDS, OUTPUTS = 32, 1 << 16
+
+
+@lru_cache(maxsize=8)
+def class_cuts(size: int) -> np.ndarray:
+    """First id of each class, and the end. Ids stand by falling frequency: about five times the square root of its first
+    one is where a class has its best size if frequencies fall as in Zipf's law."""
+    if size <= VOCAB:
+        return np.arange(0, size + 1, WORDS)
+    cuts, rare = [0], size - OTHERS
+    while cuts[-1] < rare:
+        cuts.append(min(rare, cuts[-1] + max(LEAST_WORDS, -(-int(5 * cuts[-1] ** 0.5) // 16) * 16)))
+    return np.array([*cuts, size])
+
+
+@lru_cache(maxsize=8)
+def class_of(size: int) -> np.ndarray:
+    """Class of each id."""
+    return np.repeat(np.arange(len(class_cuts(size)) - 1), np.diff(class_cuts(size))).astype(np.uint16)
 
 
 def vocabulary_size(tokens: int) -> int:
-    """Ids for a corpus of so many words: twice the square root, in whole classes."""
-    size = max(VOCAB, int(2 * tokens**0.5))
-    return -(-size // class_words(size)) * class_words(size)
+    """Ids for a corpus of so many words: twice the square root, a multiple of 64."""
+    return -(-max(VOCAB, int(2 * tokens**0.5)) // WORDS) * WORDS
 
 
 @dataclass
 class Network:
     """Weights: embeddings (the last row is the pad), hidden layer, classes, words of each class.
 
-    The two output layers hold their biases as a last row, for a hidden value that is always 1.
+    The two output layers hold their biases as a last row, for a hidden value that is always 1. The
+    classes' words stand one class after the other in ``oo``; ``block`` is the matrix of one.
     """
 
     e: np.ndarray
@@ -72,17 +91,24 @@ class Network:
         def r(*shape, scale):
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        in_class = class_words(size)
-        classes = size // in_class
+        classes = len(class_cuts(size)) - 1
         e, w = r(size + 1, width, scale=0.3), r(2 * side * width, hidden, scale=(2 * side * width) ** -0.5)
-        cc, oo = np.zeros((hidden + 1, classes), np.float32), np.zeros((classes, hidden + 1, in_class), np.float32)
-        cc[:-1], oo[:, :-1] = r(hidden, classes, scale=0.1), r(classes, hidden, in_class, scale=0.1)
-        return cls(e, w, np.zeros(hidden, np.float32), cc, oo, side)
+        net = cls(e, w, np.zeros(hidden, np.float32), np.zeros((hidden + 1, classes), np.float32), np.zeros((hidden + 1) * size, np.float32), side)
+        net.cc[:-1] = r(hidden, classes, scale=0.1)
+        for k in range(classes):
+            net.block(k)[:-1] = r(*net.block(k)[:-1].shape, scale=0.1)
+        return net
 
     c = property(lambda self: self.cc[:-1])
     cb = property(lambda self: self.cc[-1])
-    o = property(lambda self: self.oo[:, :-1])
-    ob = property(lambda self: self.oo[:, -1])
+    o = property(lambda self: [self.block(k)[:-1] for k in range(self.classes)])
+    ob = property(lambda self: [self.block(k)[-1] for k in range(self.classes)])
+    classes = property(lambda self: self.cc.shape[1])
+
+    def block(self, k: int, of: np.ndarray | None = None) -> np.ndarray:
+        """Weights of class ``k``, or its part of another array like ``oo``."""
+        rows, cuts = len(self.cc), class_cuts(self.size)
+        return (self.oo if of is None else of)[rows * cuts[k] : rows * cuts[k + 1]].reshape(rows, -1)
 
     @property
     def parts(self) -> list[np.ndarray]:
@@ -93,10 +119,16 @@ class Network:
         """Ids of words; the pad is the next one."""
         return len(self.e) - 1
 
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        """Hidden values of windows, and the 1 for the biases."""
-        h = np.ones((len(x), len(self.b) + 1), np.float32)
-        np.tanh(self.e.take(x, axis=0).reshape(len(x), -1) @ self.w + self.b, out=h[:, :-1])
+    def window(self, x: np.ndarray) -> np.ndarray:
+        """Embeddings of windows, one after the other."""
+        return self.e.take(x, axis=0).reshape(len(x), -1)
+
+    def hidden(self, v: np.ndarray) -> np.ndarray:
+        """Hidden values of windows' embeddings, and the 1 for the biases."""
+        h = np.ones((len(v), len(self.b) + 1), np.float32)
+        z = v @ self.w
+        z += self.b
+        np.tanh(z, out=h[:, :-1])
         return h
 
     def flat(self) -> np.ndarray:
@@ -126,12 +158,22 @@ def windows(ids: np.ndarray, row: np.ndarray, side: int, pad: int = VOCAB) -> np
 MOST = np.float32(60)
 
 
+@lru_cache(maxsize=4096)
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+@lru_cache(maxsize=4096)
+def _places(n: int) -> np.ndarray:
+    return np.arange(n)
+
+
 def _softmax(z: np.ndarray, bounded: bool = False) -> np.ndarray:
     """Exponentials in place of the logits, and their sums."""
-    if not bounded:
+    if not bounded and z.max() > MOST:
         np.minimum(z, MOST, out=z)
     np.exp(z, out=z)
-    return z @ np.ones(z.shape[1], np.float32)
+    return z @ _ones(z.shape[1])
 
 
 def _bounded(weight: np.ndarray) -> bool:
@@ -139,6 +181,11 @@ def _bounded(weight: np.ndarray) -> bool:
     return bool(np.abs(weight).sum(0).max() < MOST)
 
 
+def _rows(weight: np.ndarray) -> int:
+    """Positions whose outputs are worked on at once."""
+    return max(1, OUTPUTS // weight.shape[1])
+
+
 def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order of positions by class, and (class, first, last) of the classes that occur."""
     order = np.argsort(cls, kind="stable")
@@ -146,26 +193,28 @@ def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int
     return order, [(k, at[k], at[k + 1]) for k in range(classes) if at[k + 1] > at[k]]
 
 
-def log_probs(net: Network, ids: np.ndarray, around: np.ndarray, step: int = 65536) -> np.ndarray:
+def log_probs(net: Network, ids: np.ndarray, around: np.ndarray, step: int = 32768) -> np.ndarray:
     """Log probability of each id given its window."""
     out = np.empty(len(ids), np.float32)
-    classes, _, in_class = net.oo.shape
-    top, low = _bounded(net.cc), [_bounded(w) for w in net.oo]
+    cuts, of = class_cuts(net.size), class_of(net.size)
+    blocks = [net.block(k) for k in range(net.classes)]
+    top, low = _bounded(net.cc), [_bounded(w) for w in blocks]
+    rows = _rows(net.cc)
     for lo in range(0, len(ids), step):
         y, x = ids[lo : lo + step], around[lo : lo + step]
-        order, runs = _by_class(y // in_class, classes)
-        y = y[order]
-        cls, word = y // in_class, y % in_class
-        h = net.hidden(x[order])
+        cls = of[y]
+        order, runs = _by_class(cls, net.classes)
+        cls, word = cls[order], y[order] - cuts[cls[order]]
+        h = net.hidden(net.window(x[order]))
         p = np.empty(len(x), np.float32)
-        for i in range(0, len(x), 4096):
-            z = h[i : i + 4096] @ net.cc
-            p[i : i + 4096] = z[np.arange(len(z)), cls[i : i + 4096]]
-            p[i : i + 4096] -= np.log(_softmax(z, top))
+        for i in range(0, len(x), rows):
+            z = h[i : i + rows] @ net.cc
+            p[i : i + rows] = z[np.arange(len(z)), cls[i : i + rows]]
+            p[i : i + rows] -= np.log(_softmax(z, top))
         for k, first, last in runs:
-            for i in range(first, last, 4096):
-                j = min(last, i + 4096)
-                z = h[i:j] @ net.oo[k]
+            for i in range(first, last, _rows(blocks[k])):
+                j = min(last, i + _rows(blocks[k]))
+                z = h[i:j] @ blocks[k]
                 p[i:j] += z[np.arange(j - i), word[i:j]]
                 p[i:j] -= np.log(_softmax(z, low[k]))
         out[lo + order] = p
@@ -179,6 +228,7 @@ class Trainer:
         self.net, self.rate = net.filled(net.flat()), rate
         self.seen = [np.full(p.shape if k else (len(p), 1), 1e-3, np.float32) for k, p in enumerate(self.net.parts)]
         self.tokens = 0
+        self.blocks = [(self.net.block(k), self.net.block(k, self.seen[4])) for k in range(self.net.classes)]
 
     def _step(self, k: int, grad: np.ndarray, where=slice(None)) -> None:
         g2 = (grad * grad).mean(1, keepdims=True) if k == 0 else grad * grad
@@ -187,36 +237,45 @@ class Trainer:
 
     def _head(self, weight: np.ndarray, seen: np.ndarray, h: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
         """One step of a softmax layer on positions with hidden values h; returns their gradient."""
-        z = h @ weight
-        z *= (1 / (n * _softmax(z)))[:, None]
-        z[np.arange(len(z)), target] -= np.float32(1 / n)
-        back = z @ weight.T
-        grad = h.T @ z
-        seen += grad * grad
+        back, grad, rows = np.empty_like(h), None, _rows(weight)
+        for i in range(0, len(h), rows):
+            part = h[i : i + rows]
+            z = part @ weight
+            p = _softmax(z)
+            p *= n
+            z /= p[:, None]
+            z[_places(len(z)), target[i : i + rows]] -= np.float32(1 / n)
+            np.matmul(z, weight.T, out=back[i : i + rows])
+            more = part.T @ z
+            grad = more if grad is None else grad + more
+        square = grad * grad
+        seen += square
+        np.sqrt(seen, out=square)
+        grad /= square
         grad *= self.rate
-        grad /= np.sqrt(seen)
         weight -= grad
         return back
 
     def learn(self, y: np.ndarray, x: np.ndarray) -> None:
         net, n = self.net, len(y)
-        classes, _, in_class = net.oo.shape
         if not n:
             return
-        order, runs = _by_class(y // in_class, classes)
-        y, x = y[order], x[order]
-        v = net.e.take(x, axis=0).reshape(n, -1)
-        h = net.hidden(x)
-        cls, word = y // in_class, y % in_class
+        cls = class_of(net.size)[y]
+        order, runs = _by_class(cls, net.classes)
+        x, cls, word = x[order], cls[order], y[order] - class_cuts(net.size)[cls[order]]
+        v = net.window(x)
+        h = net.hidden(v)
         dh = self._head(net.cc, self.seen[3], h, cls, n)
         for k, a, b in runs:
-            dh[a:b] += self._head(net.oo[k], self.seen[4][k], h[a:b], word[a:b], n)
+            dh[a:b] += self._head(*self.blocks[k], h[a:b], word[a:b], n)
         h, dh = h[:, :-1], dh[:, :-1]
         dz = dh * (1 - h * h)
         de = (dz @ net.w.T).reshape(-1, net.e.shape[1])
         flat = x.ravel()
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
+        order = np.argsort(flat)
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        ids = flat[first]
         for k, grad, where in ((1, v.T @ dz, slice(None)), (2, dz.sum(0), slice(None)), (0, np.add.reduceat(de[order], first), ids)):
             self._step(k, grad, where)
         self.tokens += n

@@ -169,6 +169,19 @@ def test_op2_vocabulary_grows_with_the_corpus():
     assert mlm.log_probs(trainer.net, y, x)[0] > -1
 
 
+def test_op2_outputs_of_a_position_grow_slowly():
+    """Under Zipf's law a position costs the classes and its own class's words: both layers together, well under two equal steps."""
+    for tokens in (10**8, 10**10):
+        size = mlm.vocabulary_size(tokens)
+        net = mlm.Network.fresh(size=size)
+        words = [len(b) for b in net.ob]
+        assert sum(words) == size and net.cc.shape[1] == len(words)
+        share = 1 / np.arange(1, size + 1)
+        share[-mlm.OTHERS :] = share[: -mlm.OTHERS].sum() / 3 / mlm.OTHERS  # a quarter of all words are others
+        share /= share.sum()
+        assert len(words) + (share * np.repeat(words, words)).sum() < 1.4 * size**0.5
+
+
 def test_op3_equals_brute_force(docs, rows, empty):
     big = 1 << 62
     seen = {}
