@@ -1,17 +1,17 @@
 """Masked pseudo-likelihood scoring with a bidirectional window network (operator 2).
 
 A small numpy network predicts a word from the ``side`` words before and after it, the word
-itself masked: embeddings of the window, one tanh layer, and a two-step softmax (class of
-words, then the word in it). A document's score is the sum over all its words of the log
+itself masked: embeddings of the window, one tanh layer, and a softmax in steps (group of
+classes, class of words, then the word in it; a small vocabulary has one group). A document's score is the sum over all its words of the log
 of that probability, each from both sides.
 
 The vocabulary is the most frequent words of the whole corpus, lower-cased in ASCII, counted
 in Spark; its size grows with the square root of the corpus's words, and the class tree with
-it. A class of frequent words is small and one of rare words large, so that a position costs as few
-outputs as two steps allow; the other words' ids are a class of their own. Other words share hashed ids, and each has its own share of its id's probability, by its
-count plus one; these counts stay a table, joined to the words of the documents. Training is data-parallel: in each round every
-partition starts from the same weights, trains on its round's share of every document's
-positions, and the weights are averaged by tokens, in two grouped steps. The rounds' shares are
+it. A class of frequent words is small and one of rare words large, so that a position costs few
+outputs; the other words' ids are a class of their own. Other words share hashed ids, and each has its own share of its id's
+probability, by its count plus one; these counts stay a table, joined to the words of the documents. Training is data-parallel:
+in each round every partition starts from the same weights, trains on its round's share of every document's
+positions (those of rare classes wait until a batch has enough of their class, the partition's end at the latest), and the weights are averaged by tokens, in two grouped steps. The rounds' shares are
 disjoint and together all positions: each is masked and predicted once. The driver holds
 one network, of the vocabulary's size.
 
@@ -40,21 +40,24 @@ WORDS = 64
 VOCAB = WORDS * WORDS
 #: Ids kept for words outside the vocabulary, by hash.
 OTHERS = 64
-
-
-#: Least words of a class of a larger corpus, and outputs that are worked on at once: 256 KB of them stay in the cache.
-LEAST_WORDS, OUTPUTS = 32, 1 << 16
+#: Of a larger corpus: least words of a class, and its words for each square root of its first id.
+LEAST_WORDS, STEEP = 32, 2.5
+#: Outputs that are worked on at once: they stay in the cache.
+OUTPUTS = 1 << 16
+#: Targets of a class that a batch holds at least: others wait, as a step takes time for all weights of a class, and in a large
+#: vocabulary most classes have a few targets in as many positions.
+CLASS_ROWS = 32
 
 
 @lru_cache(maxsize=8)
 def class_cuts(size: int) -> np.ndarray:
-    """First id of each class, and the end. Ids stand by falling frequency: about five times the square root of its first
-    one is where a class has its best size if frequencies fall as in Zipf's law."""
+    """First id of each class, and the end. Ids stand by falling frequency: if frequencies fall as in Zipf's law, a class's
+    best size grows with the square root of its first one."""
     if size <= VOCAB:
         return np.arange(0, size + 1, WORDS)
     cuts, rare = [0], size - OTHERS
     while cuts[-1] < rare:
-        cuts.append(min(rare, cuts[-1] + max(LEAST_WORDS, -(-int(5 * cuts[-1] ** 0.5) // 16) * 16)))
+        cuts.append(min(rare, cuts[-1] + max(LEAST_WORDS, -(-int(STEEP * cuts[-1] ** 0.5) // 16) * 16)))
     return np.array([*cuts, size])
 
 
@@ -64,6 +67,20 @@ def class_of(size: int) -> np.ndarray:
     return np.repeat(np.arange(len(class_cuts(size)) - 1), np.diff(class_cuts(size))).astype(np.uint16)
 
 
+@lru_cache(maxsize=8)
+def group_cuts(size: int) -> np.ndarray:
+    """First class of each group, and the end: a small vocabulary has one group, a larger one about as many groups as a group
+    has classes, and the other words' class is a group of its own."""
+    classes = len(class_cuts(size)) - 1
+    return np.array([0, classes]) if size <= VOCAB else np.array([*range(0, classes - 1, round(classes**0.5)), classes - 1, classes])
+
+
+@lru_cache(maxsize=8)
+def group_of(size: int) -> np.ndarray:
+    """Group of each class."""
+    return np.repeat(np.arange(len(group_cuts(size)) - 1), np.diff(group_cuts(size)))
+
+
 def vocabulary_size(tokens: int) -> int:
     """Ids for a corpus of so many words: twice the square root, a multiple of 64."""
     return -(-max(VOCAB, int(2 * tokens**0.5)) // WORDS) * WORDS
@@ -71,16 +88,17 @@ def vocabulary_size(tokens: int) -> int:
 
 @dataclass
 class Network:
-    """Weights: embeddings (the last row is the pad), hidden layer, classes, words of each class.
+    """Weights: embeddings (the last row is the pad), hidden layer, groups, classes of each group, words of each class.
 
-    The two output layers hold their biases as a last row, for a hidden value that is always 1. The
-    classes' words stand one class after the other in ``oo``; ``block`` is the matrix of one.
+    The three output layers hold their biases as a last row, for a hidden value that is always 1. The
+    blocks of a layer stand one after the other in it; ``block`` is the matrix of one.
     """
 
     e: np.ndarray
     w: np.ndarray
     b: np.ndarray
-    cc: np.ndarray
+    gg: np.ndarray
+    cg: np.ndarray
     oo: np.ndarray
     side: int
 
@@ -91,28 +109,36 @@ class Network:
         def r(*shape, scale):
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        classes = len(class_cuts(size)) - 1
         e, w = r(size + 1, width, scale=0.3), r(2 * side * width, hidden, scale=(2 * side * width) ** -0.5)
-        net = cls(e, w, np.zeros(hidden, np.float32), np.zeros((hidden + 1, classes), np.float32), np.zeros((hidden + 1) * size, np.float32), side)
-        net.cc[:-1] = r(hidden, classes, scale=0.1)
-        for k in range(classes):
-            net.block(k)[:-1] = r(*net.block(k)[:-1].shape, scale=0.1)
+        outputs = [np.zeros((hidden + 1) * n, np.float32) for n in (len(group_cuts(size)) - 1, len(class_cuts(size)) - 1, size)]
+        net = cls(e, w, np.zeros(hidden, np.float32), *outputs, side)
+        for layer in (1, 2, 0):
+            for k in range(len(net.cuts(layer)) - 1):
+                net.block(layer, k)[:-1] = r(*net.block(layer, k)[:-1].shape, scale=0.1)
         return net
 
+    cc = property(lambda self: np.hstack([self.block(1, g) for g in range(len(self.cuts(1)) - 1)]))
     c = property(lambda self: self.cc[:-1])
     cb = property(lambda self: self.cc[-1])
-    o = property(lambda self: [self.block(k)[:-1] for k in range(self.classes)])
-    ob = property(lambda self: [self.block(k)[-1] for k in range(self.classes)])
-    classes = property(lambda self: self.cc.shape[1])
+    o = property(lambda self: [self.block(2, k)[:-1] for k in range(self.classes)])
+    ob = property(lambda self: [self.block(2, k)[-1] for k in range(self.classes)])
+    classes = property(lambda self: len(self.cuts(2)) - 1)
+
+    def cuts(self, layer: int) -> np.ndarray:
+        """First output of each block of an output layer (0: groups, 1: classes, 2: words), and the end."""
+        return (np.array([0, len(group_cuts(self.size)) - 1]), group_cuts(self.size), class_cuts(self.size))[layer]
+
+    def block(self, layer: int, k: int) -> np.ndarray:
+        """Weights of block ``k`` of an output layer."""
+        rows, cuts = len(self.b) + 1, self.cuts(layer)
+        return self.parts[3 + layer][rows * cuts[k] : rows * cuts[k + 1]].reshape(rows, -1)
 
-    def block(self, k: int, of: np.ndarray | None = None) -> np.ndarray:
-        """Weights of class ``k``, or its part of another array like ``oo``."""
-        rows, cuts = len(self.cc), class_cuts(self.size)
-        return (self.oo if of is None else of)[rows * cuts[k] : rows * cuts[k + 1]].reshape(rows, -1)
+    def blocks(self) -> list[list[np.ndarray]]:
+        return [[self.block(layer, k) for k in range(len(self.cuts(layer)) - 1)] for layer in range(3)]
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.e, self.w, self.b, self.cc, self.oo]
+        return [self.e, self.w, self.b, self.gg, self.cg, self.oo]
 
     @property
     def size(self) -> int:
@@ -154,8 +180,8 @@ def windows(ids: np.ndarray, row: np.ndarray, side: int, pad: int = VOCAB) -> np
     return out
 
 
-#: Logits end here: float32 still holds the sum of their exponentials.
-MOST = np.float32(60)
+#: Sums of exponentials between these are right as they stand; otherwise each row's largest logit is taken off first.
+LEAST_SUM, MOST_SUM = 1e-26, 1e26
 
 
 @lru_cache(maxsize=4096)
@@ -163,121 +189,175 @@ def _ones(n: int) -> np.ndarray:
     return np.ones(n, np.float32)
 
 
-@lru_cache(maxsize=4096)
-def _places(n: int) -> np.ndarray:
-    return np.arange(n)
-
-
-def _softmax(z: np.ndarray, bounded: bool = False) -> np.ndarray:
-    """Exponentials in place of the logits, and their sums."""
-    if not bounded and z.max() > MOST:
-        np.minimum(z, MOST, out=z)
-    np.exp(z, out=z)
-    return z @ _ones(z.shape[1])
+def _softmax(h: np.ndarray, blocks: list, place: np.ndarray, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Exponentials of the outputs of rows of hidden values, by block, their sums by row, and the logits of the targets.
 
-
-def _bounded(weight: np.ndarray) -> bool:
-    """Whether hidden values in [-1, 1] can't bring a logit beyond ``MOST``."""
-    return bool(np.abs(weight).sum(0).max() < MOST)
-
-
-def _rows(weight: np.ndarray) -> int:
-    """Positions whose outputs are worked on at once."""
-    return max(1, OUTPUTS // weight.shape[1])
-
-
-def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of positions by class, and (class, first, last) of the classes that occur."""
-    order = np.argsort(cls, kind="stable")
-    at = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
-    return order, [(k, at[k], at[k + 1]) for k in range(classes) if at[k + 1] > at[k]]
+    ``blocks`` (weights, first row, last row) follow one another; their outputs stand together in ``z``, the targets' at ``place``.
+    """
+    parts, at = [], 0
+    for weight, i, j in blocks:
+        end = at + (j - i) * weight.shape[1]
+        parts.append(np.matmul(h[i:j], weight, out=z[at:end].reshape(j - i, -1)))
+        at = end
+    logit, sums = z.take(place), np.empty(len(h), np.float32)
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+        for (_, i, j), part in zip(blocks, parts):
+            np.matmul(part, _ones(part.shape[1]), out=sums[i:j])
+    if not (sums.min() > LEAST_SUM and sums.max() < MOST_SUM):
+        for (weight, i, j), part in zip(blocks, parts):
+            np.matmul(h[i:j], weight, out=part)
+            top = part.max(1)
+            part -= top[:, None]
+            logit[i:j] -= top
+            np.exp(part, out=part)
+            np.matmul(part, _ones(part.shape[1]), out=sums[i:j])
+    return parts, sums, logit
+
+
+class _Targets:
+    """Positions by class, and what each output layer has to tell of them."""
+
+    def __init__(self, net: Network, y: np.ndarray):
+        cls = class_of(net.size)[y]
+        self.order = np.argsort(cls, kind="stable")
+        cls = cls.take(self.order)
+        group, self.layers = group_of(net.size).take(cls), []
+        for layer, (block, output) in enumerate(((np.zeros_like(group), group), (group, cls), (cls, y.take(self.order)))):
+            cuts = net.cuts(layer)
+            at = np.searchsorted(block, np.arange(len(cuts))).tolist()
+            runs = [(k, at[k], at[k + 1]) for k in range(len(cuts) - 1) if at[k + 1] > at[k] and cuts[k + 1] - cuts[k] > 1]
+            self.layers.append((runs, np.diff(cuts).take(block), output - cuts.take(block)))
+
+    def bundles(self, layer: int, split: bool = False):
+        """(runs, places of their targets, outputs) of neighbouring blocks, as many as fit in ``OUTPUTS``, one at least;
+        with ``split`` a larger run comes in pieces."""
+        runs, wide, target = self.layers[layer]
+        if split:
+            rows = np.maximum(1, OUTPUTS // wide)
+            runs = [(k, a, min(a + int(rows[i]), j)) for k, i, j in runs for a in range(i, j, int(rows[i]))]
+        at = 0
+        while at < len(runs):
+            to, n = at, 0
+            while to < len(runs) and (to == at or runs[to][1] == runs[to - 1][2]):
+                more = (runs[to][2] - runs[to][1]) * int(wide[runs[to][1]])
+                if n + more > OUTPUTS and to > at:
+                    break
+                n, to = n + more, to + 1
+            a, b = runs[at][1], runs[to - 1][2]
+            yield runs[at:to], np.cumsum(wide[a:b]) - wide[a:b] + target[a:b], n
+            at = to
+
+
+class _Room:
+    """An array for outputs, made again only where it is too small."""
+
+    def __init__(self):
+        self.z = np.empty(OUTPUTS, np.float32)
+
+    def of(self, n: int) -> np.ndarray:
+        if n > len(self.z):
+            self.z = np.empty(n, np.float32)
+        return self.z[:n]
 
 
 def log_probs(net: Network, ids: np.ndarray, around: np.ndarray, step: int = 32768) -> np.ndarray:
     """Log probability of each id given its window."""
-    out = np.empty(len(ids), np.float32)
-    cuts, of = class_cuts(net.size), class_of(net.size)
-    blocks = [net.block(k) for k in range(net.classes)]
-    top, low = _bounded(net.cc), [_bounded(w) for w in blocks]
-    rows = _rows(net.cc)
+    out, blocks, room = np.empty(len(ids), np.float32), net.blocks(), _Room()
     for lo in range(0, len(ids), step):
-        y, x = ids[lo : lo + step], around[lo : lo + step]
-        cls = of[y]
-        order, runs = _by_class(cls, net.classes)
-        cls, word = cls[order], y[order] - cuts[cls[order]]
-        h = net.hidden(net.window(x[order]))
-        p = np.empty(len(x), np.float32)
-        for i in range(0, len(x), rows):
-            z = h[i : i + rows] @ net.cc
-            p[i : i + rows] = z[np.arange(len(z)), cls[i : i + rows]]
-            p[i : i + rows] -= np.log(_softmax(z, top))
-        for k, first, last in runs:
-            for i in range(first, last, _rows(blocks[k])):
-                j = min(last, i + _rows(blocks[k]))
-                z = h[i:j] @ blocks[k]
-                p[i:j] += z[np.arange(j - i), word[i:j]]
-                p[i:j] -= np.log(_softmax(z, low[k]))
-        out[lo + order] = p
+        targets = _Targets(net, ids[lo : lo + step])
+        h = net.hidden(net.window(around[lo : lo + step].take(targets.order, axis=0)))
+        p = np.zeros(len(h), np.float32)
+        for layer in range(3):
+            for runs, place, n in targets.bundles(layer, split=True):
+                a, b = runs[0][1], runs[-1][2]
+                _, sums, logit = _softmax(h[a:b], [(blocks[layer][k], i - a, j - a) for k, i, j in runs], place, room.of(n))
+                logit -= np.log(sums)
+                p[a:b] += logit
+        out[lo + targets.order] = p
     return out
 
 
+def _row_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; numbers are added in pairs, as complex ones, which halves the calls."""
+    pairs = rows.shape[1] % 2 == 0
+    return np.add.reduceat(rows.view(np.complex64) if pairs else rows, first).view(np.float32)
+
+
 class Trainer:
     """Adagrad on batches of masked positions."""
 
     def __init__(self, net: Network, rate: float = 0.1):
-        self.net, self.rate = net.filled(net.flat()), rate
-        self.seen = [np.full(p.shape if k else (len(p), 1), 1e-3, np.float32) for k, p in enumerate(self.net.parts)]
-        self.tokens = 0
-        self.blocks = [(self.net.block(k), self.net.block(k, self.seen[4])) for k in range(self.net.classes)]
-
-    def _step(self, k: int, grad: np.ndarray, where=slice(None)) -> None:
-        g2 = (grad * grad).mean(1, keepdims=True) if k == 0 else grad * grad
-        self.seen[k][where] += g2
-        self.net.parts[k][where] -= self.rate * grad / np.sqrt(self.seen[k][where])
-
-    def _head(self, weight: np.ndarray, seen: np.ndarray, h: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
-        """One step of a softmax layer on positions with hidden values h; returns their gradient."""
-        back, grad, rows = np.empty_like(h), None, _rows(weight)
-        for i in range(0, len(h), rows):
-            part = h[i : i + rows]
-            z = part @ weight
-            p = _softmax(z)
-            p *= n
-            z /= p[:, None]
-            z[_places(len(z)), target[i : i + rows]] -= np.float32(1 / n)
-            np.matmul(z, weight.T, out=back[i : i + rows])
-            more = part.T @ z
-            grad = more if grad is None else grad + more
+        self.net, self.rate = net.filled(net.flat()), np.float32(rate)
+        self.seen = [np.full(p.shape if k else len(p), 1e-3, np.float32) for k, p in enumerate(self.net.parts)]
+        self.tokens = self.full = 0
+        self.blocks, self.room = self.net.blocks(), _Room()
+        self.seen_blocks = Network(*self.seen[:1], self.net.w, self.net.b, *self.seen[3:], self.net.side).blocks()
+        self.waiting = np.zeros(0, np.int32), np.zeros((0, 2 * net.side), np.int32)
+
+    def _step(self, weight: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
+        """One step on some weights; the gradient is used up."""
         square = grad * grad
         seen += square
         np.sqrt(seen, out=square)
         grad /= square
         grad *= self.rate
         weight -= grad
-        return back
 
-    def learn(self, y: np.ndarray, x: np.ndarray) -> None:
-        net, n = self.net, len(y)
+    def _step_rows(self, ids: np.ndarray, grad: np.ndarray) -> None:
+        """One step on the embeddings of ``ids``, which have one rate for each row."""
+        seen = self.seen[0].take(ids) + (grad * grad) @ np.full(grad.shape[1], 1 / grad.shape[1], np.float32)
+        self.seen[0][ids] = seen
+        grad *= (self.rate / np.sqrt(seen))[:, None]
+        self.net.e[ids] -= grad
+
+    def _layer(self, layer: int, targets: _Targets, h: np.ndarray, dh: np.ndarray) -> None:
+        """An output layer learns from positions with hidden values h; their gradient is added to dh."""
+        for runs, place, n in targets.bundles(layer):
+            a, b = runs[0][1], runs[-1][2]
+            z, blocks = self.room.of(n), [(self.blocks[layer][k], i - a, j - a) for k, i, j in runs]
+            parts, sums, _ = _softmax(h[a:b], blocks, place, z)
+            z[place] -= sums
+            sums *= np.float32(self.full)
+            share = np.reciprocal(sums, out=sums)[:, None]
+            scaled, back = h[a:b] * share, np.empty_like(h[a:b])
+            for (k, _, _), (weight, i, j), part in zip(runs, blocks, parts):
+                np.matmul(part, weight.T, out=back[i:j])
+                self._step(weight, self.seen_blocks[layer][k], scaled[i:j].T @ part)
+            back *= share
+            dh[a:b] += back
+
+    def learn(self, y: np.ndarray, x: np.ndarray, last: bool = True) -> None:
+        """Learn targets y in windows x and those that wait; unless it is the ``last`` batch, classes of few targets wait on.
+
+        A target weighs as much as in a full batch, so that a last one of rare classes does not make these seem frequent."""
+        self.full = max(self.full, len(y))
+        net, y, x = self.net, np.concatenate([self.waiting[0], y]), np.concatenate([self.waiting[1], x])
+        cls = class_of(net.size)[y]
+        wait = (np.bincount(cls, minlength=net.classes) < (0 if last else CLASS_ROWS))[cls]
+        self.waiting = y[wait], x[wait]
+        if wait.any():
+            y, x = y[~wait], x[~wait]
+        n = len(y)
         if not n:
             return
-        cls = class_of(net.size)[y]
-        order, runs = _by_class(cls, net.classes)
-        x, cls, word = x[order], cls[order], y[order] - class_cuts(net.size)[cls[order]]
+        targets = _Targets(net, y)
+        x = x.take(targets.order, axis=0)
         v = net.window(x)
         h = net.hidden(v)
-        dh = self._head(net.cc, self.seen[3], h, cls, n)
-        for k, a, b in runs:
-            dh[a:b] += self._head(*self.blocks[k], h[a:b], word[a:b], n)
+        dh = np.zeros_like(h)
+        for layer in range(3):
+            self._layer(layer, targets, h, dh)
         h, dh = h[:, :-1], dh[:, :-1]
         dz = dh * (1 - h * h)
         de = (dz @ net.w.T).reshape(-1, net.e.shape[1])
-        flat = x.ravel()
-        order = np.argsort(flat)
-        flat = flat[order]
+        key = (x.ravel().astype(np.int64) << 32) | np.arange(x.size)
+        key.sort()
+        flat = key >> 32
         first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        ids = flat[first]
-        for k, grad, where in ((1, v.T @ dz, slice(None)), (2, dz.sum(0), slice(None)), (0, np.add.reduceat(de[order], first), ids)):
-            self._step(k, grad, where)
+        self._step(net.w, self.seen[1], v.T @ dz)
+        self._step(net.b, self.seen[2], dz.sum(0))
+        self._step_rows(flat[first], _row_sums(de.take(key & 0xFFFFFFFF, axis=0), first))
         self.tokens += n
 
 
@@ -356,10 +436,10 @@ def _train(net: Network, vocab, rank, turn: int, rounds: int, seed: int, batch_s
                 if n >= batch_size:
                     y, x = np.concatenate(ys), np.concatenate(xs)
                     for lo in range(0, n - batch_size + 1, batch_size):
-                        trainer.learn(y[lo : lo + batch_size], x[lo : lo + batch_size])
+                        trainer.learn(y[lo : lo + batch_size], x[lo : lo + batch_size], last=False)
                     lo = n // batch_size * batch_size
                     ys, xs, n = [y[lo:]], [x[lo:]], n - lo
-        if n:
+        if n or len(trainer.waiting[0]):
             trainer.learn(np.concatenate(ys), np.concatenate(xs))
         if trainer.tokens:
             flat = trainer.net.flat().astype(np.float64) * trainer.tokens

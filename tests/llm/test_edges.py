@@ -182,6 +182,60 @@ def test_op2_outputs_of_a_position_grow_slowly():
         assert len(words) + (share * np.repeat(words, words)).sum() < 1.4 * size**0.5
 
 
+def test_op2_outputs_do_not_grow_with_the_square_root():
+    """Three steps (group, class, word): the outputs worked on for a position, counted by their exponentials, and the cost of a batch."""
+    import unittest.mock as mock
+
+    rng, outputs, exp = np.random.default_rng(4), [], np.exp
+    for tokens in (10**8, 10**10):
+        size = mlm.vocabulary_size(tokens)
+        net, share = mlm.Network.fresh(size=size), 1 / np.arange(1, size + 1)
+        share[-mlm.OTHERS :] = share[: -mlm.OTHERS].sum() / 3 / mlm.OTHERS
+        y = rng.choice(size, 20000, p=share / share.sum())
+        done = []
+        with mock.patch.object(np, "exp", lambda z, **to: (done.append(z.size), exp(z, **to))[1]):
+            mlm.log_probs(net, y, rng.integers(0, size, (20000, 4)))
+        outputs.append(sum(done) / len(y))
+        assert outputs[-1] < 0.8 * size**0.5
+    assert outputs[1] < 2.5 * outputs[0]
+
+
+def test_op2_targets_that_wait_are_learned_once():
+    """Rare classes' targets wait for more of their kind; none is lost, none is learned twice, whatever the batch."""
+    import unittest.mock as mock
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i * j % 97}" for j in range(40)) for i in range(40)]
+    got = []
+
+    class Count(mlm._Targets):
+        def __init__(self, net, y):
+            super().__init__(net, y)
+            got[-1].append(np.sort(y))
+
+    with mock.patch.object(mlm, "_Targets", Count), mock.patch.object(mlm, "TaskContext") as task:
+        task.get().partitionId.return_value = 0
+        for size in (10**6, 7, 100, 1600):
+            got.append([])
+            out = list(mlm._train(mlm.Network.fresh(), np.zeros(0, np.uint64), np.zeros(0, np.int32), 0, 1, 1, size, 1)([pa.RecordBatch.from_pydict({"text": texts})]))
+            assert out[0].column("tokens").to_pylist() == [1600]
+    assert all(np.array_equal(np.sort(np.concatenate(g)), np.concatenate(got[0])) for g in got) and len(got[2]) > 5
+
+
+def test_op2_large_outputs_are_exact():
+    """Logits far from zero: probabilities still sum to one, and training stays finite."""
+    net = mlm.Network.fresh()
+    net.block(1, 0)[-1, 3] = 300
+    net.block(2, 3)[-1] = -500
+    ids = np.arange(mlm.VOCAB)
+    p = mlm.log_probs(net, ids, np.zeros((len(ids), 4), np.int32)).astype(float)
+    assert np.exp(p).sum() == pytest.approx(1, abs=1e-3) and p[192:256].max() > -5
+    trainer = mlm.Trainer(net)
+    trainer.learn(ids, np.zeros((len(ids), 4), np.int32))
+    assert np.isfinite(trainer.net.flat()).all()
+
+
 def test_op3_equals_brute_force(docs, rows, empty):
     big = 1 << 62
     seen = {}
