@@ -427,7 +427,8 @@ def _train(net: Network, vocab, rank, turn: int, rounds: int, seed: int, batch_s
             for _, _, h, row in _texts(batch):
                 ids = word_ids(h, vocab, rank, net.size)
                 # The mask is hashed from word, place in the document and seed: the same however documents are read.
-                place = np.arange(len(h)) - np.searchsorted(row, row)
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                place = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
                 dice = mix(h + place.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
                 pick = np.flatnonzero((dice >> _U(32)) * _U(rounds) >> _U(32) == _U(turn))
                 ys.append(ids[pick])
